@@ -1,0 +1 @@
+"""locusframe.streaming"""

@@ -27,6 +27,9 @@ THRESHOLD = 0.3
 STEM, LEAST_DOCS, LEAST_ODDS = 5, 4, 1.5
 # Words of the second person in the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself ya u tu te toi ton ta tes vous votre vos du dich dir dein deine deiner sie ihr euch euer usted ustedes ti tus su sus vosotros".split())
+# Common insults, which are in the lexicon even if the sample has too few of them to learn.
+INSULTS = frozenset("idiot moron stupid dumb loser scum trash clown pathetic disgusting worthless imbecile jerk bastard bitch asshole retard filthy vermin".split())
+INSULT_ODDS = 3.0
 # Characters written in place of letters.
 LEET = str.maketrans("0134578@$!|", "oieastbasil")
 PUNCT = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿–—"
@@ -220,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     best = counted.where(F.col("t") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     lexicon = {r.unit: r.odds for r in best.orderBy(F.desc(F.col("odds") * F.log1p("t")), "unit").limit(LEXICON).collect()}
 
+    lexicon = {w: INSULT_ODDS for w in sorted(INSULTS)} | lexicon
     coder = Coder(lexicon)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, decontaminate, exact, packing, simhash, tokens, toxicity
+from locusframe.llm import chat, decontaminate, exact, lm, packing, pii, simhash, tokens, toxicity
 from locusframe.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,12 +38,20 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.pii(table(spark, sf_dir, "documents")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = exact.exact_classes(table(spark, sf_dir, "documents"))
     rows = classes.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("kept") & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_toxicity, op5_simhash, op6_token_counts, op8_exact_dedup, op10_packing, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_toxicity, op5_simhash, op6_token_counts, op7_pii, op8_exact_dedup, op9_lm_scoring, op10_packing, pipeline)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 

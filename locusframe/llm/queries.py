@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, decontaminate, exact, lm, packing, pii, simhash, tokens, toxicity
+from locusframe.llm import chat, decontaminate, exact, lm, packing, pii, simhash, substring, tokens, toxicity
 from locusframe.plans.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op4_toxicity, op5_simhash, op6_token_counts, op7_pii, op8_exact_dedup, op9_lm_scoring, op10_packing, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_chat_formatting, op2_decontamination, op3_substring_dedup, op4_toxicity, op5_simhash, op6_token_counts, op7_pii, op8_exact_dedup, op9_lm_scoring, op10_packing, pipeline)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
 

@@ -9,12 +9,18 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes in a batch for Python, about; one row may be more.
+ARROW_BATCH = "8m"
 _SHIPPED: set[str] = set()
 _LOCAL: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once per application)."""
+    """Make this package importable in Python workers (once per application).
+
+    Also bounds the batches that they get by bytes: rows of text vary too much for a count.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -12,6 +12,7 @@ what then remains is cut into sequences of decreasing powers of two, which need
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,18 +29,25 @@ WINDOW = 2048
 #: Tokens that a task's open windows may hold before they are emptied.
 OPEN_TOKENS = 4_000_000
 #: Words kept with their ids in each worker, and the longest word that is kept, in bytes.
-WORDS, WORD_BYTES = 500_000, 64
+WORDS, WORD_BYTES = 200_000, 64
 END_ID = 1
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _MODELS: dict = {}
+#: Letters that normalisation leaves alone but for their case, then marks that form one token part.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Byte-level BPE writes bytes that aren't printable Latin-1 as characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTES = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids in order. Words (split at ASCII white space, as they stand) are encoded by
-    the library in batches and remembered, up to ``WORDS`` of them.
+    words' ids in order. Words (split at ASCII white space, as they stand) are remembered
+    with their ids, up to ``WORDS`` of them. A new word that is plain letters and then
+    sentence marks goes to the library's BPE model as the two parts that its normaliser and
+    pre-tokenizer would make of it; all others go through the whole tokenizer, in batches.
     """
 
     def __init__(self, path: str):
@@ -50,10 +58,34 @@ class Encoder:
 
         self.model = tokenizers.Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.bpe = self.model.model.tokenize
+        self.four = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size())]
+
+    def _part(self, part: str) -> bytes:
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+        return b"".join([self.four[t.id] for t in self.bpe(mapped)])
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        done, rest = [], []
+        for k, w in enumerate(words):
+            m = _PLAIN.fullmatch(w.decode())
+            if m is None:
+                rest.append(k)
+                done.append(b"")
+                continue
+            ids = self._part(m[1].lower())
+            if m[2]:
+                if m[2] not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[m[2]] = self._part(m[2])
+                ids += self.marks[m[2]]
+            done.append(ids)
+        found = self.model.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)
+        for k, e in zip(rest, found, strict=True):
+            done[k] = b"".join([self.four[i] for i in e.ids])
+        return done
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known]

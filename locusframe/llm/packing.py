@@ -12,6 +12,7 @@ what then remains is cut into sequences of decreasing powers of two, which need
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -29,93 +30,65 @@ WINDOW = 2048
 #: Tokens that a task's open windows may hold before they are emptied.
 OPEN_TOKENS = 4_000_000
 #: Words kept with their ids in each worker, and the longest word that is kept, in bytes.
-WORDS, WORD_BYTES = 200_000, 64
+WORDS, WORD_BYTES = 300_000, 64
 END_ID = 1
 SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _MODELS: dict = {}
-#: Letters that normalisation leaves alone but for their case, then marks that form one token part.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Letters that normalisation leaves alone but for their case, between marks that form one part
+#: each (without the apostrophe, which begins contractions, and "<", which begins special tokens).
+_MARKS = r"([!-&(-/:;=>?@\[-`{-~]*)"
+_PLAIN = re.compile(_MARKS + "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)" + _MARKS)
 #: Byte-level BPE writes bytes that aren't printable Latin-1 as characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
 _BYTES = {b: 256 + k for k, b in enumerate(_HIDDEN)}
 
 
-class Encoder:
-    """Token ids of whole texts as little-endian unsigned 32-bit numbers.
+class Encoder(dict):
+    """Word -> its token ids, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its
-    words' ids in order. Words (split at ASCII white space, as they stand) are remembered
-    with their ids, up to ``WORDS`` of them. A new word that is plain letters and then
-    sentence marks goes to the library's BPE model as the two parts that its normaliser and
-    pre-tokenizer would make of it; all others go through the whole tokenizer, in batches.
+    words' ids in order. Words (split at ASCII white space, as they stand) are remembered,
+    up to ``WORDS`` of them. A new word of letters with marks before or after goes to the
+    library's BPE model as the parts that its normaliser and pre-tokenizer would make of
+    it; any other goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        import os
-
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.bpe = self.model.model.tokenize
         self.four = [i.to_bytes(4, "little") for i in range(self.model.get_vocab_size())]
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _part(self, part: str) -> bytes:
+    def part(self, part: str) -> bytes:
         mapped = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
         return b"".join([self.four[t.id] for t in self.bpe(mapped)])
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        done, rest = [], []
-        for k, w in enumerate(words):
-            m = _PLAIN.fullmatch(w.decode())
-            if m is None:
-                rest.append(k)
-                done.append(b"")
-                continue
-            ids = self._part(m[1].lower())
-            if m[2]:
-                if m[2] not in self.marks:
-                    if len(self.marks) > 10_000:
-                        self.marks.clear()
-                    self.marks[m[2]] = self._part(m[2])
-                ids += self.marks[m[2]]
-            done.append(ids)
-        found = self.model.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False)
-        for k, e in zip(rest, found, strict=True):
-            done[k] = b"".join([self.four[i] for i in e.ids])
-        return done
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = list(words)
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.known.update(zip(part, self._encode(part), strict=True))
-
-    def ids(self, items: list[bytes]) -> Iterator[bytes]:
-        for text in items:
-            words = text.split()
-            try:
-                yield b"".join(map(self.known.__getitem__, words))
-            except KeyError:
-                for k in range(0, len(words), WORDS // 2):  # a text of any length
-                    self.learn({w for w in words[k : k + WORDS // 2] if len(w) <= WORD_BYTES})
-                    if k == 0 and len(words) <= WORDS // 2 and all(len(w) <= WORD_BYTES for w in words):
-                        yield b"".join(map(self.known.__getitem__, words))
-                        break
-                else:
-                    yield b"".join(self._slow(words))
-
-    def _slow(self, words: list[bytes]) -> Iterator[bytes]:
-        for k in range(0, len(words), WORDS // 2):
-            part = words[k : k + WORDS // 2]
-            self.learn({w for w in part if len(w) <= WORD_BYTES})
-            for w in part:
-                yield self.known[w] if len(w) <= WORD_BYTES else self._encode([w])[0]
+    def mark(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            self.marks[marks] = self.part(marks)
+        return self.marks[marks]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        m = _PLAIN.fullmatch(text)
+        if m:
+            ids = self.mark(m[1]) + self.part(m[2].lower()) + self.mark(m[3])
+        else:
+            ids = b"".join([self.four[i] for i in self.model.encode(text, add_special_tokens=False).ids])
+        if len(word) <= WORD_BYTES:
+            if len(self) >= WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 def encoder(path: str) -> Encoder:
@@ -218,8 +191,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, enc = Packer(window, TaskContext.get().partitionId() << 33), encoder(path)
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), enc.ids(texts(batch)), strict=True):
-                packer.add(doc_id, ids + end)
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                packer.add(doc_id, enc.ids(text) + end)
                 if len(packer.rows) >= 10_000:
                     yield from out(SCHEMA, packer.taken())
         packer.drain()

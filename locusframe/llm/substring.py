@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import id_text, texts
+from locusframe.llm.simhash import _signed
 from locusframe.llm.lm import _spread, _squeeze
 from locusframe.operators.components import components
 from locusframe.plans.runtime import cut, ship
@@ -81,7 +82,7 @@ _PARAGRAPH = "doc_id long, start long, end long, n_words long, h long, bands arr
 def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        rows, shingles = [], []
+        rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
             w = Words(text, hashes)
             if len(w.h) < least:
@@ -90,7 +91,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(w.h)]):
                 if b - a >= least:
                     s = _rolled(w.h[a:b], SHINGLE)
-                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, int(_rolled(w.h[a:b], b - a)[0].view(np.int64)) if b - a < 64 else _long(w.h[a:b]), np.unique(s)))
+                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, _signed(xxhash.xxh64_intdigest(w.h[a:b].tobytes())), np.unique(s)))
         for k in range(0, len(rows), 512):
             part = rows[k : k + 512]
             shingles = np.concatenate([r[5] for r in part])
@@ -100,20 +101,16 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             for r in range(ROWS):
                 band = (band ^ sig[:, :, r]) * _M + _B
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([r[c] for r in part], pa.int64()) for c in range(5)), pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r[5].tobytes() for r in part], pa.binary())],
+                [*(pa.array([r[c] for r in part], pa.int64()) for c in range(5)), pa.array(band.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([np.unique((r[5] >> np.uint64(32)).astype(np.uint32)).tobytes() for r in part], pa.binary())],
                 ["doc_id", "start", "end", "n_words", "h", "bands", "words"],
             )
 
 
-def _long(h: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(h.tobytes())], np.uint64).view(np.int64)[0])
-
-
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)  # two shingles of a pair hash alike once in a million pairs
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both >= least * (len(x) + len(y) - both))
         yield batch.filter(pa.array(keep)).select([0, 1])

@@ -1,19 +1,391 @@
-"""All queries over the reference's operators, with their SQL."""
+"""All queries over the reference's operators, with their SQL.
+
+Names begin with the survey's ids. Each query applies an operator of this package to a
+genomic view of the driver's tables (see :mod:`locusframe.plans.views`) or to a table itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from locusframe.functions import exprs
+from locusframe.operators import affine, anchors, chains, graph
+from locusframe.plans import commands
+from locusframe.plans.runtime import table
+from locusframe.plans.views import duck, view
+from locusframe.sources import newick
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = duck(sql)
+        return f
+
+    return keep
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
 
+def on(name: str, source: str, build: Callable[[DataFrame], DataFrame], sql: str | None) -> None:
+    """Register ``build`` over one view or table."""
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build(view(spark, sf_dir, source) if source.startswith("v_") else table(spark, sf_dir, source))
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return v2_inter_anchor_gap(spark, sf_dir)
+
+
+# ---------------------------------------------------------------- scalar functions
+
+on("f1_normalise_bases", "benchmark", lambda d: d.select("item_id", exprs.normalise_bases(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")),
+   "SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'RYSWKMBDHVU', 'NNNNNNNNNNT') AS seq FROM benchmark")
+on("f2_reverse_complement", "v_seq", lambda d: d.select("seq_id", exprs.reverse_complement(F.col("seq")).alias("rc")),
+   "SELECT seq_id, translate(reverse(seq), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') AS rc FROM v_seq")
+on("f3_complement", "v_seq", lambda d: d.select("seq_id", exprs.complement(F.lower("seq")).alias("c")),
+   "SELECT seq_id, translate(upper(seq), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') AS c FROM v_seq")
+on("s3_interval_fetch", "v_seq", lambda d: d.select("seq_id", exprs.subsequence(F.col("seq"), F.col("seq_id") + 40, F.col("seq_id") * 3 - 7).alias("part")),
+   """SELECT seq_id, substr(seq, a, b - a + 1) AS part FROM (SELECT *, CAST(least(greatest(least(seq_id + 40, seq_id * 3 - 7), 1), greatest(length(seq), 1)) AS INT) AS a,
+ CAST(least(greatest(greatest(seq_id + 40, seq_id * 3 - 7), 1), greatest(length(seq), 1)) AS INT) AS b FROM v_seq)""")
+on("f4_cigar_summary", "v_sam", lambda d: d.select("line_no", exprs.cigar_summary(F.col("cigar")).alias("c")).select("line_no", "c.*"),
+   """WITH o AS (SELECT line_no, cigar, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS p FROM v_sam)
+SELECT line_no, CASE WHEN p[1][-1:] IN ('S', 'H') THEN CAST(p[1][:-2] AS BIGINT) ELSE 0 END AS head,
+ CASE WHEN p[-1][-1:] IN ('S', 'H') AND len(p) > 1 THEN CAST(p[-1][:-2] AS BIGINT) ELSE 0 END AS tail,
+ CAST(list_sum([CASE WHEN x[-1:] IN ('M', '=', 'X') THEN CAST(x[:-2] AS BIGINT) ELSE 0 END for x in p]) AS BIGINT) AS aligned,
+ CAST(list_sum([CASE WHEN x[-1:] IN ('M', '=', 'X', 'D', 'N') THEN CAST(x[:-2] AS BIGINT) ELSE 0 END for x in p]) AS BIGINT) AS span FROM o""")
+on("f5_reverse_flag", "v_sam", lambda d: d.groupBy(exprs.is_reverse(F.col("flag")).alias("reverse")).agg(F.count(F.lit(1)).alias("n")),
+   "SELECT flag % 32 <> 0 AS reverse, count(*) AS n FROM v_sam GROUP BY 1")
+on("f6_iupac_mask", "v_site", lambda d: d.select("site_id", exprs.mask_of(F.col("a")).cast("int").alias("mask"), exprs.letter_of(exprs.mask_of(F.col("a"))).alias("letter")),
+   "SELECT site_id, CAST(greatest(strpos('-ACMGRSVTWYHKDBN', upper(a)) - 1, 0) AS INT) AS mask, upper(a) AS letter FROM v_site")
+on("f8_forward_start", "v_match", lambda d: d.select("line_no", exprs.forward_start(F.col("ref_start"), F.col("ref_end") - F.col("ref_start"), F.col("strand"), F.lit(1 << 40)).alias("start0")),
+   "SELECT line_no, CASE WHEN strand = '-' THEN 1099511627776 - ref_start - (ref_end - ref_start) ELSE ref_start END AS start0 FROM v_match")
+on("f12_pair_id", "v_match", lambda d: d.select(exprs.pair_id(F.col("ref_chr"), F.col("query_chr")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT least(ref_chr, query_chr) || '--' || greatest(ref_chr, query_chr) AS pair, count(*) AS n FROM v_match GROUP BY 1")
+on("f13_saturating_multiply", "v_match", lambda d: d.select("line_no", exprs.saturating_multiply(F.col("ref_end"), F.col("query_end") * 1_000_000_000_000).alias("area")),
+   "SELECT line_no, CAST(least(CAST(ref_end AS HUGEINT) * query_end * 1000000000000, 9223372036854775807) AS BIGINT) AS area FROM v_match")
+on("f14_close", "v_match", lambda d: d.groupBy(exprs.close(F.col("score"), F.lit(0.9) + F.lit(1e-14)).alias("near")).agg(F.count(F.lit(1)).alias("n")),
+   "SELECT abs(score - (0.9 + 1e-14::DOUBLE)) <= 1e-12 * greatest(1.0, abs(score), 0.9) AS near, count(*) AS n FROM v_match GROUP BY 1")
+on("f15_tsv_clean", "benchmark", lambda d: d.select("item_id", exprs.tsv_clean(F.col("text")).alias("line")),
+   "SELECT item_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS line FROM benchmark")
+on("f16_split_items", "benchmark", lambda d: d.select("item_id", F.size(exprs.split_items(F.col("text"), ".")).cast("long").alias("n")),
+   "SELECT item_id, CAST(len(list_filter(string_split(text, '.'), lambda x: x <> '')) AS BIGINT) AS n FROM benchmark")
+on("f17_interval_check", "v_block", lambda d: d.select(((F.col("start0") >= 0) & (F.col("end0") > F.col("start0")) & F.col("orientation").isin("+", "-", "?")).alias("valid")).groupBy("valid").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT start0 >= 0 AND end0 > start0 AND orientation IN ('+', '-', '?') AS valid, count(*) AS n FROM v_block GROUP BY 1")
+on("s6_attribute", "v_feature", lambda d: d.select("line_no", exprs.attribute(F.concat(F.lit("ID=x;Parent="), "transcript", F.lit(";gene_id \""), "gene", F.lit('"')), "gene_id").alias("gene")),
+   "SELECT line_no, gene FROM v_feature")
+on("l4_gap_cost", "v_match", lambda d: d.select("line_no", exprs.gap_cost((F.col("ref_end") - F.col("ref_start")) * 3).cast("double").alias("cost")),
+   "SELECT line_no, CAST(greatest(-8 - 2 * (ref_end - ref_start) * 3, -75 - (ref_end - ref_start) * 3) AS DOUBLE) AS cost FROM v_match")
+on("l11_all_n", "v_seq", lambda d: d.select("seq_id", F.when(F.col("seq").rlike("^N*$"), "FILLING").otherwise("EXACT").alias("method")),
+   "SELECT seq_id, CASE WHEN regexp_full_match(seq, 'N*') THEN 'FILLING' ELSE 'EXACT' END AS method FROM v_seq")
+on("l12_one_sided_fill", "v_seq", lambda d: d.select("seq_id", F.repeat(F.lit("-"), F.char_length("seq")).alias("other"), exprs.gap_cost(F.char_length("seq")).cast("double").alias("score")),
+   "SELECT seq_id, repeat('-', length(seq)) AS other, CAST(greatest(-8 - 2 * length(seq), -75 - length(seq)) AS DOUBLE) AS score FROM v_seq")
+
+# ---------------------------------------------------------------- filters
+
+on("p1_chromosome_intersection", "v_sam", lambda d: d.select("rname").intersect(d.where("pos1 % 3 = 0").select("rname")), "SELECT rname FROM v_sam INTERSECT SELECT rname FROM v_sam WHERE pos1 % 3 = 0")
+on("p2_min_feature_length", "v_feature", lambda d: d.where("end1 - start1 + 1 >= 20").groupBy("transcript").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT transcript, count(*) AS n FROM v_feature WHERE end1 - start1 + 1 >= 20 GROUP BY 1")
+on("p4_similarity_filter", "v_match", lambda d: d.where("score > 0.95").select("line_no", "score"), "SELECT line_no, score FROM v_match WHERE score > 0.95")
+on("p5_same_chromosome", "v_match", lambda d: d.where("substr(ref_chr, 2) = substr(query_chr, 2) and strand = '+'").select("line_no"),
+   "SELECT line_no FROM v_match WHERE substr(ref_chr, 2) = substr(query_chr, 2) AND strand = '+'")
+on("p6_chromosome_admission", "v_match", lambda d: anchors.admitted(d, 4000).groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT ref_chr, query_chr, count(*) AS n FROM v_match GROUP BY ALL HAVING count(*) >= 4000")
+on("p11_alphabet_check", "v_seq", lambda d: d.select("seq_id", F.col("seq").rlike("^[ACGTN]+$").alias("dna")), "SELECT seq_id, regexp_full_match(seq, '[ACGTN]+') AS dna FROM v_seq")
+
+
+@query("""WITH p AS (SELECT line_no, gene, ref_chr, query_chr, dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS r, dense_rank() OVER (PARTITION BY query_chr ORDER BY query_start) AS q FROM v_match),
+f AS (SELECT min(line_no) AS first_self FROM p WHERE r = q)
+SELECT line_no FROM p, f WHERE NOT (coalesce(line_no >= first_self, false) AND substr(ref_chr, 2) = substr(query_chr, 2) AND abs(r - q) - 1 <= 5)""")
+def p7_tandem_filter(spark, sf_dir):
+    m = view(spark, sf_dir, "v_match")
+    r, q = Window.partitionBy("ref_chr").orderBy("ref_start"), Window.partitionBy("query_chr").orderBy("query_start")
+    p = m.withColumn("r", F.dense_rank().over(r)).withColumn("q", F.dense_rank().over(q))
+    p = p.select("line_no", F.expr("substr(ref_chr, 2)").alias("ref_chr"), F.expr("substr(query_chr, 2)").alias("query_chr"), F.col("r").alias("ref_id"), F.col("q").alias("query_id"), F.col("r").cast("string").alias("ref_gene"), F.col("q").cast("string").alias("query_gene"))
+    return anchors.tandem_filter(p, 5).select("line_no")
+
+
+# ---------------------------------------------------------------- windows
+
+_IDS = """SELECT *, row_number() OVER (PARTITION BY ref_chr ORDER BY ref_start, ref_end, query_start, query_end, line_no) - 1 AS ref_id,
+ row_number() OVER (PARTITION BY query_chr ORDER BY query_start, query_end, ref_start, ref_end, line_no) - 1 AS query_id FROM v_match"""
+on("v1_row_ids", "v_match", lambda d: anchors.row_ids(d).select("line_no", F.col("ref_id").cast("long").alias("ref_id"), F.col("query_id").cast("long").alias("query_id")), f"SELECT line_no, ref_id, query_id FROM ({_IDS})")
+
+_GAPS = """WITH p AS (SELECT ref_chr, query_chr, line_no, strand, ref_start, ref_end, query_start, query_end, lag(strand) OVER w AS ps, lag(ref_end) OVER w AS pr, lag(query_end) OVER w AS pqe, lag(query_start) OVER w AS pqs
+ FROM v_match WINDOW w AS (PARTITION BY ref_chr, query_chr ORDER BY ref_start, line_no, query_start, ref_end)),
+g AS (SELECT ref_chr, query_chr, strand, pr + 1 AS gap_ref_start, ref_start - 1 AS gap_ref_end, CASE WHEN strand = '+' THEN pqe + 1 ELSE query_end + 1 END AS gap_query_start,
+ CASE WHEN strand = '+' THEN query_start - 1 ELSE pqs - 1 END AS gap_query_end FROM p WHERE ps = strand),
+a AS (SELECT *, (gap_ref_end - gap_ref_start + 1) * (gap_query_end - gap_query_start + 1) AS area FROM g WHERE gap_ref_end - gap_ref_start + 1 >= 0 AND gap_query_end - gap_query_start + 1 >= 0)"""
+
+
+def _gaps(d: DataFrame) -> DataFrame:
+    return anchors.inter_anchor_gaps(d, ["ref_chr", "query_chr"], ["ref_start", "line_no", "query_start", "ref_end"])
+
+
+@query(_GAPS + " SELECT * FROM a")
+def v2_inter_anchor_gap(spark, sf_dir):
+    return _gaps(view(spark, sf_dir, "v_match"))
+
+
+on("p8_novel_anchor_admission", "v_match", lambda d: anchors.novel_anchor_gaps(_gaps(d), 2000).groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")),
+   _GAPS + " SELECT ref_chr, query_chr, count(*) AS n FROM a WHERE area > 4000000 GROUP BY ALL")
+on("p9_gap_cost_class", "v_match", lambda d: _gaps(d).where("area > 0").groupBy((F.col("area") >= 100_000_000).alias("own_task")).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area")),
+   _GAPS + " SELECT area >= 100000000 AS own_task, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM a WHERE area > 0 GROUP BY 1")
+on("a7_total_area", "v_match", lambda d: _gaps(d).groupBy("strand").agg(F.sum("area").alias("area")), _GAPS + " SELECT strand, CAST(sum(area) AS BIGINT) AS area FROM a GROUP BY 1")
+on("o11_cost_order", "v_match", lambda d: _gaps(d).orderBy(F.desc("area"), "ref_chr", "query_chr", "gap_ref_start", "gap_query_start").limit(100).select("ref_chr", "query_chr", "gap_ref_start", "area"),
+   _GAPS + " SELECT ref_chr, query_chr, gap_ref_start, area FROM a ORDER BY area DESC, ref_chr, query_chr, gap_ref_start, gap_query_start LIMIT 100")
+on("v3_suspicious_repeat", "v_match", anchors.suspicious_repeats,
+   """WITH p AS (SELECT gene, query_chr, query_start, query_end, lag(query_chr) OVER w AS pc, lag(query_end) OVER w AS pe FROM v_match WINDOW w AS (PARTITION BY gene ORDER BY line_no))
+SELECT DISTINCT gene FROM p WHERE pc = query_chr AND least(abs(pe - query_end), abs(pe - query_start)) < abs(query_start - query_end)""")
+
+
+def _collapsed(fixed: str, moving: str, source: str) -> str:
+    return f"""SELECT * EXCLUDE (bin, k, nb) FROM (SELECT *, row_number() OVER (PARTITION BY ref_chr, query_chr, {fixed}_id, bin ORDER BY score DESC, {moving}_id, line_no) AS k FROM (
+ SELECT *, sum(nb) OVER (PARTITION BY ref_chr, query_chr, {fixed}_id ORDER BY {moving}_id, line_no) AS bin FROM (
+ SELECT *, CASE WHEN {moving}_id - lag({moving}_id) OVER (PARTITION BY ref_chr, query_chr, {fixed}_id ORDER BY {moving}_id, line_no) <= 500 THEN 0 ELSE 1 END AS nb FROM ({source})))) WHERE k = 1"""
+
+
+_GENE_IDS = "SELECT line_no, ref_chr, query_chr, score, dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS ref_id, dense_rank() OVER (PARTITION BY query_chr ORDER BY gene) AS query_id FROM v_match"
+
+
+@query(f"SELECT line_no, score FROM ({_collapsed('ref', 'query', _collapsed('query', 'ref', _GENE_IDS))})")
+def v4_collapse_near_pairs(spark, sf_dir):
+    m = view(spark, sf_dir, "v_match")
+    r, q = Window.partitionBy("ref_chr").orderBy("ref_start"), Window.partitionBy("query_chr").orderBy("gene")
+    p = m.withColumn("ref_id", F.dense_rank().over(r)).withColumn("query_id", F.dense_rank().over(q))
+    return anchors.collapse_near_pairs(p, 500).select("line_no", "score")
+
+
+on("v5_path_segments", "v_residue", lambda d: anchors.runs(d, ["taxon", "path"], "pos0"),
+   "SELECT taxon, path, min(pos0) AS first, max(pos0) AS last, count(*) AS n FROM (SELECT taxon, path, pos0, pos0 - row_number() OVER (PARTITION BY taxon, path ORDER BY pos0) AS run FROM v_residue) GROUP BY taxon, path, run")
+on("v6_coverage_runs", "v_site", lambda d: d.withColumn("shape", F.concat(F.coalesce("a", F.lit("-")), F.coalesce("c", F.lit("-")))).withColumn("band", F.floor(F.col("site_id") / 1000)).withColumn("new", F.coalesce(F.col("shape") != F.lag("shape").over(Window.partitionBy("band").orderBy("site_id")), F.lit(True))).groupBy("band").agg(F.sum(F.col("new").cast("long")).alias("runs")),
+   "SELECT band, CAST(sum(CASE WHEN shape IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS runs FROM (SELECT *, lag(shape) OVER (PARTITION BY band ORDER BY site_id) AS before FROM (SELECT site_id, site_id // 1000 AS band, coalesce(a, '-') || coalesce(c, '-') AS shape FROM v_site)) GROUP BY band")
+on("v8_oriented_adjacency", "v_block", lambda d: anchors.next_on_path(d, ["taxon", "path"], ["start0", "block_id"], "block_id").select("taxon", exprs.pair_id(F.col("block_id"), F.col("next")).alias("adjacency")).distinct(),
+   "SELECT DISTINCT taxon, least(block_id, n) || '--' || greatest(block_id, n) AS adjacency FROM (SELECT taxon, block_id, lead(block_id) OVER (PARTITION BY taxon, path ORDER BY start0, block_id) AS n FROM v_block) WHERE n IS NOT NULL")
+on("v9_overlapping_projections", "v_block", lambda d: anchors.overlap_join(
+    d.select("taxon", "path", F.col("start0").alias("s1"), (F.col("end0") - 1).alias("e1"), F.col("block_id").alias("b1")), d.select("taxon", "path", (F.col("start0") - 60).alias("s2"), (F.col("end0") - 1).alias("e2"), F.col("block_id").alias("b2")), ["taxon", "path"], "s1", "e1", "s2", "e2", 256).where("b1 < b2").select("taxon", "path", "b1", "b2", "s1", "s2"),
+   "SELECT a.taxon, a.path, a.block_id AS b1, b.block_id AS b2, a.start0 AS s1, b.start0 - 60 AS s2 FROM v_block a JOIN v_block b ON a.taxon = b.taxon AND a.path = b.path AND a.block_id < b.block_id AND a.start0 <= b.end0 - 1 AND b.start0 - 60 <= a.end0 - 1")
+on("v10_ungapped_coordinate", "v_seq", lambda d: d.select("seq_id", F.posexplode(F.split("seq", "")).alias("col", "base")).withColumn("pos", F.sum((F.col("base") != "A").cast("long")).over(Window.partitionBy("seq_id").orderBy("col"))).where("base <> 'A' and base <> ''").groupBy("seq_id").agg(F.max("pos").alias("n"), F.sum(F.col("pos") * F.col("col")).alias("check")),
+   """SELECT seq_id, CAST(max(pos) AS BIGINT) AS n, CAST(sum(pos * col) AS BIGINT) AS "check" FROM (SELECT seq_id, col, base, sum(CASE WHEN base <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY col) AS pos
+ FROM (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS col FROM v_seq)) WHERE base <> 'A' GROUP BY seq_id""")
+on("v11_graph_edges", "v_residue", lambda d: anchors.next_on_path(d, ["taxon", "path"], ["pos0"], "site_id").groupBy("site_id", "next").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT site_id, next, count(*) AS n FROM (SELECT site_id, lead(site_id) OVER (PARTITION BY taxon, path ORDER BY pos0) AS next FROM v_residue) WHERE next IS NOT NULL GROUP BY ALL")
+
+# ---------------------------------------------------------------- joins
+
+on("j3_gene_blacklist", "v_match", lambda d: anchors.without_genes(d, anchors.copy_blacklist(d)).groupBy("ref_chr").agg(F.count(F.lit(1)).alias("n")),
+   """WITH t AS (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match),
+b AS (SELECT DISTINCT gene FROM (SELECT gene, query_chr, count(*) AS n, min(score) AS lo, max(score) AS hi FROM t WHERE k <= 2 GROUP BY ALL) WHERE n > 1 AND lo / hi > 0.9)
+SELECT ref_chr, count(*) AS n FROM v_match WHERE gene NOT IN (SELECT gene FROM b) GROUP BY 1""")
+
+
+@query("SELECT s.line_no, t.transcript, t.n_exons FROM v_sam s JOIN (SELECT transcript, count(*) AS n_exons FROM v_feature GROUP BY 1) t ON s.qname = t.transcript")
+def j1_hit_transcript(spark, sf_dir):
+    tx = anchors.transcripts(view(spark, sf_dir, "v_feature")).select("transcript", "n_exons")
+    return view(spark, sf_dir, "v_sam").join(tx, F.col("qname") == F.col("transcript")).select("line_no", "transcript", "n_exons")
+
+
+@query("SELECT g.gene, count(DISTINCT f.transcript) AS n FROM v_feature f JOIN (SELECT DISTINCT transcript, gene FROM v_feature) g USING (transcript) GROUP BY 1")
+def j2_transcript_gene(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    return f.select("transcript").join(f.select("transcript", "gene").distinct(), "transcript").groupBy("gene").agg(F.countDistinct("transcript").alias("n"))
+
+
+@query("""WITH s AS (SELECT transcript, seqid, start1, sum(end1 - start1 + 1) OVER (PARTITION BY transcript ORDER BY start1, end1, line_no ROWS UNBOUNDED PRECEDING) AS hi, end1 - start1 + 1 AS n FROM v_feature),
+p AS (SELECT DISTINCT qname AS transcript, line_no % 400 + 1 AS off FROM v_sam)
+SELECT p.transcript, p.off, s.seqid, CAST(s.start1 + p.off - (s.hi - s.n + 1) AS BIGINT) AS pos1 FROM p JOIN s ON p.transcript = s.transcript AND p.off BETWEEN s.hi - s.n + 1 AND s.hi""")
+def j5_lift_over(spark, sf_dir):
+    p = view(spark, sf_dir, "v_sam").select(F.col("qname").alias("transcript"), (F.col("line_no") % 400 + 1).alias("off")).distinct()
+    return anchors.lift_positions(p, anchors.cds_segments(view(spark, sf_dir, "v_feature")))
+
+
+@query("""WITH b AS (SELECT ref_chr, gene, min(ref_start) AS bs, min(ref_start) + 2000 AS be FROM v_match GROUP BY ALL)
+SELECT b.ref_chr, count(*) AS n, CAST(sum(m.line_no % 1000) AS BIGINT) AS "check" FROM b JOIN v_match m ON b.ref_chr = m.ref_chr AND m.ref_start <= b.be AND b.bs <= m.ref_end GROUP BY 1""")
+def j6_overlap_join(spark, sf_dir):
+    m = view(spark, sf_dir, "v_match")
+    boxes = m.groupBy("ref_chr", "gene").agg(F.min("ref_start").alias("bs")).withColumn("be", F.col("bs") + 2000).drop("gene")
+    hit = anchors.overlap_join(boxes, m.select("ref_chr", "ref_start", "ref_end", "line_no"), ["ref_chr"], "bs", "be", "ref_start", "ref_end", 4096)
+    return hit.groupBy("ref_chr").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("line_no") % 1000).alias("check"))
+
+
+on("j12_self_identity", "v_match", lambda d: d.where("ref_start <> query_start or ref_end <> query_end").select("gene").distinct(), "SELECT DISTINCT gene FROM v_match WHERE ref_start <> query_start OR ref_end <> query_end")
+on("j13_nearest_neighbour", "v_site", lambda d: d.withColumn("band", F.floor(F.col("site_id") / 50)).select("site_id", F.coalesce(F.last(F.when(F.col("c").isNotNull(), F.col("site_id")), True).over(Window.partitionBy("band").orderBy("site_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("left_flank")),
+   "SELECT site_id, coalesce(last_value(CASE WHEN c IS NOT NULL THEN site_id END IGNORE NULLS) OVER (PARTITION BY site_id // 50 ORDER BY site_id ROWS UNBOUNDED PRECEDING), -1) AS left_flank FROM v_site")
+on("j14_required_pairs", "v_residue", lambda d: (lambda t: t.select(F.col("taxon").alias("a")).crossJoin(F.broadcast(t.select(F.col("taxon").alias("b")))).where("a < b").join(d.where("site_id < 3").select(F.col("taxon").alias("a"), F.lit("x4").alias("b")).distinct(), ["a", "b"], "left_anti"))(d.select("taxon").distinct()),
+   "WITH t AS (SELECT DISTINCT taxon FROM v_residue) SELECT x.taxon AS a, y.taxon AS b FROM t x, t y WHERE x.taxon < y.taxon AND NOT EXISTS (SELECT 1 FROM v_residue r WHERE r.site_id < 3 AND r.taxon = x.taxon AND y.taxon = 'x4')")
+
+# ---------------------------------------------------------------- aggregates and sets
+
+_TX = "SELECT transcript, any_value(gene) AS gene, CAST(sum(end1 - start1 + 1) AS BIGINT) AS cds_len FROM v_feature GROUP BY 1"
+
+
+def _tx(d: DataFrame) -> DataFrame:
+    return d.groupBy("transcript").agg(F.any_value("gene").alias("gene"), F.sum(F.col("end1") - F.col("start1") + 1).alias("cds_len"))
+
+
+on("s5_transcripts", "v_feature", anchors.transcripts,
+   "SELECT transcript, arg_min(seqid, line_no) AS seqid, arg_min(strand, line_no) AS strand, min(start1) AS p_start, max(end1) AS p_end, CAST(sum(end1 - start1 + 1) AS BIGINT) AS cds_len, count(*) AS n_exons FROM v_feature GROUP BY 1")
+on("s7_gene_map", "v_feature", lambda d: d.groupBy("transcript").agg(F.max_by("gene", "line_no").alias("gene")), "SELECT transcript, arg_max(gene, line_no) AS gene FROM v_feature GROUP BY 1")
+on("a1_longest_isoform", "v_feature", lambda d: anchors.longest_per_gene(_tx(d)),
+   f"SELECT gene, transcript, cds_len FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY cds_len DESC, transcript DESC) AS k FROM ({_TX})) WHERE k = 1")
+on("a2_duplicate_genes", "v_feature", lambda d: anchors.duplicate_genes(_tx(d), "cds_len"), f"WITH t AS ({_TX}) SELECT DISTINCT gene FROM t WHERE cds_len IN (SELECT cds_len FROM t GROUP BY 1 HAVING count(*) > 1)")
+on("j4_genes_without_duplicates", "v_feature", lambda d: anchors.without_genes(_tx(d), anchors.duplicate_genes(_tx(d), "cds_len")).select("transcript"),
+   f"WITH t AS ({_TX}) SELECT transcript FROM t WHERE gene NOT IN (SELECT gene FROM t WHERE cds_len IN (SELECT cds_len FROM t GROUP BY 1 HAVING count(*) > 1))")
+on("a4_copy_ratio", "v_match", anchors.copy_blacklist,
+   """SELECT DISTINCT gene FROM (SELECT gene, query_chr, count(*) AS n, min(score) AS lo, max(score) AS hi FROM (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match) WHERE k <= 2 GROUP BY ALL) WHERE n > 1 AND lo / hi > 0.9""")
+on("a5_usage_counters", "v_match", lambda d: d.groupBy("gene").agg(F.countDistinct("ref_chr", "query_chr").alias("times")), "SELECT gene, count(DISTINCT (ref_chr, query_chr)) AS times FROM v_match GROUP BY 1")
+on("a6_block_summary", "v_match", lambda d: anchors.block_summary(d, ["ref_chr", "query_chr"]),
+   "SELECT ref_chr, query_chr, count(*) AS n, round(sum(score), 6) AS score, min(ref_start) AS ref_start, max(ref_end) AS ref_end, min(query_start) AS query_start, max(query_end) AS query_end FROM v_match GROUP BY ALL")
+on("a8_block_entropy", "v_seq", lambda d: d.select("seq_id", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''").groupBy("seq_id", F.floor(F.col("i") / 64).alias("blk"), "base").agg(F.count(F.lit(1)).alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("seq_id", "blk"))).groupBy("seq_id", "blk").agg(F.round(F.sum(-F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n"))) + 0.0, 6).alias("entropy")),
+   """WITH b AS (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS i FROM v_seq), k AS (SELECT seq_id, i // 64 AS blk, base, count(*) AS k FROM b GROUP BY ALL)
+SELECT seq_id, blk, round(sum(-k / n * log2(k / n)) + 0.0, 6) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY seq_id, blk) AS n FROM k) GROUP BY ALL""")
+
+
+def _kmers(d: DataFrame, k: int) -> DataFrame:
+    at = F.sequence(F.lit(1), F.greatest(F.char_length("seq") - k + 1, F.lit(1)))
+    return d.select("seq_id", F.array_distinct(F.transform(at, lambda i: F.substring("seq", i, F.lit(k)))).alias("ks"))
+
+
+@query("""WITH k AS (SELECT seq_id, list_distinct([seq[i:i + 8] for i in range(1, greatest(length(seq) - 7, 2))]) AS ks FROM v_seq)
+SELECT a.seq_id AS a, b.seq_id AS b, len(list_intersect(a.ks, b.ks)) / len(list_distinct(a.ks || b.ks)) AS j FROM k a JOIN k b ON b.seq_id = a.seq_id + 1""")
+def a9_jaccard(spark, sf_dir):
+    k = _kmers(view(spark, sf_dir, "v_seq"), 9)
+    b = k.select((F.col("seq_id") - 1).alias("n"), F.col("seq_id").alias("b"), F.col("ks").alias("kb"))
+    return k.join(b, F.col("seq_id") == F.col("n")).select(F.col("seq_id").alias("a"), "b", (F.size(F.array_intersect("ks", "kb")) / F.size(F.array_union("ks", "kb"))).alias("j"))
+
+
+@query("""WITH k AS (SELECT DISTINCT seq_id, unnest([seq[i:i + 8] for i in range(1, length(seq) - 7)]) AS kmer FROM v_seq)
+SELECT kmer, count(*) AS n FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4""")
+def j8_kmer_sketch(spark, sf_dir):
+    k = _kmers(view(spark, sf_dir, "v_seq"), 9).select(F.explode("ks").alias("kmer")).where(F.char_length("kmer") == 9)
+    return k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 4")
+
+
+on("f10_mash_mismatch", "v_match", lambda d: d.select("line_no", F.round(exprs.mash_mismatch(F.col("score"), 15), 9).alias("rate")), "SELECT line_no, round(CASE WHEN score <= 0 THEN 1.0 ELSE 1 - pow(2 * score / (1 + score), 1.0::DOUBLE / 15) END, 9) AS rate FROM v_match")
+on("a10_floor_quantile", "v_match", lambda d: d.groupBy("gene").agg(exprs.floor_quantile(F.collect_list("ref_start"), 0.9).alias("p90")),
+   "SELECT gene, list_sort(list(ref_start))[CAST(floor(0.9::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p90 FROM v_match GROUP BY 1")
+on("a11_union_length", "v_match", lambda d: anchors.merged_length(d, ["ref_chr"], "ref_start", "ref_end"),
+   """WITH m AS (SELECT ref_chr, ref_start, ref_end, max(ref_end) OVER (PARTITION BY ref_chr ORDER BY ref_start, ref_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM v_match),
+i AS (SELECT *, sum(CASE WHEN high IS NULL OR ref_start > high THEN 1 ELSE 0 END) OVER (PARTITION BY ref_chr ORDER BY ref_start, ref_end) AS island FROM m)
+SELECT ref_chr, CAST(sum(len) AS BIGINT) AS covered, CAST(sum(n) AS BIGINT) AS n, count(*) AS islands FROM (SELECT ref_chr, island, max(ref_end) - min(ref_start) + 1 AS len, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1""")
+on("a13_member_count", "v_residue", lambda d: d.groupBy("site_id").agg(F.countDistinct("taxon").alias("taxa"), F.countDistinct("path").alias("paths")), "SELECT site_id, count(DISTINCT taxon) AS taxa, count(DISTINCT path) AS paths FROM v_residue GROUP BY 1")
+on("a14_consistency_class", "v_residue", lambda d: d.groupBy("site_id", "base").agg(F.countDistinct("taxon").alias("n")).select("site_id", "base", F.when(F.col("n") >= 3, "CONSISTENT").when(F.col("n") == 2, "SUPPORTED_BY_TWO_EDGES").otherwise("MISSING").alias("class")),
+   "SELECT site_id, base, CASE WHEN count(DISTINCT taxon) >= 3 THEN 'CONSISTENT' WHEN count(DISTINCT taxon) = 2 THEN 'SUPPORTED_BY_TWO_EDGES' ELSE 'MISSING' END AS class FROM v_residue GROUP BY ALL")
+on("a15_iupac_mask_or", "v_residue", graph.leaf_masks, "SELECT site_id, taxon, CAST(bit_or(strpos('-ACMGRSVTWYHKDBN', base) - 1) AS INT) AS mask FROM v_residue GROUP BY ALL")
+on("a16_consensus_base", "v_residue", graph.consensus, "SELECT site_id, base, n FROM (SELECT site_id, base, count(*) AS n, row_number() OVER (PARTITION BY site_id ORDER BY count(*) DESC, base) AS k FROM v_residue GROUP BY site_id, base) WHERE k = 1")
+on("a18_duplicate_copy", "v_block", lambda d: d.groupBy("taxon", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT taxon, block_id, count(*) AS n FROM v_block GROUP BY ALL HAVING count(*) > 1")
+on("a19_qc_counters", "v_residue", lambda d: d.agg(F.count(F.lit(1)).alias("residues"), F.countDistinct("site_id").alias("sites"), F.countDistinct("path").alias("paths")), "SELECT count(*) AS residues, count(DISTINCT site_id) AS sites, count(DISTINCT path) AS paths FROM v_residue")
+on("a20_sorted_unique_ids", "v_residue", lambda d: d.groupBy("taxon").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("site_id").cast("string"), 3, "0"))), ",").alias("ids")),
+   "SELECT taxon, list_aggregate(list_sort(list_distinct(list(lpad(CAST(site_id AS VARCHAR), 3, '0')))), 'string_agg', ',') AS ids FROM v_residue GROUP BY 1")
+on("u1_union_anchors", "v_match", lambda d: d.where("score > 0.95").select("line_no").unionByName(d.where("score < 0.92").select("line_no")), "SELECT line_no FROM v_match WHERE score > 0.95 UNION ALL SELECT line_no FROM v_match WHERE score < 0.92")
+on("u2_name_difference", "v_match", lambda d: d.select("gene").exceptAll(d.where("strand = '+'").select("gene")), "SELECT gene FROM v_match EXCEPT ALL SELECT gene FROM v_match WHERE strand = '+'")
+on("u3_variant_difference", "v_variant", lambda d: d.where("pos % 3 <> 0").select("chrom", "ref", "alt").join(d.where("pos % 3 = 0").select("chrom", "ref", "alt"), ["chrom", "ref", "alt"], "left_anti").distinct(),
+   "SELECT DISTINCT chrom, ref, alt FROM v_variant a WHERE pos % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM v_variant b WHERE b.pos % 3 = 0 AND a.chrom = b.chrom AND a.ref = b.ref AND a.alt = b.alt)")
+on("u5_touched_pairs", "v_match", lambda d: d.join(d.where("gene = 'g7'").select("ref_chr").distinct(), "ref_chr", "left_semi").groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")), "SELECT ref_chr, query_chr, count(*) AS n FROM v_match WHERE ref_chr IN (SELECT ref_chr FROM v_match WHERE gene = 'g7') GROUP BY ALL")
+on("h4_variant_to_sdi", "v_variant", anchors.variant_to_sdi,
+   """WITH t AS (SELECT *, (length(ref) > 1 OR length(alt) > 1) AND left(ref, 1) = left(alt, 1) AS h, (length(ref) > 1 OR length(alt) > 1) AND left(ref, 1) <> left(alt, 1) AND right(ref, 1) = right(alt, 1) AS t FROM v_variant),
+c AS (SELECT chrom, CASE WHEN h THEN pos + 1 ELSE pos END AS pos, length(alt) - length(ref) AS diff, CASE WHEN h THEN substr(ref, 2) WHEN t THEN substr(ref, 1, length(ref) - 1) ELSE ref END AS r, CASE WHEN h THEN substr(alt, 2) WHEN t THEN substr(alt, 1, length(alt) - 1) ELSE alt END AS a FROM t)
+SELECT chrom, pos, CAST(diff AS INT) AS diff, CASE WHEN r = '' THEN '-' ELSE r END AS ref, CASE WHEN a = '' THEN '-' ELSE a END AS alt FROM c""")
+on("h1_dotplot", "v_sam", lambda d: d.select("line_no", F.when((F.col("flag") % 32 == 0) & (F.col("pos1") % 2 == 1) | (F.col("flag") == 16) & (F.col("pos1") % 2 == 0), "+").otherwise("-").alias("strand")),
+   "SELECT line_no, CASE WHEN (flag % 32 = 0 AND pos1 % 2 = 1) OR (flag = 16 AND pos1 % 2 = 0) THEN '+' ELSE '-' END AS strand FROM v_sam")
+
+# ---------------------------------------------------------------- orders
+
+for _id, _key in {"o1": "ref_start", "o2": "ref_start, ref_end, query_start, query_end", "o3": "query_start, query_end, ref_start, ref_end", "o4": "ref_chr, query_chr, ref_start, ref_end, query_start, query_end", "o5": "query_chr, ref_chr, query_start, gene, ref_start", "o6": "query_chr, ref_chr, ref_start, gene, query_start", "o8": "score DESC"}.items():
+    on(f"{_id}_order", "v_match", lambda d, k=_key: d.orderBy(*[F.desc(c[:-5]) if c.endswith(" DESC") else F.col(c) for c in k.split(", ")], "line_no").limit(500).select("line_no"), f"SELECT line_no FROM v_match ORDER BY {_key}, line_no LIMIT 500")
+on("o7_order", "v_match", lambda d: d.orderBy(F.concat("ref_chr", F.lit("_"), "query_chr"), "ref_start", F.desc("ref_end"), "gene", "query_start", F.desc("query_end"), "line_no").limit(500).select("line_no"),
+   "SELECT line_no FROM v_match ORDER BY ref_chr || '_' || query_chr, ref_start, ref_end DESC, gene, query_start, query_end DESC, line_no LIMIT 500")
+on("o12_top_copies", "v_match", lambda d: d.withColumn("k", F.row_number().over(Window.partitionBy("gene", "query_chr").orderBy(F.desc("score"), "line_no"))).where("k <= 2").select("gene", "query_chr", "line_no"),
+   "SELECT gene, query_chr, line_no FROM (SELECT *, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match) WHERE k <= 2")
+
+# ---------------------------------------------------------------- graph and ancestry
+
+_TREE = "((a,b)anc,c)root;"
+
+
+def _calls(d: DataFrame) -> DataFrame:
+    leaves = {x: F.when(F.col(x).isNotNull(), exprs.mask_of(F.col(x)).cast("int")) for x in "abc"}
+    return d.select("site_id", "c", graph.sankoff(newick.parse(_TREE), "anc", leaves).alias("costs"))
+
+
+_M = {x: f"(strpos('-ACMGRSVTWYHKDBN', {x}) - 1)" for x in "abc"}
+_COST = ", ".join(f"({' + '.join(f'CASE WHEN {x} IS NULL OR {_M[x]} & {1 << k} <> 0 THEN 0.0 ELSE 1.0 END' for x in 'abc')}) AS k{k}" for k in range(4))
+_CALLS = f"WITH s AS (SELECT site_id, c, {_COST} FROM v_site), t AS (SELECT *, least(k0, k1, k2, k3) AS low FROM s)"
+_MASK = " + ".join(f"CASE WHEN k{k} <= low + 1e-9 THEN {1 << k} ELSE 0 END" for k in range(4))
+on("g11_sankoff", "v_site", lambda d: _calls(d).select("site_id", F.array_min("costs").alias("best"), graph.best_states(F.col("costs")).cast("int").alias("mask"), graph.margin(F.col("costs")).alias("margin")),
+   _CALLS + f" SELECT site_id, CAST(low AS DOUBLE) AS best, CAST({_MASK} AS INT) AS mask, CAST(list_sort([k0, k1, k2, k3])[2] - low AS DOUBLE) AS margin FROM t")
+on("g13_decision", "v_site", lambda d: _calls(d).select("site_id", graph.decide(F.when(F.col("c").isNull(), "AMBIGUOUS").otherwise("PRESENT"), F.col("site_id") % 11 != 0, graph.best_states(F.col("costs"))).alias("decision")),
+   _CALLS + f" SELECT site_id, CASE WHEN site_id % 11 = 0 THEN 'COPY_UNRESOLVED' WHEN c IS NULL THEN 'PRESENCE_AMBIGUOUS' WHEN ({_MASK}) NOT IN (1, 2, 4, 8) THEN 'BASE_AMBIGUOUS' ELSE 'EMITTED' END AS decision FROM t")
+on("g12_leaf_presence", "v_site", lambda d: d.select("site_id", F.greatest(F.when(F.col("a") == "N", 0).otherwise(2), F.when(F.col("c").isNull(), 0).otherwise(1)).alias("presence")), "SELECT site_id, greatest(CASE WHEN a = 'N' THEN 0 ELSE 2 END, CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS presence FROM v_site")
+
+
+@query()
+def g3_sites(spark, sf_dir):
+    r = view(spark, sf_dir, "v_residue")
+    nodes = r.select(F.col("pos0").alias("node"), "path")
+    edges = r.select(F.col("pos0").alias("edge_id"), F.col("pos0").alias("a"), (F.col("pos0") + 97).alias("b")).join(nodes.select(F.col("node").alias("b")), "b", "left_semi")
+    return graph.sites(nodes, edges)
+
+
+# ---------------------------------------------------------------- chains and alignments
+
+
+@query()
+def c1_global_chain(spark, sf_dir):
+    same = view(spark, sf_dir, "v_anchor").where("ref_chr = query_chr")
+    return commands.genome_chain(same)
+
+
+@query()
+def c3_quota_chains(spark, sf_dir):
+    return chains.chain_quota(anchors.row_ids(view(spark, sf_dir, "v_anchor")))
+
+
+@query()
+def c4_synteny_blocks(spark, sf_dir):
+    return commands.synteny_blocks(anchors.row_ids(view(spark, sf_dir, "v_anchor")))
+
+
+@query()
+def c6_synteny_nonstrand(spark, sf_dir):
+    return commands.synteny_blocks(anchors.row_ids(view(spark, sf_dir, "v_anchor")), strict=False)
+
+
+@query()
+def l1_align_pairs(spark, sf_dir):
+    s = view(spark, sf_dir, "v_seq")
+    other = s.select((F.col("seq_id") - 1).alias("id"), F.col("seq").alias("b"))
+    return affine.align_pairs(s.select(F.col("seq_id").alias("id"), F.col("seq").alias("a")).join(other, "id"))
+
+
+@query("""WITH t AS (SELECT transcript, any_value(gene) AS gene, string_agg(CASE WHEN strand = '-' THEN translate(reverse(p), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') ELSE p END, '' ORDER BY CASE WHEN strand = '-' THEN -start1 ELSE start1 END) AS seq
+ FROM (SELECT f.*, substr(translate(upper(seq), 'RYSWKMBDHVU', 'NNNNNNNNNNT'), CAST(start1 % 60 + 1 AS INT), 30) AS p FROM v_feature f JOIN (SELECT 'c' || CAST(seq_id AS VARCHAR) AS seqid, seq FROM v_seq) USING (seqid)) GROUP BY 1),
+d AS (SELECT gene FROM t WHERE seq IN (SELECT seq FROM t GROUP BY 1 HAVING count(*) > 1))
+SELECT gene, transcript, seq FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY length(seq) DESC, seq DESC, transcript DESC) AS k FROM t WHERE gene NOT IN (SELECT gene FROM d)) WHERE k = 1""")
+def w1_gff2seq(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    seqs = view(spark, sf_dir, "v_seq").select(F.concat(F.lit("c"), F.col("seq_id").cast("string")).alias("name"), "seq")
+    real = f.withColumn("at", F.col("start1") % 60 + 1)
+    placed = real.select("seqid", "transcript", "strand", "line_no", "start1", "at")
+    s = seqs.select(F.col("name").alias("seqid"), exprs.normalise_bases(F.col("seq")).alias("chrom"))
+    cut = placed.join(s, "seqid").select("transcript", "strand", "start1", "line_no", F.substring("chrom", F.col("at").cast("int"), F.lit(30)).alias("piece"))
+    tx = commands.joined(cut).join(f.select("transcript", "gene").distinct(), "transcript")
+    return commands.longest_unique(tx)

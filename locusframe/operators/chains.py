@@ -9,7 +9,6 @@ genome pair (column ``run``).
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,30 +63,26 @@ def reorder_inversions(rows: list[dict], least: float, penalty: float = 1.0) ->
     return out
 
 
-def _follows(a: dict, b: dict, score_a: float, least: float) -> bool:
-    if not a["query_end"] < b["query_start"]:
-        return False
-    ahead = a["ref_end"] < b["ref_start"]
-    if a["strand"] == b["strand"] == "-":
-        return a["ref_start"] > b["ref_end"] or (ahead and score_a > least)
-    return ahead
-
-
 def best_chain(rows: list[dict], least: float) -> list[dict]:
     """The collinear chain of greatest score, inversions of ``least`` or less taken out afterwards."""
     n = len(rows)
-    f, prev = [0.0] * n, [-1] * n
-    for i, m in enumerate(rows):
-        f[i] = m["score"]
-        for j in range(i - 1, -1, -1):
-            if f[j] + m["score"] > f[i] and _follows(rows[j], m, f[j], least):
-                f[i], prev[i] = f[j] + m["score"], j
+    score, rs, re, qs, qe = (np.array([m[c] for m in rows], float) for c in ("score", "ref_start", "ref_end", "query_start", "query_end"))
+    minus = np.array([m["strand"] == "-" for m in rows], bool)
+    f, prev = score.copy(), np.full(n, -1)
+    for i in range(1, n):
+        ahead = re[:i] < rs[i]
+        if minus[i]:
+            ahead = np.where(minus[:i], (rs[:i] > re[i]) | (ahead & (f[:i] > least)), ahead)
+        gain = np.where(ahead & (qe[:i] < qs[i]), f[:i], 0.0)
+        j = i - 1 - int(gain[::-1].argmax())  # of equals the nearest
+        if gain[j] > 0:
+            f[i], prev[i] = gain[j] + score[i], j
     if not n:
         return []
-    k, chain = max(range(n), key=lambda i: (f[i], -i)), []
+    k, chain = int(f.argmax()), []
     while k >= 0:
         chain.append(rows[k])
-        k = prev[k]
+        k = int(prev[k])
     chain.reverse()
     out: list[dict] = []
     run: list[dict] = []
@@ -121,13 +116,31 @@ def chain_global(match: DataFrame, least: float = 2.0, penalty: float = 1.0) ->
     return match.select(*COLUMNS).groupBy("ref_chr").applyInPandas(run, MATCH + ", pos long")
 
 
-def pair_scores(rows: list[dict], p: Chaining) -> tuple[list[float], list[int]]:
-    """For matches in reference order with ref_id and query_id, the best chain that ends in each."""
-    f, prev = [m["score"] for m in rows], [-1] * len(rows)
-    for i, b in enumerate(rows):
+class Pair:
+    """C2 for the matches of a pair of chromosomes, in reference order: the best chain that ends in each.
+
+    When matches go, only chains that reach into their neighbourhood are computed again: a
+    step spans ``gap`` reference ids at most, so nothing farther on can change unless what
+    lies between has changed.
+    """
+
+    def __init__(self, rows: pd.DataFrame, p: Chaining):
+        self.p = p
+        rows = rows.sort_values(["ref_start", "ref_end", "query_start", "query_end", "line_no"])
+        self.rows = rows.to_dict("records")
+        self.columns = {c: rows[c].to_numpy() for c in ("ref_start", "ref_end", "query_start", "query_end", "gene_code", "query_id")}
+        self.alive = np.ones(len(rows), bool)
+        self.f, self.prev = np.zeros(len(rows)), [-1] * len(rows)
+        self.update(np.arange(len(rows)))
+
+    def _score(self, i: int) -> tuple[float, int]:
+        p, b = self.p, self.rows[i]
+        best, at = b["score"], -1
         for j in range(i - 1, -1, -1):
-            a = rows[j]
-            if a["strand"] != b["strand"]:
+            a = self.rows[j]
+            if b["ref_id"] - a["ref_id"] - 1 > p.gap:
+                break
+            if a["strand"] != b["strand"] or not self.alive[j]:
                 continue
             if abs(b["query_id"] - a["query_id"]) - 1 > p.gap:
                 break
@@ -135,54 +148,73 @@ def pair_scores(rows: list[dict], p: Chaining) -> tuple[list[float], list[int]]:
             backward = a["query_id"] > b["query_id"] and a["query_start"] > b["query_end"]
             if not (forward if b["strand"] == "+" else backward) or not a["ref_end"] < b["ref_start"]:
                 continue
-            r, q = b["ref_id"] - a["ref_id"] - 1, abs(b["query_id"] - a["query_id"]) - 1
-            if r > p.gap or q > p.gap:
-                break
-            far = 2 * max(r, q) / p.step
-            cand = b["score"] + f[j] + (p.extend * far + p.open if far > 0 else 0.0)
-            if cand > f[i]:
-                f[i], prev[i] = cand, j
-    return f, prev
+            far = 2 * max(b["ref_id"] - a["ref_id"] - 1, abs(b["query_id"] - a["query_id"]) - 1) / p.step
+            cand = b["score"] + self.f[j] + (p.extend * far + p.open if far > 0 else 0.0)
+            if cand > best:
+                best, at = cand, j
+        return best, at
+
+    def update(self, changed: np.ndarray) -> None:
+        todo, last, i = changed.tolist(), None, 0
+        for k, d in enumerate(todo):
+            i = max(i, d)
+            last = self.rows[d]["ref_id"] if last is None else max(last, self.rows[d]["ref_id"])
+            stop = todo[k + 1] if k + 1 < len(todo) else len(self.rows)
+            while i < len(self.rows) and (i < stop or k + 1 == len(todo)) and self.rows[i]["ref_id"] - last <= self.p.gap + 1:
+                if self.alive[i]:
+                    now = self._score(i)
+                    if now != (self.f[i], self.prev[i]):
+                        self.f[i], self.prev[i] = now
+                        last = self.rows[i]["ref_id"]
+                i += 1
+        self.f[~self.alive] = -np.inf
+        self.end = int(self.f.argmax()) if self.alive.any() else -1
+        self.best = float(self.f[self.end]) if self.end >= 0 else -np.inf
+
+    def chain(self) -> list[dict]:
+        at, out = self.end, []
+        while at >= 0:
+            out.append(self.rows[at])
+            at = self.prev[at]
+        return out[::-1]
+
+    def drop(self, gone: np.ndarray) -> None:
+        gone = gone & self.alive
+        if gone.any():
+            self.alive &= ~gone
+            self.update(np.flatnonzero(gone))
 
 
 def quota_chains(pdf: pd.DataFrame, p: Chaining) -> pd.DataFrame:
     """Again and again the best chain of all pairs; matches beneath it, and those whose gene or query id is used up, go."""
-    pairs = {k: g.sort_values(["ref_start", "ref_end", "query_start", "query_end", "line_no"]).to_dict("records") for k, g in pdf.groupby(["ref_chr", "query_chr"])}
-    used_ref: Counter = Counter()
-    used_query: Counter = Counter()
-    best: dict = {}
+    coded = pdf.assign(gene_code=pd.factorize(pdf.gene)[0])
+    pairs = {k: Pair(g, p) for k, g in coded.groupby(["ref_chr", "query_chr"])}
+    used_ref = np.zeros(coded.gene_code.max() + 1 if len(coded) else 0, int)
+    used_query = {c: np.zeros(int(g.query_id.max()) + 1, int) for c, g in coded.groupby("query_chr")}
     blocks: list[dict] = []
     block = 0
-    while True:
-        for k, rows in pairs.items():
-            if k not in best:
-                f, prev = pair_scores(rows, p)
-                end = max(range(len(f)), key=lambda i: (f[i], -i), default=None)
-                best[k] = (f[end], end, prev) if end is not None else (-np.inf, None, prev)
-        k = max(sorted(best), key=lambda k: best[k][0], default=None)
-        if k is None or best[k][0] <= p.least:
+    while pairs:
+        k = max(sorted(pairs), key=lambda k: pairs[k].best)
+        if pairs[k].best <= p.least:
             break
-        score, at, prev = best[k]
-        chain = []
-        while at >= 0:
-            chain.append(pairs[k][at])
-            at = prev[at]
-        chain.reverse()
+        chain, score = pairs[k].chain(), pairs[k].best
         blocks += [m | {"block": block, "pos": i, "block_score": score} for i, m in enumerate(chain)]
         block += 1
         r0, r1 = min(m["ref_start"] for m in chain), max(m["ref_end"] for m in chain)
         q0, q1 = min(m["query_start"] for m in chain), max(m["query_end"] for m in chain)
-        on_ref = lambda m: m["ref_chr"] == k[0] and m["ref_start"] <= r1 and r0 <= m["ref_end"]
-        on_query = lambda m: m["query_chr"] == k[1] and m["query_start"] <= q1 and q0 <= m["query_end"]
-        near = [m for key, rows in pairs.items() if key[0] == k[0] or key[1] == k[1] for m in rows]
-        used_ref.update({m["gene"] for m in near if on_ref(m)})
-        used_query.update({(m["query_chr"], m["query_id"]) for m in near if on_query(m)})
-        for key in pairs:
-            if key[0] == k[0] or key[1] == k[1]:
-                kept = [m for m in pairs[key] if not (on_ref(m) and on_query(m)) and used_ref[m["gene"]] < p.ref_quota and used_query[m["query_chr"], m["query_id"]] < p.query_quota]
-                if len(kept) < len(pairs[key]):
-                    pairs[key] = kept
-                    best.pop(key)
+        near = {key: pair for key, pair in pairs.items() if key[0] == k[0] or key[1] == k[1]}
+        under = {}
+        genes = []
+        for key, pair in near.items():
+            c = pair.columns
+            on_ref = pair.alive & (c["ref_start"] <= r1) & (r0 <= c["ref_end"]) if key[0] == k[0] else np.zeros(len(pair.alive), bool)
+            on_query = pair.alive & (c["query_start"] <= q1) & (q0 <= c["query_end"]) if key[1] == k[1] else np.zeros(len(pair.alive), bool)
+            genes.append(c["gene_code"][on_ref])
+            np.add.at(used_query[key[1]], c["query_id"][on_query], 1)
+            under[key] = on_ref & on_query
+        used_ref[np.unique(np.concatenate(genes))] += 1
+        for key, pair in near.items():
+            pair.drop(under[key] | (used_ref[pair.columns["gene_code"]] >= p.ref_quota) | (used_query[key[1]][pair.columns["query_id"]] >= p.query_quota))
     return pd.DataFrame(blocks, columns=[*pdf.columns, "block", "pos", "block_score"])
 
 

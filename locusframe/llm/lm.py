@@ -40,7 +40,7 @@ _MIX = np.uint64(0x9FB21C651E98DF25)
 
 def _squeeze(a: np.ndarray) -> bytes:
     """Numbers as bytes, planes of equal significance together, compressed; length first."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -199,7 +199,7 @@ def _deleted(c: _Chunk, words: np.ndarray, pairs: np.ndarray, n: int, v: int, d:
     size = BUCKETS * CELLS * CELLS
     count, s2, s1 = (np.bincount(cell, x, size) for x in (None, p2, p1))
     at = np.flatnonzero(count)
-    return pa.table([pa.array(at), pa.array(count[at].astype(float)), pa.array(s2[at]), pa.array(s1[at])], ["cell", "n", "s2", "s1"])
+    return pa.table([pa.array(at), *(pa.array(x[at].astype(float)) for x in (count, s2, s1))], ["cell", "n", "s2", "s1"])
 
 
 def mixture(table: np.ndarray) -> np.ndarray:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import affine, anchors, chains, graph
+from locusframe.operators import affine, anchors, chains, evidence, graph, mapping
+from locusframe.operators.components import components
 from locusframe.plans import commands
 from locusframe.plans.runtime import table
 from locusframe.plans.views import duck, view
@@ -389,3 +390,68 @@ def w1_gff2seq(spark, sf_dir):
     cut = placed.join(s, "seqid").select("transcript", "strand", "start1", "line_no", F.substring("chrom", F.col("at").cast("int"), F.lit(30)).alias("piece"))
     tx = commands.joined(cut).join(f.select("transcript", "gene").distinct(), "transcript")
     return commands.longest_unique(tx)
+
+
+# ---------------------------------------------------------------- alignment evidence and adjacencies
+
+_CELLS = """WITH c AS (SELECT block, row, strand, start0, source_size, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS col FROM v_rows),
+n AS (SELECT *, sum(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY block, row ORDER BY col) - 1 AS nth FROM c),
+p AS (SELECT block, row, col, ch <> '-' AS present, CAST(CASE WHEN ch <> '-' THEN CASE WHEN strand = '-' THEN source_size - 1 - (start0 + nth) ELSE start0 + nth END END AS BIGINT) AS pos0,
+ CASE WHEN ch <> '-' THEN CASE WHEN strand = '-' THEN translate(upper(ch), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') ELSE upper(ch) END END AS base FROM n)"""
+on("g1_residues", "v_rows", lambda d: evidence.alignment_columns(d).where("present").select("block", "row", "col", "pos0", "base"), _CELLS + " SELECT block, row, col, pos0, base FROM p WHERE present")
+on("g1_homologies", "v_rows", lambda d: evidence.homologies(evidence.alignment_columns(d)),
+   _CELLS + " SELECT a.block, a.col, a.pos0 AS left_pos0, b.pos0 AS right_pos0, a.base = b.base AS same FROM p a JOIN p b ON a.block = b.block AND a.col = b.col AND a.row = 0 AND b.row = 1 AND a.present AND b.present")
+on("g4_absences", "v_rows", lambda d: evidence.absences(evidence.alignment_columns(d)),
+   _CELLS + """, f AS (SELECT *, last_value(pos0 IGNORE NULLS) OVER (PARTITION BY block, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_flank0,
+ first_value(pos0 IGNORE NULLS) OVER (PARTITION BY block, row ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS right_flank0 FROM p)
+SELECT block, row, col, left_flank0, right_flank0 FROM f WHERE NOT present AND left_flank0 IS NOT NULL AND right_flank0 IS NOT NULL""")
+on("h3_swap_rows", "v_rows", lambda d: evidence.swap_rows(d, 1).select("block", "row", "source", "strand", "text"),
+   "SELECT block, CASE WHEN row = 1 THEN 0 ELSE 1 END AS row, source, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS strand, translate(reverse(text), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') AS text FROM v_rows")
+_NEAR = """WITH n AS (SELECT taxon, block_id, lead(block_id) OVER (PARTITION BY taxon, path ORDER BY start0, block_id) AS nx FROM v_block),
+s AS (SELECT DISTINCT taxon, least(block_id, nx) AS x, greatest(block_id, nx) AS y FROM n WHERE nx IS NOT NULL)"""
+on("g17_adjacency_states", "v_block", evidence.adjacency_states,
+   _NEAR + """, e AS (SELECT DISTINCT x, y FROM s), t AS (SELECT DISTINCT taxon FROM v_block)
+SELECT e.x || '--' || e.y AS adjacency, t.taxon, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.taxon = t.taxon AND s.x = e.x AND s.y = e.y) THEN 'PRESENT'
+ WHEN EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.x) AND EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.y) THEN 'ABSENT' ELSE 'MISSING' END AS state FROM e, t""")
+on("a17_conflict_flags", "v_block", lambda d: evidence.conflicting(evidence.adjacency_states(d).where("state = 'PRESENT'")),
+   _NEAR + " SELECT block_id, count(*) AS n FROM (SELECT DISTINCT x AS block_id, x || '--' || y AS a FROM s UNION SELECT DISTINCT y, x || '--' || y FROM s) GROUP BY 1 HAVING count(*) > 2")
+on("a12_best_group", "v_match", lambda d: evidence.best_group(d.select(F.col("gene").alias("item"), (F.col("line_no") % 3).alias("grp"), F.floor(F.col("score") * 100).alias("score")), 50),
+   """WITH t AS (SELECT gene AS item, line_no % 3 AS grp, CAST(sum(CAST(floor(score * 100) AS BIGINT)) AS BIGINT) AS s FROM v_match GROUP BY ALL),
+m AS (SELECT *, max(s) OVER (PARTITION BY item) AS best FROM t)
+SELECT item, min(CASE WHEN s = best THEN grp END) AS grp, count(*) - 1 AS alternatives FROM m WHERE s >= best - 50 GROUP BY 1""")
+on("g7_components", "v_residue", lambda d: components(d.select(F.col("pos0").alias("src"), (F.col("pos0") % 97).alias("dst"))), "SELECT pos0 AS node, pos0 % 97 AS label FROM v_residue")
+on("j10_path_neighbour", "v_residue", lambda d: d.select("site_id", "path", "pos0").join(d.select("site_id", "path", F.col("pos0").alias("other")), ["site_id", "path"]).where("pos0 < other").groupBy("path").agg(F.count(F.lit(1)).alias("n")),
+   "SELECT a.path, count(*) AS n FROM v_residue a JOIN v_residue b ON a.site_id = b.site_id AND a.path = b.path AND a.pos0 < b.pos0 GROUP BY 1")
+on("u4_set_union", "v_residue", lambda d: d.groupBy("site_id").agg(F.size(F.array_union(F.collect_set(F.when(F.col("base") == "A", F.col("taxon"))), F.collect_set(F.when(F.col("base") == "C", F.col("taxon"))))).cast("long").alias("n")),
+   "SELECT site_id, count(DISTINCT taxon) FILTER (WHERE base IN ('A', 'C')) AS n FROM v_residue GROUP BY 1")
+on("p3_mapped_records", "v_sam", lambda d: d.where("rname <> '*'").join(d.select(F.col("rname").alias("known")).where("known < 'c5'").distinct(), F.col("rname") == F.col("known"), "left_semi").select("line_no"), "SELECT line_no FROM v_sam WHERE rname <> '*' AND rname < 'c5'")
+on("p12_boundary_predicate", "v_residue", lambda d: d.groupBy("site_id").agg((F.countDistinct("taxon") >= 3).alias("boundary")), "SELECT site_id, count(DISTINCT taxon) >= 3 AS boundary FROM v_residue GROUP BY 1")
+
+
+@query("""SELECT r.taxon, r.pos0, CASE WHEN r.taxon = 'x4' THEN 'MISSING_TAXON_FASTA' WHEN substr(s.seq, CAST(r.pos0 + 1 AS INT), 1) = '' THEN 'FASTA_SOURCE_SIZE_MISMATCH'
+ WHEN substr(s.seq, CAST(r.pos0 + 1 AS INT), 1) NOT IN (r.base, 'N') THEN 'FASTA_EVIDENCE_BASE_MISMATCH' ELSE 'OK' END AS code FROM v_residue r LEFT JOIN v_seq s ON 'x' || CAST(s.seq_id AS VARCHAR) = r.taxon AND s.seq_id < 4""")
+def j11_base_check(spark, sf_dir):
+    s = view(spark, sf_dir, "v_seq").where("seq_id < 4").select(F.concat(F.lit("x"), F.col("seq_id").cast("string")).alias("taxon"), "seq")
+    return evidence.check_bases(view(spark, sf_dir, "v_residue").select("taxon", "pos0", "base"), s)
+
+
+@query("SELECT b.block_id, b.path, r.pos0 FROM v_block b JOIN (SELECT DISTINCT 'x' || CAST(site_id % 4 AS VARCHAR) AS taxon, pos0 * 10 AS pos0 FROM v_residue) r ON b.taxon = r.taxon AND r.pos0 >= b.start0 AND r.pos0 < b.end0")
+def j9_interval_residues(spark, sf_dir):
+    r = view(spark, sf_dir, "v_residue").select(F.concat(F.lit("x"), (F.col("site_id") % 4).cast("string")).alias("taxon"), (F.col("pos0") * 10).alias("pos0")).distinct()
+    return evidence.in_intervals(r, view(spark, sf_dir, "v_block").select("taxon", "path", "block_id", "start0", "end0"), ["taxon"]).select("block_id", "path", "pos0")
+
+
+@query()
+def f7_stable_id(spark, sf_dir):
+    return view(spark, sf_dir, "v_residue").select("pos0", evidence.stable_id("site", F.col("taxon"), F.col("path"), F.col("pos0")).alias("id"))
+
+
+@query()
+def h6_cigar_segments(spark, sf_dir):
+    return evidence.cigar_segments(view(spark, sf_dir, "v_sam").select(F.col("line_no").alias("id"), F.translate("cigar", "M", "=").alias("cigar")))
+
+
+@query()
+def j7_local_map(spark, sf_dir):
+    s = view(spark, sf_dir, "v_seq")
+    return mapping.local_map(s.select(F.col("seq_id").alias("id"), F.col("seq").alias("ref"), F.concat(F.repeat(F.lit("ACGGT"), F.lit(6)), F.substring("seq", F.lit(21), F.lit(90))).alias("query")))

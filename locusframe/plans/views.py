@@ -37,6 +37,11 @@ VIEWS: dict[str, str] = {
     # Texts as bases
     "v_seq": """SELECT item_id AS seq_id, translate(upper(regexp_replace(text, '[^A-Za-z]', ''{g})),
  'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAN') AS seq FROM benchmark""",
+    # Two rows of an alignment, the second on the minus strand
+    "v_rows": """SELECT item_id AS block, 0 AS row, 'r' AS source, CAST(item_id * 10 AS BIGINT) AS start0, '+' AS strand, CAST(5000 AS BIGINT) AS source_size,
+ replace(translate(upper(substr(regexp_replace(text, '[^A-Za-z]', ''{g}), 1, 80)), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'AC', '--') AS text FROM benchmark
+ UNION ALL SELECT item_id, 1, 'q', CAST(item_id * 7 AS BIGINT), '-', CAST(9000 AS BIGINT),
+ replace(translate(upper(substr(regexp_replace(text, '[^A-Za-z]', ''{g}), 1, 80)), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'GT', '--') FROM benchmark""",
     # variants
     "v_variant": """SELECT o_orderkey AS pos, substr('ACGTTGCA', CAST(o_orderkey % 5 AS INT) + 1, CAST(o_custkey % 3 AS INT) + 1) AS ref,
  substr('ACGTTGCA', CAST(o_orderkey % 5 AS INT) + 1, 1) || substr('GATTACA', CAST(o_custkey % 4 AS INT) + 1, CAST(o_orderkey % 3 AS INT)) AS alt,

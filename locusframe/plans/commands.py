@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.exprs import normalise_bases, reverse_complement
-from locusframe.operators import affine, anchors, chains
+from locusframe.operators import affine, anchors, chains, mapping
+from locusframe.plans.runtime import cut
 
 
 def spliced(features: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -56,3 +57,39 @@ def align_gaps(gaps: DataFrame, ref: DataFrame, query: DataFrame, scores: affine
     b = F.when(F.col("strand") == "-", reverse_complement(normalise_bases(b))).otherwise(normalise_bases(b))
     pairs = gaps.join(r, "ref_chr").join(q, "query_chr").select("id", normalise_bases(a).alias("a"), b.alias("b"))
     return affine.align_pairs(pairs, scores, cells)
+
+
+def novel_anchors(chain: DataFrame, ref: DataFrame, query: DataFrame, side: int = 50_000, k: int = 15, w: int = 9, similarity: float = 0.0) -> DataFrame:
+    """Matches with column ``block``, and the local matches found in their large gaps, in those that are left then, and so on.
+
+    ref, query: (name, seq). Each round maps all gaps beyond ``side`` squared that were not tried; a gap is tried once,
+    by its block and start, and what a find leaves is smaller, so the rounds end. Only whether any is left comes to the driver.
+    """
+    cols = [*chains.COLUMNS, "block"]
+    now, tried = cut(chain.select(*cols), "anchors"), None
+    r = ref.select(F.col("name").alias("ref_chr"), F.col("seq").alias("rs"))
+    q = query.select(F.col("name").alias("query_chr"), F.col("seq").alias("qs"))
+    size = lambda a, b: (F.col(b) - F.col(a) + 1).cast("int")
+    while True:
+        gaps = anchors.novel_anchor_gaps(anchors.inter_anchor_gaps(now, ["block", "ref_chr", "query_chr"], ["ref_start", "query_start"]).drop("ref_start", "query_start"), side)
+        gaps = gaps.where((F.col("gap_ref_end") - F.col("gap_ref_start") >= k) & (F.col("gap_query_end") - F.col("gap_query_start") >= k))
+        if tried is not None:
+            gaps = gaps.join(tried, ["block", "gap_ref_start"], "left_anti")
+        todo = cut(gaps.withColumn("id", F.xxhash64("block", "gap_ref_start")), "gaps")
+        if not todo.limit(1).count():
+            return now
+        a = normalise_bases(F.substring("rs", F.col("gap_ref_start").cast("int"), size("gap_ref_start", "gap_ref_end")))
+        b = normalise_bases(F.substring("qs", F.col("gap_query_start").cast("int"), size("gap_query_start", "gap_query_end")))
+        pairs = todo.join(r, "ref_chr").join(q, "query_chr").select("id", a.alias("ref"), F.when(F.col("strand") == "-", reverse_complement(b)).otherwise(b).alias("query"))
+        found = mapping.local_map(pairs, k, w).withColumnsRenamed({"ref_start": "r0", "ref_end": "r1", "query_start": "q0", "query_end": "q1"}).join(todo, "id")
+        share = F.col("score") / (F.col("r1") - F.col("r0") + 1)
+        plus = F.col("strand") == "+"
+        new = found.where(share > similarity).select(
+            "ref_chr", "query_chr", (F.col("gap_ref_start") + F.col("r0") - 1).alias("ref_start"), (F.col("gap_ref_start") + F.col("r1") - 1).alias("ref_end"),
+            F.when(plus, F.col("gap_query_start") + F.col("q0") - 1).otherwise(F.col("gap_query_end") - F.col("q1") + 1).alias("query_start"),
+            F.when(plus, F.col("gap_query_start") + F.col("q1") - 1).otherwise(F.col("gap_query_end") - F.col("q0") + 1).alias("query_end"),
+            "strand", share.alias("score"), F.concat_ws("_", F.lit("local"), "ref_chr", "gap_ref_start").alias("gene"), F.col("id").alias("line_no"), "block",
+        )
+        done = todo.select("block", "gap_ref_start")
+        tried = cut(done if tried is None else tried.union(done), "tried")
+        now = cut(now.union(new.select(*cols)), "anchors")

@@ -177,3 +177,24 @@ def read_block_projections(spark: SparkSession, path: str, version: str) -> Data
     """S17"""
     rows = _manifest(spark, path, BLOCK_COLUMNS, version)
     return rows.withColumns({c: F.col(c).cast("long") for c in ("start0", "end0")}).withColumn("orientation", F.coalesce("orientation", F.lit("?")))
+
+
+COPY_COLUMNS = "record_type family_id ancestral_copy_id parent_copy_id born_on_edge taxon_id member_type member_id seq start0 end0 strand expected_count relation confidence constraint source".split()
+
+
+def read_copy_relations(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """GROUP, MEMBER and COUNT records. A group given twice, a member of two groups by hard relation, a confidence outside
+    0 to 1 or a record of another kind is an error."""
+    rows = _manifest(spark, path, COPY_COLUMNS, version)
+    rows = rows.withColumns({**{c: F.col(c).cast("long") for c in ("start0", "end0", "expected_count")}, "confidence": F.col("confidence").cast("double")})
+    bad = {
+        "an unknown record": rows.where("record_type not in ('GROUP', 'MEMBER', 'COUNT')"),
+        "a confidence outside 0 to 1": rows.where("confidence < 0 or confidence > 1"),
+        "a group twice": rows.where("record_type = 'GROUP'").groupBy("family_id", "ancestral_copy_id").count().where("count > 1"),
+        "contradictory hard relations": rows.where("record_type = 'MEMBER' and constraint = 'hard' and relation <> 'excluded'").groupBy("taxon_id", "member_type", "member_id").agg(F.countDistinct("family_id", "ancestral_copy_id").alias("n")).where("n > 1"),
+        "a count without a number": rows.where("record_type = 'COUNT' and (expected_count is null or expected_count < 0)"),
+    }
+    for what, found in bad.items():
+        if found.limit(1).count():
+            raise ValueError(f"{path}: {what}")
+    return rows

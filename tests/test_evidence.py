@@ -67,3 +67,42 @@ def test_base_check(spark):
     seq = spark.createDataFrame([("t", "ACN")], "taxon string, seq string")
     got = {(r.taxon, r.pos0): r.code for r in evidence.check_bases(res, seq).collect()}
     assert list(got.values()).count("OK") == 2 and got["t", 1] == "FASTA_EVIDENCE_BASE_MISMATCH" and got["t", 9] == "FASTA_SOURCE_SIZE_MISMATCH" and got["u", 0] == "MISSING_TAXON_FASTA"
+
+
+def test_novel_anchors_fill_gaps_of_both_strands(spark):
+    from locusframe.functions.exprs import reverse_complement
+    from locusframe.plans import commands
+
+    rng = random.Random(3)
+    base = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    ref = base(1200)
+    query = ref[:150] + base(60) + ref[200:420] + base(80) + ref[520:800] + base(40) + ref[900:]
+    seqs = spark.createDataFrame([("c", ref, query)], "name string, r string, q string")
+    chain = spark.createDataFrame([("c", "c", 1, 100, 1, 100, "+", 1.0, "a", 1, 0), ("c", "c", 1101, 1200, len(query) - 99, len(query), "+", 1.0, "b", 2, 0)], commands.chains.MATCH + ", block long")
+    got = commands.novel_anchors(chain, seqs.select("name", F.col("r").alias("seq")), seqs.select("name", F.col("q").alias("seq")), side=40).orderBy("ref_start").collect()
+    new = [r for r in got if r.gene.startswith("local")]
+    assert len(got) > 2 and new and all(100 < r.ref_start < r.ref_end < 1101 and r.query_start > 100 for r in new)
+    turned = seqs.select("name", reverse_complement(F.col("q")).alias("seq"))
+    n = len(query)
+    flipped = chain.selectExpr("ref_chr", "query_chr", "ref_start", "ref_end", f"{n} + 1 - query_end AS query_start", f"{n} + 1 - query_start AS query_end", "'-' AS strand", "score", "gene", "line_no", "block")
+    back = commands.novel_anchors(flipped, seqs.select("name", F.col("r").alias("seq")), turned, side=40).orderBy("ref_start").collect()
+    assert [(r.ref_start, r.ref_end, n + 1 - r.query_end, n + 1 - r.query_start) for r in back] == [(r.ref_start, r.ref_end, r.query_start, r.query_end) for r in got]
+
+
+def test_copy_relations(spark, tmp_path):
+    import pytest
+
+    from locusframe.sources import text as sources
+
+    def read(*rows):
+        path = tmp_path / f"{len(list(tmp_path.iterdir()))}.tsv"
+        lines = ["#v1", "\t".join(sources.COPY_COLUMNS)] + ["\t".join({**dict.fromkeys(sources.COPY_COLUMNS, "."), **r}.values()) for r in rows]
+        path.write_text("\n".join(lines) + "\n")
+        return sources.read_copy_relations(spark, str(path), "#v1")
+
+    group = {"record_type": "GROUP", "family_id": "f", "ancestral_copy_id": "a"}
+    member = {"record_type": "MEMBER", "family_id": "f", "ancestral_copy_id": "a", "taxon_id": "t", "member_type": "anchor", "member_id": "m", "relation": "ortholog", "constraint": "hard", "confidence": "0.5"}
+    assert read(group, member).where("confidence = 0.5").count() == 1
+    for bad in ((group, group), (member | {"confidence": "2"},), ({"record_type": "X"},), (member, member | {"ancestral_copy_id": "b"}), ({"record_type": "COUNT"},)):
+        with pytest.raises(ValueError):
+            read(*bad)

@@ -28,7 +28,8 @@ from locusframe.plans.runtime import cut, ship
 SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 28
 #: At similarity 0.8 a pair shares one of 12 bands of 4 with probability 0.998.
 BANDS, ROWS = 12, 4
-#: Paragraphs of a band that are compared pair by pair, at most; in larger groups each is compared with the two nearest in order and the first.
+#: Paragraphs of a band that are compared pair by pair, at most. In larger groups each is first compared with the two nearest in order
+#: and the first; a group that these links leave in several components goes through an exact join (:func:`_across`).
 PAIRWISE = 32
 #: Words on each side within which a segment's first word has the smallest hash.
 RADIUS = 3
@@ -116,6 +117,39 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield batch.filter(pa.array(keep)).select([0, 1])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint32).view(np.int32) for x in batch.column(2).to_pylist()]
+        at = pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32())
+        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, flat)], ["h", "lab", "s"])
+
+
+def _across(sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different ``lab`` that may be similar; none that is similar is missing. sets: h, lab, words.
+
+    Prefix filter: with the rarest shingles first, similar sets share one among the first (1 - least) n + 1 of the
+    larger and the first n - 2 least n / (1 + least) + 1 of the smaller. Sets of a template that differ by more than
+    the threshold meet only in what they have in common, which comes last, so they give no pairs. Rows of
+    the label that is commonest at a shingle are not joined with each other.
+    """
+    one = sets.mapInArrow(_shingles, "h long, lab long, s array<int>").select("h", "lab", F.size("s").alias("n"), F.explode("s").alias("s"))
+    one = cut(one, "paragraph-shingles")
+    counted = one.join(one.groupBy("s").agg(F.count(F.lit(1)).alias("f")), "s")
+    ordered = counted.groupBy("h", "lab", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
+    # a little more than the exact lengths, so that rounding loses nothing
+    probe_n = F.floor((1 - least) * F.col("n") + 1e-6) + 1
+    index_n = F.floor(F.col("n") * (1 - 2 * least / (1 + least)) + 1e-6) + 1
+    firsts = cut(ordered.select("h", "lab", "n", index_n.alias("k"), F.posexplode(F.slice("o", F.lit(1), probe_n.cast("int"))).alias("at", "e")).select("h", "lab", "n", "e.s", (F.col("at") < F.col("k")).alias("indexed")), "paragraph-prefixes")
+    labs = firsts.groupBy("s", "lab").agg(F.count(F.lit(1)).alias("rows")).groupBy("s").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max_by("lab", F.struct("rows", "lab")).alias("major"))
+    mixed = cut(firsts.join(labs.where("lo < hi").select("s", "major"), "s").withColumn("main", F.col("lab") == F.col("major")).drop("major"), "paragraph-mixed")
+    x = mixed.select("s", *[F.col(c).alias(f"x_{c}") for c in ("h", "lab", "n", "main")])
+    y = mixed.where("indexed").select("s", *[F.col(c).alias(f"y_{c}") for c in ("h", "lab", "n", "main")])
+    fits = (F.col("x_lab") != F.col("y_lab")) & (F.struct("y_n", "y_h") < F.struct("x_n", "x_h")) & (F.col("y_n") >= least * F.col("x_n") - 1e-6)
+    met = x.join(y.where("not y_main"), "s").where(fits).union(x.where("not x_main").join(y.where("y_main"), "s").where(fits))
+    return met.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct()
+
+
 def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, start, end, n_words, class_id)`` for paragraphs that have an equal or similar one in another document.
 
@@ -138,8 +172,15 @@ def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: flo
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
     held = cut(all_rows.select("h", "words").join(needed, "h", "left_semi").groupBy("h").agg(F.any_value("words").alias("words")), "paragraph-words")
     side = lambda c: held.select(F.col("h").alias(c), F.col("words").alias(f"w{c}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long")
-    linked = components(cut(checked, "paragraph-links"), "a", "b")
+    verify = lambda p: p.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long")
+    links = cut(verify(pairs), "paragraph-links")
+    linked = components(links, "a", "b")
+    tagged = many.join(linked, many.h == linked.node, "left").select("band", "key", "h", F.coalesce("label", "h").alias("lab"))
+    split = tagged.groupBy("band", "key").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo < hi")
+    rest = cut(tagged.join(split, ["band", "key"], "left_semi").select("h", "lab").distinct(), "paragraph-rest")
+    if not rest.isEmpty():
+        more = cut(_across(rest.join(held, "h").select("h", "lab", "words"), similarity), "paragraph-pairs")
+        linked = components(cut(links.union(verify(more)), "paragraph-links"), "a", "b")
     of = distinct.join(linked, distinct.h == linked.node, "left").where("rep < last or label is not null").select("h", "rep", "last", F.coalesce("label", "h").alias("root"))
     of = cut(of, "paragraph-classes")
     least_id = of.groupBy("root").agg(F.min("rep").alias("class_id"), F.max("last").alias("last_id")).where("class_id < last_id")

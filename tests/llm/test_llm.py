@@ -108,6 +108,38 @@ def test_repeats(spark):
     assert substring.repeats(d.limit(0)).count() == 0 and substring.repeats(d.where("doc_id is null")).count() == 0
 
 
+def test_large_band_groups_lose_no_link(spark, monkeypatch):
+    """With groups of more than four taken as large, the classes are those of all pairs compared."""
+    monkeypatch.setattr(substring, "PAIRWISE", 4)
+    monkeypatch.setattr(substring, "_SEEDS", np.ones((2, substring.BANDS * substring.ROWS), np.uint64))  # one hash: bands meet often
+    rng = random.Random(8)
+    rows = []
+    for base in range(3):
+        stem = [f"b{base}w{k}" for k in range(60)]
+        for _ in range(40):
+            ws = list(stem)
+            for _ in range(rng.randint(1, 4)):
+                ws[rng.randrange(12, 60)] = f"v{rng.randrange(6)}"
+            rows.append((len(rows), " ".join(ws)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    up = {k: k for k in sets}
+
+    def find(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                up[y] = x
+    size = Counter(find(k) for k in sets)
+    want = {k: find(k) for k in sets if size[find(k)] > 1}
+    got = {r.doc_id: r.class_id for r in substring.paragraph_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) > 3
+
+
 # ------------------------------------------------------------ 4
 
 

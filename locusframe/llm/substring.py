@@ -29,8 +29,10 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 28
 #: At similarity 0.8 a pair shares one of 12 bands of 4 with probability 0.998.
 BANDS, ROWS = 12, 4
 #: Paragraphs of a band that are compared pair by pair, at most. In larger groups each is first compared with the two nearest in order
-#: and the first; a group that these links leave in several components goes through an exact join (:func:`_across`).
+#: and the most central; a group that these links leave in several components goes through an exact join (:func:`_across`).
 PAIRWISE = 32
+#: Counters by which that join orders shingles, as a power of two.
+FREQUENCY_BITS = 18
 #: Words on each side within which a segment's first word has the smallest hash.
 RADIUS = 3
 CHUNK_BYTES, RANGE_SEGMENTS = 12 << 20, 1 << 20
@@ -117,30 +119,45 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         yield batch.filter(pa.array(keep)).select([0, 1])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles * np.uint32(0x9E3779B1)) >> np.uint32(32 - FREQUENCY_BITS)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            np.add.at(total, _bucket(np.frombuffer(x, np.uint32)), 1)
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["bucket", "f"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], least: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(h, lab, n, s, indexed) for the first shingles of each set, in the order of counted frequency and then of value."""
     for batch in batches:
-        sets = [np.frombuffer(x, np.uint32).view(np.int32) for x in batch.column(2).to_pylist()]
-        at = pa.array(np.cumsum([0] + [len(x) for x in sets]), pa.int32())
-        flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, flat)], ["h", "lab", "s"])
+        for h, lab, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            x = np.frombuffer(words, np.uint32)
+            n = len(x)
+            # a little more than the exact lengths, so that rounding loses nothing
+            probe = int((1 - least) * n + 1e-6) + 1
+            index = int((1 - 2 * least / (1 + least)) * n + 1e-6) + 1
+            s = x[np.lexsort((x, often[_bucket(x)]))[:probe]].view(np.int32)
+            k = len(s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, lab)), pa.array(np.full(k, n), pa.int32()), pa.array(s), pa.array(np.arange(k) < index)], ["h", "lab", "n", "s", "indexed"])
 
 
 def _across(sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different ``lab`` that may be similar; none that is similar is missing. sets: h, lab, words.
 
-    Prefix filter: with the rarest shingles first, similar sets share one among the first (1 - least) n + 1 of the
-    larger and the first n - 2 least n / (1 + least) + 1 of the smaller. Sets of a template that differ by more than
-    the threshold meet only in what they have in common, which comes last, so they give no pairs. Rows of
-    the label that is commonest at a shingle are not joined with each other.
+    Prefix filter: in any one order of shingles, similar sets share one among the first (1 - least) n + 1 of the
+    larger and the first n - 2 least n / (1 + least) + 1 of the smaller. The rarest come first, by counters of a fixed
+    number, so that sets of a template that differ by more than the threshold meet only in what they have in
+    common, which comes last, and give no pairs. Rows of the label that is commonest at a shingle are not joined with each other.
     """
-    one = sets.mapInArrow(_shingles, "h long, lab long, s array<int>").select("h", "lab", F.size("s").alias("n"), F.explode("s").alias("s"))
-    one = cut(one, "paragraph-shingles")
-    counted = one.join(one.groupBy("s").agg(F.count(F.lit(1)).alias("f")), "s")
-    ordered = counted.groupBy("h", "lab", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("o"))
-    # a little more than the exact lengths, so that rounding loses nothing
-    probe_n = F.floor((1 - least) * F.col("n") + 1e-6) + 1
-    index_n = F.floor(F.col("n") * (1 - 2 * least / (1 + least)) + 1e-6) + 1
-    firsts = cut(ordered.select("h", "lab", "n", index_n.alias("k"), F.posexplode(F.slice("o", F.lit(1), probe_n.cast("int"))).alias("at", "e")).select("h", "lab", "n", "e.s", (F.col("at") < F.col("k")).alias("indexed")), "paragraph-prefixes")
+    often = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    for bucket, f in sets.select("words").mapInArrow(_counts, "bucket int, f long").groupBy("bucket").agg(F.sum("f")).collect():
+        often[bucket] = f
+    firsts = cut(sets.mapInArrow(lambda it: _prefixes(it, least, often), "h long, lab long, n int, s int, indexed boolean"), "paragraph-prefixes")
     labs = firsts.groupBy("s", "lab").agg(F.count(F.lit(1)).alias("rows")).groupBy("s").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max_by("lab", F.struct("rows", "lab")).alias("major"))
     mixed = cut(firsts.join(labs.where("lo < hi").select("s", "major"), "s").withColumn("main", F.col("lab") == F.col("major")).drop("major"), "paragraph-mixed")
     x = mixed.select("s", *[F.col(c).alias(f"x_{c}") for c in ("h", "lab", "n", "main")])
@@ -160,13 +177,16 @@ def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: flo
     all_rows = cut(id_text(docs).where("doc_id is not null").mapInArrow(lambda it: _paragraphs(it, least), _PARAGRAPH), "paragraphs")
     distinct = all_rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands"))
     banded = distinct.select("h", F.posexplode("bands").alias("band", "key"))
-    sizes = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.min("h").alias("first")).where("m > 1"), "paragraph-bands")
+    sizes = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "paragraph-bands")
     met = cut(banded.join(sizes, ["band", "key"]), "paragraph-collisions")
     few = met.where(F.col("m") <= PAIRWISE).select("band", "key", F.col("h").alias("a"))
     pairs = few.join(few.withColumnRenamed("a", "b"), ["band", "key"]).where("a < b").select("a", "b")
-    many = met.where(F.col("m") > PAIRWISE)
+    # the more others a paragraph meets in all its bands, the nearer it is to what the group has in common
+    large = met.where(F.col("m") > PAIRWISE)
+    many = cut(large.join(large.groupBy("h").agg(F.sum("m").alias("meets")), "h"), "paragraph-crowds")
+    hubs = many.groupBy("band", "key").agg(F.max_by("h", F.struct("meets", "h")).alias("first"))
     order = Window.partitionBy("band", "key").orderBy("h")
-    near = many.select("h", "first", F.lag("h", 1).over(order).alias("p1"), F.lag("h", 2).over(order).alias("p2"))
+    near = many.join(hubs, ["band", "key"]).select("h", "first", F.lag("h", 1).over(order).alias("p1"), F.lag("h", 2).over(order).alias("p2"))
     near = near.select(F.explode(F.array("first", "p1", "p2")).alias("a"), F.col("h").alias("b")).where("a is not null and a <> b")
     pairs = cut(pairs.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "paragraph-pairs")
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()

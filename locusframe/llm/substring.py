@@ -133,7 +133,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], least: float, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(h, lab, n, s, indexed) for the first shingles of each set, in the order of counted frequency and then of value."""
+    """(h, lab, n, s, at, indexed) for the first shingles of each set, in the order of counted frequency and then of value."""
     for batch in batches:
         for h, lab, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             x = np.frombuffer(words, np.uint32)
@@ -143,7 +143,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], least: float, often: np.ndarray
             index = int((1 - 2 * least / (1 + least)) * n + 1e-6) + 1
             s = x[np.lexsort((x, often[_bucket(x)]))[:probe]].view(np.int32)
             k = len(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, lab)), pa.array(np.full(k, n), pa.int32()), pa.array(s), pa.array(np.arange(k) < index)], ["h", "lab", "n", "s", "indexed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(np.full(k, lab)), pa.array(np.full(k, n), pa.int32()), pa.array(s), pa.array(np.arange(k, dtype=np.int32)), pa.array(np.arange(k) < index)], ["h", "lab", "n", "s", "at", "indexed"])
 
 
 def _across(sets: DataFrame, least: float) -> DataFrame:
@@ -157,14 +157,17 @@ def _across(sets: DataFrame, least: float) -> DataFrame:
     often = np.zeros(1 << FREQUENCY_BITS, np.int64)
     for bucket, f in sets.select("words").mapInArrow(_counts, "bucket int, f long").groupBy("bucket").agg(F.sum("f")).collect():
         often[bucket] = f
-    firsts = cut(sets.mapInArrow(lambda it: _prefixes(it, least, often), "h long, lab long, n int, s int, indexed boolean"), "paragraph-prefixes")
+    firsts = cut(sets.mapInArrow(lambda it: _prefixes(it, least, often), "h long, lab long, n int, s int, at int, indexed boolean"), "paragraph-prefixes")
     labs = firsts.groupBy("s", "lab").agg(F.count(F.lit(1)).alias("rows")).groupBy("s").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.max_by("lab", F.struct("rows", "lab")).alias("major"))
     mixed = cut(firsts.join(labs.where("lo < hi").select("s", "major"), "s").withColumn("main", F.col("lab") == F.col("major")).drop("major"), "paragraph-mixed")
-    x = mixed.select("s", *[F.col(c).alias(f"x_{c}") for c in ("h", "lab", "n", "main")])
-    y = mixed.where("indexed").select("s", *[F.col(c).alias(f"y_{c}") for c in ("h", "lab", "n", "main")])
-    fits = (F.col("x_lab") != F.col("y_lab")) & (F.struct("y_n", "y_h") < F.struct("x_n", "x_h")) & (F.col("y_n") >= least * F.col("x_n") - 1e-6)
+    x = mixed.select("s", *[F.col(c).alias(f"x_{c}") for c in ("h", "lab", "n", "at", "main")])
+    y = mixed.where("indexed").select("s", *[F.col(c).alias(f"y_{c}") for c in ("h", "lab", "n", "at", "main")])
+    n, need = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")), least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6
+    fits = (F.col("x_lab") != F.col("y_lab")) & (F.struct("y_n", "y_h") < F.struct("x_n", "x_h")) & (F.col("y_n") >= least * F.col("x_n") - 1e-6) & (F.least("x_at", "y_at") + n >= need)
     met = x.join(y.where("not y_main"), "s").where(fits).union(x.where("not x_main").join(y.where("y_main"), "s").where(fits))
-    return met.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct()
+    # what is shared up to the first shingle in common is that one; after it, at most what is left of the shorter
+    could = met.groupBy("x_h", "y_h").agg(F.max(n).alias("left"), F.first(need).alias("need")).where("left >= need")
+    return could.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b"))
 
 
 def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -163,11 +163,10 @@ def _across(sets: DataFrame, least: float) -> DataFrame:
     x = mixed.select("s", *[F.col(c).alias(f"x_{c}") for c in ("h", "lab", "n", "at", "main")])
     y = mixed.where("indexed").select("s", *[F.col(c).alias(f"y_{c}") for c in ("h", "lab", "n", "at", "main")])
     n, need = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")), least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-6
-    fits = (F.col("x_lab") != F.col("y_lab")) & (F.struct("y_n", "y_h") < F.struct("x_n", "x_h")) & (F.col("y_n") >= least * F.col("x_n") - 1e-6) & (F.least("x_at", "y_at") + n >= need)
+    # nothing is shared before the first shingle in common, so the pair has at most what is left of the shorter from there; at later ones less is left
+    fits = (F.col("x_lab") != F.col("y_lab")) & (F.struct("y_n", "y_h") < F.struct("x_n", "x_h")) & (F.col("y_n") >= least * F.col("x_n") - 1e-6) & (n >= need)
     met = x.join(y.where("not y_main"), "s").where(fits).union(x.where("not x_main").join(y.where("y_main"), "s").where(fits))
-    # what is shared up to the first shingle in common is that one; after it, at most what is left of the shorter
-    could = met.groupBy("x_h", "y_h").agg(F.max(n).alias("left"), F.first(need).alias("need")).where("left >= need")
-    return could.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b"))
+    return met.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct()
 
 
 def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -84,6 +84,21 @@ def adjacency_states(blocks: DataFrame) -> DataFrame:
     return full.select("adjacency", "taxon", state.alias("state"))
 
 
+def place_blocks(blocks: DataFrame, paths: DataFrame) -> DataFrame:
+    """(block_id, path, first, n, orientation) wherever all sites of a block follow each other on a path, forward or backward.
+
+    blocks: block_id, idx (from 0, gapless), site_id; paths: path, pos, site_id. ``first`` counts the sites of the path
+    before the place. ``?``: the block reads the same both ways there. Sites that agree on where the block would begin
+    are counted, so nothing is gathered for a path or block.
+    """
+    on_path = paths.select("path", "site_id", (F.row_number().over(Window.partitionBy("path").orderBy("pos", "site_id")) - 1).cast("long").alias("at"))
+    size = blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"))
+    met = blocks.join(size, "block_id").join(on_path, "site_id")
+    ways = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), c.alias("first")) for o, c in (("+", F.col("at") - F.col("idx")), ("-", F.col("at") - (F.col("n") - 1 - F.col("idx"))))]))
+    whole = met.select("block_id", "path", "n", ways.alias("w")).groupBy("block_id", "path", "n", "w.o", "w.first").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    return whole.groupBy("block_id", "path", "first", "n").agg(F.when(F.count(F.lit(1)) == 2, "?").otherwise(F.min("o")).alias("orientation")).select("block_id", "path", "first", "n", "orientation")
+
+
 def conflicting(adjacency: DataFrame) -> DataFrame:
     """Block ends (block, adjacencies) that more than two called adjacencies claim."""
     ends = adjacency.select(F.explode(F.split("adjacency", "--")).alias("block_id"), "adjacency").distinct()

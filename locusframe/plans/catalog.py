@@ -413,6 +413,18 @@ on("g17_adjacency_states", "v_block", evidence.adjacency_states,
    _NEAR + """, e AS (SELECT DISTINCT x, y FROM s), t AS (SELECT DISTINCT taxon FROM v_block)
 SELECT e.x || '--' || e.y AS adjacency, t.taxon, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.taxon = t.taxon AND s.x = e.x AND s.y = e.y) THEN 'PRESENT'
  WHEN EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.x) AND EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.y) THEN 'ABSENT' ELSE 'MISSING' END AS state FROM e, t""")
+def _placed(d: DataFrame) -> DataFrame:
+    pairs = anchors.next_on_path(d.where("taxon = 'x0'"), ["path"], ["pos0", "site_id"], "site_id").where("site_id % 10 = 0").select("site_id", "next").distinct()
+    name = F.concat_ws("-", "site_id", "next").alias("block_id")
+    blocks = pairs.select(name, F.lit(0).alias("idx"), "site_id").union(pairs.select(name, F.lit(1), F.col("next")))
+    return evidence.place_blocks(blocks, d.select("path", F.col("pos0").alias("pos"), "site_id"))
+
+
+on("g16_block_projection", "v_residue", _placed,
+   """WITH p AS (SELECT taxon, path, site_id, lead(site_id) OVER (PARTITION BY path ORDER BY pos0, site_id) AS nx, row_number() OVER (PARTITION BY path ORDER BY pos0, site_id) - 1 AS first FROM v_residue),
+b AS (SELECT DISTINCT site_id AS x, nx AS y FROM p WHERE taxon = 'x0' AND site_id % 10 = 0 AND nx IS NOT NULL)
+SELECT b.x || '-' || b.y AS block_id, p.path, p.first, CAST(2 AS BIGINT) AS n, CASE WHEN x = y THEN '?' WHEN p.site_id = x THEN '+' ELSE '-' END AS orientation
+FROM b JOIN p ON (p.site_id = x AND p.nx = y) OR (p.site_id = y AND p.nx = x)""")
 on("a17_conflict_flags", "v_block", lambda d: evidence.conflicting(evidence.adjacency_states(d).where("state = 'PRESENT'")),
    _NEAR + " SELECT block_id, count(*) AS n FROM (SELECT DISTINCT x AS block_id, x || '--' || y AS a FROM s UNION SELECT DISTINCT y, x || '--' || y FROM s) GROUP BY 1 HAVING count(*) > 2")
 on("a12_best_group", "v_match", lambda d: evidence.best_group(d.select(F.col("gene").alias("item"), (F.col("line_no") % 3).alias("grp"), F.floor(F.col("score") * 100).alias("score")), 50),

@@ -106,3 +106,22 @@ def test_copy_relations(spark, tmp_path):
     for bad in ((group, group), (member | {"confidence": "2"},), ({"record_type": "X"},), (member, member | {"ancestral_copy_id": "b"}), ({"record_type": "COUNT"},)):
         with pytest.raises(ValueError):
             read(*bad)
+
+
+def test_blocks_are_placed_wherever_all_sites_follow(spark):
+    rng = random.Random(4)
+    paths = {f"p{k}": [rng.randrange(3) for _ in range(30)] for k in range(4)}
+    blocks = {f"b{k}": [rng.randrange(3) for _ in range(1 + k % 4)] for k in range(12)}
+    want = set()
+    for b, sites in blocks.items():
+        for p, line in paths.items():
+            for at in range(len(line) - len(sites) + 1):
+                part = line[at : at + len(sites)]
+                ways = [o for o, s in (("+", sites), ("-", sites[::-1])) if part == s]
+                if ways:
+                    want.add((b, p, at, len(sites), "?" if len(ways) == 2 else ways[0]))
+    bs = spark.createDataFrame([(b, k, s) for b, v in blocks.items() for k, s in enumerate(v)], "block_id string, idx int, site_id long")
+    ps = spark.createDataFrame([(p, 10 * k, s) for p, v in paths.items() for k, s in enumerate(v)], "path string, pos long, site_id long")
+    got = [tuple(r) for r in evidence.place_blocks(bs, ps).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert evidence.place_blocks(bs.limit(0), ps).count() == 0

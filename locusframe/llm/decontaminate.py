@@ -3,12 +3,13 @@
 Words lose case and outer punctuation; numbers, names and units become placeholders. A
 name is a capitalised word that does not begin a sentence. Windows of ``WINDOW`` template
 words are hashed and joined with the benchmark's; the words that stand in the placeholders
-are then held side by side: one that replaces another must do so throughout.
+are then held side by side, for each alignment of a text with an item by itself: one that
+replaces another must do so throughout the occurrence.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import drop_rows, texts
+from locusframe.llm.simhash import _signed
 from locusframe.plans.runtime import cut, ship
 
 #: Words in a window, share of an item's windows that must be found, and ordinary words that a window needs.
@@ -32,7 +34,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Windows in an output batch.
 BATCH_ROWS = 60_000
 _ORDINARY, _CAPITAL, _NUMBER, _MEASURE = range(4)
-_SCHEMA = pa.schema([("id", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+_SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
 
 
 class Words(dict):
@@ -91,9 +93,9 @@ def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndar
 
 
 def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """``(id, pos, h, slots)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given.
+    """``(id, row, pos, h, slots)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given.
 
-    slots: for each word of the window, what stands in the placeholder, lower-case; null for an ordinary word.
+    row: a hash of the text, which tells apart rows that share an id. slots: for each word of the window, what stands in the placeholder, lower-case; null for an ordinary word.
     """
     ship(rows.sparkSession)
     table = None
@@ -115,29 +117,88 @@ def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray |
                     if len(at):
                         k = np.searchsorted(wanted, h[at])
                         at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == h[at])]
+                row = _signed(xxhash.xxh64_intdigest(text)) if len(at) else 0
                 for p in at.tolist():
                     slots = [raw[q].strip(PUNCT).decode().lower() if slot[q] else None for q in range(p, p + window)]
-                    found.append((key, p, int(h[p].view(np.int64)), slots))
+                    found.append((key, row, p, int(h[p].view(np.int64)), slots))
                 if len(found) >= BATCH_ROWS:
                     yield _batch(found)
                     found = []
             if found:
                 yield _batch(found)
 
-    return rows.mapInArrow(run, "id long, pos long, h long, slots array<string>")
+    return rows.mapInArrow(run, "id long, row long, pos long, h long, slots array<string>")
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
 
+def _joined(pairs: Iterable[tuple[str, str]], ahead: dict[str, str], back: dict[str, str]) -> bool:
+    """Adds the pairs to a one-to-one mapping and its inverse; changes nothing if they contradict it or each other."""
+    new: list[tuple[str, str]] = []
+    for a, b in pairs:
+        if a not in ahead and b not in back:
+            ahead[a], back[b] = b, a
+            new.append((a, b))
+        elif ahead.get(a) != b or back.get(b) != a:
+            for x, y in new:
+                del ahead[x], back[y]
+            return False
+    return True
+
+
+def occurrence(hits: Iterable[tuple], need: float) -> bool | None:
+    """Is there an occurrence with ``need`` windows of the item, and is it reworded; None if there is none.
+
+    hits: (row, pos, wpos, islots, slots). Windows whose slots are the item's are an
+    occurrence, whatever else the document says. Otherwise the hits of one alignment (same
+    row and pos - wpos) must agree on a one-to-one mapping of the slots. Each alignment in
+    turn, the fullest first, is extended by the others, the nearest first, that agree with
+    what it has, as words put in or left out shift an item's alignment; those that
+    contradict it belong to another occurrence.
+    """
+    hits = sorted(set(hits), key=lambda x: x[:3])
+    if len({w for _, _, w, a, b in hits if a == b}) >= need:
+        return False
+    lines: dict[tuple[int, int], tuple[set, set]] = {}
+    for row, pos, w, a, b in hits:
+        seen, pairs = lines.setdefault((row, pos - w), (set(), set()))
+        seen.add(w)
+        pairs.update((x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None)
+    lines = {k: v for k, v in lines.items() if _joined(v[1], {}, {})}
+    if len(set().union(*(seen for seen, _ in lines.values()))) < need:
+        return None
+    # alignments that show the same windows and slots are one
+    distinct = list({(frozenset(seen), frozenset(pairs)): (k, seen, pairs) for k, (seen, pairs) in lines.items()}.values())
+    for (row, at), seen, pairs in sorted(distinct, key=lambda x: -len(x[1])):
+        held, ahead, back = set(seen), {}, {}
+        _joined(pairs, ahead, back)
+        for _, more, other in sorted(distinct, key=lambda x: (x[0][0] != row, abs(x[0][1] - at))):
+            if len(held) >= need:
+                break
+            if not more <= held and _joined(other, ahead, back):
+                held |= more
+        if len(held) >= need:
+            return any(a != b for a, b in ahead.items())
+    return None
+
+
+def _judged(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = ((tuple(tuple(x) if isinstance(x, list) else x for x in hit.values()) for hit in row) for row in batch.column(4).to_pylist())
+        got = [occurrence(x, share * n) for x, n in zip(hits, batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(got, pa.bool_())], ["doc_id", "item_id", "found", "windows", "reworded"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``(doc_id, item_id, found, windows, reworded)``: documents that hold a benchmark item, and which.
 
     An item is held if ``share`` or more of its windows are found (those of its first word
-    aside, which may stand for a name inside another text) and its slots agree: within
-    the document each slot value of the item always has the same counterpart and no two
-    values share one. ``reworded``: some counterpart differs from the item's.
+    aside, which may stand for a name inside another text) and the slots of an occurrence
+    agree (:func:`occurrence`): in it each slot value of the item always has the same
+    counterpart and no two values share one. ``found``: windows anywhere in the document.
+    ``reworded``: no occurrence has the item's own values throughout.
     Null texts are empty and match nothing; rows of null id are left out; items of
     ``window`` words or fewer have no windows and never match; rows that share a doc_id
     count as one document. Repeated items and rows change nothing.
@@ -154,20 +215,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     n = distinct.count()
     wanted = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64) if n <= FILTER_HASHES else None
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "pos", "h", "slots")
+    hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots")
     hits = cut(hits, "benchmark-hits") if wanted is not None else hits
     met = hits.join(item.withColumnRenamed("id", "item_id"), "h")
     size = item.groupBy(F.col("id").alias("sid")).agg(F.countDistinct("wpos").alias("windows"))
     seen = met.groupBy("doc_id", "item_id").agg(F.countDistinct("wpos").alias("found"))
     close = seen.join(size, F.col("item_id") == F.col("sid")).where(F.col("found") >= share * F.col("windows")).select("doc_id", "item_id", "found", "windows")
-    pair = F.explode(F.arrays_zip("islots", "slots")).alias("s")
-    pairs = met.select("doc_id", "item_id", pair).where("s.islots is not null and s.slots is not null")
-    pairs = pairs.select("doc_id", "item_id", F.col("s.islots").alias("a"), F.col("s.slots").alias("b")).distinct()
-    slots = pairs.groupBy("doc_id", "item_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("a").alias("na"), F.countDistinct("b").alias("nb"), F.max(F.col("a") != F.col("b")).alias("differs")
-    )
-    checked = close.join(slots, ["doc_id", "item_id"], "left").where("n is null or (n = na and n = nb) or not differs")
-    return checked.select("doc_id", "item_id", "found", "windows", F.coalesce("differs", F.lit(False)).alias("reworded"))
+    sides = met.join(close, ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "found", "windows").agg(F.collect_list(F.struct("row", "pos", "wpos", "islots", "slots")).alias("hits"))
+    return sides.mapInArrow(lambda it: _judged(it, share), "doc_id long, item_id long, found long, windows long, reworded boolean").where("reworded is not null")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -84,6 +84,20 @@ def test_decontamination_with_and_without_the_filter(spark, docs, monkeypatch):
     assert {tuple(r) for r in decontaminate.contaminated(docs, b).collect()} == with_filter
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "In the morning they gave Anna 3 red apples and then some bread, later on they gave Anna 5 red apples and then went back home."
+    other = lambda name, x, y: item.replace("Anna", name).replace("3", x).replace("5", y)
+    rest = " Nobody there had seen the like of it before. "
+    longer = other("Berta", "4", "8").replace("some bread", "some quite old bread")
+    rows = [
+        (1, item), (2, rest + item + rest + "They gave Carl 9 red apples and then left."), (3, other("Berta", "4", "8") + rest + other("Carl", "6", "7")),
+        (4, other("Berta", "4", "4")), (5, longer + rest + other("Carl", "6", "7").replace("some bread", "some very dry bread")),
+        (6, other("Berta", "4", "8")), (6, other("Carl", "6", "7")),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {r.doc_id: r.reworded for r in decontaminate.contaminated(d, b).collect()} == {1: False, 2: False, 3: True, 5: True, 6: True}
+
+
 # ------------------------------------------------------------ 3
 
 

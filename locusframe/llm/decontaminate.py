@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 2): template windows with typed placeholders and slots.
 
 Words lose case and outer punctuation; numbers, names and units become placeholders. A
-name is a capitalised word that does not begin a sentence. Windows of ``WINDOW`` template
+name is a capitalised word; where it begins a sentence it may also be an ordinary word, and
+windows that hold it are hashed in both readings. Windows of ``WINDOW`` template
 words are hashed and joined with the benchmark's; the words that stand in the placeholders
 are then held side by side, for each alignment of a text with an item by itself: one that
 replaces another must do so throughout the occurrence.
@@ -9,6 +10,8 @@ replaces another must do so throughout the occurrence.
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +37,7 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Windows in an output batch.
 BATCH_ROWS = 60_000
 _ORDINARY, _CAPITAL, _NUMBER, _MEASURE = range(4)
-_SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string()))])
+_SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string())), ("either", pa.int64())])
 
 
 class Words(dict):
@@ -58,10 +61,30 @@ class Words(dict):
         return value
 
 
-def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Hashes of all windows (0 where a window has too few ordinary words), which words are slots, and the words.
+@functools.cache
+def _readings(window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each set of places in a window, as bits: how many of its subsets there are but for the empty one, where they begin, and all of them."""
+    subsets = [[m for m in range(1, p + 1) if m & p == m] for p in range(1 << window)]
+    count = np.array([len(x) for x in subsets])
+    return count, np.cumsum(count) - count, np.array([m for x in subsets for m in x], np.int64)
 
-    White space that holds a line feed begins a sentence, as the text's start does.
+
+def _mixed(h: np.ndarray, at: np.ndarray, window: int, either: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows at ``at``; the words whose bits are set in ``either`` are read as names."""
+    total = np.zeros(len(at), np.uint64)
+    for k in range(window):
+        x = h[at + k]
+        if either is not None:
+            x = np.where(either >> k & 1, _NAME, x)
+        total = (total ^ (x >> np.uint64(29)) ^ x) * _MIX + _STEP
+    return total ^ (total >> np.uint64(32))
+
+
+def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes of all windows in all readings, where they begin, which words that begin a sentence are read as names (bits), which words are slots at any rate, and the words.
+
+    Readings with too few ordinary words are left out. White space that holds a line feed
+    begins a sentence, as the text's start does.
     """
     lines = text.split(b"\n")
     raw: list[bytes] = []
@@ -71,7 +94,7 @@ def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndar
         raw += line.split()
     n = len(raw)
     if n < window:
-        return np.zeros(0, np.uint64), np.zeros(n, bool), raw
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, bool), raw
     got = [words[w] for w in raw]
     kind = np.fromiter((g[0] for g in got), np.int8, n)
     ends = np.fromiter((g[1] for g in got), bool, n)
@@ -82,20 +105,32 @@ def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndar
     name = (kind == _CAPITAL) & ~begins[:n]
     h[name], h[kind == _NUMBER], h[kind == _MEASURE] = _NAME, _NUM, _UNIT
     slot = name | (kind == _NUMBER) | (kind == _MEASURE)
-    m = n - window + 1
-    total = np.zeros(m, np.uint64)
-    for k in range(window):
-        total = (total ^ (h[k : k + m] >> np.uint64(29)) ^ h[k : k + m]) * _MIX + _STEP
-    total ^= total >> np.uint64(32)
     plain = np.concatenate([[0], np.cumsum(~slot)])
-    total[plain[window:] - plain[:-window] < min(LITERALS, window)] = 0
-    return total, slot, raw
+    plain = plain[window:] - plain[:-window]
+    at = np.flatnonzero(plain >= min(LITERALS, window))
+    total = _mixed(h, at, window)
+    open_ = (kind == _CAPITAL) & begins[:n]
+    bits = np.zeros(n - window + 1, np.int64)
+    for k in range(window):
+        bits |= open_[k : k + len(bits)].astype(np.int64) << k
+    some = at[bits[at] > 0]
+    either = np.zeros(len(at), np.int64)
+    if len(some):
+        count, first, subsets = _readings(window)
+        c = count[bits[some]]
+        more = np.repeat(some, c)
+        chosen = subsets[np.arange(len(more)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[bits[some]], c)]
+        enough = plain[more] - np.bitwise_count(chosen) >= min(LITERALS, window)
+        more, chosen = more[enough], chosen[enough]
+        total, at, either = np.concatenate([total, _mixed(h, more, window, chosen)]), np.concatenate([at, more]), np.concatenate([either, chosen])
+    return total, at, either, slot, raw
 
 
 def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """``(id, row, pos, h, slots)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given.
+    """``(id, row, pos, h, slots, either)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given.
 
     row: a hash of the text, which tells apart rows that share an id. slots: for each word of the window, what stands in the placeholder, lower-case; null for an ordinary word.
+    either: the places of words that begin a sentence and are read as names here, as bits.
     """
     ship(rows.sparkSession)
     table = None
@@ -109,25 +144,25 @@ def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray |
         for batch in batches:
             found: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                h, slot, raw = windows(text, words, window)
+                h, start, either, slot, raw = windows(text, words, window)
                 if table is None:
-                    at = np.flatnonzero(h)
+                    at = np.arange(len(h))
                 else:
-                    at = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)] & (h != 0))
+                    at = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
                     if len(at):
                         k = np.searchsorted(wanted, h[at])
                         at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == h[at])]
                 row = _signed(xxhash.xxh64_intdigest(text)) if len(at) else 0
-                for p in at.tolist():
-                    slots = [raw[q].strip(PUNCT).decode().lower() if slot[q] else None for q in range(p, p + window)]
-                    found.append((key, row, p, int(h[p].view(np.int64)), slots))
+                for i, p, e in zip(at.tolist(), start[at].tolist(), either[at].tolist()):
+                    slots = [raw[p + q].strip(PUNCT).decode().lower() if slot[p + q] or e >> q & 1 else None for q in range(window)]
+                    found.append((key, row, p, int(h[i].view(np.int64)), slots, e))
                 if len(found) >= BATCH_ROWS:
                     yield _batch(found)
                     found = []
             if found:
                 yield _batch(found)
 
-    return rows.mapInArrow(run, "id long, row long, pos long, h long, slots array<string>")
+    return rows.mapInArrow(run, "id long, row long, pos long, h long, slots array<string>, either long")
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
@@ -151,36 +186,56 @@ def _joined(pairs: Iterable[tuple[str, str]], ahead: dict[str, str], back: dict[
 def occurrence(hits: Iterable[tuple], need: float) -> bool | None:
     """Is there an occurrence with ``need`` windows of the item, and is it reworded; None if there is none.
 
-    hits: (row, pos, wpos, islots, slots). Windows whose slots are the item's are an
+    hits: (row, pos, wpos, islots, slots, either). Windows whose slots are the item's are an
     occurrence, whatever else the document says. Otherwise the hits of one alignment (same
     row and pos - wpos) must agree on a one-to-one mapping of the slots. Each alignment in
     turn, the fullest first, is extended by the others, the nearest first, that agree with
     what it has, as words put in or left out shift an item's alignment; those that
     contradict it belong to another occurrence.
+
+    ``either`` has bits for words that begin a sentence in one of the texts and are read as
+    names. Of the readings of a window the one with the fewest of them counts, and since such
+    a word may be no name, a window that contradicts the rest by it is only not found.
     """
-    hits = sorted(set(hits), key=lambda x: x[:3])
-    if len({w for _, _, w, a, b in hits if a == b}) >= need:
+    best: dict[tuple, tuple] = {}
+    same = set()
+    for row, pos, w, a, b, either in sorted(set(hits), key=lambda x: (*x[:3], x[5].bit_count(), x[5])):
+        if a == b:
+            same.add(w)
+        best.setdefault((row, pos, w), (a, b, either))
+    if len(same) >= need:
         return False
-    lines: dict[tuple[int, int], tuple[set, set]] = {}
-    for row, pos, w, a, b in hits:
-        seen, pairs = lines.setdefault((row, pos - w), (set(), set()))
-        seen.add(w)
-        pairs.update((x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None)
-    lines = {k: v for k, v in lines.items() if _joined(v[1], {}, {})}
-    if len(set().union(*(seen for seen, _ in lines.values()))) < need:
+    sure: dict[tuple[int, int], tuple[set, set]] = {}
+    unsure: dict[tuple[int, int], list] = {}
+    for (row, pos, w), (a, b, either) in best.items():
+        seen, pairs = sure.setdefault((row, pos - w), (set(), set()))
+        got = tuple((x, y) for x, y in zip(a, b, strict=True) if x is not None and y is not None)
+        if either:
+            unsure.setdefault((row, pos - w), []).append((w, got))
+        else:
+            seen.add(w)
+            pairs.update(got)
+    distinct: dict[tuple, tuple] = {}  # alignments that show the same windows and slots are one
+    for key, (seen, pairs) in sure.items():
+        if _joined(pairs, {}, {}):
+            more = unsure.get(key, [])
+            often = Counter(x for _, got in more for x in got)
+            # what most windows say comes first
+            more = sorted(more, key=lambda x: (-min(often[y] for y in x[1]), x[0]))
+            distinct[frozenset(seen), frozenset(pairs), tuple(more)] = (key, [(seen, pairs)], [({w}, got) for w, got in more])
+    lines = list(distinct.values())
+    if len({w for _, first, more in lines for seen, _ in first + more for w in seen}) < need:
         return None
-    # alignments that show the same windows and slots are one
-    distinct = list({(frozenset(seen), frozenset(pairs)): (k, seen, pairs) for k, (seen, pairs) in lines.items()}.values())
-    for (row, at), seen, pairs in sorted(distinct, key=lambda x: -len(x[1])):
-        held, ahead, back = set(seen), {}, {}
-        _joined(pairs, ahead, back)
-        for _, more, other in sorted(distinct, key=lambda x: (x[0][0] != row, abs(x[0][1] - at))):
-            if len(held) >= need:
-                break
-            if not more <= held and _joined(other, ahead, back):
-                held |= more
-        if len(held) >= need:
-            return any(a != b for a, b in ahead.items())
+    for (row, at), _, _ in sorted(lines, key=lambda x: (-len(x[1][0][0]) - len(x[2]), x[0])):
+        near = sorted(lines, key=lambda x: (x[0][0] != row, abs(x[0][1] - at), x[0]))
+        # all that is sure before what isn't, or one alignment after the other
+        for parts in ([x for line in near for x in line[1]] + [x for line in near for x in line[2]], [x for line in near for x in line[1] + line[2]]):
+            held, ahead, back = set(), {}, {}
+            for seen, pairs in parts:
+                if not seen <= held and _joined(pairs, ahead, back):
+                    held |= seen
+                    if len(held) >= need:
+                        return any(a != b for a, b in ahead.items())
     return None
 
 
@@ -208,20 +263,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     """
     item = cut(
         template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), window)
-        .where("pos > 0 and id is not null").groupBy("id", F.col("pos").alias("wpos"), "h").agg(F.first("slots").alias("islots")),
+        .where("pos > 0 and id is not null").groupBy("id", F.col("pos").alias("wpos"), "h").agg(F.first("slots").alias("islots"), F.first("either").alias("ieither")),
         "benchmark-windows",
     )
     distinct = item.select("h").distinct()
     n = distinct.count()
     wanted = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64) if n <= FILTER_HASHES else None
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots")
+    hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots", "either")
     hits = cut(hits, "benchmark-hits") if wanted is not None else hits
     met = hits.join(item.withColumnRenamed("id", "item_id"), "h")
     size = item.groupBy(F.col("id").alias("sid")).agg(F.countDistinct("wpos").alias("windows"))
     seen = met.groupBy("doc_id", "item_id").agg(F.countDistinct("wpos").alias("found"))
     close = seen.join(size, F.col("item_id") == F.col("sid")).where(F.col("found") >= share * F.col("windows")).select("doc_id", "item_id", "found", "windows")
-    sides = met.join(close, ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "found", "windows").agg(F.collect_list(F.struct("row", "pos", "wpos", "islots", "slots")).alias("hits"))
+    sides = met.join(close, ["doc_id", "item_id"]).groupBy("doc_id", "item_id", "found", "windows").agg(F.collect_list(F.struct("row", "pos", "wpos", "islots", "slots", F.col("either").bitwiseOR(F.col("ieither")).alias("either"))).alias("hits"))
     return sides.mapInArrow(lambda it: _judged(it, share), "doc_id long, item_id long, found long, windows long, reworded boolean").where("reworded is not null")
 
 

@@ -98,6 +98,18 @@ def test_decontamination_judges_each_occurrence(spark):
     assert {r.doc_id: r.reworded for r in decontaminate.contaminated(d, b).collect()} == {1: False, 2: False, 3: True, 5: True, 6: True}
 
 
+def test_decontamination_reads_names_at_sentence_starts(spark):
+    item = "Once there was a farm. Tom has 3 apples in a basket. Tom gives 2 apples to his sister. Tom then buys 7 apples at the market. How many apples does Tom have now?"
+    other = item.replace("Tom", "Jim")
+    odd = "Every evening the old clock strikes. Then 4 birds sing in the garden. Then the dog barks at 9 cats. After that Bill goes to sleep until the early morning comes and the sun shines on the wet roof of the barn."
+    rows = [
+        (1, other), (2, item.replace(" Tom", "\nTom")), (3, other.replace("basket. Jim", "basket, Jim").replace("sister. Jim", "sister\nJim")),
+        (4, odd.replace("Bill", "Will").replace("Then the", "Now the")), (5, other.replace("Jim gives", "Ann gives").replace("Jim then", "Bob then")),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(8, odd), (9, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.reworded for r in decontaminate.contaminated(d, b).collect()} == {(1, 9): True, (2, 9): False, (3, 9): True, (4, 8): True}
+
+
 # ------------------------------------------------------------ 3
 
 

@@ -1,6 +1,6 @@
 """Substring dedup (operator 3): repeated paragraphs and passages.
 
-Paragraphs (lines of ``LEAST_WORDS`` words or more) are banded by MinHash over five-word
+Paragraphs (lines of ``SHINGLE`` words or more) are banded by MinHash over five-word
 shingles; paragraphs that collide in a band are compared by exact Jaccard similarity, and
 removals follow the connected components. A passage inside a longer paragraph leaves that
 paragraph unlike any other, which no banding of paragraphs can see: so texts are also cut
@@ -25,7 +25,9 @@ from locusframe.llm.lm import _spread, _squeeze
 from locusframe.operators.components import components
 from locusframe.plans.runtime import cut, ship
 
-SHINGLE, SIMILARITY, LEAST_WORDS = 5, 0.8, 28
+#: Words of a passage, at least; a paragraph needs one shingle.
+LEAST_WORDS = 28
+SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares one of 12 bands of 4 with probability 0.998.
 BANDS, ROWS = 12, 4
 #: Paragraphs of a band that are compared pair by pair, at most. In larger groups each is first compared with the two nearest in order
@@ -169,7 +171,7 @@ def _across(sets: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("x_h", "y_h").alias("a"), F.greatest("x_h", "y_h").alias("b")).distinct()
 
 
-def paragraph_classes(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def paragraph_classes(docs: DataFrame, least: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``(doc_id, start, end, n_words, class_id)`` for paragraphs that have an equal or similar one in another document.
 
     Equal paragraphs are one from the start, so a paragraph that is everywhere costs one
@@ -359,10 +361,10 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS, similarity: float = SIMIL
     """``(doc_id, start, end, n_words, class_id, kind, removed)``: the repeated paragraphs and passages of docs.
 
     Places are code points, end exclusive. ``removed``: not in the document of the smallest
-    id. Null texts and texts of fewer than ``least`` words have none; rows of null id are
+    id. Passages have ``least`` words or more, paragraphs ``SHINGLE``. Null texts have none; rows of null id are
     left out; rows that share a doc_id count as one document, and what a document repeats
     only within itself is left alone.
     """
-    rows = paragraph_classes(docs, least, similarity).withColumn("kind", F.lit("paragraph"))
+    rows = paragraph_classes(docs, similarity=similarity).withColumn("kind", F.lit("paragraph"))
     rows = rows.union(passage_classes(docs, least).withColumn("kind", F.lit("passage")))
     return rows.withColumn("removed", F.col("doc_id") > F.col("class_id"))

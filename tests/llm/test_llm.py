@@ -134,6 +134,13 @@ def test_repeats(spark):
     assert substring.repeats(d.limit(0)).count() == 0 and substring.repeats(d.where("doc_id is null")).count() == 0
 
 
+def test_short_lines_repeat(spark):
+    verse = ["the moon goes down behind the hill", "and all the birds are still tonight my friend", "no wind is in the trees"]
+    rows = [(k, "\n".join([f"own words of text {k} alone {k * 7}", v, f"other words {k} that no other text has"])) for k, v in enumerate(verse * 2)] + [(9, verse[2]), (10, "four words are few"), (11, "four words are few")]
+    got = {(r.doc_id, r.class_id, r.kind, r.removed) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(k, k % 3, "paragraph", k > 2) for k in range(6)} | {(9, 2, "paragraph", True)}
+
+
 def test_large_band_groups_lose_no_link(spark, monkeypatch):
     """With groups of more than four taken as large, the classes are those of all pairs compared."""
     monkeypatch.setattr(substring, "PAIRWISE", 4)

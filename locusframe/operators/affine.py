@@ -26,11 +26,12 @@ class Scores:
         return max(self.open1 + self.extend1 * n, self.open2 + self.extend2 * n) if n else 0.0
 
 
-def align(a: str, b: str, s: Scores = Scores()) -> tuple[str, str, float]:
+def align(a: str, b: str, s: Scores = Scores(), free_end: bool = False) -> tuple[str, str, float]:
     """L1: a best global alignment, row by row; the gaps along a row come from a running maximum.
 
     Of equal ways the traceback takes a pair first, then a gap in ``b``, then one in ``a``. Memory is a
-    few tables of len(a) x len(b); callers bound the product (see :func:`align_pairs`).
+    few tables of len(a) x len(b); callers bound the product (see :func:`align_pairs`). ``free_end``: the
+    alignment ends where one of the two is used up, at the best such place (of equal ones the farthest).
     """
     n, m = len(a), len(b)
     x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
@@ -56,7 +57,9 @@ def align(a: str, b: str, s: Scores = Scores()) -> tuple[str, str, float]:
             e[k][i, 1:] = reach[:-1] + o + ext * j[1:]
             row = np.maximum(row, e[k][i])
         h[i] = row
-    i, k2, out_a, out_b = n, m, [], []
+    ends = [(n, k) for k in range(m + 1)] + [(k, m) for k in range(n)] if free_end else [(n, m)]
+    end = max(ends, key=lambda p: (h[p], p[0] + p[1]))
+    (i, k2), out_a, out_b = end, [], []
     near = lambda p, q: abs(p - q) <= 1e-9 * max(1, abs(p))
     while i or k2:
         if i and k2 and near(h[i, k2], h[i - 1, k2 - 1] + (s.match if a[i - 1] == b[k2 - 1] else s.mismatch)):
@@ -82,17 +85,26 @@ def align(a: str, b: str, s: Scores = Scores()) -> tuple[str, str, float]:
                     out_a.append("-")
                     out_b.append(b[k2])
                 break
-    return "".join(reversed(out_a)), "".join(reversed(out_b)), float(h[n, m])
+    return "".join(reversed(out_a)), "".join(reversed(out_b)), float(h[end])
 
 
 def chunked(a: str, b: str, s: Scores, cells: int) -> tuple[str, str, float]:
-    """Beyond ``cells``, chunks of equal size are aligned one after the other and the tail is one gap."""
-    if (len(a) + 1) * (len(b) + 1) <= cells:
-        return align(a, b, s)
+    """Beyond ``cells``, windows of equal size are aligned with a free end, each from where the last one ended; what fits is aligned to the end."""
     w = max(1, int(cells**0.5) - 1)
-    rows = [align(a[k : k + w], b[k : k + w], s)[:2] for k in range(0, max(len(a), len(b)), w)]
-    x, y = ("".join(r[k] for r in rows) for k in (0, 1))
-    return x, y, score_rows(x, y, s)
+    i, j, x, y = 0, 0, [], []
+    while i < len(a) and j < len(b) and (len(a) - i + 1) * (len(b) - j + 1) > cells:
+        p, q, _ = align(a[i : i + w], b[j : j + w], s, free_end=True)
+        i, j = i + len(p) - p.count("-"), j + len(q) - q.count("-")
+        x.append(p)
+        y.append(q)
+    if not x:
+        return align(a, b, s)
+    if i < len(a) and j < len(b):
+        p, q, _ = align(a[i:], b[j:], s)
+    else:
+        p, q = a[i:] + "-" * (len(b) - j), "-" * (len(a) - i) + b[j:]
+    rows = "".join([*x, p]), "".join([*y, q])
+    return *rows, score_rows(*rows, s)
 
 
 def score_rows(a: str, b: str, s: Scores = Scores()) -> float:

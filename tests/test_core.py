@@ -136,6 +136,16 @@ def test_alignment_is_best_of_all():
             assert v == pytest.approx(brute_align(a, b, s)) and affine.score_rows(x, y, s) == pytest.approx(v)
 
 
+def test_windows_follow_an_insertion():
+    rng = random.Random(5)
+    a = "".join(rng.choices("ACGT", k=700))
+    s = affine.Scores()
+    for b in (a[:50] + "".join(rng.choices("ACGT", k=30)) + a[50:], a[:50] + a[80:]):
+        for p, q in ((a, b), (b, a)):
+            x, y, v = affine.chunked(p, q, s, 10_000)
+            assert (x.replace("-", ""), y.replace("-", "")) == (p, q) and v == affine.score_rows(x, y, s) == s.gap(30)
+
+
 def test_align_pairs(spark):
     d = spark.createDataFrame([(1, "NNN", "ACGTA"), (2, "ACGT", "ACGT"), (3, None, "AC")], "id long, a string, b string")
     got = {r.id: tuple(r)[1:] for r in affine.align_pairs(d).collect()}

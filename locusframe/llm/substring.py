@@ -5,7 +5,8 @@ shingles; paragraphs that collide in a band are compared by exact Jaccard simila
 removals follow the connected components. A passage inside a longer paragraph leaves that
 paragraph unlike any other, which no banding of paragraphs can see: so texts are also cut
 at places that their own words choose (minima of a rolling hash), and runs of segments
-that stand in other documents too are passages, by equality.
+that stand in other documents too are passages, by equality. Segments at the ends of a
+passage are cut by what surrounds it, so those under about 50 words are often missed.
 """
 
 from __future__ import annotations

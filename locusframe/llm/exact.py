@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import BLANKS
+from locusframe.llm.common import BLANKS, by_key, drop_rows, keyed, surplus
 from locusframe.plans.runtime import cut
 
 #: Code points in a block.
@@ -107,15 +107,11 @@ def exact_classes(docs: DataFrame, block: int = BLOCK, hashed=F.xxhash64) -> Dat
 
 
 def exact_dedup(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (see :func:`exact_classes`); all columns stay."""
-    classes = cut(exact_classes(docs, block), "classes")
-    twice = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_rows").alias("r")).where("n > 1 or r > 1").limit(1).count()
-    if not twice:  # ids are unique: they alone name the rows to drop
-        gone = cut(classes.where("not kept").select(F.col("doc_id").alias("_drop")), "dropped")
-        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_drop"]), "left_anti")
-    stay = classes.where("kept").select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"))
-    sha = F.unhex(F.sha2(normalised(docs["text"]), 256))
-    same = docs["doc_id"].cast("long").eqNullSafe(stay["_id"])
-    rows = docs.join(stay, same & (sha == stay["_sha"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(rows["doc_id"], F.sha2(normalised(rows["text"]), 256)).orderBy(F.lit(1)))
-    return rows.withColumn("_nth_of_row", nth).where("_nth_of_row = 1").drop("_nth_of_row")
+    """``docs`` with one row of each group of equal texts: the one of smallest doc_id, null last, of equals the first.
+
+    Every row is judged by its own text, whatever its id. All columns stay, and none of
+    theirs is touched. An empty table gives an empty result.
+    """
+    rows, key = keyed(docs)
+    classes = exact_classes(by_key(rows, key), block).select("doc_id", F.col("keep_id").alias("grp"))
+    return drop_rows(rows, key, surplus(classes, rows, key), "dropped")

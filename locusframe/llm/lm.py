@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod_py, id_text, texts
+from locusframe.llm.common import crc_mod_py, id_text, spread, squeeze, texts
 from locusframe.plans.runtime import cut, ship
 
 #: UTF-8 bytes of text in a chunk (a longer document is a chunk by itself), and n-grams in a range of hashes, about.
@@ -38,19 +38,6 @@ _END, _START = b" ", b"  "  # no word holds a space
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
 
-def _squeeze(a: np.ndarray) -> bytes:
-    """Numbers as bytes, planes of equal significance together, compressed; length first."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
-    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def _spread(b: bytes, kind) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    width = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(b[8:], n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
-
-
 class _Index(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -70,8 +57,8 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, held_out: tuple[int, i
         n, t = np.array(lens, np.int32), np.array(train, bool)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_squeeze(n)], pa.binary()), pa.array([_squeeze(t)], pa.binary()),
-                pa.array([_squeeze(np.concatenate(parts))], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([int(n[t].sum())]), pa.array([int(t.sum())]),
+                pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([squeeze(n)], pa.binary()), pa.array([squeeze(t)], pa.binary()),
+                pa.array([squeeze(np.concatenate(parts))], pa.binary()), pa.array([words.tobytes()], pa.binary()), pa.array([int(n[t].sum())]), pa.array([int(t.sum())]),
             ],
             ["chunk", "ids", "lens", "train", "tokens", "words", "n_train", "d_train"],
         )
@@ -100,9 +87,9 @@ class _Chunk:
     """A chunk read back: per token its word, the word before it, and its place among the distinct pairs."""
 
     def __init__(self, lens: bytes, train: bytes, tokens: bytes, words: bytes):
-        self.lens = _spread(lens, np.int32)
-        self.train = _spread(train, bool)
-        self.tokens = _spread(tokens, np.int32)
+        self.lens = spread(lens, np.int32)
+        self.train = spread(train, bool)
+        self.tokens = spread(tokens, np.int32)
         self.words = np.frombuffer(words, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(self.lens)[:-1]]).astype(np.int64)
         self.before = np.empty_like(self.tokens)
@@ -138,7 +125,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
                 at, rows = 0, []
                 for part, end in enumerate(ends.tolist()):
                     if end > at:
-                        rows.append((kind, part, chunk, h[at:end].tobytes(), _squeeze(n[at:end])))
+                        rows.append((kind, part, chunk, h[at:end].tobytes(), squeeze(n[at:end])))
                     at = end
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "chunk", "hashes", "counts"])
 
@@ -149,7 +136,7 @@ _ANSWER = "kind int, part int, chunk long, totals binary, n_distinct long"
 def _answer(asked: pa.Table) -> pa.Table:
     """Of one range of hashes: the totals over all chunks, for each chunk in its order; and how many n-grams have any."""
     hashes = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
-    counts = np.concatenate([_spread(x, np.uint32) for x in asked["counts"].to_pylist()])
+    counts = np.concatenate([spread(x, np.uint32) for x in asked["counts"].to_pylist()])
     distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(inverse, counts, len(distinct))
     mine = np.split(totals[inverse].astype(np.int64), np.cumsum([len(h) for h in hashes])[:-1])
@@ -157,7 +144,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     return pa.table(
         [
             pa.chunked_array([pa.array([asked["kind"][0].as_py()] * n, pa.int32())]), pa.array([asked["part"][0].as_py()] * n, pa.int32()), asked["chunk"].combine_chunks(),
-            pa.array([_squeeze(m) for m in mine], pa.binary()), pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64()),
+            pa.array([squeeze(m) for m in mine], pa.binary()), pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64()),
         ],
         ["kind", "part", "chunk", "totals", "n_distinct"],
     )
@@ -170,7 +157,7 @@ def _known(left: pa.Table, right: pa.Table) -> tuple[_Chunk, np.ndarray, np.ndar
     got = sorted(zip(*(right[x].to_pylist() for x in ("kind", "part", "totals")), strict=True))
     found = []
     for kind in (0, 1):
-        parts = [_spread(t, np.int64) for k, _, t in got if k == kind]
+        parts = [spread(t, np.int64) for k, _, t in got if k == kind]
         totals = np.empty(len(c.hashes[kind]), np.int64)
         totals[np.argsort(c.hashes[kind], kind="stable")] = np.concatenate(parts)
         found.append(totals)

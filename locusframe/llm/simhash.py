@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import drop_rows, id_text, out, texts
+from locusframe.llm.common import by_key, drop_rows, id_text, keyed, out, signed, surplus, texts
 from locusframe.operators.components import components
 from locusframe.plans.runtime import cut, ship
 
@@ -52,14 +52,10 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > m).tobytes(), "big")
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        yield from out(_SCHEMA, [(i, _signed(fingerprint(t))) for i, t in zip(ids, texts(batch))])
+        yield from out(_SCHEMA, [(i, signed(fingerprint(t))) for i, t in zip(ids, texts(batch))])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -71,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _masks(blocks: int, distance: int) -> list[int]:
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
     parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    return [_signed(sum(c)) for c in combinations(parts, blocks - distance)]
+    return [signed(sum(c)) for c in combinations(parts, blocks - distance)]
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -137,13 +133,15 @@ def simhash_classes(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLO
 
 
 def simhash_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each near-duplicate component: the one of smallest id.
+    """``docs`` with one row of each near-duplicate component: the one of smallest doc_id.
 
-    Rows that share a doc_id count as one document and stay or go together.
+    Every row is judged by its own text, whatever its id: rows that share an id or have
+    none (null last in the order) are told apart by :func:`locusframe.llm.common.keyed`.
+    All columns stay. An empty table gives an empty result.
     """
-    classes = simhash_classes(docs)
-    gone = cut(classes.where("not doc_id <=> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "near-dropped")
-    return drop_rows(docs, gone)
+    rows, key = keyed(docs)
+    classes = simhash_classes(by_key(rows, key)).select("doc_id", F.col("component_id").alias("grp"))
+    return drop_rows(rows, key, surplus(classes, rows, key), "near-dropped")
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -20,9 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import id_text, texts
-from locusframe.llm.simhash import _signed
-from locusframe.llm.lm import _spread, _squeeze
+from locusframe.llm.common import id_text, signed, spread, squeeze, texts
 from locusframe.operators.components import components
 from locusframe.plans.runtime import cut, ship
 
@@ -97,7 +95,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(w.h)]):
                 if b - a >= least:
                     s = _rolled(w.h[a:b], SHINGLE)
-                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, _signed(xxhash.xxh64_intdigest(w.h[a:b].tobytes())), np.unique(s)))
+                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, signed(xxhash.xxh64_intdigest(w.h[a:b].tobytes())), np.unique(s)))
         for k in range(0, len(rows), 512):
             part = rows[k : k + 512]
             shingles = np.concatenate([r[5] for r in part])
@@ -260,7 +258,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 
     def emit() -> pa.RecordBatch:
         starts, ends, sizes, h = (np.concatenate(x) for x in zip(*(p[1:] for p in parts)))
-        cells = [_squeeze(np.array([p[0] for p in parts], np.int32)), *(_squeeze(x.astype(np.int32)) for x in (starts, ends, sizes)), h.tobytes()]
+        cells = [squeeze(np.array([p[0] for p in parts], np.int32)), *(squeeze(x.astype(np.int32)) for x in (starts, ends, sizes)), h.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([c], pa.binary()) for c in cells)], ["chunk", "ids", "counts", "starts", "ends", "sizes", "hashes"])
 
     for batch in batches:
@@ -287,7 +285,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
     for batch in batches:
         for r in batch.to_pylist():
             h = np.frombuffer(r["hashes"], np.uint64)
-            doc = _owners(r["ids"], _spread(r["counts"], np.int32))
+            doc = _owners(r["ids"], spread(r["counts"], np.int32))
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
             new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -296,7 +294,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
             at, rows = 0, []
             for part, end in enumerate(ends.tolist()):
                 if end > at:
-                    rows.append((part, r["chunk"], h[at:end].tobytes(), _squeeze(low[at:end]), _squeeze(high[at:end])))
+                    rows.append((part, r["chunk"], h[at:end].tobytes(), squeeze(low[at:end]), squeeze(high[at:end])))
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "chunk", "hashes", "low", "high"])
 
@@ -304,7 +302,7 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
 def _answer(asked: pa.Table) -> pa.Table:
     """For each segment of each chunk: is it in more than one document, and which is the first of them."""
     hashes = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
-    low, high = (np.concatenate([_spread(x, np.int64) for x in asked[c].to_pylist()]) for c in ("low", "high"))
+    low, high = (np.concatenate([spread(x, np.int64) for x in asked[c].to_pylist()]) for c in ("low", "high"))
     distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     first, last = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(first, inverse, low)
@@ -313,20 +311,20 @@ def _answer(asked: pa.Table) -> pa.Table:
     again, owner = np.split((first < last)[inverse], cuts), np.split(first[inverse], cuts)
     n = len(hashes)
     return pa.table(
-        [pa.array([asked["part"][0].as_py()] * n, pa.int32()), asked["chunk"].combine_chunks(), pa.array([_squeeze(a) for a in again], pa.binary()), pa.array([_squeeze(o[a]) for o, a in zip(owner, again)], pa.binary())],
+        [pa.array([asked["part"][0].as_py()] * n, pa.int32()), asked["chunk"].combine_chunks(), pa.array([squeeze(a) for a in again], pa.binary()), pa.array([squeeze(o[a]) for o, a in zip(owner, again)], pa.binary())],
         ["part", "chunk", "again", "owner"],
     )
 
 
 def _runs(left: pa.Table, right: pa.Table, least: int) -> pa.Table:
     r = left.to_pylist()[0]
-    h, counts = np.frombuffer(r["hashes"], np.uint64), _spread(r["counts"], np.int32)
-    starts, ends, sizes = (_spread(r[c], np.int32).astype(np.int64) for c in ("starts", "ends", "sizes"))
+    h, counts = np.frombuffer(r["hashes"], np.uint64), spread(r["counts"], np.int32)
+    starts, ends, sizes = (spread(r[c], np.int32).astype(np.int64) for c in ("starts", "ends", "sizes"))
     got = sorted(zip(right["part"].to_pylist(), right["again"].to_pylist(), right["owner"].to_pylist()))
     distinct, inverse = np.unique(h, return_inverse=True)
-    again = np.concatenate([_spread(a, bool) for _, a, _ in got])
+    again = np.concatenate([spread(a, bool) for _, a, _ in got])
     owner = np.zeros(len(distinct), np.int64)
-    owner[again] = np.concatenate([_spread(o, np.int64) for _, _, o in got])
+    owner[again] = np.concatenate([spread(o, np.int64) for _, _, o in got])
     hit, owner = again[inverse], owner[inverse]
     doc = np.repeat(np.arange(len(counts)), counts)
     n = len(hit)

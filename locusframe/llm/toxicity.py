@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod, drop_rows, id_text, out, texts
+from locusframe.llm.common import by_key, crc_mod, drop_rows, id_text, keyed, out, texts
 from locusframe.plans.runtime import cut, ship
 
 #: Labelled rows that models are fitted on, at most; lexicon entries, at most.
@@ -193,10 +193,11 @@ def _featured(batches: Iterator[pa.RecordBatch], coder: Coder) -> Iterator[tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows (those of smallest hash of the id).
+    """Fit on at most ``sample`` labelled documents (those of smallest hash of the id).
 
-    An id labelled more than once is toxic if one label says so; null labels and ids are
-    left out. Without labels, or with labels of one kind, the score is a constant.
+    An id labelled more than once is toxic if one label says so; of several texts of an id
+    one is learned from; null labels and ids are left out. Without labels, or with labels
+    of one kind, the score is a constant.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -205,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = cut(known.orderBy(F.xxhash64("lid"), "lid").limit(sample), "toxic-labels")  # at most `sample` small rows
     part = F.pmod(F.xxhash64("lid", F.lit(1)), F.lit(10))
     rows = id_text(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("lid")).select("doc_id", "text", "toxic", part.alias("part"))
-    rows = cut(rows, "toxic-sample")
+    one = rows.groupBy("doc_id", "toxic", "part").agg(F.max_by("text", F.xxhash64("text")).alias("text"))  # an id may have any number of rows
+    rows = cut(one.select("doc_id", "text", "toxic", "part"), "toxic-sample")
     n, ones = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or ones in (0, n):
         return Model({}, prior=float(ones / n) if n else 0.0)
@@ -213,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, toxic in zip(texts(batch), batch.column(1).to_pylist(), strict=True):
-                found = {u for raw in set(t.decode().lower().split()) if len(raw) <= 64 for u in units(raw.strip(PUNCT)) if u}
+                found = {u for raw in set(t.decode().lower().split()) for u in units(raw.strip(PUNCT)) if u}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([toxic] * len(found), pa.int32())], ["unit", "toxic"])
 
     first = rows.where("part < 5")
@@ -263,9 +265,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents scored ``threshold`` or more; all columns stay.
+    """``docs`` without the rows whose text scores ``threshold`` or more; all columns stay.
 
-    Rows of one doc_id stay or go together.
+    Every row is judged by its own text, whatever its id (null and shared ids included).
     """
-    gone = cut(toxicity(docs, labels, threshold).where("predicted = 1").select(F.col("doc_id").alias("_drop")).distinct(), "toxic-dropped")
-    return drop_rows(docs, gone)
+    model = fit(docs, labels)
+    rows, key = keyed(docs)
+    toxic = score(by_key(rows, key), model).where(F.col("score") >= threshold)
+    return drop_rows(rows, key, toxic.select(F.col("doc_id").alias("_drop")), "toxic-dropped")

@@ -5,7 +5,10 @@ name is a capitalised word; where it begins a sentence it may also be an ordinar
 windows that hold it are hashed in both readings. Windows of ``WINDOW`` template
 words are hashed and joined with the benchmark's; the words that stand in the placeholders
 are then held side by side, for each alignment of a text with an item by itself: one that
-replaces another must do so throughout the occurrence.
+replaces another must do so throughout the occurrence. Windows of little but placeholders
+say too much of any text as templates, so they are compared word for word; they count for
+items that consist mostly of them. Items of fewer words than a window are compared
+sentence by sentence, word for word.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import drop_rows, texts
-from locusframe.llm.simhash import _signed
+from locusframe.llm.common import by_key, drop_rows, keyed, signed, texts
 from locusframe.plans.runtime import cut, ship
 
 #: Words in a window, share of an item's windows that must be found, and ordinary words that a window needs.
@@ -32,6 +35,8 @@ FILTER_HASHES = 2_000_000
 UNITS = frozenset("km m cm mm mi mile miles ft foot feet inch inches kg g mg lb lbs pound pounds oz ounce ounces t ton tons l ml litre litres liter liters gallon gallons h hr hour hours min minute minutes s sec second seconds day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh".split())
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(s)) for s in (b"<num>", b"<name>", b"<unit>"))
+#: What a hash is of: a template window, a window word for word, a whole sentence of fewer words.
+_TEMPLATE, _LITERAL, _SENTENCE = range(3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Windows in an output batch.
@@ -69,9 +74,9 @@ def _readings(window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return count, np.cumsum(count) - count, np.array([m for x in subsets for m in x], np.int64)
 
 
-def _mixed(h: np.ndarray, at: np.ndarray, window: int, either: np.ndarray | None = None) -> np.ndarray:
+def _mixed(h: np.ndarray, at: np.ndarray, window: int, either: np.ndarray | None = None, kind: int = _TEMPLATE) -> np.ndarray:
     """Hashes of the windows at ``at``; the words whose bits are set in ``either`` are read as names."""
-    total = np.zeros(len(at), np.uint64)
+    total = np.full(len(at), kind, np.uint64)
     for k in range(window):
         x = h[at + k]
         if either is not None:
@@ -80,12 +85,33 @@ def _mixed(h: np.ndarray, at: np.ndarray, window: int, either: np.ndarray | None
     return total ^ (total >> np.uint64(32))
 
 
-def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Hashes of all windows in all readings, where they begin, which words that begin a sentence are read as names (bits), which words are slots at any rate, and the words.
+class Windows(NamedTuple):
+    """Of a text: hashes in all readings, where they begin, which words that begin a sentence are read as names (bits),
+    what each hash is of, which words are slots at any rate, where sentences begin and end, and the words."""
 
-    Readings with too few ordinary words are left out. White space that holds a line feed
-    begins a sentence, as the text's start does.
-    """
+    h: np.ndarray
+    at: np.ndarray
+    either: np.ndarray
+    kind: np.ndarray
+    slot: np.ndarray
+    bounds: np.ndarray
+    raw: list[bytes]
+
+    def size(self, i: int, window: int) -> int:
+        """Words of the ``i``-th hash."""
+        return window if self.kind[i] != _SENTENCE else int(self.bounds[np.searchsorted(self.bounds, self.at[i]) + 1] - self.at[i])
+
+    def of_item(self, window: int) -> np.ndarray:
+        """Which hashes stand for a benchmark item: its templates if they are half of its windows or more, else all windows; its sentences if it has fewer words."""
+        if len(self.raw) < window:
+            return np.flatnonzero(self.kind == _SENTENCE)
+        template = self.kind == _TEMPLATE
+        enough = 2 * len(np.unique(self.at[template])) >= len(self.raw) - window + 1
+        return np.flatnonzero(template if enough else self.kind != _SENTENCE)
+
+
+def windows(text: bytes, words: Words, window: int) -> Windows:
+    """The windows of a text. White space that holds a line feed begins a sentence, as the text's start does."""
     lines = text.split(b"\n")
     raw: list[bytes] = []
     starts = []
@@ -93,8 +119,6 @@ def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndar
         starts.append(len(raw))
         raw += line.split()
     n = len(raw)
-    if n < window:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n, bool), raw
     got = [words[w] for w in raw]
     kind = np.fromiter((g[0] for g in got), np.int8, n)
     ends = np.fromiter((g[1] for g in got), bool, n)
@@ -102,32 +126,47 @@ def windows(text: bytes, words: Words, window: int) -> tuple[np.ndarray, np.ndar
     begins = np.zeros(n + 1, bool)
     begins[1:] = ends
     begins[[s for s in starts if s < n]] = True
+    begins[n] = True
+    bounds = np.flatnonzero(begins)
+    sizes = np.diff(bounds)
+    parts = []
+    for size in range(1, window):
+        at = bounds[:-1][sizes == size]
+        if len(at):
+            parts.append((_mixed(h, at, size, kind=_SENTENCE), at, np.zeros(len(at), np.int64), _SENTENCE))
     name = (kind == _CAPITAL) & ~begins[:n]
-    h[name], h[kind == _NUMBER], h[kind == _MEASURE] = _NAME, _NUM, _UNIT
     slot = name | (kind == _NUMBER) | (kind == _MEASURE)
-    plain = np.concatenate([[0], np.cumsum(~slot)])
-    plain = plain[window:] - plain[:-window]
-    at = np.flatnonzero(plain >= min(LITERALS, window))
-    total = _mixed(h, at, window)
-    open_ = (kind == _CAPITAL) & begins[:n]
-    bits = np.zeros(n - window + 1, np.int64)
-    for k in range(window):
-        bits |= open_[k : k + len(bits)].astype(np.int64) << k
-    some = at[bits[at] > 0]
-    either = np.zeros(len(at), np.int64)
-    if len(some):
-        count, first, subsets = _readings(window)
-        c = count[bits[some]]
-        more = np.repeat(some, c)
-        chosen = subsets[np.arange(len(more)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[bits[some]], c)]
-        enough = plain[more] - np.bitwise_count(chosen) >= min(LITERALS, window)
-        more, chosen = more[enough], chosen[enough]
-        total, at, either = np.concatenate([total, _mixed(h, more, window, chosen)]), np.concatenate([at, more]), np.concatenate([either, chosen])
-    return total, at, either, slot, raw
-
-
-def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None) -> DataFrame:
-    """``(id, row, pos, h, slots, either)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given.
+    if n >= window:
+        plain = np.concatenate([[0], np.cumsum(~slot)])
+        plain = plain[window:] - plain[:-window]
+        least = min(LITERALS, window)
+        at = np.flatnonzero(plain < least)
+        if len(at):
+            parts.append((_mixed(h, at, window, kind=_LITERAL), at, np.zeros(len(at), np.int64), _LITERAL))
+        h[name], h[kind == _NUMBER], h[kind == _MEASURE] = _NAME, _NUM, _UNIT
+        at = np.flatnonzero(plain >= least)
+        parts.append((_mixed(h, at, window), at, np.zeros(len(at), np.int64), _TEMPLATE))
+        open_ = (kind == _CAPITAL) & begins[:n]
+        bits = np.zeros(n - window + 1, np.int64)
+        for k in range(window):
+            bits |= open_[k : k + len(bits)].astype(np.int64) << k
+        some = at[bits[at] > 0]
+        if len(some):
+            count, first, subsets = _readings(window)
+            c = count[bits[some]]
+            more = np.repeat(some, c)
+            chosen = subsets[np.arange(len(more)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[bits[some]], c)]
+            enough = plain[more] - np.bitwise_count(chosen) >= least
+            more, chosen = more[enough], chosen[enough]
+            parts.append((_mixed(h, more, window, chosen), more, chosen, _TEMPLATE))
+    if not parts:
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), _TEMPLATE)]
+    kinds = np.repeat(np.array([p[3] for p in parts], np.int8), [len(p[0]) for p in parts])
+    return Windows(*(np.concatenate([p[k] for p in parts]) for k in range(3)), kinds, slot, bounds, raw)
+
+
+def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None, items: bool = False) -> DataFrame:
+    """``(id, row, pos, h, slots, either)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given, or that stand for an item, with ``items``.
 
     row: a hash of the text, which tells apart rows that share an id. slots: for each word of the window, what stands in the placeholder, lower-case; null for an ordinary word.
     either: the places of words that begin a sentence and are read as names here, as bits.
@@ -144,17 +183,23 @@ def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray |
         for batch in batches:
             found: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                h, start, either, slot, raw = windows(text, words, window)
-                if table is None:
+                w = windows(text, words, window)
+                h = w.h
+                if items:
+                    at = w.of_item(window)
+                elif table is None:
                     at = np.arange(len(h))
                 else:
                     at = np.flatnonzero(table[(h >> np.uint64(42)).astype(np.int64)])
                     if len(at):
                         k = np.searchsorted(wanted, h[at])
                         at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == h[at])]
-                row = _signed(xxhash.xxh64_intdigest(text)) if len(at) else 0
-                for i, p, e in zip(at.tolist(), start[at].tolist(), either[at].tolist()):
-                    slots = [raw[p + q].strip(PUNCT).decode().lower() if slot[p + q] or e >> q & 1 else None for q in range(window)]
+                row = signed(xxhash.xxh64_intdigest(text)) if len(at) else 0
+                for i, p, e, kind in zip(at.tolist(), w.at[at].tolist(), w.either[at].tolist(), w.kind[at].tolist()):
+                    if kind == _TEMPLATE:
+                        slots = [w.raw[p + q].strip(PUNCT).decode().lower() if w.slot[p + q] or e >> q & 1 else None for q in range(window)]
+                    else:
+                        slots = [None] * w.size(i, window)
                     found.append((key, row, p, int(h[i].view(np.int64)), slots, e))
                 if len(found) >= BATCH_ROWS:
                     yield _batch(found)
@@ -249,26 +294,26 @@ def _judged(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Reco
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """``(doc_id, item_id, found, windows, reworded)``: documents that hold a benchmark item, and which.
 
-    An item is held if ``share`` or more of its windows are found (those of its first word
-    aside, which may stand for a name inside another text) and the slots of an occurrence
-    agree (:func:`occurrence`): in it each slot value of the item always has the same
-    counterpart and no two values share one. ``found``: windows anywhere in the document.
+    An item is held if ``share`` or more of its windows are found and the slots of an
+    occurrence agree (:func:`occurrence`): in it each slot value of the item always has the
+    same counterpart and no two values share one. ``found``: windows anywhere in the document.
     ``reworded``: no occurrence has the item's own values throughout.
-    Null texts are empty and match nothing; rows of null id are left out; items of
-    ``window`` words or fewer have no windows and never match; rows that share a doc_id
-    count as one document. Repeated items and rows change nothing.
+    Items that are mostly numbers, names and units are found word for word only; items of fewer
+    than ``window`` words where each of their sentences is a sentence or line of the document.
+    Null texts and items without words match nothing; rows of null id are left out; rows that
+    share a doc_id count as one document. Repeated items and rows change nothing.
 
     Documents emit only windows that the benchmark has: its hashes go to every task if
     they are at most ``FILTER_HASHES``, else both sides are shuffled by hash.
     """
     item = cut(
-        template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), window)
-        .where("pos > 0 and id is not null").groupBy("id", F.col("pos").alias("wpos"), "h").agg(F.first("slots").alias("islots"), F.first("either").alias("ieither")),
+        template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), window, items=True)
+        .where("id is not null").groupBy("id", F.col("pos").alias("wpos"), "h").agg(F.first("slots").alias("islots"), F.first("either").alias("ieither")),
         "benchmark-windows",
     )
     distinct = item.select("h").distinct()
     n = distinct.count()
-    wanted = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64) if n <= FILTER_HASHES else None
+    wanted = distinct.toArrow().column(0).to_numpy().view(np.uint64) if n <= FILTER_HASHES else None
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots", "either")
     hits = cut(hits, "benchmark-hits") if wanted is not None else hits
@@ -281,6 +326,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    gone = cut(contaminated(docs, benchmark).select(F.col("doc_id").alias("_drop")).distinct(), "contaminated")
-    return drop_rows(docs, gone)
+    """``docs`` without the rows that hold a benchmark item; all columns stay.
+
+    Every row is judged by its own text, whatever its id (null and shared ids included).
+    """
+    rows, key = keyed(docs)
+    held = contaminated(by_key(rows, key), benchmark)
+    return drop_rows(rows, key, held.select(F.col("doc_id").alias("_drop")).distinct(), "contaminated")

@@ -73,7 +73,7 @@ def test_decontamination_finds_other_slots(spark):
     b = spark.createDataFrame([(9, item), (9, item), (8, "too short"), (None, item), (7, None)], "item_id long, text string").withColumn("id", F.lit(1))
     got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.contaminated(d, b).collect()}
     assert got == {(1, 9): False, (2, 9): True}
-    assert sorted(r.doc_id or 0 for r in decontaminate.decontaminate(d, b).collect()) == [0, 3, 4, 5, 6]
+    assert sorted(r.doc_id or 0 for r in decontaminate.decontaminate(d, b).collect()) == [3, 4, 5, 6]
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
@@ -110,6 +110,135 @@ def test_decontamination_reads_names_at_sentence_starts(spark):
     assert {(r.doc_id, r.item_id): r.reworded for r in decontaminate.contaminated(d, b).collect()} == {(1, 9): True, (2, 9): False, (3, 9): True, (4, 8): True}
 
 
+def test_decontamination_of_short_and_all_slot_items(spark):
+    items = [
+        (1, "Who was there?"), (2, "3 5 8 13 21 34 55"), (3, "Stop. Go home."), (4, "Add 4 kg 7 kg 9 kg 12 kg 30 kg."), (5, ""), (6, "..."),
+        (7, "Tom sold red apples today"), (8, "Dr Anna Maria Smith met Mr John Paul Jones."),
+    ]
+    rows = [
+        (1, "He asked. Who was there? Nobody."), (2, "He asked who was there? Nobody."), (3, "The row 3 5 8 13 21 34 55 goes on."), (4, "The row 3 5 8 13 21 34 56 goes on."),
+        (5, "Go home.\nStop."), (6, "Go home now. Stop."), (7, "add 4 kg 7 kg 9 kg 12 kg 30 kg"), (8, "Add 4 kg 6 kg 9 kg 12 kg 31 kg."), (9, "Now Tom sold red apples today again"),
+        (10, "then Jim sold red apples today"), (11, "It is said that Dr Anna Maria Smith met Mr John Paul Jones."), (12, "It is said that Dr Berta Maria Smith met Mr John Luke Jones."), (13, "..."), (14, None),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()} == {(1, 1), (3, 2), (5, 3), (7, 4), (9, 7), (10, 7), (11, 8)} | {(13, 6)}
+
+
+def slow_windows(text, item=False):
+    """{(what, begin, key, values)} of a text, from the docstrings: kinds of words, sentences, windows."""
+    raw, begins = [], set()
+    for line in text.split("\n"):
+        begins.add(len(raw))
+        for w in line.split():
+            raw.append(w)
+            if w.rstrip("\"')]")[-1:] in (".", "!", "?", ":"):
+                begins.add(len(raw))
+    n = len(raw)
+    begins = sorted({b for b in begins if b < n})
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    core = [w.strip(marks) for w in raw]
+    kind = ["#" if c[:1].isdigit() and not any(x.isalpha() for x in c) else "unit" if c.lower() in decontaminate.UNITS and len(c) > 1 else "name" if c[:1].isupper() and not c.isupper() else "" for c in core]
+    got = set()
+    for a, b in zip(begins, [*begins[1:], n]):
+        if b - a < 5:
+            got.add(("sentence", a, tuple(c.lower() for c in core[a:b]), ()))
+    template, literal = set(), set()
+    for i in range(n - 4):
+        free = [q for q in range(i, i + 5) if kind[q] == "name" and q in begins]
+        sure = {q for q in range(i, i + 5) if kind[q]} - set(free)
+        if 5 - len(sure) < 2:
+            literal.add(("literal", i, tuple(c.lower() for c in core[i : i + 5]), ()))
+        for m in range(1 << len(free)):
+            slots = sure | {q for k, q in enumerate(free) if m >> k & 1}
+            if 5 - len(slots) >= 2:
+                template.add(("template", i, tuple(f"<{kind[q]}>" if q in slots else core[q].lower() for q in range(i, i + 5)), tuple(core[q].lower() if q in slots else None for q in range(i, i + 5))))
+    if item and n < 5:
+        return got
+    if item:
+        return template if 2 * len({t[1] for t in template}) >= n - 4 else template | literal
+    return got | template | literal
+
+
+def test_windows_against_brute_force(docs):
+    rng = random.Random(12)
+    bits = ["Tom", "gave", "3", "red", "apples", "kg", "to", "Anna.", "the", "The", "IBM", "\n", "then", "4.5", "he", "went?", "(so", "..."]
+    some = [" ".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(300)] + [t for _, t in texts_of(docs)[:30]]
+    words = decontaminate.Words()
+    for text in some:
+        for item in (False, True):
+            w = decontaminate.windows(text.encode(), words, 5)
+            at = w.of_item(5) if item else range(len(w.h))
+            want = slow_windows(text, item)
+            assert sorted(w.at[list(at)].tolist()) == sorted(x[1] for x in want), text
+            for i in at:
+                mine = [x for x in want if x[1] == w.at[i] and x[0] == ("template", "literal", "sentence")[w.kind[i]]]
+                assert mine
+            # equal keys and equal hashes go together
+            seen = {}
+            for i in at:
+                seen.setdefault((int(w.at[i]), int(w.kind[i])), set()).add(int(w.h[i]))
+            for key, hashes in seen.items():
+                keys = {x[2] for x in want if x[1] == key[0] and x[0] == ("template", "literal", "sentence")[key[1]]}
+                assert len(hashes) == len(keys)
+
+
+# ------------------------------------------------------------ rows whatever their ids
+
+
+def test_stages_judge_rows_not_ids(spark, odd):
+    """Null and shared ids, repeated rows and clashing columns: each stage keeps exactly the rows that brute force keeps."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long = [" ".join(word() for _ in range(80)) for _ in range(6)]
+    near = long[0].replace(long[0].split()[40], "changed", 1)
+    item = "In the morning they gave Anna 3 red apples and then some bread, later on they gave Anna 5 red apples and then went back home."
+    rows = [(1, long[0]), (3, near), (3, long[1]), (None, long[0]), (None, long[2]), (None, long[2]), (7, long[3]), (7, long[3] + " "), (None, item), (7, item.replace("Anna", "Berta")), (7, long[4]), (None, None), (None, ""), (9, None), (None, "you idiot moron scum"), (5, "you idiot moron scum"), (5, long[5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_row", "_drop", "_key", "_id", "_best", "grp", "fp", "n", "h", "score", "_nth_of_row", "kept")})
+    left = lambda x: Counter((r.doc_id, r.text) for r in x.collect())
+    first = lambda k, t: (k is None, k or 0)
+    for table_ in (d, odd):
+        had = [(r.doc_id, r.text) for r in table_.select("doc_id", "text").collect()]
+        groups = defaultdict(list)
+        for k, t in had:
+            groups[norm(t or "")].append((k, t))
+        got = exact.exact_dedup(table_)
+        kept = left(got)
+        assert got.columns == table_.columns and sum(kept.values()) == len(groups)
+        assert {norm(t or ""): k for k, t in kept} == {key: min(g, key=lambda x: first(*x))[0] for key, g in groups.items()}
+        prints = [slow_fingerprint(t or "") for _, t in had]
+        comps = slow_components(list(range(len(had))), prints)
+        want = defaultdict(list)
+        for (k, t), c in zip(had, comps):
+            want[c].append((k, t))
+        got = simhash.simhash_dedup(table_)
+        kept = left(got)
+        assert got.columns == table_.columns and sum(kept.values()) == len(want)
+        assert Counter(k for k, _ in kept.elements()) == Counter(min(g, key=lambda x: first(*x))[0] for g in want.values())
+        b = spark.createDataFrame([(1, item)], "item_id long, text string")
+        got = decontaminate.decontaminate(table_, b)
+        assert got.columns == table_.columns and left(got) == Counter((k, t) for k, t in had if "red apples" not in (t or ""))
+        labels = spark.createDataFrame([(100, 1, 1)], "doc_id long, quality int, toxic int")
+        got = toxicity.clean(table_, labels)
+        assert got.columns == table_.columns and left(got) == Counter(had)
+
+
+def test_clean_drops_the_toxic_rows_alone(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("aeioulmnrst", k=rng.randint(2, 7)))
+    rows, marks = [], []
+    for k in range(900):
+        ws, bad = [word() for _ in range(rng.randint(20, 60))], k % 6 == 0
+        if bad:
+            ws[rng.randrange(len(ws))] = "moron"
+        rows.append((k, " ".join(ws)))
+        marks.append((k, 1, int(bad)))
+    extra = [(None, rows[6][1]), (None, rows[1][1]), (2, rows[12][1]), (None, None)]
+    d = spark.createDataFrame(rows + extra, "doc_id long, text string").withColumn("_row", F.lit("x"))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    kept = Counter((r.doc_id, r.text) for r in toxicity.clean(d, labels).collect())
+    assert kept == Counter((k, t) for k, t in rows + extra if not (t and "moron" in t.split()))
+
+
 # ------------------------------------------------------------ 3
 
 
@@ -256,9 +385,9 @@ def test_simhash_links_of_dense_groups(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(4)]
     prints = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(60)})
-    d = spark.createDataFrame([(simhash._signed(p),) for p in prints], "fp long")
+    d = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
     for pairwise in (512, 8, 1):
-        up = {simhash._signed(p): simhash._signed(p) for p in prints}
+        up = {simhash.signed(p): simhash.signed(p) for p in prints}
 
         def find(x):
             while up[x] != x:
@@ -270,7 +399,7 @@ def test_simhash_links_of_dense_groups(spark):
             up[max(a, b)] = min(a, b)
         groups = defaultdict(set)
         for p in prints:
-            groups[find(simhash._signed(p))].add(p)
+            groups[find(simhash.signed(p))].add(p)
         want = defaultdict(set)
         for p, c in zip(prints, slow_components(list(range(len(prints))), prints)):
             want[c].add(p)

@@ -302,6 +302,62 @@ def test_large_band_groups_lose_no_link(spark, monkeypatch):
     assert got == want and len(set(want.values())) > 3
 
 
+def test_recall_of_banding(spark):
+    """Of pairs of paragraphs at Jaccard 0.8 or more, most just above it, banding and components lose fewer than one in fifty."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    rows, groups = [], []
+    for _ in range(250):
+        base = [word() for _ in range(rng.randint(30, 110))]
+        groups.append([len(rows)])
+        rows.append(base)
+        for _ in range(2):  # a changed word costs five shingles of n - 4, of both sides
+            copy = list(base)
+            for k in rng.sample(range(4, len(base) - 4), max(1, (len(base) - 4) // rng.choice([45, 46, 50, 60]))):
+                copy[k] = word()
+            groups[-1].append(len(rows))
+            rows.append(copy)
+    sets = [{tuple(r[i : i + 5]) for i in range(len(r) - 4)} for r in rows]
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(a, b, similar(a, b)) for g in groups for k, a in enumerate(g) for b in g[k + 1 :]]
+    wanted = [(a, b) for a, b, j in pairs if j >= 0.8]
+    d = spark.createDataFrame([(k, "some line of its own\n" + " ".join(r)) for k, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in substring.paragraph_classes(d).where("n_words > 5").collect()}
+    found = sum(got.get(a, -1) == got.get(b, -2) for a, b in wanted)
+    assert len(wanted) > 200 and sum(0.8 <= j < 0.85 for _, _, j in pairs) > 100
+    assert found / len(wanted) > 0.98
+    # and nothing is linked that isn't similar to something in its class
+    near = defaultdict(set)
+    for a, b in wanted:
+        near[a].add(b), near[b].add(a)
+    assert all(near[k] for k in got)
+
+
+def test_recall_of_passages(spark):
+    """Passages of 51 words inside foreign paragraphs: 99 in 100 are found."""
+    rng = random.Random(77)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    text = lambda n: [word() for _ in range(n)]
+    rows = []
+    for k in range(300):
+        passage = text(51)
+        rows += [(2 * k, " ".join(text(40) + passage + text(40))), (2 * k + 1, " ".join(text(30) + passage + text(60)))]
+    rows += [(1000 + k, " ".join(text(120))) for k in range(200)]
+    got = {r.doc_id for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) >= 0.97 * 600 and max(got) < 1000
+
+
+def test_repeats_in_odd_and_long_texts(spark, odd):
+    """Extra columns, odd characters, shared and null ids, and one very long text."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    line = " ".join(word() for _ in range(40))
+    long = " ".join(word() for _ in range(150_000)) + "\n" + line
+    d = odd.unionByName(spark.createDataFrame([(50, long), (51, line), (51, line), (None, line)], "doc_id long, text string"), allowMissingColumns=True)
+    got = {(r.doc_id, r.class_id, r.kind, r.removed) for r in substring.repeats(d).collect()}
+    assert {x for x in got if x[2] == "paragraph"} == {(50, 50, "paragraph", False), (51, 50, "paragraph", True)} and {x[0] for x in got} == {50, 51}
+
+
 # ------------------------------------------------------------ 4
 
 

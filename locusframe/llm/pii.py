@@ -1,12 +1,19 @@
 """PII (operator 7): patterns, and a skip-chain conditional random field that adds to them.
 
-Nodes are the words of a document that hold a digit or an at sign (no other word can be
-of one of the kinds). Neighbouring nodes share a chain potential; nodes with the same or
-similar content share a skip potential, however far apart, each with the next one like it.
-Loopy sum-product messages run over both kinds of edge, so that what is certain in one
-place speaks for its likes elsewhere. Potentials are learned from a bounded sample of
-documents in which the patterns' spans serve as labels; each node is learned once with
-and once without the features that tell of the patterns themselves.
+Nodes are the words of a document that hold a digit, an at sign or ``[at]`` and the like (no
+other word can be of one of the kinds). Neighbouring nodes share a chain potential; nodes with
+the same or similar content (the same word, the same last digits of a run of numbers, the same
+local part of an address) share a skip potential, however far apart: each with the next one like
+it, and with the nearest one before and after that a pattern found. Loopy sum-product messages run over both kinds of edge, so that what is certain in one
+place speaks for its likes elsewhere: a telephone number that the pattern finds once is found
+again where it is written without its plus sign.
+
+What the patterns found is evidence: those nodes have their labels for certain. Potentials are
+learned together, by pseudo-likelihood, from a bounded sample of documents in which the
+patterns' spans serve as labels. Each node is learned three times: with its features and its
+neighbours' labels hidden in turn, so that either must tell, and with both. A node that no
+pattern labels but that is like one with a label has no known label: it and what it is
+chained to are left out of the learning.
 """
 
 from __future__ import annotations
@@ -25,14 +32,22 @@ from locusframe.plans.runtime import cut, ship
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the field is fitted on, at most, and nodes of each of them.
 SAMPLE, SAMPLE_NODES = 2000, 200
-ROUNDS, DAMPING, CERTAIN = 8, 0.5, 0.9
+ROUNDS, DAMPING, CERTAIN = 8, 0.5, 0.8
+#: What a skip edge says of its two labels before any was seen: for equal ones, and against others; the strength of all priors, in nodes.
+AGREE, PRIOR = 6.0, 2.0
+#: Logarithm of the odds of a label known for certain.
+CLAMP = 30.0
+#: Digits at the end of a run of numbers that make two runs alike.
+LAST = 7
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # from inside a run of digits nothing matches that did not from its start
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANY = re.compile(rb"[0-9@]")
-_NODE = re.compile(r"[0-9@][^\x20\x09-\x0D]*")
+_ANY = re.compile(rb"[0-9@]|[\[({]at[\])}]")
+_NODE = re.compile(r"(?:[0-9@]|[\[({]at[\])}])[^\x20\x09-\x0D]*")
+_AT = re.compile(r"@|[\[({]at[\])}]")
+_SOME = "[0-9@]|[\\[({]at[\\])}]"
 _DIGITS = re.compile(r"[0-9]+")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "+(@")
 # Words that announce each kind.
@@ -77,6 +92,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def _alike(core: str, digits: str) -> set[str]:
+    """What a node must share with another to be like it. digits: those of the run of numbers that ends in it."""
+    low = core.lower()
+    keys = {low}
+    if len(digits) >= LAST:
+        keys.add("#" + digits[-LAST:])
+    local = _AT.split(low)[0]
+    if len(local) >= 3 and not local.isdigit():
+        keys.add("@" + local)
+    return keys
+
+
 class Nodes:
     """Nodes and edges of some documents: places, features, edges (a, b, 0 chain or 1 skip)."""
 
@@ -91,7 +118,9 @@ class Nodes:
         order = sorted((s, e, k) for k, s, e in spans)
         i, done, last = 0, 0, None
         like: dict[str, int] = {}
-        count = 0
+        sure: dict[str, int] = {}  # the last node of a key that a pattern found, and those since the last one
+        open_: dict[str, list[int]] = {}
+        count, run = 0, ""
         for m in _NODE.finditer(text):
             start = m.start()
             while start > done and text[start - 1] not in " \t\n\x0b\x0c\r":
@@ -113,21 +142,28 @@ class Nodes:
             self.doc.append(doc)
             self.place.append((start, end))
             self.seen.append(kind)
-            self.x.append(node_features(core, before[-2:], kind))
-            if last is not None and not text[last[1] : start].strip(" \t\n\x0b\x0c\r" + _EDGES + "("):
+            self.x.append(node_features(core, before[-2:]))
+            chained = last is not None and not text[last[1] : start].strip(" \t\n\x0b\x0c\r" + _EDGES + "(")
+            if chained:
                 self.edges.append((last[0], n, 0))
             last = (n, end)
-            digits = "".join(_DIGITS.findall(core))
-            for key in {core.lower(), f"#{digits}" if len(digits) >= 7 else "", f"@{core.split('@')[0].lower()}" if "@" in core[1:] else ""} - {""}:
-                if key in like and like[key] != n:
-                    self.edges.append((like[key], n, 1))
+            run = (run if chained else "")[-32:] + "".join(_DIGITS.findall(core))
+            keys = _alike(core, run)
+            near = {like[key] for key in keys if key in like} | {sure[key] for key in keys if key in sure and not kind}
+            for key in keys:
+                if kind:
+                    near.update(open_.pop(key, ()))
+                    sure[key] = n
+                else:
+                    open_.setdefault(key, []).append(n)
                 like[key] = n
+            self.edges += [(other, n, 1) for other in sorted(near)]
             count += 1
             if most and count >= most:
                 break
 
 
-def node_features(core: str, before: list[str], kind: int) -> list[float]:
+def node_features(core: str, before: list[str]) -> list[float]:
     digits = "".join(_DIGITS.findall(core))
     n = len(digits)
     runs = core.split(".")
@@ -135,12 +171,11 @@ def node_features(core: str, before: list[str], kind: int) -> list[float]:
     return [
         1.0, "@" in core, "@" in core[1:-1], core.count("@") > 1, "." in core.rpartition("@")[2], n == 0, 1 <= n <= 3, 4 <= n <= 6, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 15, 16 <= n <= 19, n > 19,
         len(runs) == 4 and all(r.isdigit() for r in runs), core.startswith("+"), core.startswith("("), "-" in core, any(c.isalpha() for c in core), 13 <= n <= 19 and luhn(digits),
-        len(core) == n, *(any(w in cue for w in words) for cue in CUES), bool(before) and before[-1].startswith("+"), *(kind == k for k in range(1, 5)),
+        len(core) == n, *(any(w in cue for w in words) for cue in CUES), bool(before) and before[-1].startswith("+"),
     ]
 
 
 N_LABELS = 1 + len(KINDS)
-N_OWN = len(KINDS)  # the last features tell what the patterns found
 
 
 class Field:
@@ -149,10 +184,12 @@ class Field:
     def __init__(self, weights: np.ndarray, edge: np.ndarray):
         self.weights, self.edge = weights, edge
 
-    def marginals(self, x: np.ndarray, edges: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product over all edges at once; on forests it is exact after as many rounds as they are deep."""
+    def marginals(self, x: np.ndarray, edges: np.ndarray, seen: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+        """Loopy sum-product over all edges at once; on forests it is exact after as many rounds as they are deep. seen: labels known for certain, or 0."""
         local = x @ self.weights
         local -= np.logaddexp.reduce(local, axis=1, keepdims=True)
+        if seen is not None:
+            local[seen > 0] = CLAMP * (np.eye(N_LABELS)[seen[seen > 0]] - 1)
         if not len(edges):
             return np.exp(local)
         src, dst = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
@@ -171,36 +208,68 @@ class Field:
         return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
+def unknown(y: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Nodes without a label that are like one with a label, and those without that are chained to them."""
+    a, b, kind = edges.T
+    out = np.zeros(len(y), bool)
+    n = -1
+    while n < (n := int(out.sum())):
+        spreads = np.where(kind == 0, out[a], out[a] | (y[a] > 0)), np.where(kind == 0, out[b], out[b] | (y[b] > 0))
+        out[b[spreads[0]]] = True
+        out[a[spreads[1]]] = True
+        out &= y == 0
+    return out
+
+
 def learn(x: np.ndarray, y: np.ndarray, edges: np.ndarray, steps: int = 300) -> Field:
-    """Piecewise: node weights by logistic regression, edge potentials from the labels that edges join."""
-    blind = x.copy()
-    blind[:, -N_OWN:] = 0
-    both, labels = np.concatenate([x, blind]), np.concatenate([y, y])
-    want = np.eye(N_LABELS)[labels]
-    w = np.zeros((x.shape[1], N_LABELS))
-    first, second = np.zeros_like(w), np.zeros_like(w)
+    """Node weights and edge potentials by pseudo-likelihood: each node given its features and its neighbours' labels.
+
+    Weights and chain potentials are drawn to 0, skip potentials to ``AGREE`` for equal labels and its opposite for others.
+    """
+    known = ~unknown(y, edges)
+    at = np.cumsum(known) - 1
+    edges = edges[known[edges[:, 0]] & known[edges[:, 1]]]
+    edges = np.column_stack([at[edges[:, :2]], edges[:, 2]])
+    x, y = x[known], y[known]
+    bare = np.zeros_like(x)
+    bare[:, 0] = x[:, 0]
+    views = ((x, 1), (x, 0), (bare, 1))  # features, and whether the neighbours are seen
+    want = np.eye(N_LABELS)[y]
+    after, before, like = np.zeros((3, len(x), N_LABELS))
+    chain, skip = edges[edges[:, 2] == 0], edges[edges[:, 2] == 1]
+    np.add.at(after, chain[:, 0], want[chain[:, 1]])
+    np.add.at(before, chain[:, 1], want[chain[:, 0]])
+    np.add.at(like, skip[:, 0], want[skip[:, 1]])
+    np.add.at(like, skip[:, 1], want[skip[:, 0]])
+    theta = [np.zeros((x.shape[1], N_LABELS)), np.zeros((N_LABELS, N_LABELS)), AGREE * (2 * np.eye(N_LABELS) - 1)]
+    start = [t.copy() for t in theta]
+    first, second = [[np.zeros_like(t) for t in theta] for _ in range(2)]
     for t in range(1, steps + 1):  # Adam
-        z = both @ w
-        p = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True))
-        g = both.T @ (p - want) / len(both) + 1e-3 * w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    edge = np.zeros((2, N_LABELS, N_LABELS))
-    for kind in (0, 1):
-        own = edges[edges[:, 2] == kind]
-        seen = np.ones((N_LABELS, N_LABELS)) * 0.5
-        np.add.at(seen, (y[own[:, 0]], y[own[:, 1]]), 1)
-        seen /= seen.sum()
-        edge[kind] = np.clip(np.log(seen / np.outer(seen.sum(1), seen.sum(0))), -3, 3)
-    return Field(w, edge)
+        w, c, s = theta
+        context = after @ c.T + before @ c + like @ s
+        g = [PRIOR * (now - was) for now, was in zip(theta, start)]
+        for view, near in views:
+            z = view @ w + near * context
+            r = np.exp(z - np.logaddexp.reduce(z, axis=1, keepdims=True)) - want
+            g[0] += view.T @ r
+            if near:
+                g[1] += r.T @ after + before.T @ r
+                g[2] += like.T @ r
+        g[2] = (g[2] + g[2].T) / 2  # skip edges have no direction
+        for k, (a, b) in enumerate(zip(first, second)):
+            d = g[k] / (len(views) * len(x))
+            a += 0.1 * (d - a)
+            b += 0.001 * (d * d - b)
+            theta[k] -= 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+    return Field(theta[0], np.stack(theta[1:]))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, nodes: int = SAMPLE_NODES) -> Field | None:
-    """Fit on at most ``sample`` documents that hold a digit or at sign (those of smallest hash of the id)."""
+    """Fit on at most ``sample`` documents that hold a node (those of smallest hash of the id; one text of each id)."""
     ship(docs.sparkSession)
-    rows = id_text(docs).where("doc_id is not null and text rlike '[0-9@]'")
+    rows = id_text(docs).where(F.col("doc_id").isNotNull() & F.col("text").rlike(_SOME))
     chosen = cut(rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "cid"), "pii-sample")
-    some = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("cid")).select("doc_id", "text")
+    some = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("cid")).groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +295,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, nodes: int = SAMPLE_NODES) -> Fie
 
 
 def _fits(kind: int, run: str) -> bool:
-    digits = sum(map(len, _DIGITS.findall(run)))
-    return (run.count("@") == 1 and not run.startswith("@"), run.count(".") == 3 and _parts_ok(run) if re.fullmatch(r"[0-9.]+", run) else False, 13 <= digits <= 19, 7 <= digits <= 15)[kind]
+    """Could this be of the kind at all: an address has letters, an ip four numbers up to 255 and nothing else, a card and a telephone their number of digits and no letters."""
+    numbers = _DIGITS.findall(run)
+    digits, letters = sum(map(len, numbers)), any(c.isalpha() for c in run)
+    return (letters, not letters and len(numbers) == 4 and all(_parts_ok(x) for x in numbers), not letters and 13 <= digits <= 19, not letters and LAST <= digits <= 15)[kind]
 
 
 def added_spans(nodes: Nodes, field: Field, items: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
@@ -235,7 +306,7 @@ def added_spans(nodes: Nodes, field: Field, items: list[str], base: list[list[tu
     extra: list[list[tuple[int, int, int]]] = [[] for _ in items]
     if not nodes.x:
         return extra
-    p = field.marginals(np.array(nodes.x, float), np.array(nodes.edges, np.int64).reshape(-1, 3))
+    p = field.marginals(np.array(nodes.x, float), np.array(nodes.edges, np.int64).reshape(-1, 3), np.array(nodes.seen))
     label = np.where(p.max(1) >= CERTAIN, p.argmax(1), 0)
     chained = {a for a, b, kind in nodes.edges if kind == 0 and label[a] == label[b]}
     run = None

@@ -388,6 +388,74 @@ def test_toxicity(spark):
     assert toxicity.toxicity(d.limit(0), labels).count() == 0
 
 
+def test_trees_against_a_plain_implementation():
+    """Each round by itself: for every node all splits are tried by sorting; the predictions agree."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (300, 4)).astype(float)
+    y = ((x[:, 0] > 5) ^ (x[:, 2] > 8)).astype(float)
+    model = toxicity.Trees(rounds=6, depth=2).fit(x, y)
+    raw = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+
+    def leaf(g, h):
+        return g.sum() ** 2 / (h.sum() + model.l2)
+
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+        nodes = [np.arange(len(y))]
+        for _ in range(2):
+            below = []
+            for rows in nodes:
+                best = (1e-6, None, None)
+                if len(rows) >= 20:
+                    for f in range(4):
+                        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, model.bins + 1)[1:-1])):
+                            left = x[rows, f] <= cut
+                            gain = leaf(g[rows[left]], h[rows[left]]) + leaf(g[rows[~left]], h[rows[~left]]) - leaf(g[rows], h[rows])
+                            if gain > best[0] + 1e-12:
+                                best = (gain, f, cut)
+                split = x[rows, best[1]] > best[2] if best[1] is not None else np.zeros(len(rows), bool)
+                below += [rows[~split], rows[split]]
+            nodes = below
+        for rows in nodes:
+            raw[rows] -= model.rate * g[rows].sum() / (h[rows].sum() + model.l2)
+    assert np.allclose(model.predict(x), 1 / (1 + np.exp(-raw)))
+
+
+def slow_features(text, lexicon):
+    """The values of FEATURES by their names, word by word."""
+    marks = toxicity.PUNCT
+    raw = text.lower().split()
+    entry = lambda w: max((lexicon[u], u) for u in toxicity.units(w) if u in lexicon) if any(u in lexicon for u in toxicity.units(w)) else None
+    hits, you, odd, odd_hits = {}, [], 0, 0
+    for k, w in enumerate(raw):
+        core = w.strip(marks)
+        found = entry(core) if core else None
+        if core in toxicity.SECOND_PERSON:
+            you.append(k)
+        if core and not core.isalpha() and any(c.isalpha() for c in core):
+            odd += 1
+            if not found:
+                found = entry("".join(c for c in core.translate(toxicity.LEET) if c.isalpha()))
+                odd_hits += found is not None
+        if found:
+            hits[k] = found[0]
+    n, b = max(1, len(raw)), max(1, len(text.encode()))
+    near = sum(any(abs(k - y) <= 5 for y in you) for k in hits)
+    chars = [sum(c.isascii() and c.isupper() for c in text), text.count("!"), sum(c.isascii() and c in marks and c != "!" for c in text), sum(c in "0123456789" for c in text)]
+    return [len(hits) / n, math.log1p(len(hits)), sum(hits.values()) / n, max(hits.values(), default=0), near / max(1, len(hits)), len(you) / n, *(c / b for c in chars), odd / n, odd_hits / n, math.log1p(len(raw))]
+
+
+def test_features_against_brute_force(docs):
+    lexicon = {"idiot": 3.0, "moron": 2.0, "blarg*": 1.7, "the": 1.6, "ende*": 1.8}
+    coder, rng = toxicity.Coder(lexicon), random.Random(9)
+    bits = ["you", "Idiot!", "1d10t", "m0r0n", "blarging", "the", "«tu»", "word", "ÜBER", "x" * 70, "a1", "!!!", "\n", "", "endeed"]
+    some = [" ".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(300)] + [t for _, t in texts_of(docs)[:40]]
+    some.append(" ".join(rng.choices(bits, k=200_000)))
+    for t in some:
+        assert toxicity.features(t.encode(), coder) == pytest.approx(slow_features(t, lexicon)), t[:80]
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(0)
     s = rng.random(500)
@@ -639,6 +707,30 @@ def test_exact_dedup(spark, odd, docs):
 # ------------------------------------------------------------ 9
 
 
+def slow_mixture(train, one, two, heads):
+    """EM of each bucket over every training token, held out in turn, with the estimates rounded to the cells' means as the operator's are."""
+    n, v, cells = sum(one.values()), len(one), defaultdict(list)
+    for ws in train:
+        for a, w in zip([None, *ws], ws):
+            context = heads[a] - 1
+            p2, p1 = ((two[a, w] - 1) / context if context else 0) * (v + 1), (one[w] - 1) / max(1, n - 1) * (v + 1)
+            bucket = min(context.bit_length(), lm.BUCKETS - 1)
+            cell = [0 if x == 0 else min(max(math.floor(math.log(x) / lm.CELL) + lm.CELLS // 2, 1), lm.CELLS - 1) for x in (p2, p1)]
+            cells[bucket, *cell].append((p2, p1))
+    weights = np.tile([0.5, 0.4, 0.1], (lm.BUCKETS, 1))
+    weights[0] = [0.0, 0.9, 0.1]
+    for b in range(lm.BUCKETS):
+        rows = [(len(x), sum(p for p, _ in x) / len(x), sum(p for _, p in x) / len(x), 1.0) for k, x in cells.items() if k[0] == b]
+        if rows:
+            mix = [1 / 3] * 3
+            for _ in range(lm.EM_ROUNDS):
+                parts = [(m, [y * p for y, p in zip(mix, ps)]) for m, *ps in rows]
+                mix = [sum(m * x[k] / sum(x) for m, x in parts) / sum(m for m, _ in parts) for k in range(3)]
+            mix[2] = max(mix[2], lm.FLOOR)
+            weights[b] = np.array(mix) / sum(mix)
+    return weights
+
+
 @pytest.mark.parametrize("size,ngrams", [(1 << 24, 1 << 20), (3000, 500)])
 def test_lm(spark, odd, docs, size, ngrams):
     for d in (odd, docs):
@@ -649,8 +741,18 @@ def test_lm(spark, odd, docs, size, ngrams):
         got = sorted(lm.lm_scores(d, chunk_bytes=size, range_ngrams=ngrams).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score))
         want = sorted(((k is None, k or 0, len(ws), sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), sum(one[w] > 0 for w in ws)) for k, ws in rows))
         for r, w in zip(got, want, strict=True):
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (w[2], w[4], n) and r.base_score == pytest.approx(w[3]) and r.score < 0
-        assert two
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (w[2], w[4], n) and r.base_score == pytest.approx(w[3])
+        heads = Counter(p[0] for p in two.elements())  # a context's count; None: the start
+        weights = slow_mixture(train, one, two, heads)
+
+        def p(v, w):
+            mix = weights[lm._bucket(np.array([heads[v]]))[0]]
+            return mix[0] * two[v, w] / max(1, heads[v]) + mix[1] * one[w] / max(1, n) + mix[2] / (len(one) + 1)
+
+        slow = Counter((k, len(ws), round(sum(math.log10(p(v, w)) for v, w in zip([None, *ws], ws)), 6)) for k, ws in rows)
+        assert Counter((r.doc_id, r.n_tokens, round(r.score, 6)) for r in got) == slow
+        for v in [None, *sorted(heads.keys() - {None})[:20], b"never seen"]:  # all words, and one for all that were never seen
+            assert sum(p(v, w) for w in [*one, object()]) == pytest.approx(1)
     assert lm.lm_scores(odd.limit(0)).count() == 0
 
 

@@ -46,24 +46,39 @@ _SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()
 
 
 class Words(dict):
-    """Raw word -> kind, ends a sentence, and the 64-bit hash of its lower-case core; remembers up to 300,000."""
+    """Raw word -> its number; per number the kind, whether it ends a sentence, and the 64-bit hash of the lower-case core.
 
-    def __missing__(self, raw: bytes) -> tuple[int, bool, int]:
-        if len(self) > 300_000:
+    Remembers up to 300,000 words of 32 MB between texts (:meth:`tidy`).
+    """
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.held = 0
+        self.kind, self.ends, self.h = np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, np.uint64)
+
+    def tidy(self) -> None:
+        if len(self) > 300_000 or self.held > 32 << 20:
             self.clear()
+            self.held = 0
+
+    def __missing__(self, raw: bytes) -> int:
+        n = len(self)
+        self.held += len(raw)
+        if n == len(self.h):
+            self.kind, self.ends, self.h = (np.concatenate([a, np.zeros_like(a)]) for a in (self.kind, self.ends, self.h))
         core = raw.strip(PUNCT)
         text = core.decode()
         low = text.lower()
         if core and core[:1].isdigit() and not any(c.isalpha() for c in text):
-            kind = _NUMBER
+            self.kind[n] = _NUMBER
         elif low in UNITS and len(low) > 1:
-            kind = _MEASURE
+            self.kind[n] = _MEASURE
         else:
-            kind = _CAPITAL if text[:1].isupper() and not text.isupper() else _ORDINARY
-        value = (kind, raw.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":")), xxhash.xxh64_intdigest(low.encode()))
-        if len(raw) <= 64:
-            self[raw] = value
-        return value
+            self.kind[n] = _CAPITAL if text[:1].isupper() and not text.isupper() else _ORDINARY
+        self.ends[n] = raw.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":"))
+        self.h[n] = xxhash.xxh64_intdigest(low.encode())
+        self[raw] = n
+        return n
 
 
 @functools.cache
@@ -119,10 +134,9 @@ def windows(text: bytes, words: Words, window: int) -> Windows:
         starts.append(len(raw))
         raw += line.split()
     n = len(raw)
-    got = [words[w] for w in raw]
-    kind = np.fromiter((g[0] for g in got), np.int8, n)
-    ends = np.fromiter((g[1] for g in got), bool, n)
-    h = np.fromiter((g[2] for g in got), np.uint64, n)
+    words.tidy()
+    number = np.fromiter(map(words.__getitem__, raw), np.int64, n)
+    kind, ends, h = words.kind[number], words.ends[number], words.h[number]
     begins = np.zeros(n + 1, bool)
     begins[1:] = ends
     begins[[s for s in starts if s < n]] = True
@@ -148,8 +162,9 @@ def windows(text: bytes, words: Words, window: int) -> Windows:
         parts.append((_mixed(h, at, window), at, np.zeros(len(at), np.int64), _TEMPLATE))
         open_ = (kind == _CAPITAL) & begins[:n]
         bits = np.zeros(n - window + 1, np.int64)
-        for k in range(window):
-            bits |= open_[k : k + len(bits)].astype(np.int64) << k
+        if open_.any():
+            for k in range(window):
+                bits |= open_[k : k + len(bits)].astype(np.int64) << k
         some = at[bits[at] > 0]
         if len(some):
             count, first, subsets = _readings(window)

@@ -1,20 +1,16 @@
-"""Chains of matches (C1-C8, C10, O9): dynamic programming within a chromosome or pair of chromosomes.
+"""Chains of matches along a chromosome (C1, C8, C10, O9); those with quotas are in :mod:`locusframe.operators.quota`.
 
-Each group is a pair of chromosomes (or one chromosome), whose matches are anchors of
-genes: thousands to a hundred thousand rows, whatever the length of the sequences. The
-quota chains share counts among all pairs of two genomes, so there the group is the
-genome pair (column ``run``).
+Each group is a chromosome, whose matches are anchors of genes: thousands to a hundred
+thousand rows, whatever the length of the sequences.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from locusframe.plans.runtime import ship
 
@@ -22,19 +18,6 @@ MATCH = "ref_chr string, query_chr string, ref_start long, ref_end long, query_s
 COLUMNS = [c.split()[0] for c in MATCH.split(", ")]
 
 
-@dataclass(frozen=True)
-class Chaining:
-    """Parameters: least chain score, gap opening and extension per step, largest gap, step size, quotas."""
-
-    least: float = 2.0
-    open: float = -0.03
-    extend: float = -0.01
-    gap: int = 25
-    step: float = 3.0
-    ref_quota: int = 1
-    query_quota: int = 1
-
-
 def reorder_inversions(rows: list[dict], least: float, penalty: float = 1.0) -> list[dict]:
     """Turn around each stretch that reads as an inversion: from a minus match on, minus matches in
     falling query order earn their score, all others cost ``penalty`` times theirs; the best prefix, if it earns more than ``least``."""
@@ -84,24 +67,31 @@ def best_chain(rows: list[dict], least: float) -> list[dict]:
         chain.append(rows[k])
         k = int(prev[k])
     chain.reverse()
-    out: list[dict] = []
-    run: list[dict] = []
+    return [m for m, keep in zip(chain, _kept(chain, least)) if keep]
+
+
+def _kept(chain: list[dict], least: float) -> list[bool]:
+    """Runs of an inversion that earn ``least`` or less go. A minus match that doesn't go on with the one before it closes a run
+    and belongs to none, so it stays; what follows it may begin a run by going on with it."""
+    keep = [True] * len(chain)
+    run: list[int] = []
 
     def close() -> None:
-        if run and sum(m["score"] for m in run) > least:
-            out.extend(run)
+        if sum(chain[k]["score"] for k in run) <= least:
+            for k in run:
+                keep[k] = False
         run.clear()
 
-    for m in chain:
-        if m["strand"] == "+":
-            close()
-            out.append(m)
-        elif not run or (run[-1]["ref_start"] > m["ref_end"]):
-            run.append(m)
+    for k, m in enumerate(chain):
+        before = chain[k - 1] if k else None
+        begins = before is None or before["strand"] == "+"
+        goes_on = not begins and before["ref_start"] > m["ref_end"] and before["query_end"] < m["query_start"]
+        if m["strand"] == "-" and (begins or goes_on):
+            run.append(k)
         else:
             close()
     close()
-    return out
+    return keep
 
 
 def chain_global(match: DataFrame, least: float = 2.0, penalty: float = 1.0) -> DataFrame:
@@ -116,172 +106,6 @@ def chain_global(match: DataFrame, least: float = 2.0, penalty: float = 1.0) ->
     return match.select(*COLUMNS).groupBy("ref_chr").applyInPandas(run, MATCH + ", pos long")
 
 
-class Pair:
-    """C2 for the matches of a pair of chromosomes, in reference order: the best chain that ends in each.
-
-    When matches go, only chains that reach into their neighbourhood are computed again: a
-    step spans ``gap`` reference ids at most, so nothing farther on can change unless what
-    lies between has changed.
-    """
-
-    def __init__(self, rows: pd.DataFrame, p: Chaining):
-        self.p = p
-        rows = rows.sort_values(["ref_start", "ref_end", "query_start", "query_end", "line_no"])
-        self.rows = rows.to_dict("records")
-        self.columns = {c: rows[c].to_numpy() for c in ("ref_start", "ref_end", "query_start", "query_end", "gene_code", "query_id")}
-        self.alive = np.ones(len(rows), bool)
-        self.f, self.prev = np.zeros(len(rows)), [-1] * len(rows)
-        self.update(np.arange(len(rows)))
-
-    def _score(self, i: int) -> tuple[float, int]:
-        p, b = self.p, self.rows[i]
-        best, at = b["score"], -1
-        for j in range(i - 1, -1, -1):
-            a = self.rows[j]
-            if b["ref_id"] - a["ref_id"] - 1 > p.gap:
-                break
-            if a["strand"] != b["strand"] or not self.alive[j]:
-                continue
-            if abs(b["query_id"] - a["query_id"]) - 1 > p.gap:
-                break
-            forward = b["query_id"] > a["query_id"] and a["query_end"] < b["query_start"]
-            backward = a["query_id"] > b["query_id"] and a["query_start"] > b["query_end"]
-            if not (forward if b["strand"] == "+" else backward) or not a["ref_end"] < b["ref_start"]:
-                continue
-            far = 2 * max(b["ref_id"] - a["ref_id"] - 1, abs(b["query_id"] - a["query_id"]) - 1) / p.step
-            cand = b["score"] + self.f[j] + (p.extend * far + p.open if far > 0 else 0.0)
-            if cand > best:
-                best, at = cand, j
-        return best, at
-
-    def update(self, changed: np.ndarray) -> None:
-        todo, last, i = changed.tolist(), None, 0
-        for k, d in enumerate(todo):
-            i = max(i, d)
-            last = self.rows[d]["ref_id"] if last is None else max(last, self.rows[d]["ref_id"])
-            stop = todo[k + 1] if k + 1 < len(todo) else len(self.rows)
-            while i < len(self.rows) and (i < stop or k + 1 == len(todo)) and self.rows[i]["ref_id"] - last <= self.p.gap + 1:
-                if self.alive[i]:
-                    now = self._score(i)
-                    if now != (self.f[i], self.prev[i]):
-                        self.f[i], self.prev[i] = now
-                        last = self.rows[i]["ref_id"]
-                i += 1
-        self.f[~self.alive] = -np.inf
-        self.end = int(self.f.argmax()) if self.alive.any() else -1
-        self.best = float(self.f[self.end]) if self.end >= 0 else -np.inf
-
-    def chain(self) -> list[dict]:
-        at, out = self.end, []
-        while at >= 0:
-            out.append(self.rows[at])
-            at = self.prev[at]
-        return out[::-1]
-
-    def drop(self, gone: np.ndarray) -> None:
-        gone = gone & self.alive
-        if gone.any():
-            self.alive &= ~gone
-            self.update(np.flatnonzero(gone))
-
-
-def quota_chains(pdf: pd.DataFrame, p: Chaining) -> pd.DataFrame:
-    """Again and again the best chain of all pairs; matches beneath it, and those whose gene or query id is used up, go."""
-    coded = pdf.assign(gene_code=pd.factorize(pdf.gene)[0])
-    pairs = {k: Pair(g, p) for k, g in coded.groupby(["ref_chr", "query_chr"])}
-    used_ref = np.zeros(coded.gene_code.max() + 1 if len(coded) else 0, int)
-    used_query = {c: np.zeros(int(g.query_id.max()) + 1, int) for c, g in coded.groupby("query_chr")}
-    blocks: list[dict] = []
-    block = 0
-    while pairs:
-        k = max(sorted(pairs), key=lambda k: pairs[k].best)
-        if pairs[k].best <= p.least:
-            break
-        chain, score = pairs[k].chain(), pairs[k].best
-        blocks += [m | {"block": block, "pos": i, "block_score": score} for i, m in enumerate(chain)]
-        block += 1
-        r0, r1 = min(m["ref_start"] for m in chain), max(m["ref_end"] for m in chain)
-        q0, q1 = min(m["query_start"] for m in chain), max(m["query_end"] for m in chain)
-        near = {key: pair for key, pair in pairs.items() if key[0] == k[0] or key[1] == k[1]}
-        under = {}
-        genes = []
-        for key, pair in near.items():
-            c = pair.columns
-            on_ref = pair.alive & (c["ref_start"] <= r1) & (r0 <= c["ref_end"]) if key[0] == k[0] else np.zeros(len(pair.alive), bool)
-            on_query = pair.alive & (c["query_start"] <= q1) & (q0 <= c["query_end"]) if key[1] == k[1] else np.zeros(len(pair.alive), bool)
-            genes.append(c["gene_code"][on_ref])
-            np.add.at(used_query[key[1]], c["query_id"][on_query], 1)
-            under[key] = on_ref & on_query
-        used_ref[np.unique(np.concatenate(genes))] += 1
-        for key, pair in near.items():
-            pair.drop(under[key] | (used_ref[pair.columns["gene_code"]] >= p.ref_quota) | (used_query[key[1]][pair.columns["query_id"]] >= p.query_quota))
-    return pd.DataFrame(blocks, columns=[*pdf.columns, "block", "pos", "block_score"])
-
-
-def chain_quota(match: DataFrame, p: Chaining = Chaining(), run: str | None = None) -> DataFrame:
-    """C3 on matches with ref_id and query_id; ``run`` names the column of the genome pair, if there are several."""
-    ship(match.sparkSession)
-    rows = match.select(*COLUMNS, "ref_id", "query_id", (F.col(run) if run else F.lit("")).alias("run"))
-    schema = MATCH + ", ref_id int, query_id int, run string, block long, pos long, block_score double"
-    return rows.groupBy("run").applyInPandas(lambda pdf: quota_chains(pdf, p), schema)
-
-
-def synteny_pair(rows: list[dict], p: Chaining, strict: bool) -> list[list[tuple[dict, float]]]:
-    """C4 (strict: pairs of one strand) or C6 (by increasing and by decreasing query ids), without quotas:
-    the best chain of a pair of chromosomes, taken out, and again."""
-    out = []
-    rows = list(rows)
-    while rows:
-        best: tuple = (p.least, None, None)
-        for way in ("+", "-"):
-            f, prev = [m["score"] for m in rows], [-1] * len(rows)
-            for i, b in enumerate(rows):
-                if strict and b["strand"] != way:
-                    continue
-                for j in range(i - 1, -1, -1):
-                    a = rows[j]
-                    if strict and a["strand"] != way:
-                        continue
-                    r, q = b["ref_id"] - a["ref_id"] - 1, (b["query_id"] - a["query_id"] if way == "+" else a["query_id"] - b["query_id"]) - 1
-                    if r > p.gap:
-                        break
-                    if r < 0 or q < 0 or q > p.gap:
-                        continue
-                    far = (r + q) / 2
-                    cand = f[j] + b["score"] + (p.open + p.extend * far if far > 0 else 0.0)
-                    if cand > f[i]:
-                        f[i], prev[i] = cand, j
-            ends = [i for i, m in enumerate(rows) if not strict or m["strand"] == way]
-            if ends:
-                end = max(ends, key=lambda i: (f[i], -i))
-                if f[end] > best[0]:
-                    best = (f[end], end, prev)
-        score, at, prev = best
-        if at is None:
-            return out
-        chain = []
-        while at >= 0:
-            chain.append(at)
-            at = prev[at]
-        out.append([(rows[i], score) for i in reversed(chain)])
-        gone = set(chain)
-        rows = [m for i, m in enumerate(rows) if i not in gone]
-    return out
-
-
-def synteny_all_pairs(match: DataFrame, p: Chaining = Chaining(3.0, -0.02, -0.005), strict: bool = True) -> DataFrame:
-    """C4/C6 for each pair of chromosomes: matches with block, pos and block_score."""
-    ship(match.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ref_id", "query_id", "line_no"]).to_dict("records")
-        got = [m | {"block": b, "pos": i, "block_score": s} for b, chain in enumerate(synteny_pair(rows, p, strict)) for i, (m, s) in enumerate(chain)]
-        return pd.DataFrame(got, columns=[*pdf.columns, "block", "pos", "block_score"])
-
-    schema = MATCH + ", ref_id int, query_id int, block long, pos long, block_score double"
-    return match.select(*COLUMNS, "ref_id", "query_id").groupBy("ref_chr", "query_chr").applyInPandas(run, schema)
-
-
 def monotone(rows: list[dict]) -> list[dict]:
     """Keep a match only if it is strictly after the last kept one on both axes."""
     out: list[dict] = []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import affine, anchors, chains, evidence, graph, mapping
+from locusframe.operators import affine, anchors, evidence, graph, mapping, quota
 from locusframe.operators.components import components
 from locusframe.plans import commands
 from locusframe.plans.runtime import table
@@ -357,17 +357,27 @@ def c1_global_chain(spark, sf_dir):
 
 @query()
 def c3_quota_chains(spark, sf_dir):
-    return chains.chain_quota(anchors.row_ids(view(spark, sf_dir, "v_anchor")))
+    return quota.chain_quota(anchors.row_ids(view(spark, sf_dir, "v_anchor")))
 
 
 @query()
-def c4_synteny_blocks(spark, sf_dir):
-    return commands.synteny_blocks(anchors.row_ids(view(spark, sf_dir, "v_anchor")))
+def c4_synteny_all_pairs(spark, sf_dir):
+    return commands.synteny_blocks(view(spark, sf_dir, "v_pairs"), p=quota.Synteny(all_pairs=True))
 
 
 @query()
-def c6_synteny_nonstrand(spark, sf_dir):
-    return commands.synteny_blocks(anchors.row_ids(view(spark, sf_dir, "v_anchor")), strict=False)
+def c5_synteny_quota(spark, sf_dir):
+    return commands.synteny_blocks(view(spark, sf_dir, "v_pairs"))
+
+
+@query()
+def c6_synteny_nonstrand_all_pairs(spark, sf_dir):
+    return commands.synteny_blocks(view(spark, sf_dir, "v_pairs"), p=quota.Synteny(all_pairs=True, strict=False))
+
+
+@query()
+def c7_synteny_nonstrand_quota(spark, sf_dir):
+    return commands.synteny_blocks(view(spark, sf_dir, "v_pairs"), p=quota.Synteny(strict=False, count_members=False, remove_overlap=True))
 
 
 @query()

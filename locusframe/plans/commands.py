@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.exprs import normalise_bases, reverse_complement
-from locusframe.operators import affine, anchors, chains, mapping
-from locusframe.plans.runtime import cut
+from locusframe.operators import affine, anchors, chains, mapping, quota
+from locusframe.plans.runtime import cut, ship
 
 
 def spliced(features: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -37,10 +38,22 @@ def gff2seq(sequence: DataFrame, features: DataFrame, genes: DataFrame) -> DataF
     return longest_unique(spliced(features, sequence).join(genes, "transcript"))
 
 
-def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: chains.Chaining = chains.Chaining(3.0, -0.02, -0.005), strict: bool = True) -> DataFrame:
-    """``pro`` for each pair of chromosomes: tandem filter, near pairs collapsed, blocks chained."""
+def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: quota.Synteny = quota.Synteny(), run: str | None = None) -> DataFrame:
+    """``pro``: tandem filter, near pairs collapsed, blocks chained under the quotas (or, with ``p.all_pairs``, each pair of chromosomes for itself)."""
     rows = anchors.tandem_filter(pairs, tandem) if tandem else pairs
-    return chains.synteny_all_pairs(anchors.collapse_near_pairs(rows, width), p, strict)
+    return quota.synteny(anchors.collapse_near_pairs(rows, width) if width else rows, p, run)
+
+
+def quota_chain(match: DataFrame, p: quota.Chaining = quota.Chaining(), run: str | None = None) -> DataFrame:
+    """``proali`` up to its anchors: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
+    ship(match.sparkSession)
+    chained = quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run)
+    schema = chained.schema
+
+    def clean(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(chains.monotone(pdf.sort_values("pos").to_dict("records")), columns=pdf.columns)
+
+    return chained.groupBy("run", "block").applyInPandas(clean, schema)
 
 
 def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) -> DataFrame:

@@ -23,6 +23,10 @@ VIEWS: dict[str, str] = {
  CASE WHEN o_custkey % 7 = 0 THEN o_custkey * 1300 WHEN CAST(floor(o_orderkey / 200) AS BIGINT) % 4 = 1 THEN (o_orderkey - o_orderkey % 200 + 199 - o_orderkey % 200) * 100 ELSE o_orderkey * 100 END + 60 AS query_end,
  CASE WHEN CAST(floor(o_orderkey / 200) AS BIGINT) % 4 = 1 THEN '-' ELSE '+' END AS strand, 1 - (o_custkey % 20) / 100.0E0 AS score,
  'g' || CAST(o_orderkey AS VARCHAR(19)) AS gene, o_orderkey AS line_no FROM orders""",
+    # Homologous pairs with gene order ids on both sides
+    "v_pairs": """SELECT gene AS ref_gene, ref_chr, CAST(dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS INT) AS ref_id, ref_start, ref_end,
+ 'h' || CAST(query_start AS VARCHAR(19)) AS query_gene, query_chr, CAST(dense_rank() OVER (PARTITION BY query_chr ORDER BY query_start) AS INT) AS query_id, query_start, query_end,
+ strand, score, line_no FROM v_anchor""",
     # Exons; a part is a transcript, a brand a gene
     "v_feature": """SELECT 'c' || CAST(p_size % 7 AS VARCHAR(9)) AS seqid, CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END AS strand,
  l_orderkey * 40 + l_linenumber AS start1, l_orderkey * 40 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS end1,
@@ -58,14 +62,18 @@ VIEWS: dict[str, str] = {
 }
 
 
-def _closure(sql: str) -> list[str]:
-    found = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
+def _needed(sql: str) -> list[str]:
+    """The views that ``sql`` names and those that they name, each after what it needs."""
+    found: list[str] = []
+    for v in VIEWS:
+        if re.search(rf"\b{v}\b", sql):
+            found += [x for x in (*_needed(VIEWS[v]), v) if x not in found]
     return found
 
 
 def duck(sql: str) -> str:
     """``sql`` with the views it names, for DuckDB."""
-    head = ", ".join(f"{v} AS ({VIEWS[v].replace('{g}', ", 'g'")})" for v in _closure(sql))
+    head = ", ".join(f"{v} AS ({VIEWS[v].replace('{g}', ", 'g'")})" for v in _needed(sql))
     body = sql.strip()
     if not head:
         return body
@@ -74,5 +82,8 @@ def duck(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of VIEWS over the parquet tables of ``sf_dir``."""
-    sql = VIEWS[name].replace("{g}", "")
+    needed = _needed(VIEWS[name])
+    head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in needed)
+    sql = (f"WITH {head} " if head else "") + VIEWS[name]
+    sql = sql.replace("{g}", "")
     return spark.sql(re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", lambda m: f"{m[1]} parquet.`{sf_dir}/{m[2]}.parquet`", sql))

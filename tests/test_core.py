@@ -3,13 +3,16 @@
 import gzip
 import itertools
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
 from locusframe.operators import affine, anchors, chains, graph
 from locusframe.operators.components import components
+from locusframe.operators.quota import PAIR, Chaining, Synteny, chain_quota, quota_blocks, synteny
 from locusframe.plans import commands
 from locusframe.sinks import text as sinks
 from locusframe.sources import newick
@@ -69,43 +72,171 @@ def test_best_chain_is_best_of_all():
         assert sum(m["score"] for m in chains.best_chain(rows, 0.0)) == pytest.approx(best)
 
 
-def quota(spark, rows, p, run=None):
-    return chains.chain_quota(anchors.row_ids(spark.createDataFrame(rows, MATCH)), p).collect()
+def quota(spark, rows, p):
+    return chain_quota(anchors.row_ids(spark.createDataFrame(rows, MATCH)), p).collect()
 
 
 def test_quota(spark):
     first = [("R", "Q1", 100 * k, 100 * k + 9, 100 * k, 100 * k + 9, "+", 1.0, f"g{k}", k) for k in range(10)]
     second = [("R", "Q2", 100 * k, 100 * k + 9, 100 * k, 100 * k + 9, "+", 0.9, f"g{k}", 100 + k) for k in range(10)]
-    assert {r.query_chr for r in quota(spark, first + second, chains.Chaining())} == {"Q1"}
-    assert {r.query_chr for r in quota(spark, first + second, chains.Chaining(ref_quota=2))} == {"Q1", "Q2"}
-
-
-def test_quota_updates_are_those_of_a_full_computation():
-    import numpy as np
-    import pandas as pd
-
-    rng = random.Random(5)
-    rows = pd.DataFrame([dict(ref_start=k * 10, ref_end=k * 10 + 5, query_start=(q := (k if rng.random() < 0.8 else rng.randrange(200)) * 10), query_end=q + 5, strand=rng.choice("++++-"), score=1.0, gene_code=k, line_no=k, ref_id=k, query_id=q // 10) for k in range(200)])
-    pair = chains.Pair(rows, chains.Chaining())
-    for _ in range(20):
-        gone = np.zeros(200, bool)
-        gone[rng.sample(range(200), 4)] = True
-        pair.drop(gone)
-        fresh = chains.Pair(rows, chains.Chaining())
-        fresh.alive = pair.alive.copy()
-        fresh.update(np.arange(200))
-        alive = pair.alive
-        assert np.allclose(pair.f[alive], fresh.f[alive]) and pair.best == fresh.best
+    assert {r.query_chr for r in quota(spark, first + second, Chaining())} == {"Q1"}
+    assert {r.query_chr for r in quota(spark, first + second, Chaining(ref_quota=2))} == {"Q1", "Q2"}
+    # noise off the diagonal is passed over
+    noise = [("R", "Q1", 450, 455, 90_000, 90_005, "+", 1.0, "x", 99)] + [("R", "Q1", 50_000 + 100 * k, 50_009 + 100 * k, 20_000 + 100 * k, 20_009 + 100 * k, "-", 1.0, f"y{k}", 200 + k) for k in range(40)]
+    assert sum(r.block == 0 for r in quota(spark, first + noise, Chaining())) == 10
+
+
+def slow_chains(rows, p, ways, genes):
+    """The recurrences and the loop of the quota chains, word for word and from scratch for each chain taken.
+
+    rows: dicts in order; a match's index in ``rows`` is its name. Yields (score, [indices])."""
+    D, left = p.gap, list(range(len(rows)))
+    ref_times, query_times = Counter(), Counter()
+    query_key = (lambda m: m["query_gene"]) if genes else (lambda m: (m["query_chr"], m["query_id"]))
+    at = {}
+    for m in rows:
+        at.setdefault(("ref", m["ref_chr"], m["ref_id"]), m)
+        at.setdefault(("query", m["query_chr"], m["query_id"]), m)
+    local = lambda m: not genes and "localAlignment" in m["gene"]
+    quotas_on = not (genes and p.all_pairs)
+
+    def gap(side, chrom, lo, hi, closed):
+        used = (lambda m: ref_times[m["ref_gene"]] >= p.ref_quota) if side == "ref" else (lambda m: query_times[query_key(m)] >= p.query_quota)
+        n = 0
+        for k in range(lo, hi + 1) if closed else range(lo + 1, hi):
+            m = at.get((side, chrom, k))
+            if m is None or local(m):
+                continue
+            n += 1
+            if quotas_on and used(m):
+                return n, True
+        return n, False
+
+    while left:
+        best = None
+        for way in ways:
+            f, prev = {}, {}
+            for n, i in enumerate(left):
+                b = rows[i]
+                f[i], prev[i] = b["score"], None
+                for j in reversed(left[:n]):
+                    a = rows[j]
+                    if (a["ref_chr"], a["query_chr"]) != (b["ref_chr"], b["query_chr"]):
+                        continue
+                    dq = abs(b["query_id"] - a["query_id"])
+                    lo, hi = sorted((a["query_id"], b["query_id"]))
+                    if genes:
+                        if dq - 1 > D or (way == 0 and a["strand"] != b["strand"]):
+                            continue
+                        falls = b["strand"] == "-" if way == 0 else way < 0
+                        if not a["ref_id"] < b["ref_id"] or not (a["query_id"] > b["query_id"] if falls else a["query_id"] < b["query_id"]):
+                            continue
+                        r, q = b["ref_id"] - a["ref_id"] - 1, dq - 1
+                        if r > D:
+                            break
+                        r += 2 * D * gap("ref", b["ref_chr"], a["ref_id"], b["ref_id"], True)[1]
+                        q += 2 * D * gap("query", b["query_chr"], lo, hi, True)[1]
+                        dist = (r + q) / 2
+                    else:
+                        if a["strand"] != b["strand"] or not a["ref_end"] < b["ref_start"]:
+                            continue
+                        if b["strand"] == "+" and not (a["query_id"] < b["query_id"] and a["query_end"] < b["query_start"]):
+                            continue
+                        if b["strand"] == "-" and not (a["query_id"] > b["query_id"] and a["query_start"] > b["query_end"]):
+                            continue
+                        if dq - 1 > D:
+                            break
+                        (r, x), (q, y) = gap("ref", b["ref_chr"], a["ref_id"], b["ref_id"], False), gap("query", b["query_chr"], lo, hi, False)
+                        r, q = r + 2 * D * x, q + 2 * D * y
+                        dist = (r + q + abs(r - q)) / p.step
+                    if r > D or q > D:
+                        break
+                    cand = b["score"] + f[j]
+                    if dist > 0:
+                        cand = cand + (0 if local(a) or local(b) else p.open) + p.extend * dist
+                    if cand > f[i]:
+                        f[i], prev[i] = cand, j
+            for i in left:
+                key = (-f[i], (rows[i]["ref_chr"], rows[i]["query_chr"]), left.index(i), ways.index(way))
+                if f[i] > p.least and (best is None or key < best[0]):
+                    best = key, f[i], i, prev
+        if best is None:
+            return
+        _, score, i, prev = best
+        chain = []
+        while i is not None:
+            chain.insert(0, i)
+            i = prev[i]
+        yield score, chain
+        ms = [rows[i] for i in chain]
+        over = lambda m, s: m[f"{s}_chr"] == ms[0][f"{s}_chr"] and m[f"{s}_start"] <= max(x[f"{s}_end"] for x in ms) and min(x[f"{s}_start"] for x in ms) <= m[f"{s}_end"]
+        if quotas_on:
+            if genes and p.count_members:
+                ref_times.update(m["ref_gene"] for m in ms), query_times.update(m["query_gene"] for m in ms)
+            else:
+                ref_times.update({rows[i]["ref_gene"] for i in left if over(rows[i], "ref")})
+                query_times.update({query_key(rows[i]) for i in left if over(rows[i], "query")})
+        gone = set(chain)
+        if not genes or p.remove_overlap:
+            gone |= {i for i in left if over(rows[i], "ref") and over(rows[i], "query")}
+        left = [i for i in left if i not in gone and not (quotas_on and (ref_times[rows[i]["ref_gene"]] >= p.ref_quota or query_times[query_key(rows[i])] >= p.query_quota))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_position_chains_against_the_recurrence(seed):
+    rng = random.Random(seed)
+    p = Chaining(least=rng.choice([0.5, 2.0]), gap=rng.choice([2, 5, 25]), ref_quota=rng.choice([1, 2]), query_quota=rng.choice([1, 2]), step=rng.choice([1.0, 3.0]))
+    rows = []
+    for k in range(90):
+        diagonal, chrom = rng.random() < 0.7, rng.choice("AAB")
+        q = 10 * (k if chrom == "A" else 95 - k) if diagonal else 10 * rng.randrange(95)
+        rows.append(dict(ref_chr="R" + rng.choice("11112"), query_chr="Q" + chrom, ref_start=10 * k, ref_end=10 * k + 6, query_start=q, query_end=q + 6, strand="+" if chrom == "A" else "-", score=rng.choice([1.0, 0.9, 0.5]), gene=("localAlignment_" if rng.random() < 0.15 else "g") + str(k // rng.choice([1, 1, 2])), line_no=k))
+    for c, key in (("ref", "ref_start ref_end query_start query_end line_no"), ("query", "query_start query_end ref_start ref_end line_no")):
+        seen = Counter()
+        for m in sorted(rows, key=lambda m: [m[x] for x in key.split()]):
+            m[f"{c}_id"] = seen[m[f"{c}_chr"]]
+            seen[m[f"{c}_chr"]] += 1
+    for m in rows:
+        m["ref_gene"] = m["query_gene"] = m["gene"]
+    rows.sort(key=lambda m: [m[x] for x in "ref_chr query_chr ref_start ref_end query_start query_end line_no".split()])
+    got, want = quota_blocks(pd.DataFrame(rows), p), list(slow_chains(rows, p, [0], False))
+    assert [c for _, c in got] == [c for _, c in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want]) and len(got) > 1
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_gene_chains_against_the_recurrence(seed):
+    rng = random.Random(100 + seed)
+    p = Synteny(least=rng.choice([1.0, 3.0]), gap=rng.choice([2, 5, 25]), ref_quota=rng.choice([1, 2]), query_quota=rng.choice([1, 2]), strict=seed % 2 == 0, count_members=rng.random() < 0.5, remove_overlap=rng.random() < 0.5, all_pairs=seed % 5 == 4)
+    rows = []
+    for k in range(80):
+        chrom, r = rng.choice("AAB"), rng.randrange(60)
+        q = (r if chrom == "A" else 60 - r) if rng.random() < 0.7 else rng.randrange(60)
+        refc = "R" + (rng.choice("112") if not p.all_pairs else "1")
+        rows.append(dict(ref_gene=f"{refc}g{r}", ref_chr=refc, ref_id=r, ref_start=10 * r, ref_end=10 * r + 6, query_gene=f"Q{chrom}h{q}", query_chr="Q" + chrom, query_id=q, query_start=10 * q, query_end=10 * q + 6, strand=rng.choice("++-" if chrom == "A" else "--+"), score=rng.choice([1.0, 0.9, 0.5]), line_no=k))
+    rows.sort(key=lambda m: (m["ref_chr"] + "_" + m["query_chr"], m["ref_start"], -m["ref_end"], m["ref_gene"], m["query_start"], -m["query_end"], m["line_no"]))
+    ways = [0] if p.strict else [1, -1]
+    got, want = quota_blocks(pd.DataFrame(rows), p), list(slow_chains(rows, p, ways, True))
+    assert [c for _, c in got] == [c for _, c in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want]) and got
 
 
 def test_synteny_and_helpers(spark):
-    rows = [("R", "Q", 100 * k, 100 * k + 9, 100 * (20 - k), 100 * (20 - k) + 9, "-", 1.0, f"g{k}", k) for k in range(6)]
-    ids = anchors.row_ids(spark.createDataFrame(rows, MATCH))
-    assert chains.synteny_all_pairs(ids).count() == 6 and chains.synteny_all_pairs(ids, strict=False).count() == 6
+    rows = [(f"a{k}", "R", k, 100 * k, 100 * k + 9, f"b{k}", "Q", 20 - k, 100 * (20 - k), 100 * (20 - k) + 9, "-", 1.0, k) for k in range(6)]
+    d = spark.createDataFrame(rows, PAIR)
+    for p in (Synteny(), Synteny(strict=False), Synteny(all_pairs=True)):
+        got = synteny(d, p)
+        assert got.count() == 6 and {r.block for r in got.collect()} == {0}
     assert chains.increasing([(1, 5), (2, 1), (3, 2), (4, 9)]) in ([(2, 1), (3, 2), (4, 9)],)
     assert len(chains.monotone([dict(strand="+", ref_start=s, ref_end=s + 5, query_start=s, query_end=s + 5) for s in (0, 3, 10)])) == 2
 
 
+def test_inversion_runs_that_earn_too_little_go():
+    m = lambda r, q, strand, score=1.0: dict(ref_start=r, ref_end=r + 5, query_start=q, query_end=q + 5, strand=strand, score=score)
+    # a run of two, closed by a minus match that doesn't go on with it and belongs to no run itself
+    chain = [m(0, 0, "+"), m(40, 10, "-"), m(30, 20, "-"), m(60, 40, "-"), m(50, 50, "-"), m(70, 70, "+"), m(80, 80, "-")]
+    assert chains._kept(chain, 2.0) == [True, False, False, True, False, True, False]
+    assert chains._kept(chain, 1.0) == [True, True, True, True, False, True, False] and all(chains._kept(chain, 0.5))
+
+
 def brute_align(a, b, s):
     best = None
 

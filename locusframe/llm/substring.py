@@ -32,6 +32,8 @@ BANDS, ROWS = 12, 4
 #: Paragraphs of a band that are compared pair by pair, at most. In larger groups each is first compared with the two nearest in order
 #: and the most central; a group that these links leave in several components goes through an exact join (:func:`_across`).
 PAIRWISE = 32
+#: Paragraphs of such a group that are put in order within one task, about.
+PART = 1024
 #: Counters by which that join orders shingles, as a power of two.
 FREQUENCY_BITS = 18
 #: Words on each side within which a segment's first word has the smallest hash.
@@ -178,7 +180,8 @@ def paragraph_classes(docs: DataFrame, least: int = SHINGLE, similarity: float =
     """
     ship(docs.sparkSession)
     all_rows = cut(id_text(docs).where("doc_id is not null").mapInArrow(lambda it: _paragraphs(it, least), _PARAGRAPH), "paragraphs")
-    distinct = all_rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands"))
+    first = F.min(F.struct("doc_id", "start"))  # where a paragraph stands first
+    distinct = cut(all_rows.groupBy("h").agg(first["doc_id"].alias("rep"), first["start"].alias("at"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands")), "distinct-paragraphs")
     banded = distinct.select("h", F.posexplode("bands").alias("band", "key"))
     sizes = cut(banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "paragraph-bands")
     met = cut(banded.join(sizes, ["band", "key"]), "paragraph-collisions")
@@ -188,12 +191,15 @@ def paragraph_classes(docs: DataFrame, least: int = SHINGLE, similarity: float =
     large = met.where(F.col("m") > PAIRWISE)
     many = cut(large.join(large.groupBy("h").agg(F.sum("m").alias("meets")), "h"), "paragraph-crowds")
     hubs = many.groupBy("band", "key").agg(F.max_by("h", F.struct("meets", "h")).alias("first"))
-    order = Window.partitionBy("band", "key").orderBy("h")
+    # a crowd of any size is dealt to tasks in parts of about PART paragraphs
+    order = Window.partitionBy("band", "key", F.pmod(F.xxhash64("h"), F.ceil(F.col("m") / PART))).orderBy("h")
     near = many.join(hubs, ["band", "key"]).select("h", "first", F.lag("h", 1).over(order).alias("p1"), F.lag("h", 2).over(order).alias("p2"))
     near = near.select(F.explode(F.array("first", "p1", "p2")).alias("a"), F.col("h").alias("b")).where("a is not null and a <> b")
     pairs = cut(pairs.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "paragraph-pairs")
     needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
-    held = cut(all_rows.select("h", "words").join(needed, "h", "left_semi").groupBy("h").agg(F.any_value("words").alias("words")), "paragraph-words")
+    needed = distinct.join(needed, "h", "left_semi").select("h", F.col("rep").alias("doc_id"), F.col("at").alias("start"))
+    # a row each, but for rows that share an id
+    held = cut(all_rows.select("h", "doc_id", "start", "words").join(needed, ["h", "doc_id", "start"], "left_semi").groupBy("h").agg(F.any_value("words").alias("words")), "paragraph-words")
     side = lambda c: held.select(F.col("h").alias(c), F.col("words").alias(f"w{c}"))
     verify = lambda p: p.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(lambda it: _similar(it, similarity), "a long, b long")
     links = cut(verify(pairs), "paragraph-links")

@@ -94,10 +94,10 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
             if len(w.h) < least:
                 continue
             first = np.flatnonzero(np.diff(w.line, prepend=-1))
+            s = _rolled(w.h, SHINGLE)
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(w.h)]):
                 if b - a >= least:
-                    s = _rolled(w.h[a:b], SHINGLE)
-                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, signed(xxhash.xxh64_intdigest(w.h[a:b].tobytes())), np.unique(s)))
+                    rows.append((doc_id, int(w.start[a]), int(w.end[b - 1]), b - a, signed(xxhash.xxh64_intdigest(w.h[a:b].tobytes())), s[a : b - SHINGLE + 1]))
         for k in range(0, len(rows), 512):
             part = rows[k : k + 512]
             shingles = np.concatenate([r[5] for r in part])
@@ -179,7 +179,7 @@ def paragraph_classes(docs: DataFrame, least: int = SHINGLE, similarity: float =
     row per task. class_id: the smallest doc_id of the component.
     """
     ship(docs.sparkSession)
-    all_rows = cut(id_text(docs).where("doc_id is not null").mapInArrow(lambda it: _paragraphs(it, least), _PARAGRAPH), "paragraphs")
+    all_rows = cut(id_text(docs).where("doc_id is not null").mapInArrow(lambda it: _paragraphs(it, max(least, SHINGLE)), _PARAGRAPH), "paragraphs")
     first = F.min(F.struct("doc_id", "start"))  # where a paragraph stands first
     distinct = cut(all_rows.groupBy("h").agg(first["doc_id"].alias("rep"), first["start"].alias("at"), F.max("doc_id").alias("last"), F.any_value("bands").alias("bands")), "distinct-paragraphs")
     banded = distinct.select("h", F.posexplode("bands").alias("band", "key"))

@@ -87,6 +87,11 @@ def saturating_multiply(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_multiply(a, b), F.lit(2**63 - 1))
 
 
+def saturating_add(a: Column, b: Column) -> Column:
+    """of non-negative longs; the largest long instead of an overflow."""
+    return F.coalesce(F.try_add(a, b), F.lit(2**63 - 1))
+
+
 def close(a: Column, b: Column) -> Column:
     """equal within 1e-12, relative to the larger of both and 1."""
     return F.abs(a - b) <= 1e-12 * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
@@ -97,6 +102,49 @@ def tsv_clean(s: Column) -> Column:
     return F.translate(s, "\t\n\r", "   ")
 
 
+def strict_integer(s: Column) -> Column:
+    """a trimmed whole token as a long; null for anything else."""
+    t = F.trim(s)
+    return F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("long"))
+
+
+def strict_double(s: Column) -> Column:
+    """a trimmed whole token as a finite double; null for anything else."""
+    t = F.trim(s)
+    x = t.try_cast("double")
+    return F.when(t.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$") & (F.abs(x) < float("inf")), x)
+
+
+def interval_fits(start0: Column, end0: Column, size: Column | None = None) -> Column:
+    """a half-open interval with something in it, within ``size`` if given."""
+    fits = (start0 >= 0) & (end0 > start0)
+    return fits if size is None else fits & (end0 <= size)
+
+
+def beside(manifest: str, path: Column) -> Column:
+    """a path of a manifest, relative ones from the manifest's folder."""
+    folder = manifest.rsplit("/", 1)[0] + "/" if "/" in manifest else ""
+    return F.when(path.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*:)"), path).otherwise(F.concat(F.lit(folder), path))
+
+
+def method_label(method: Column) -> Column:
+    """what a method's rows are called in tables."""
+    # Labels of methods that are told apart inside only.
+    labels = {
+        "WAVEFRONT_SINGLETRACK": "WAVEFRONT", "WAVEFRONT_MEDIUM": "WAVEFRONT", "WAVEFRONT_LOW": "WAVEFRONT",
+        "KSW2_SINGLETRACK": "KSW2", "MINIMAP2": "KSW2", "KSW2_SCORE_CERTIFIED": "KSW2", "BANDED_MINIMAP2": "BANDED_KSW2",
+    }
+    out = method
+    for a, b in labels.items():
+        out = F.when(method == a, b).otherwise(out)
+    return out
+
+
+def bases_fit(base: Column, other: Column) -> Column:
+    """Two IUPAC letters that may be the same base."""
+    return mask_of(base).cast("int").bitwiseAND(mask_of(other).cast("int")) > 0
+
+
 def split_items(s: Column, delimiter: str) -> Column:
     """F16: items between delimiters, empty ones dropped."""
     return F.filter(F.split(s, "\\Q" + delimiter + "\\E"), lambda x: x != "")

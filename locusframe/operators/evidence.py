@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.functions.exprs import complement, pair_id
+from locusframe.functions.exprs import bases_fit, complement, mask_of, pair_id
 from locusframe.operators.anchors import next_on_path
+from locusframe.operators.sequences import CHUNK
 
 
 def alignment_columns(rows: DataFrame) -> DataFrame:
@@ -35,6 +37,12 @@ def homologies(columns: DataFrame) -> DataFrame:
     return a.join(b, ["block", "col"]).select("block", "col", "left_pos0", "right_pos0", (F.col("lb") == F.col("rb")).alias("same"))
 
 
+def base_conflicts(columns: DataFrame) -> DataFrame:
+    """G1: residues (source, pos0) that alignments give different bases, N aside: (source, pos0, bases). Rows here are an error of the input."""
+    seen = columns.where("present and base <> 'N'").groupBy("source", "pos0").agg(F.array_sort(F.collect_set("base")).alias("bases"))  # letters: a handful at most
+    return seen.where(F.size("bases") > 1)
+
+
 def absences(columns: DataFrame) -> DataFrame:
     """Gaps with a base on both sides in their row, as (block, row, col, left_flank0, right_flank0); a terminal gap is missing data."""
     w = Window.partitionBy("block", "row").orderBy("col")
@@ -44,12 +52,32 @@ def absences(columns: DataFrame) -> DataFrame:
     return seen.where("not present and left_flank0 is not null and right_flank0 is not null").select("block", "row", "col", "left_flank0", "right_flank0")
 
 
-def check_bases(residues: DataFrame, sequence: DataFrame) -> DataFrame:
-    """(taxon, pos0, code): does a residue's base stand in its sequence? residues: taxon, pos0, base; sequence: taxon, seq."""
-    s = sequence.select("taxon", "seq")
-    got = residues.join(s, "taxon", "left").withColumn("there", F.substring("seq", (F.col("pos0") + 1).cast("int"), F.lit(1)))
-    code = F.when(F.col("seq").isNull(), "MISSING_TAXON_FASTA").when(F.col("there") == "", "FASTA_SOURCE_SIZE_MISMATCH").when((F.col("there") != F.col("base")) & ~F.col("there").isin("N"), "FASTA_EVIDENCE_BASE_MISMATCH").otherwise("OK")
-    return got.select("taxon", "pos0", code.alias("code"))
+def check_bases(residues: DataFrame, chunks: DataFrame, size: int = CHUNK) -> DataFrame:
+    """``residues`` (taxon, seq, pos0, base, source_size) with a code: is what each says possible, and does it stand in its taxon's sequence?
+
+    chunks: (taxon, name, chunk, bases). A base fits if both letters may be the same one. A residue meets
+    the one chunk it lies in. Diagnostics of the files themselves (headers, duplicates) are the readers'.
+    """
+    sizes = residues.groupBy("taxon", "seq").agg((F.min("source_size") != F.max("source_size")).alias("sizes_differ"))
+    have = chunks.groupBy("taxon", "name").agg(F.max(F.col("chunk") * size + F.char_length("bases")).alias("length"))
+    rows = residues.join(sizes, (residues.taxon == sizes.taxon) & residues.seq.eqNullSafe(sizes.seq), "left").drop(sizes.taxon, sizes.seq)
+    rows = rows.join(have.select("taxon").distinct().withColumn("known_taxon", F.lit(True)), "taxon", "left")
+    rows = rows.join(have.withColumnRenamed("name", "seq"), ["taxon", "seq"], "left").withColumn("chunk", F.floor(F.col("pos0") / size).cast("long"))
+    rows = rows.join(chunks.withColumnRenamed("name", "seq"), ["taxon", "seq", "chunk"], "left").withColumn("there", F.substring("bases", (F.col("pos0") - F.col("chunk") * size + 1).cast("int"), F.lit(1)))
+    # The diagnostic codes.
+    code = (
+        F.when(F.coalesce("seq", F.lit("")) == "", "EVIDENCE_EMPTY_SOURCE_ID").when(F.col("source_size") <= 0, "EVIDENCE_INVALID_SOURCE_SIZE").when(F.col("sizes_differ"), "EVIDENCE_SOURCE_SIZE_CONFLICT")
+        .when((F.col("pos0") < 0) | (F.col("pos0") >= F.col("source_size")), "EVIDENCE_POSITION_OUT_OF_RANGE").when(mask_of(F.col("base")) == 0, "EVIDENCE_INVALID_BASE")
+        .when(F.col("known_taxon").isNull(), "MISSING_TAXON_FASTA").when(F.col("length").isNull(), "FASTA_MISSING_SEQUENCE_ID").when(F.col("length") != F.col("source_size"), "FASTA_SOURCE_SIZE_MISMATCH")
+        .when(mask_of(F.col("there")) == 0, "FASTA_INVALID_BASE").when(~bases_fit(F.col("base"), F.col("there")), "FASTA_EVIDENCE_BASE_MISMATCH").otherwise("OK")
+    )
+    return rows.select("taxon", "seq", "pos0", "base", code.alias("code"))
+
+
+def path_observations(residues: DataFrame) -> DataFrame:
+    """(path, site_id, pos0, base, next_site, next_base): what a path shows at each site, and at the one after it."""
+    w = Window.partitionBy("path").orderBy("pos0")
+    return residues.select("path", "site_id", "pos0", "base", F.lead("site_id").over(w).alias("next_site"), F.lead("base").over(w).alias("next_base"))
 
 
 def in_intervals(positions: DataFrame, intervals: DataFrame, keys: list[str], bin_size: int = 1 << 12) -> DataFrame:
@@ -59,31 +87,6 @@ def in_intervals(positions: DataFrame, intervals: DataFrame, keys: list[str], bi
     return positions.withColumn("bin", F.floor(F.col("pos0") / bin_size)).join(b, [*keys, "bin"]).where("pos0 >= start0 and pos0 < end0").drop("bin")
 
 
-def best_group(scores: DataFrame, margin: float) -> DataFrame:
-    """(item, group, alternatives): the group of the greatest summed score, and how many are within ``margin`` of it."""
-    total = scores.groupBy("item", "grp").agg(F.sum("score").alias("s"))
-    top = total.groupBy("item").agg(F.max(F.struct(F.col("s").alias("s"), (-F.col("grp")).alias("g"))).alias("m"))
-    near = total.join(top, "item").where(F.col("s") >= F.col("m.s") - margin)
-    return near.groupBy("item").agg((-F.max("m.g")).alias("grp"), (F.count(F.lit(1)) - 1).alias("alternatives"))
-
-
-def adjacency_states(blocks: DataFrame) -> DataFrame:
-    """(adjacency, taxon, state) for each adjacency seen anywhere and each taxon.
-
-    PRESENT: neighbours on a path of the taxon; ABSENT: both blocks are placed in it, but not side by side; else MISSING.
-    The taxa are few, the adjacencies are not, so the taxa are what is multiplied in.
-    """
-    near = next_on_path(blocks, ["taxon", "path"], ["start0", "block_id"], "block_id")
-    seen = near.select("taxon", pair_id(F.col("block_id"), F.col("next")).alias("adjacency"), F.least("block_id", "next").alias("x"), F.greatest("block_id", "next").alias("y")).distinct()
-    taxa = blocks.select("taxon").distinct()
-    every = seen.select("adjacency", "x", "y").distinct().crossJoin(taxa)
-    placed = blocks.select("taxon", "block_id").distinct()
-    both = every.join(placed.select("taxon", F.col("block_id").alias("x"), F.lit(True).alias("px")), ["taxon", "x"], "left").join(placed.select("taxon", F.col("block_id").alias("y"), F.lit(True).alias("py")), ["taxon", "y"], "left")
-    full = both.join(seen.select("taxon", "adjacency", F.lit(True).alias("is")), ["taxon", "adjacency"], "left")
-    state = F.when(F.col("is"), "PRESENT").when(F.col("px") & F.col("py"), "ABSENT").otherwise("MISSING")
-    return full.select("adjacency", "taxon", state.alias("state"))
-
-
 def place_blocks(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     """(block_id, path, first, n, orientation) wherever all sites of a block follow each other on a path, forward or backward.
 
@@ -99,10 +102,19 @@ def place_blocks(blocks: DataFrame, paths: DataFrame) -> DataFrame:
     return whole.groupBy("block_id", "path", "first", "n").agg(F.when(F.count(F.lit(1)) == 2, "?").otherwise(F.min("o")).alias("orientation")).select("block_id", "path", "first", "n", "orientation")
 
 
-def conflicting(adjacency: DataFrame) -> DataFrame:
-    """Block ends (block, adjacencies) that more than two called adjacencies claim."""
-    ends = adjacency.select(F.explode(F.split("adjacency", "--")).alias("block_id"), "adjacency").distinct()
-    return ends.groupBy("block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+def fnv1a(items: list[bytes]) -> list[int]:
+    """FNV-1a of 64 bits of each item: all items' bytes at one place at a time, the longest first, so that a prefix of them is still at work."""
+    order = sorted(range(len(items)), key=lambda k: -len(items[k]))
+    sizes = np.array([len(items[k]) for k in order], np.int64)
+    h = np.full(len(items), 0xCBF29CE484222325, np.uint64)
+    starts = np.cumsum(sizes) - sizes
+    flat = np.frombuffer(b"".join(items[k] for k in order), np.uint8)
+    for place in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -place, side="left"))  # items longer than ``place``
+        h[:n] = (h[:n] ^ flat[starts[:n] + place]) * np.uint64(0x100000001B3)
+    out = np.empty(len(items), np.uint64)
+    out[order] = h
+    return out.tolist()
 
 
 def stable_id(prefix: str, *fields: Column, namespace: str = "locusframe-v1") -> Column:
@@ -110,13 +122,7 @@ def stable_id(prefix: str, *fields: Column, namespace: str = "locusframe-v1") ->
 
     @F.pandas_udf("string")
     def digest(text: pd.Series) -> pd.Series:
-        def one(s: str) -> str:
-            h = 0xCBF29CE484222325
-            for b in s.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return f"{prefix}_{h:016x}"
-
-        return text.map(one)
+        return pd.Series([f"{prefix}_{h:016x}" for h in fnv1a([s.encode() for s in text])], index=text.index)
 
     parts = [F.concat(F.lit("|"), F.octet_length(f.cast("string")).cast("string"), F.lit(":"), f.cast("string")) for f in fields]
     return digest(F.concat(F.lit(namespace), *parts))

@@ -132,7 +132,9 @@ def consensus(observed: DataFrame) -> DataFrame:
     return n.groupBy("site_id").agg(F.min(F.struct((-F.col("n")).alias("k"), F.col("base").alias("base"))).alias("m")).select("site_id", "m.base", (-F.col("m.k")).alias("n"))
 
 
-def decide(presence: Column, resolved: Column, mask: Column) -> Column:
-    """G13"""
+def decide(presence: Column, resolved: Column, mask: Column, emit_ambiguous: bool = False) -> Column:
+    """With ``emit_ambiguous`` a site of ambiguous presence is emitted under a label of its own."""
     single = mask.isin(1, 2, 4, 8)
-    return F.when(~resolved, "COPY_UNRESOLVED").when(presence == "AMBIGUOUS", "PRESENCE_AMBIGUOUS").when(presence == "ABSENT", "ANCESTRAL_ABSENT").when(~single, "BASE_AMBIGUOUS").otherwise("EMITTED")
+    # The decisions.
+    ambiguous = "PRESENCE_AMBIGUOUS_EMITTED" if emit_ambiguous else "PRESENCE_AMBIGUOUS"
+    return F.when(~resolved, "COPY_UNRESOLVED").when(presence == "AMBIGUOUS", ambiguous).when(presence == "ABSENT", "ANCESTRAL_ABSENT").when(~single, "BASE_AMBIGUOUS").otherwise("EMITTED")

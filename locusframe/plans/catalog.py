@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import affine, anchors, evidence, graph, mapping, quota
+from locusframe.operators import adjacency, affine, ancestry, anchors, copies, evidence, graph, mapping, profiles, quota, sequences
 from locusframe.operators.components import components
+from locusframe.operators.orders import ranked
 from locusframe.plans import commands
 from locusframe.plans.runtime import table
 from locusframe.plans.views import duck, view
 from locusframe.sources import newick
+from locusframe.sources import text as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -58,6 +60,9 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- scalar functions
 
+_METHODS = "WAVEFRONT_SINGLETRACK WAVEFRONT WAVEFRONT_MEDIUM KSW2_SINGLETRACK MINIMAP2 BANDED_MINIMAP2 SLIDING_WINDOW FILLING".split()
+_LABELLED = "CASE WHEN m LIKE 'WAVEFRONT%' THEN 'WAVEFRONT' WHEN m IN ('KSW2_SINGLETRACK', 'MINIMAP2') THEN 'KSW2' WHEN m = 'BANDED_MINIMAP2' THEN 'BANDED_KSW2' ELSE m END"
+
 on("f1_normalise_bases", "benchmark", lambda d: d.select("item_id", exprs.normalise_bases(F.regexp_replace("text", "[^A-Za-z]", "")).alias("seq")),
    "SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'RYSWKMBDHVU', 'NNNNNNNNNNT') AS seq FROM benchmark")
 on("f2_reverse_complement", "v_seq", lambda d: d.select("seq_id", exprs.reverse_complement(F.col("seq")).alias("rc")),
@@ -89,39 +94,51 @@ on("f15_tsv_clean", "benchmark", lambda d: d.select("item_id", exprs.tsv_clean(F
    "SELECT item_id, translate(text, chr(9) || chr(10) || chr(13), '   ') AS line FROM benchmark")
 on("f16_split_items", "benchmark", lambda d: d.select("item_id", F.size(exprs.split_items(F.col("text"), ".")).cast("long").alias("n")),
    "SELECT item_id, CAST(len(list_filter(string_split(text, '.'), lambda x: x <> '')) AS BIGINT) AS n FROM benchmark")
-on("f17_interval_check", "v_block", lambda d: d.select(((F.col("start0") >= 0) & (F.col("end0") > F.col("start0")) & F.col("orientation").isin("+", "-", "?")).alias("valid")).groupBy("valid").agg(F.count(F.lit(1)).alias("n")),
-   "SELECT start0 >= 0 AND end0 > start0 AND orientation IN ('+', '-', '?') AS valid, count(*) AS n FROM v_block GROUP BY 1")
+on("f17_interval_check", "v_block", lambda d: d.select("projection_id", exprs.interval_fits(F.col("start0"), F.col("end0"), F.lit(1000)).alias("fits")),
+   "SELECT projection_id, start0 >= 0 AND end0 > start0 AND end0 <= 1000 AS fits FROM v_block")
+on("f13_saturating_add", "v_match", lambda d: d.select("line_no", exprs.saturating_add(F.col("ref_end"), F.lit(9223372036854775807) - F.col("line_no")).alias("total")),
+   "SELECT line_no, CAST(least(CAST(ref_end AS HUGEINT) + (9223372036854775807 - line_no), 9223372036854775807) AS BIGINT) AS total FROM v_match")
+on("f15_strict_numbers", "benchmark", lambda d: d.select("item_id", F.explode(F.split(F.concat("text", F.lit(" 12 +7 -3.5 .5 1e3 1e999 x1 0x1 9999999999999999999 "), F.col("item_id").cast("string")), " ")).alias("token")).groupBy("item_id").agg(
+    F.sum(exprs.strict_integer(F.col("token"))).alias("integers"), F.count(exprs.strict_double(F.col("token"))).alias("doubles")),
+   r"""WITH t AS (SELECT item_id, trim(unnest(string_split(text || ' 12 +7 -3.5 .5 1e3 1e999 x1 0x1 9999999999999999999 ' || CAST(item_id AS VARCHAR), ' '))) AS token FROM benchmark)
+SELECT item_id, CAST(sum(CASE WHEN regexp_full_match(token, '[+-]?[0-9]+') THEN TRY_CAST(token AS BIGINT) END) AS BIGINT) AS integers,
+ count(CASE WHEN regexp_full_match(token, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') AND abs(TRY_CAST(token AS DOUBLE)) < 'inf'::DOUBLE THEN 1 END) AS doubles FROM t GROUP BY 1""")
+on("f11_method_labels", "v_match", lambda d: d.select("line_no", exprs.method_label(F.element_at(F.array(*map(F.lit, _METHODS)), (F.col("line_no") % len(_METHODS) + 1).cast("int"))).alias("label")),
+   f"SELECT line_no, {_LABELLED} AS label FROM (SELECT line_no, [{', '.join(repr(m) for m in _METHODS)}][CAST(line_no % {len(_METHODS)} + 1 AS INT)] AS m FROM v_match)")
 on("s6_attribute", "v_feature", lambda d: d.select("line_no", exprs.attribute(F.concat(F.lit("ID=x;Parent="), "transcript", F.lit(";gene_id \""), "gene", F.lit('"')), "gene_id").alias("gene")),
    "SELECT line_no, gene FROM v_feature")
 on("l4_gap_cost", "v_match", lambda d: d.select("line_no", exprs.gap_cost((F.col("ref_end") - F.col("ref_start")) * 3).cast("double").alias("cost")),
    "SELECT line_no, CAST(greatest(-8 - 2 * (ref_end - ref_start) * 3, -75 - (ref_end - ref_start) * 3) AS DOUBLE) AS cost FROM v_match")
-on("l11_all_n", "v_seq", lambda d: d.select("seq_id", F.when(F.col("seq").rlike("^N*$"), "FILLING").otherwise("EXACT").alias("method")),
-   "SELECT seq_id, CASE WHEN regexp_full_match(seq, 'N*') THEN 'FILLING' ELSE 'EXACT' END AS method FROM v_seq")
-on("l12_one_sided_fill", "v_seq", lambda d: d.select("seq_id", F.repeat(F.lit("-"), F.char_length("seq")).alias("other"), exprs.gap_cost(F.char_length("seq")).cast("double").alias("score")),
-   "SELECT seq_id, repeat('-', length(seq)) AS other, CAST(greatest(-8 - 2 * length(seq), -75 - length(seq)) AS DOUBLE) AS score FROM v_seq")
+
+
+def _pairs_to_fill(d: DataFrame, all_n: bool) -> DataFrame:
+    return d.select(F.col("seq_id").alias("id"), (F.repeat(F.lit("N"), (F.col("seq_id") % 50).cast("int")) if all_n else F.lit("")).alias("a"), F.col("seq").alias("b"))
+
+
+on("l11_all_n", "v_seq", lambda d: affine.align_pairs(_pairs_to_fill(d, True).where("a <> ''")),
+   "SELECT seq_id AS id, rpad(repeat('N', seq_id % 50), CAST(greatest(seq_id % 50, length(seq)) AS INT), '-') AS row_a, rpad(seq, CAST(greatest(seq_id % 50, length(seq)) AS INT), '-') AS row_b, 0.0::DOUBLE AS score, 'FILLING' AS method FROM v_seq WHERE seq_id % 50 > 0")
+on("l12_one_sided_fill", "v_seq", lambda d: affine.align_pairs(_pairs_to_fill(d, False)),
+   "SELECT seq_id AS id, repeat('-', length(seq)) AS row_a, seq AS row_b, CAST(greatest(-8 - 2 * length(seq), -75 - length(seq)) AS DOUBLE) AS score, 'FILLING' AS method FROM v_seq")
 
 # ---------------------------------------------------------------- filters
 
-on("p1_chromosome_intersection", "v_sam", lambda d: d.select("rname").intersect(d.where("pos1 % 3 = 0").select("rname")), "SELECT rname FROM v_sam INTERSECT SELECT rname FROM v_sam WHERE pos1 % 3 = 0")
-on("p2_min_feature_length", "v_feature", lambda d: d.where("end1 - start1 + 1 >= 20").groupBy("transcript").agg(F.count(F.lit(1)).alias("n")),
+on("p1_chromosome_intersection", "v_sam", lambda d: anchors.common_names(d.select("rname"), d.where("pos1 % 3 = 0").select("rname"), d.where("rname <> 'c3'").select("rname")), "SELECT rname FROM v_sam INTERSECT SELECT rname FROM v_sam WHERE pos1 % 3 = 0 INTERSECT SELECT rname FROM v_sam WHERE rname <> 'c3'")
+on("p2_min_feature_length", "v_feature", lambda d: anchors.long_enough(d, 20).groupBy("transcript").agg(F.count(F.lit(1)).alias("n")),
    "SELECT transcript, count(*) AS n FROM v_feature WHERE end1 - start1 + 1 >= 20 GROUP BY 1")
-on("p4_similarity_filter", "v_match", lambda d: d.where("score > 0.95").select("line_no", "score"), "SELECT line_no, score FROM v_match WHERE score > 0.95")
-on("p5_same_chromosome", "v_match", lambda d: d.where("substr(ref_chr, 2) = substr(query_chr, 2) and strand = '+'").select("line_no"),
-   "SELECT line_no FROM v_match WHERE substr(ref_chr, 2) = substr(query_chr, 2) AND strand = '+'")
+on("p4_similarity_filter", "v_match", lambda d: anchors.similar(d, 0.95).select("line_no", "score"), "SELECT line_no, score FROM v_match WHERE score > 0.95")
+on("p5_same_chromosome", "v_anchor", lambda d: anchors.same_chromosome(d, False).select("line_no"), "SELECT line_no FROM v_anchor WHERE ref_chr = query_chr AND strand = '+'")
 on("p6_chromosome_admission", "v_match", lambda d: anchors.admitted(d, 4000).groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")),
    "SELECT ref_chr, query_chr, count(*) AS n FROM v_match GROUP BY ALL HAVING count(*) >= 4000")
-on("p11_alphabet_check", "v_seq", lambda d: d.select("seq_id", F.col("seq").rlike("^[ACGTN]+$").alias("dna")), "SELECT seq_id, regexp_full_match(seq, '[ACGTN]+') AS dna FROM v_seq")
 
 
-@query("""WITH p AS (SELECT line_no, gene, ref_chr, query_chr, dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS r, dense_rank() OVER (PARTITION BY query_chr ORDER BY query_start) AS q FROM v_match),
-f AS (SELECT min(line_no) AS first_self FROM p WHERE r = q)
-SELECT line_no FROM p, f WHERE NOT (coalesce(line_no >= first_self, false) AND substr(ref_chr, 2) = substr(query_chr, 2) AND abs(r - q) - 1 <= 5)""")
-def p7_tandem_filter(spark, sf_dir):
-    m = view(spark, sf_dir, "v_match")
-    r, q = Window.partitionBy("ref_chr").orderBy("ref_start"), Window.partitionBy("query_chr").orderBy("query_start")
-    p = m.withColumn("r", F.dense_rank().over(r)).withColumn("q", F.dense_rank().over(q))
-    p = p.select("line_no", F.expr("substr(ref_chr, 2)").alias("ref_chr"), F.expr("substr(query_chr, 2)").alias("query_chr"), F.col("r").alias("ref_id"), F.col("q").alias("query_id"), F.col("r").cast("string").alias("ref_gene"), F.col("q").cast("string").alias("query_gene"))
-    return anchors.tandem_filter(p, 5).select("line_no")
+def _tandem(d: DataFrame) -> DataFrame:
+    names = {"ref_chr": F.substring("ref_chr", 2, 9), "query_chr": F.substring("query_chr", 2, 9), "ref_gene": F.col("ref_id").cast("string"), "query_gene": F.col("query_id").cast("string")}
+    return anchors.tandem_filter(d.withColumns(names), 5).select("line_no")
+
+
+on("p7_tandem_filter", "v_ranked", _tandem,
+   """WITH f AS (SELECT min(line_no) AS first_self FROM v_ranked WHERE ref_id = query_id)
+SELECT line_no FROM v_ranked, f WHERE NOT (coalesce(line_no >= first_self, false) AND substr(ref_chr, 2) = substr(query_chr, 2) AND abs(ref_id - query_id) - 1 <= 5)""")
 
 
 # ---------------------------------------------------------------- windows
@@ -148,14 +165,14 @@ def v2_inter_anchor_gap(spark, sf_dir):
 
 on("p8_novel_anchor_admission", "v_match", lambda d: anchors.novel_anchor_gaps(_gaps(d), 2000).groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")),
    _GAPS + " SELECT ref_chr, query_chr, count(*) AS n FROM a WHERE area > 4000000 GROUP BY ALL")
-on("p9_gap_cost_class", "v_match", lambda d: _gaps(d).where("area > 0").groupBy((F.col("area") >= 100_000_000).alias("own_task")).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area")),
+on("p9_gap_cost_class", "v_match", lambda d: anchors.own_task(_gaps(d)).groupBy("own_task").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area")),
    _GAPS + " SELECT area >= 100000000 AS own_task, count(*) AS n, CAST(sum(area) AS BIGINT) AS area FROM a WHERE area > 0 GROUP BY 1")
 on("a7_total_area", "v_match", lambda d: _gaps(d).groupBy("strand").agg(F.sum("area").alias("area")), _GAPS + " SELECT strand, CAST(sum(area) AS BIGINT) AS area FROM a GROUP BY 1")
-on("o11_cost_order", "v_match", lambda d: _gaps(d).orderBy(F.desc("area"), "ref_chr", "query_chr", "gap_ref_start", "gap_query_start").limit(100).select("ref_chr", "query_chr", "gap_ref_start", "area"),
-   _GAPS + " SELECT ref_chr, query_chr, gap_ref_start, area FROM a ORDER BY area DESC, ref_chr, query_chr, gap_ref_start, gap_query_start LIMIT 100")
-on("v3_suspicious_repeat", "v_match", anchors.suspicious_repeats,
-   """WITH p AS (SELECT gene, query_chr, query_start, query_end, lag(query_chr) OVER w AS pc, lag(query_end) OVER w AS pe FROM v_match WINDOW w AS (PARTITION BY gene ORDER BY line_no))
-SELECT DISTINCT gene FROM p WHERE pc = query_chr AND least(abs(pe - query_end), abs(pe - query_start)) < abs(query_start - query_end)""")
+on("o11_cost_order", "v_match", lambda d: ranked(_gaps(d).select("ref_chr", "query_chr", "gap_ref_start", "gap_query_start", "area"), [F.desc("area"), "ref_chr", "query_chr", "gap_ref_start", "gap_query_start"]),
+   _GAPS + " SELECT ref_chr, query_chr, gap_ref_start, gap_query_start, area, row_number() OVER (ORDER BY area DESC, ref_chr, query_chr, gap_ref_start, gap_query_start) - 1 AS rank FROM a")
+on("v3_suspicious_repeat", "v_copies", anchors.suspicious_repeats,
+   """WITH p AS (SELECT gene, query_chr, query_start, query_end, p_start, p_end, lag(query_chr) OVER w AS pc, lag(query_end) OVER w AS pe FROM v_copies WINDOW w AS (PARTITION BY gene ORDER BY line_no))
+SELECT DISTINCT gene FROM p WHERE pc = query_chr AND least(abs(pe - query_end), abs(pe - query_start)) < abs(p_start - p_end)""")
 
 
 def _collapsed(fixed: str, moving: str, source: str) -> str:
@@ -164,38 +181,73 @@ def _collapsed(fixed: str, moving: str, source: str) -> str:
  SELECT *, CASE WHEN {moving}_id - lag({moving}_id) OVER (PARTITION BY ref_chr, query_chr, {fixed}_id ORDER BY {moving}_id, line_no) <= 500 THEN 0 ELSE 1 END AS nb FROM ({source})))) WHERE k = 1"""
 
 
-_GENE_IDS = "SELECT line_no, ref_chr, query_chr, score, dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS ref_id, dense_rank() OVER (PARTITION BY query_chr ORDER BY gene) AS query_id FROM v_match"
-
-
-@query(f"SELECT line_no, score FROM ({_collapsed('ref', 'query', _collapsed('query', 'ref', _GENE_IDS))})")
-def v4_collapse_near_pairs(spark, sf_dir):
-    m = view(spark, sf_dir, "v_match")
-    r, q = Window.partitionBy("ref_chr").orderBy("ref_start"), Window.partitionBy("query_chr").orderBy("gene")
-    p = m.withColumn("ref_id", F.dense_rank().over(r)).withColumn("query_id", F.dense_rank().over(q))
-    return anchors.collapse_near_pairs(p, 500).select("line_no", "score")
-
-
-on("v5_path_segments", "v_residue", lambda d: anchors.runs(d, ["taxon", "path"], "pos0"),
-   "SELECT taxon, path, min(pos0) AS first, max(pos0) AS last, count(*) AS n FROM (SELECT taxon, path, pos0, pos0 - row_number() OVER (PARTITION BY taxon, path ORDER BY pos0) AS run FROM v_residue) GROUP BY taxon, path, run")
-on("v6_coverage_runs", "v_site", lambda d: d.withColumn("shape", F.concat(F.coalesce("a", F.lit("-")), F.coalesce("c", F.lit("-")))).withColumn("band", F.floor(F.col("site_id") / 1000)).withColumn("new", F.coalesce(F.col("shape") != F.lag("shape").over(Window.partitionBy("band").orderBy("site_id")), F.lit(True))).groupBy("band").agg(F.sum(F.col("new").cast("long")).alias("runs")),
-   "SELECT band, CAST(sum(CASE WHEN shape IS DISTINCT FROM before THEN 1 ELSE 0 END) AS BIGINT) AS runs FROM (SELECT *, lag(shape) OVER (PARTITION BY band ORDER BY site_id) AS before FROM (SELECT site_id, site_id // 1000 AS band, coalesce(a, '-') || coalesce(c, '-') AS shape FROM v_site)) GROUP BY band")
-on("v8_oriented_adjacency", "v_block", lambda d: anchors.next_on_path(d, ["taxon", "path"], ["start0", "block_id"], "block_id").select("taxon", exprs.pair_id(F.col("block_id"), F.col("next")).alias("adjacency")).distinct(),
-   "SELECT DISTINCT taxon, least(block_id, n) || '--' || greatest(block_id, n) AS adjacency FROM (SELECT taxon, block_id, lead(block_id) OVER (PARTITION BY taxon, path ORDER BY start0, block_id) AS n FROM v_block) WHERE n IS NOT NULL")
+on("v4_collapse_near_pairs", "v_ranked", lambda d: anchors.collapse_near_pairs(d, 500).select("line_no", "score"),
+   f"SELECT line_no, score FROM ({_collapsed('ref', 'query', _collapsed('query', 'ref', 'SELECT line_no, ref_chr, query_chr, score, ref_id, query_id FROM v_ranked'))})")
+on("v5_path_segments", "v_graph", ancestry.path_segments,
+   "SELECT path, min(pos0) AS first, max(pos0) AS last, count(*) AS n FROM (SELECT path, pos0, pos0 - row_number() OVER (PARTITION BY path ORDER BY pos0) AS run FROM (SELECT DISTINCT path, pos0 FROM v_graph)) GROUP BY path, run")
+
+
+def _lines(d: DataFrame) -> DataFrame:
+    """Sites in the order of their numbers, as the sites of blocks of 500."""
+    return d.select(F.floor(F.col("site_id") / 500).alias("block"), F.col("site_id")).distinct().withColumn("idx", F.col("site_id") % 500)
+
+
+on("v6_coverage_runs", "v_graph", lambda d: ancestry.coverage_runs(_lines(d), d.select("site_id", "path")).select("site_id", "run"),
+   """WITH s AS (SELECT site_id, site_id // 500 AS block, site_id % 500 AS idx, string_agg(DISTINCT path, ',' ORDER BY path) AS shape FROM v_graph GROUP BY 1, 2, 3),
+m AS (SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 AND lag(shape) OVER w = shape THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY block ORDER BY idx)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY block ORDER BY idx) AS k FROM m)
+SELECT site_id, CAST(min(idx) OVER (PARTITION BY block, k) AS BIGINT) AS run FROM r""")
+
+
+def _emitted(d: DataFrame) -> DataFrame:
+    sites = d.select("site_id").distinct()
+    return ancestry.blocks(sites.select("site_id", F.lit("A").alias("base"), (F.col("site_id") % 7 != 0).alias("emitted")), sites.select("site_id", F.floor(F.col("site_id") / 500).alias("comp"), F.when(F.col("site_id") % 500 < 400, F.col("site_id") % 500).alias("place"))).select("block", "idx", "site_id")
+
+
+on("v7_emitted_blocks", "v_graph", _emitted,
+   """WITH s AS (SELECT DISTINCT site_id, site_id // 500 AS comp, site_id % 500 AS place FROM v_graph WHERE site_id % 7 <> 0),
+r AS (SELECT *, place - row_number() OVER (PARTITION BY comp ORDER BY place) AS run FROM s WHERE place < 400), f AS (SELECT *, min(place) OVER (PARTITION BY comp, run) AS first FROM r)
+SELECT CAST(comp AS VARCHAR) || ':' || CAST(first AS VARCHAR) AS block, place - first AS idx, site_id FROM f UNION ALL SELECT 'site:' || CAST(site_id AS VARCHAR), 0, site_id FROM s WHERE place >= 400""")
+
+_FIT = """WITH d AS (SELECT taxon, block_id FROM v_projection GROUP BY ALL HAVING count(*) > 1),
+ov AS (SELECT a.taxon, a.path, a.projection_id AS left_id, b.projection_id AS right_id FROM v_projection a JOIN v_projection b ON a.taxon = b.taxon AND a.path = b.path AND (a.start0, a.projection_id) < (b.start0, b.projection_id) AND b.start0 < a.end0),
+fit AS (SELECT p.*, p.orientation <> '?' AND NOT EXISTS (SELECT 1 FROM d WHERE d.taxon = p.taxon AND d.block_id = p.block_id) AND NOT EXISTS (SELECT 1 FROM ov WHERE ov.left_id = p.projection_id OR ov.right_id = p.projection_id) AS fit FROM v_projection p),
+nb AS (SELECT *, lead(block_id) OVER w AS nblock, lead(orientation) OVER w AS norient, lead(fit) OVER w AS nfit, lead(projection_id) OVER w AS nid FROM fit WINDOW w AS (PARTITION BY taxon, path ORDER BY start0, end0, block_id, projection_id)),
+en AS (SELECT taxon, block_id || ':' || CASE WHEN orientation = '+' THEN 'T' ELSE 'H' END AS e1, nblock || ':' || CASE WHEN norient = '+' THEN 'H' ELSE 'T' END AS e2 FROM nb WHERE fit AND nfit AND block_id <> nblock),
+ob AS (SELECT DISTINCT taxon, CASE WHEN (string_split(e1, ':')[1], e1) < (string_split(e2, ':')[1], e2) THEN e1 ELSE e2 END AS x, CASE WHEN (string_split(e1, ':')[1], e1) < (string_split(e2, ':')[1], e2) THEN e2 ELSE e1 END AS y FROM en)"""
+on("a18_duplicate_copy", "v_projection", adjacency.duplicate_copies, "SELECT taxon, block_id, count(*) AS n FROM v_projection GROUP BY ALL HAVING count(*) > 1")
+on("v9_overlapping_on_path", "v_projection", adjacency.overlapping, _FIT + " SELECT * FROM ov")
+on("v8_oriented_adjacency", "v_projection", lambda d: adjacency.observed(adjacency.usable(d)).select("taxon", F.concat_ws(":", "block1", "end1").alias("x"), F.concat_ws(":", "block2", "end2").alias("y")), _FIT + " SELECT taxon, x, y FROM ob")
+on("a20_issues", "v_projection", lambda d: adjacency.issues(d).select("kind", "taxon", "path", F.array_join("blocks", ",").alias("blocks"), F.array_join("projections", ",").alias("projections")),
+   _FIT + """ SELECT 'DUPLICATE_BLOCK_COPY' AS kind, p.taxon, '' AS path, p.block_id AS blocks, string_agg(projection_id, ',' ORDER BY projection_id) AS projections FROM v_projection p JOIN d ON p.taxon = d.taxon AND p.block_id = d.block_id GROUP BY ALL
+UNION ALL SELECT 'UNKNOWN_ORIENTATION', taxon, path, block_id, projection_id FROM v_projection WHERE orientation = '?'
+UNION ALL SELECT 'OVERLAPPING_PROJECTIONS', ov.taxon, ov.path, a.block_id || ',' || b.block_id, left_id || ',' || right_id FROM ov JOIN v_projection a ON a.projection_id = left_id JOIN v_projection b ON b.projection_id = right_id
+UNION ALL SELECT 'SELF_ADJACENCY', taxon, path, block_id, projection_id || ',' || nid FROM nb WHERE fit AND nfit AND block_id = nblock""")
+_LEAVES = _FIT + """, ev AS (SELECT DISTINCT x, y FROM ob), lf AS (SELECT unnest(['x0', 'x1', 'x2']) AS taxon),
+st AS (SELECT ev.x, ev.y, lf.taxon, CASE WHEN NOT EXISTS (SELECT 1 FROM fit f WHERE f.fit AND f.taxon = lf.taxon AND f.block_id = string_split(ev.x, ':')[1]) OR NOT EXISTS (SELECT 1 FROM fit f WHERE f.fit AND f.taxon = lf.taxon AND f.block_id = string_split(ev.y, ':')[1]) THEN 'MISSING'
+ WHEN EXISTS (SELECT 1 FROM ob WHERE ob.taxon = lf.taxon AND ob.x = ev.x AND ob.y = ev.y) THEN 'PRESENT' ELSE 'ABSENT' END AS state FROM ev, lf)"""
+on("j15_adjacency_leaf_states", "v_projection", lambda d: adjacency.leaf_states(d, ["x0", "x1", "x2"]).select(F.concat_ws(":", "block1", "end1").alias("x"), F.concat_ws(":", "block2", "end2").alias("y"), "taxon", "state"), _LEAVES + " SELECT * FROM st")
+_INFER = _LEAVES + """, c AS (SELECT x, y, sum(CASE WHEN state = 'PRESENT' THEN 1 ELSE 0 END) AS zero, sum(CASE WHEN state = 'ABSENT' THEN 1 ELSE 0 END) AS one FROM st GROUP BY ALL),
+pr AS (SELECT x, y, CASE WHEN zero = one THEN 'AMBIGUOUS' WHEN one < zero THEN 'PRESENT' ELSE 'ABSENT' END AS presence FROM c),
+ori AS (SELECT string_split(x, ':')[1] AS bx, string_split(y, ':')[1] AS by_, count(*) AS n FROM pr GROUP BY ALL), act AS (SELECT e, count(*) AS n FROM (SELECT x AS e FROM pr WHERE presence <> 'ABSENT' UNION ALL SELECT y FROM pr WHERE presence <> 'ABSENT') GROUP BY 1 HAVING count(*) > 1),
+fl AS (SELECT pr.*, (SELECT n FROM ori WHERE bx = string_split(x, ':')[1] AND by_ = string_split(y, ':')[1]) > 1 AS turned, presence <> 'ABSENT' AND (EXISTS (SELECT 1 FROM act WHERE e = x) OR EXISTS (SELECT 1 FROM act WHERE e = y)) AS clash FROM pr)"""
+on("a17_conflict_flags", "v_projection", lambda d: adjacency.infer(d, newick.parse("((x0,x1)anc,x2)root;"), "anc").select("adjacency", "orientation_conflict", "endpoint_conflict"),
+   _INFER + " SELECT x || '--' || y AS adjacency, turned AS orientation_conflict, clash AS endpoint_conflict FROM fl")
+on("g17_adjacency_calls", "v_projection", lambda d: adjacency.infer(d, newick.parse("((x0,x1)anc,x2)root;"), "anc").select("adjacency", "presence", "decision"),
+   _INFER + """ SELECT x || '--' || y AS adjacency, presence, CASE WHEN presence = 'AMBIGUOUS' AND clash THEN 'PRESENCE_AMBIGUOUS_ENDPOINT_CONFLICT' WHEN presence = 'AMBIGUOUS' THEN 'PRESENCE_AMBIGUOUS' WHEN presence = 'ABSENT' THEN 'ANCESTRAL_ADJACENCY_ABSENT'
+ WHEN clash THEN 'SUPPORTED_ENDPOINT_CONFLICT' WHEN turned THEN 'SUPPORTED_ORIENTATION_CONFLICT' ELSE 'SUPPORTED_CANDIDATE_ADJACENCY' END AS decision FROM fl""")
 on("v9_overlapping_projections", "v_block", lambda d: anchors.overlap_join(
     d.select("taxon", "path", F.col("start0").alias("s1"), (F.col("end0") - 1).alias("e1"), F.col("block_id").alias("b1")), d.select("taxon", "path", (F.col("start0") - 60).alias("s2"), (F.col("end0") - 1).alias("e2"), F.col("block_id").alias("b2")), ["taxon", "path"], "s1", "e1", "s2", "e2", 256).where("b1 < b2").select("taxon", "path", "b1", "b2", "s1", "s2"),
    "SELECT a.taxon, a.path, a.block_id AS b1, b.block_id AS b2, a.start0 AS s1, b.start0 - 60 AS s2 FROM v_block a JOIN v_block b ON a.taxon = b.taxon AND a.path = b.path AND a.block_id < b.block_id AND a.start0 <= b.end0 - 1 AND b.start0 - 60 <= a.end0 - 1")
-on("v10_ungapped_coordinate", "v_seq", lambda d: d.select("seq_id", F.posexplode(F.split("seq", "")).alias("col", "base")).withColumn("pos", F.sum((F.col("base") != "A").cast("long")).over(Window.partitionBy("seq_id").orderBy("col"))).where("base <> 'A' and base <> ''").groupBy("seq_id").agg(F.max("pos").alias("n"), F.sum(F.col("pos") * F.col("col")).alias("check")),
-   """SELECT seq_id, CAST(max(pos) AS BIGINT) AS n, CAST(sum(pos * col) AS BIGINT) AS "check" FROM (SELECT seq_id, col, base, sum(CASE WHEN base <> 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY seq_id ORDER BY col) AS pos
- FROM (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS col FROM v_seq)) WHERE base <> 'A' GROUP BY seq_id""")
 on("v11_graph_edges", "v_residue", lambda d: anchors.next_on_path(d, ["taxon", "path"], ["pos0"], "site_id").groupBy("site_id", "next").agg(F.count(F.lit(1)).alias("n")),
    "SELECT site_id, next, count(*) AS n FROM (SELECT site_id, lead(site_id) OVER (PARTITION BY taxon, path ORDER BY pos0) AS next FROM v_residue) WHERE next IS NOT NULL GROUP BY ALL")
 
 # ---------------------------------------------------------------- joins
 
-on("j3_gene_blacklist", "v_match", lambda d: anchors.without_genes(d, anchors.copy_blacklist(d)).groupBy("ref_chr").agg(F.count(F.lit(1)).alias("n")),
-   """WITH t AS (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match),
+on("j3_gene_blacklist", "v_copies", lambda d: anchors.without_genes(d, anchors.copy_blacklist(d)).select("line_no"),
+   """WITH t AS (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_copies),
 b AS (SELECT DISTINCT gene FROM (SELECT gene, query_chr, count(*) AS n, min(score) AS lo, max(score) AS hi FROM t WHERE k <= 2 GROUP BY ALL) WHERE n > 1 AND lo / hi > 0.9)
-SELECT ref_chr, count(*) AS n FROM v_match WHERE gene NOT IN (SELECT gene FROM b) GROUP BY 1""")
+SELECT line_no FROM v_copies WHERE gene NOT IN (SELECT gene FROM b)""")
 
 
 @query("SELECT s.line_no, t.transcript, t.n_exons FROM v_sam s JOIN (SELECT transcript, count(*) AS n_exons FROM v_feature GROUP BY 1) t ON s.qname = t.transcript")
@@ -210,14 +262,53 @@ def j2_transcript_gene(spark, sf_dir):
     return f.select("transcript").join(f.select("transcript", "gene").distinct(), "transcript").groupBy("gene").agg(F.countDistinct("transcript").alias("n"))
 
 
-@query("""WITH s AS (SELECT transcript, seqid, start1, sum(end1 - start1 + 1) OVER (PARTITION BY transcript ORDER BY start1, end1, line_no ROWS UNBOUNDED PRECEDING) AS hi, end1 - start1 + 1 AS n FROM v_feature),
-p AS (SELECT DISTINCT qname AS transcript, line_no % 400 + 1 AS off FROM v_sam)
-SELECT p.transcript, p.off, s.seqid, CAST(s.start1 + p.off - (s.hi - s.n + 1) AS BIGINT) AS pos1 FROM p JOIN s ON p.transcript = s.transcript AND p.off BETWEEN s.hi - s.n + 1 AND s.hi""")
+_SEGMENTS = """s AS (SELECT transcript, seqid, strand, start1, end1, CAST(sum(end1 - start1 + 1) OVER (PARTITION BY transcript ORDER BY CASE WHEN strand = '-' THEN -start1 ELSE start1 END, CASE WHEN strand = '-' THEN -end1 ELSE end1 END, line_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, end1 - start1 + 1 AS n FROM v_feature)"""
+
+
+@query(f"""WITH {_SEGMENTS}, p AS (SELECT DISTINCT qname AS transcript, line_no % 400 + 1 AS off FROM v_sam)
+SELECT p.transcript, p.off, s.seqid, CASE WHEN s.strand = '-' THEN s.end1 - (p.off - (s.hi - s.n + 1)) ELSE s.start1 + p.off - (s.hi - s.n + 1) END AS pos1 FROM p JOIN s ON p.transcript = s.transcript AND p.off BETWEEN s.hi - s.n + 1 AND s.hi""")
 def j5_lift_over(spark, sf_dir):
     p = view(spark, sf_dir, "v_sam").select(F.col("qname").alias("transcript"), (F.col("line_no") % 400 + 1).alias("off")).distinct()
     return anchors.lift_positions(p, anchors.cds_segments(view(spark, sf_dir, "v_feature")))
 
 
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = exprs.cigar_summary(F.col("cigar"))
+    return view(spark, sf_dir, "v_sam").select("line_no", "qname", "flag", "rname", "pos1", exprs.is_reverse(F.col("flag")).alias("reverse"), c["head"].alias("head"), c["tail"].alias("tail"), c["aligned"].alias("aligned"), c["span"].alias("span"))
+
+
+_HITS = f"""WITH {_SEGMENTS}, t AS (SELECT transcript, CAST(sum(end1 - start1 + 1) AS BIGINT) AS cds_len FROM v_feature GROUP BY 1),
+h AS (SELECT line_no, qname AS transcript, flag % 32 <> 0 AS reverse, cds_len, CAST(regexp_extract(cigar, '^([0-9]+)S', 1) AS BIGINT) AS head, CASE WHEN cigar LIKE '%2H' THEN 2 ELSE 0 END AS tail FROM v_sam JOIN t ON qname = transcript),
+o AS (SELECT line_no, transcript, unnest([CASE WHEN reverse THEN cds_len - head ELSE 1 + head END, CASE WHEN reverse THEN 1 + tail ELSE cds_len - tail END]) AS off FROM h),
+q AS (SELECT line_no, o.transcript, seqid, CASE WHEN strand = '-' THEN end1 - (off - (hi - n + 1)) ELSE start1 + off - (hi - n + 1) END AS pos1 FROM o JOIN s ON o.transcript = s.transcript AND off BETWEEN hi - n + 1 AND hi)"""
+
+
+@query(_HITS + " SELECT line_no, transcript, seqid, min(pos1) AS ref_start, max(pos1) AS ref_end FROM q GROUP BY ALL HAVING count(*) = 2")
+def j5_lifted_alignments(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    tx = anchors.transcripts(f).select("transcript", "cds_len")
+    return anchors.lifted(_hits(spark, sf_dir).withColumnRenamed("qname", "transcript").join(tx, "transcript"), anchors.cds_segments(f))
+
+
+@query("SELECT line_no FROM v_sam WHERE qname IN (SELECT transcript FROM v_feature) AND rname IN (SELECT seqid FROM v_feature WHERE seqid < 'c5')")
+def p3_mapped_records(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    return anchors.mapped(view(spark, sf_dir, "v_sam"), f, f.where("seqid < 'c5'").select(F.col("seqid").alias("name"))).select("line_no")
+
+
+@query("""SELECT s.line_no, t.seqid AS ref_chr, t.p_start AS ref_start, s.rname AS query_chr, s.pos1 AS query_start, CASE WHEN (flag % 32 = 0 AND t.strand = '+') OR (flag % 32 = 16 AND t.strand = '-') THEN '+' ELSE '-' END AS strand
+FROM v_sam s JOIN (SELECT transcript, arg_min(seqid, line_no) AS seqid, arg_min(strand, line_no) AS strand, min(start1) AS p_start FROM v_feature GROUP BY 1) t ON s.qname = t.transcript""")
+def h1_dotplot(spark, sf_dir):
+    return anchors.dotplot(view(spark, sf_dir, "v_sam"), anchors.transcripts(view(spark, sf_dir, "v_feature")))
+
+
+@query()
+def j1_matches_from_records(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    near = f.withColumn("end1", F.col("start1") % 300 + 1 + F.col("end1") - F.col("start1")).withColumn("start1", F.col("start1") % 300 + 1)
+    return anchors.matches(_hits(spark, sf_dir), near, f.select("transcript", F.col("transcript").alias("gene")).distinct(), 0.01, expected=1000)
+
+
 @query("""WITH b AS (SELECT ref_chr, gene, min(ref_start) AS bs, min(ref_start) + 2000 AS be FROM v_match GROUP BY ALL)
 SELECT b.ref_chr, count(*) AS n, CAST(sum(m.line_no % 1000) AS BIGINT) AS "check" FROM b JOIN v_match m ON b.ref_chr = m.ref_chr AND m.ref_start <= b.be AND b.bs <= m.ref_end GROUP BY 1""")
 def j6_overlap_join(spark, sf_dir):
@@ -227,11 +318,16 @@ def j6_overlap_join(spark, sf_dir):
     return hit.groupBy("ref_chr").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("line_no") % 1000).alias("check"))
 
 
-on("j12_self_identity", "v_match", lambda d: d.where("ref_start <> query_start or ref_end <> query_end").select("gene").distinct(), "SELECT DISTINCT gene FROM v_match WHERE ref_start <> query_start OR ref_end <> query_end")
-on("j13_nearest_neighbour", "v_site", lambda d: d.withColumn("band", F.floor(F.col("site_id") / 50)).select("site_id", F.coalesce(F.last(F.when(F.col("c").isNotNull(), F.col("site_id")), True).over(Window.partitionBy("band").orderBy("site_id").rowsBetween(Window.unboundedPreceding, 0)), F.lit(-1)).alias("left_flank")),
-   "SELECT site_id, coalesce(last_value(CASE WHEN c IS NOT NULL THEN site_id END IGNORE NULLS) OVER (PARTITION BY site_id // 50 ORDER BY site_id ROWS UNBOUNDED PRECEDING), -1) AS left_flank FROM v_site")
-on("j14_required_pairs", "v_residue", lambda d: (lambda t: t.select(F.col("taxon").alias("a")).crossJoin(F.broadcast(t.select(F.col("taxon").alias("b")))).where("a < b").join(d.where("site_id < 3").select(F.col("taxon").alias("a"), F.lit("x4").alias("b")).distinct(), ["a", "b"], "left_anti"))(d.select("taxon").distinct()),
-   "WITH t AS (SELECT DISTINCT taxon FROM v_residue) SELECT x.taxon AS a, y.taxon AS b FROM t x, t y WHERE x.taxon < y.taxon AND NOT EXISTS (SELECT 1 FROM v_residue r WHERE r.site_id < 3 AND r.taxon = x.taxon AND y.taxon = 'x4')")
+on("j12_self_identity", "v_match", anchors.moved_genes, "SELECT DISTINCT gene FROM v_match WHERE ref_start <> query_start OR ref_end <> query_end")
+
+
+@query("""WITH o AS (SELECT DISTINCT s_suppkey % 40 AS a, s_nationkey AS b FROM supplier),
+have AS (SELECT DISTINCT least('t' || a, 't' || b) AS a, greatest('t' || a, 't' || b) AS b FROM o WHERE a <> b), t AS (SELECT 't' || CAST(k AS VARCHAR) AS t FROM (SELECT unnest(range(40)) AS k))
+SELECT x.t AS a, y.t AS b FROM t x JOIN t y ON x.t < y.t WHERE (x.t IN ('t0', 't1') OR y.t IN ('t0', 't1')) AND NOT EXISTS (SELECT 1 FROM have WHERE have.a = x.t AND have.b = y.t)""")
+def j14_required_pairs(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("t"), (F.col("s_suppkey") % 40).cast("string")).alias("a"), F.concat(F.lit("t"), F.col("s_nationkey").cast("string")).alias("b")).where("a <> b").distinct()
+    return sources.missing_pairs(rows, {f"t{k}": "ingroup" if k < 2 else "outgroup" for k in range(40)})
+
 
 # ---------------------------------------------------------------- aggregates and sets
 
@@ -247,74 +343,115 @@ on("s5_transcripts", "v_feature", anchors.transcripts,
 on("s7_gene_map", "v_feature", lambda d: d.groupBy("transcript").agg(F.max_by("gene", "line_no").alias("gene")), "SELECT transcript, arg_max(gene, line_no) AS gene FROM v_feature GROUP BY 1")
 on("a1_longest_isoform", "v_feature", lambda d: anchors.longest_per_gene(_tx(d)),
    f"SELECT gene, transcript, cds_len FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY cds_len DESC, transcript DESC) AS k FROM ({_TX})) WHERE k = 1")
-on("a2_duplicate_genes", "v_feature", lambda d: anchors.duplicate_genes(_tx(d), "cds_len"), f"WITH t AS ({_TX}) SELECT DISTINCT gene FROM t WHERE cds_len IN (SELECT cds_len FROM t GROUP BY 1 HAVING count(*) > 1)")
-on("j4_genes_without_duplicates", "v_feature", lambda d: anchors.without_genes(_tx(d), anchors.duplicate_genes(_tx(d), "cds_len")).select("transcript"),
-   f"WITH t AS ({_TX}) SELECT transcript FROM t WHERE gene NOT IN (SELECT gene FROM t WHERE cds_len IN (SELECT cds_len FROM t GROUP BY 1 HAVING count(*) > 1))")
-on("a4_copy_ratio", "v_match", anchors.copy_blacklist,
-   """SELECT DISTINCT gene FROM (SELECT gene, query_chr, count(*) AS n, min(score) AS lo, max(score) AS hi FROM (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match) WHERE k <= 2 GROUP BY ALL) WHERE n > 1 AND lo / hi > 0.9""")
-on("a5_usage_counters", "v_match", lambda d: d.groupBy("gene").agg(F.countDistinct("ref_chr", "query_chr").alias("times")), "SELECT gene, count(DISTINCT (ref_chr, query_chr)) AS times FROM v_match GROUP BY 1")
-on("a6_block_summary", "v_match", lambda d: anchors.block_summary(d, ["ref_chr", "query_chr"]),
-   "SELECT ref_chr, query_chr, count(*) AS n, round(sum(score), 6) AS score, min(ref_start) AS ref_start, max(ref_end) AS ref_end, min(query_start) AS query_start, max(query_end) AS query_end FROM v_match GROUP BY ALL")
-on("a8_block_entropy", "v_seq", lambda d: d.select("seq_id", F.posexplode(F.split("seq", "")).alias("i", "base")).where("base <> ''").groupBy("seq_id", F.floor(F.col("i") / 64).alias("blk"), "base").agg(F.count(F.lit(1)).alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("seq_id", "blk"))).groupBy("seq_id", "blk").agg(F.round(F.sum(-F.col("k") / F.col("n") * F.log2(F.col("k") / F.col("n"))) + 0.0, 6).alias("entropy")),
-   """WITH b AS (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS i FROM v_seq), k AS (SELECT seq_id, i // 64 AS blk, base, count(*) AS k FROM b GROUP BY ALL)
-SELECT seq_id, blk, round(sum(-k / n * log2(k / n)) + 0.0, 6) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY seq_id, blk) AS n FROM k) GROUP BY ALL""")
-
-
-def _kmers(d: DataFrame, k: int) -> DataFrame:
-    at = F.sequence(F.lit(1), F.greatest(F.char_length("seq") - k + 1, F.lit(1)))
-    return d.select("seq_id", F.array_distinct(F.transform(at, lambda i: F.substring("seq", i, F.lit(k)))).alias("ks"))
-
-
-@query("""WITH k AS (SELECT seq_id, list_distinct([seq[i:i + 8] for i in range(1, greatest(length(seq) - 7, 2))]) AS ks FROM v_seq)
-SELECT a.seq_id AS a, b.seq_id AS b, len(list_intersect(a.ks, b.ks)) / len(list_distinct(a.ks || b.ks)) AS j FROM k a JOIN k b ON b.seq_id = a.seq_id + 1""")
-def a9_jaccard(spark, sf_dir):
-    k = _kmers(view(spark, sf_dir, "v_seq"), 9)
-    b = k.select((F.col("seq_id") - 1).alias("n"), F.col("seq_id").alias("b"), F.col("ks").alias("kb"))
-    return k.join(b, F.col("seq_id") == F.col("n")).select(F.col("seq_id").alias("a"), "b", (F.size(F.array_intersect("ks", "kb")) / F.size(F.array_union("ks", "kb"))).alias("j"))
-
-
-@query("""WITH k AS (SELECT DISTINCT seq_id, unnest([seq[i:i + 8] for i in range(1, length(seq) - 7)]) AS kmer FROM v_seq)
-SELECT kmer, count(*) AS n FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 4""")
+on("a2_duplicate_genes", "v_tx", anchors.duplicate_genes, "SELECT DISTINCT gene FROM v_tx WHERE seq IN (SELECT seq FROM v_tx GROUP BY 1 HAVING count(*) > 1)")
+on("j4_genes_without_duplicates", "v_tx", lambda d: anchors.without_genes(d, anchors.duplicate_genes(d)).select("transcript"),
+   "SELECT transcript FROM v_tx WHERE gene NOT IN (SELECT gene FROM v_tx WHERE seq IN (SELECT seq FROM v_tx GROUP BY 1 HAVING count(*) > 1))")
+on("a4_copy_ratio", "v_copies", anchors.copy_blacklist,
+   """SELECT DISTINCT gene FROM (SELECT gene, query_chr, count(*) AS n, min(score) AS lo, max(score) AS hi FROM (SELECT gene, query_chr, score, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_copies) WHERE k <= 2 GROUP BY ALL) WHERE n > 1 AND lo / hi > 0.9""")
+on("a5_usage_counters", "v_ranked", lambda d: anchors.usage(d.withColumn("block", F.col("line_no") % 50)),
+   """SELECT 'ref' AS side, gene AS name, count(DISTINCT line_no % 50) AS times FROM v_ranked GROUP BY ALL UNION ALL SELECT 'query', query_chr || ':' || CAST(query_id AS VARCHAR), count(*) FROM v_ranked GROUP BY ALL""")
+on("a6_block_summary", "v_ranked", lambda d: anchors.block_summary(d.withColumn("pos", F.col("ref_id") - 1), ["ref_chr", "query_chr"]),
+   """SELECT ref_chr, query_chr, count(*) AS n, round(sum(score), 6) AS score, min(ref_start) AS ref_start, max(ref_end) AS ref_end, min(query_start) AS query_start, max(query_end) AS query_end,
+ CASE WHEN coalesce(max(CASE WHEN ref_id = 1 THEN query_id END) < max(CASE WHEN ref_id = 2 THEN query_id END), max(CASE WHEN ref_id = 1 THEN strand END) = '+') THEN 'POSITIVE' ELSE 'NEGATIVE' END AS direction FROM v_ranked GROUP BY ALL""")
+on("a8_base_profile", "v_seq", lambda d: profiles.base_profile(d.select(F.col("seq_id").alias("id"), "seq")).select("id", "length", F.round("ambiguous_fraction", 9).alias("ambiguous"), F.round("low_complexity_fraction", 9).alias("tails"), F.round("normalized_entropy", 6).alias("entropy")),
+   """WITH b AS (SELECT seq_id, unnest(string_split(seq, '')) AS base, unnest(range(length(seq))) AS i FROM v_seq), k AS (SELECT seq_id, i // 64 AS blk, base, count(*) AS k FROM b WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL),
+e AS (SELECT seq_id, sum(-k * log2(k / n)) / 2 AS w FROM (SELECT *, sum(k) OVER (PARTITION BY seq_id, blk) AS n FROM k) GROUP BY 1),
+r AS (SELECT seq_id, sum(length(x) - 3) AS tails FROM (SELECT seq_id, unnest(regexp_extract_all(seq, 'A{4,}|C{4,}|G{4,}|T{4,}')) AS x FROM v_seq) GROUP BY 1)
+SELECT s.seq_id AS id, length(seq) AS length, round(length(regexp_replace(seq, '[ACGT]', '', 'g')) / length(seq), 9) AS ambiguous, round(coalesce(tails, 0) / length(seq), 9) AS tails, round(coalesce(w, 0) / length(seq), 6) AS entropy
+FROM v_seq s LEFT JOIN e USING (seq_id) LEFT JOIN r USING (seq_id)""")
+
+
+def _neighbours(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    a = profiles.sketch(d.select(F.col("seq_id").alias("id"), "seq"), 9, most=1 << 30)
+    return a, a.withColumn("id", F.col("id") - 1)
+
+
+on("a9_sketch_similarity", "v_seq", lambda d: profiles.sketch_similarity(*_neighbours(d), 9).where("jaccard is not null").select("id", "shared", F.round("jaccard", 9).alias("jaccard"), F.round("mismatch", 9).alias("mismatch")),
+   """WITH k AS (SELECT DISTINCT seq_id, unnest([seq[i:i + 8] for i in range(1, length(seq) - 7)]) AS kmer FROM v_seq), g AS (SELECT * FROM k WHERE NOT contains(kmer, 'N')), n AS (SELECT seq_id, count(*) AS n FROM g GROUP BY 1),
+ids AS (SELECT seq_id AS id FROM n UNION SELECT seq_id - 1 FROM n), s AS (SELECT a.seq_id AS id, count(*) AS shared FROM g a JOIN g b ON a.kmer = b.kmer AND b.seq_id = a.seq_id + 1 GROUP BY 1),
+j AS (SELECT ids.id, coalesce(shared, 0) AS shared, coalesce(shared, 0) / (coalesce(x.n, 0) + coalesce(y.n, 0) - coalesce(shared, 0)) AS j FROM ids LEFT JOIN n x ON x.seq_id = ids.id LEFT JOIN n y ON y.seq_id = ids.id + 1 LEFT JOIN s ON s.id = ids.id)
+SELECT id, shared, round(j, 9) AS jaccard, round(CASE WHEN j <= 0 THEN 1.0 ELSE 1 - pow(2 * j / (1 + j), 1.0::DOUBLE / 9) END, 9) AS mismatch FROM j""")
+
+
+@query()
 def j8_kmer_sketch(spark, sf_dir):
-    k = _kmers(view(spark, sf_dir, "v_seq"), 9).select(F.explode("ks").alias("kmer")).where(F.char_length("kmer") == 9)
-    return k.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 4")
+    return profiles.sketch(view(spark, sf_dir, "v_seq").select(F.col("seq_id").alias("id"), "seq"), 15, 4)
+
+
+@query()
+def l15_pair_profile(spark, sf_dir):
+    s = view(spark, sf_dir, "v_seq")
+    other = s.select((F.col("seq_id") - 1).alias("id"), F.concat(F.col("seq"), F.lit("ACGTAGGT")).alias("b"))
+    return profiles.pair_profile(s.select(F.col("seq_id").alias("id"), F.concat(F.lit("GGATTACA"), F.col("seq")).alias("a")).join(other, "id"), 9)
 
 
 on("f10_mash_mismatch", "v_match", lambda d: d.select("line_no", F.round(exprs.mash_mismatch(F.col("score"), 15), 9).alias("rate")), "SELECT line_no, round(CASE WHEN score <= 0 THEN 1.0 ELSE 1 - pow(2 * score / (1 + score), 1.0::DOUBLE / 15) END, 9) AS rate FROM v_match")
-on("a10_floor_quantile", "v_match", lambda d: d.groupBy("gene").agg(exprs.floor_quantile(F.collect_list("ref_start"), 0.9).alias("p90")),
-   "SELECT gene, list_sort(list(ref_start))[CAST(floor(0.9::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p90 FROM v_match GROUP BY 1")
+on("a10_floor_quantiles", "v_match", lambda d: profiles.floor_quantiles(d, ["gene"], "ref_start", p90=0.9, p99=0.99), "SELECT gene, list_sort(list(ref_start))[CAST(floor(0.9::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p90, list_sort(list(ref_start))[CAST(floor(0.99::DOUBLE * (count(*) - 1)) AS BIGINT) + 1] AS p99 FROM v_match GROUP BY 1")
+on("a10_median_deviation", "v_match", lambda d: profiles.deviations(d, ["ref_chr"], "query_start"),
+   "WITH m AS (SELECT ref_chr, median(query_start) AS median FROM v_match GROUP BY 1) SELECT ref_chr, m.median, median(abs(query_start - m.median)) AS mad FROM v_match JOIN m USING (ref_chr) GROUP BY ALL")
 on("a11_union_length", "v_match", lambda d: anchors.merged_length(d, ["ref_chr"], "ref_start", "ref_end"),
    """WITH m AS (SELECT ref_chr, ref_start, ref_end, max(ref_end) OVER (PARTITION BY ref_chr ORDER BY ref_start, ref_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM v_match),
 i AS (SELECT *, sum(CASE WHEN high IS NULL OR ref_start > high THEN 1 ELSE 0 END) OVER (PARTITION BY ref_chr ORDER BY ref_start, ref_end) AS island FROM m)
 SELECT ref_chr, CAST(sum(len) AS BIGINT) AS covered, CAST(sum(n) AS BIGINT) AS n, count(*) AS islands FROM (SELECT ref_chr, island, max(ref_end) - min(ref_start) + 1 AS len, count(*) AS n FROM i GROUP BY ALL) GROUP BY 1""")
-on("a13_member_count", "v_residue", lambda d: d.groupBy("site_id").agg(F.countDistinct("taxon").alias("taxa"), F.countDistinct("path").alias("paths")), "SELECT site_id, count(DISTINCT taxon) AS taxa, count(DISTINCT path) AS paths FROM v_residue GROUP BY 1")
-on("a14_consistency_class", "v_residue", lambda d: d.groupBy("site_id", "base").agg(F.countDistinct("taxon").alias("n")).select("site_id", "base", F.when(F.col("n") >= 3, "CONSISTENT").when(F.col("n") == 2, "SUPPORTED_BY_TWO_EDGES").otherwise("MISSING").alias("class")),
-   "SELECT site_id, base, CASE WHEN count(DISTINCT taxon) >= 3 THEN 'CONSISTENT' WHEN count(DISTINCT taxon) = 2 THEN 'SUPPORTED_BY_TWO_EDGES' ELSE 'MISSING' END AS class FROM v_residue GROUP BY ALL")
+
+
+@query("""WITH m AS (SELECT DISTINCT 'x' || CAST(c_nationkey % 4 AS VARCHAR) AS taxon, 'f' || CAST(c_custkey % 40 AS VARCHAR) AS family, c_custkey % 200 AS member FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT taxon, family, count(*) AS n FROM m GROUP BY ALL),
+c AS (SELECT *, CASE WHEN family IN ('f1', 'f2', 'f3') AND taxon = 'x1' THEN 2 WHEN taxon = 'x2' THEN 3 ELSE 1 END AS capacity FROM n) SELECT taxon, family, n, CAST(capacity AS BIGINT) AS capacity FROM c WHERE n > capacity""")
+def a13_over_capacity(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    members = c.select(F.concat(F.lit("x"), (F.col("c_nationkey") % 4).cast("string")).alias("taxon"), F.concat(F.lit("f"), (F.col("c_custkey") % 40).cast("string")).alias("family"), (F.col("c_custkey") % 200).alias("member"), F.when(F.col("c_custkey") % 3 == 0, "soft").otherwise("hard").alias("constraint"))
+    return copies.over_capacity(members, sources.capacities(spark, ["f1:x1=2", "f2:x1=2", "f3:x1=2", "x2=3"]))
+
+
+on("a14_consistency_class", "v_graph", lambda d: ancestry.consistency(d.select("site_id", "taxon"), d.where("pos0 % 5 <> 0").select("site_id", F.when(F.col("taxon") == "x0", "x1").when(F.col("taxon") == "x1", "x2").otherwise("x0").alias("a"), F.col("taxon").alias("b")), "x0", "x1", "x2"),
+   """WITH t AS (SELECT site_id, count(DISTINCT taxon) AS taxa FROM v_graph GROUP BY 1), p AS (SELECT site_id, count(DISTINCT taxon) AS pairs FROM v_graph WHERE pos0 % 5 <> 0 GROUP BY 1)
+SELECT site_id, CASE WHEN taxa < 3 THEN 'MISSING_EVIDENCE' WHEN pairs = 3 THEN 'CONSISTENT' WHEN pairs = 2 THEN 'SUPPORTED_BY_TWO_EDGES' ELSE 'MISSING_EVIDENCE' END AS consistency FROM t LEFT JOIN p USING (site_id)""")
 on("a15_iupac_mask_or", "v_residue", graph.leaf_masks, "SELECT site_id, taxon, CAST(bit_or(strpos('-ACMGRSVTWYHKDBN', base) - 1) AS INT) AS mask FROM v_residue GROUP BY ALL")
 on("a16_consensus_base", "v_residue", graph.consensus, "SELECT site_id, base, n FROM (SELECT site_id, base, count(*) AS n, row_number() OVER (PARTITION BY site_id ORDER BY count(*) DESC, base) AS k FROM v_residue GROUP BY site_id, base) WHERE k = 1")
-on("a18_duplicate_copy", "v_block", lambda d: d.groupBy("taxon", "block_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT taxon, block_id, count(*) AS n FROM v_block GROUP BY ALL HAVING count(*) > 1")
-on("a19_qc_counters", "v_residue", lambda d: d.agg(F.count(F.lit(1)).alias("residues"), F.countDistinct("site_id").alias("sites"), F.countDistinct("path").alias("paths")), "SELECT count(*) AS residues, count(DISTINCT site_id) AS sites, count(DISTINCT path) AS paths FROM v_residue")
+_SITES = "SELECT site_id, CASE WHEN count(DISTINCT taxon) = 3 THEN 'CONSISTENT' ELSE 'MISSING_EVIDENCE' END AS consistency, site_id % 9 <> 0 AS copy_resolved FROM v_graph GROUP BY site_id"
+
+
+def _sites(d: DataFrame) -> DataFrame:
+    return d.groupBy("site_id").agg(F.when(F.countDistinct("taxon") == 3, "CONSISTENT").otherwise("MISSING_EVIDENCE").alias("consistency")).withColumn("copy_resolved", F.col("site_id") % 9 != 0)
+
+
+on("p12_boundary_predicate", "v_graph", lambda d: (lambda x: x.select("site_id", ancestry.boundary(x).alias("boundary")))(_sites(d)), f"SELECT site_id, consistency = 'CONSISTENT' AND copy_resolved AS boundary FROM ({_SITES})")
+
+
+@query(f"""WITH s AS ({_SITES}), r AS (SELECT count(*) AS residues, count(DISTINCT site_id) AS sites, count(DISTINCT path) AS paths, count(DISTINCT taxon) AS taxa FROM v_graph), c AS (SELECT count(*) FILTER (WHERE consistency = 'CONSISTENT') AS consistent, count(*) FILTER (WHERE consistency = 'MISSING_EVIDENCE') AS missing_evidence, count(*) FILTER (WHERE copy_resolved) AS copy_resolved FROM s)
+SELECT 'residues' AS metric, residues AS value FROM r UNION ALL SELECT 'sites', sites FROM r UNION ALL SELECT 'paths', paths FROM r UNION ALL SELECT 'taxa', taxa FROM r UNION ALL SELECT 'aligned_absences', count(*) FROM v_absent
+UNION ALL SELECT 'consistent', consistent FROM c UNION ALL SELECT 'supported_by_two_edges', 0 UNION ALL SELECT 'missing_evidence', missing_evidence FROM c UNION ALL SELECT 'copy_resolved', copy_resolved FROM c""")
+def a19_qc_counters(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph")
+    return ancestry.qc(g, view(spark, sf_dir, "v_absent"), _sites(g))
+
+
 on("a20_sorted_unique_ids", "v_residue", lambda d: d.groupBy("taxon").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("site_id").cast("string"), 3, "0"))), ",").alias("ids")),
    "SELECT taxon, list_aggregate(list_sort(list_distinct(list(lpad(CAST(site_id AS VARCHAR), 3, '0')))), 'string_agg', ',') AS ids FROM v_residue GROUP BY 1")
-on("u1_union_anchors", "v_match", lambda d: d.where("score > 0.95").select("line_no").unionByName(d.where("score < 0.92").select("line_no")), "SELECT line_no FROM v_match WHERE score > 0.95 UNION ALL SELECT line_no FROM v_match WHERE score < 0.92")
-on("u2_name_difference", "v_match", lambda d: d.select("gene").exceptAll(d.where("strand = '+'").select("gene")), "SELECT gene FROM v_match EXCEPT ALL SELECT gene FROM v_match WHERE strand = '+'")
-on("u3_variant_difference", "v_variant", lambda d: d.where("pos % 3 <> 0").select("chrom", "ref", "alt").join(d.where("pos % 3 = 0").select("chrom", "ref", "alt"), ["chrom", "ref", "alt"], "left_anti").distinct(),
-   "SELECT DISTINCT chrom, ref, alt FROM v_variant a WHERE pos % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM v_variant b WHERE b.pos % 3 = 0 AND a.chrom = b.chrom AND a.ref = b.ref AND a.alt = b.alt)")
-on("u5_touched_pairs", "v_match", lambda d: d.join(d.where("gene = 'g7'").select("ref_chr").distinct(), "ref_chr", "left_semi").groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")), "SELECT ref_chr, query_chr, count(*) AS n FROM v_match WHERE ref_chr IN (SELECT ref_chr FROM v_match WHERE gene = 'g7') GROUP BY ALL")
-on("h4_variant_to_sdi", "v_variant", anchors.variant_to_sdi,
-   """WITH t AS (SELECT *, (length(ref) > 1 OR length(alt) > 1) AND left(ref, 1) = left(alt, 1) AS h, (length(ref) > 1 OR length(alt) > 1) AND left(ref, 1) <> left(alt, 1) AND right(ref, 1) = right(alt, 1) AS t FROM v_variant),
-c AS (SELECT chrom, CASE WHEN h THEN pos + 1 ELSE pos END AS pos, length(alt) - length(ref) AS diff, CASE WHEN h THEN substr(ref, 2) WHEN t THEN substr(ref, 1, length(ref) - 1) ELSE ref END AS r, CASE WHEN h THEN substr(alt, 2) WHEN t THEN substr(alt, 1, length(alt) - 1) ELSE alt END AS a FROM t)
-SELECT chrom, pos, CAST(diff AS INT) AS diff, CASE WHEN r = '' THEN '-' ELSE r END AS ref, CASE WHEN a = '' THEN '-' ELSE a END AS alt FROM c""")
-on("h1_dotplot", "v_sam", lambda d: d.select("line_no", F.when((F.col("flag") % 32 == 0) & (F.col("pos1") % 2 == 1) | (F.col("flag") == 16) & (F.col("pos1") % 2 == 0), "+").otherwise("-").alias("strand")),
-   "SELECT line_no, CASE WHEN (flag % 32 = 0 AND pos1 % 2 = 1) OR (flag = 16 AND pos1 % 2 = 0) THEN '+' ELSE '-' END AS strand FROM v_sam")
+_ALL_ORDER = "ref_chr, ref_start, ref_end, query_start, query_end, line_no"
+on("u1_union_anchors", "v_match", lambda d: anchors.with_novel(anchors.similar(d, 0.95), d.where("score < 0.92")).select("line_no", "rank"), f"SELECT line_no, row_number() OVER (ORDER BY {_ALL_ORDER}) - 1 AS rank FROM v_match WHERE score > 0.95 OR score < 0.92")
+on("u2_names_apart", "v_match", lambda d: (lambda x: anchors.names_apart(x.where("strand = '-'").select("name"), x.where("strand = '+'").select("name")))(d.select("strand", F.concat_ws("_", "gene", "ref_chr", "query_chr").alias("name"))),
+   """WITH a AS (SELECT DISTINCT gene || '_' || ref_chr || '_' || query_chr AS name FROM v_match WHERE strand = '-'), b AS (SELECT DISTINCT gene || '_' || ref_chr || '_' || query_chr AS name FROM v_match WHERE strand = '+') SELECT name, 'a' AS side FROM a WHERE name NOT IN (SELECT name FROM b) UNION ALL SELECT name, 'b' FROM b WHERE name NOT IN (SELECT name FROM a)""")
+on("u3_variants_apart", "v_variant", lambda d: anchors.variants_apart(d.where("pos % 3 <> 0"), d.where("pos % 2 = 0")),
+   """WITH a AS (SELECT DISTINCT chrom, pos, ref, alt FROM v_variant WHERE pos % 3 <> 0), b AS (SELECT DISTINCT chrom, pos, ref, alt FROM v_variant WHERE pos % 2 = 0), u AS (SELECT 'a' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'b', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
+SELECT *, pos - lag(pos) OVER (PARTITION BY chrom ORDER BY pos, side, ref, alt) AS lag FROM u""")
+on("u5_touched_pairs", "v_match", lambda d: anchors.touched(d, d.where("gene = 'g7' and query_chr = 'Q1'")).groupBy("ref_chr", "query_chr").agg(F.count(F.lit(1)).alias("n")),
+   "WITH c AS (SELECT * FROM v_match WHERE gene = 'g7' AND query_chr = 'Q1') SELECT ref_chr, query_chr, count(*) AS n FROM v_match WHERE ref_chr IN (SELECT ref_chr FROM c) OR query_chr IN (SELECT query_chr FROM c) GROUP BY ALL")
+_SDI = """t AS (SELECT *, left(ref, 1) = left(alt, 1) AS h, left(ref, 1) <> left(alt, 1) AND NOT (length(ref) = 1 AND length(alt) = 1) AND right(ref, 1) = right(alt, 1) AS t FROM v),
+c AS (SELECT chrom, CASE WHEN h THEN pos - 1 ELSE pos END AS pos, length(alt) - length(ref) AS diff, CASE WHEN h THEN substr(ref, 2) WHEN t THEN substr(ref, 1, length(ref) - 1) ELSE ref END AS r, CASE WHEN h THEN substr(alt, 2) WHEN t THEN substr(alt, 1, length(alt) - 1) ELSE alt END AS a FROM t)
+SELECT chrom, pos, CAST(diff AS INT) AS diff, CASE WHEN r = '' THEN '-' ELSE r END AS ref, CASE WHEN a = '' THEN '-' ELSE a END AS alt FROM c"""
+on("h4_variant_to_sdi", "v_variant", lambda d: anchors.variant_to_sdi(d.withColumn("chrom", F.concat(F.lit("chr"), "chrom"))), "WITH v AS (SELECT * FROM v_variant), " + _SDI)
+on("h5_gvcf_to_sdi", "v_variant", lambda d: anchors.gvcf_to_sdi(d.withColumn("alt", F.when(F.col("pos") % 3 == 0, "<NON_REF>").otherwise(F.concat("alt", F.lit(",<NON_REF>"))))), "WITH v AS (SELECT * FROM v_variant WHERE pos % 3 <> 0), " + _SDI)
 
 # ---------------------------------------------------------------- orders
 
-for _id, _key in {"o1": "ref_start", "o2": "ref_start, ref_end, query_start, query_end", "o3": "query_start, query_end, ref_start, ref_end", "o4": "ref_chr, query_chr, ref_start, ref_end, query_start, query_end", "o5": "query_chr, ref_chr, query_start, gene, ref_start", "o6": "query_chr, ref_chr, ref_start, gene, query_start", "o8": "score DESC"}.items():
-    on(f"{_id}_order", "v_match", lambda d, k=_key: d.orderBy(*[F.desc(c[:-5]) if c.endswith(" DESC") else F.col(c) for c in k.split(", ")], "line_no").limit(500).select("line_no"), f"SELECT line_no FROM v_match ORDER BY {_key}, line_no LIMIT 500")
-on("o7_order", "v_match", lambda d: d.orderBy(F.concat("ref_chr", F.lit("_"), "query_chr"), "ref_start", F.desc("ref_end"), "gene", "query_start", F.desc("query_end"), "line_no").limit(500).select("line_no"),
-   "SELECT line_no FROM v_match ORDER BY ref_chr || '_' || query_chr, ref_start, ref_end DESC, gene, query_start, query_end DESC, line_no LIMIT 500")
-on("o12_top_copies", "v_match", lambda d: d.withColumn("k", F.row_number().over(Window.partitionBy("gene", "query_chr").orderBy(F.desc("score"), "line_no"))).where("k <= 2").select("gene", "query_chr", "line_no"),
+for _id, _key in {
+    "o1": "ref_start", "o2": "ref_start, ref_end, query_start, query_end", "o3": "query_start, query_end, ref_start, ref_end", "o4": "ref_chr, query_chr, ref_start, ref_end, query_start, query_end",
+    "o5": "query_chr, ref_chr, query_start, gene, ref_start", "o6": "query_chr, ref_chr, ref_start, gene, query_start", "o7": "pair, ref_start, ref_end DESC, gene, query_start, query_end DESC", "o8": "score DESC",
+}.items():
+    on(f"{_id}_order", "v_match", lambda d, k=_key: ranked(d.withColumn("pair", F.concat_ws("_", "ref_chr", "query_chr")), [*[F.desc(c[:-5]) if c.endswith(" DESC") else F.col(c) for c in k.split(", ")], "line_no"]).select("line_no", "rank"),
+       f"SELECT line_no, row_number() OVER (ORDER BY {_key.replace('pair', chr(40) + 'ref_chr || ' + repr('_') + ' || query_chr' + chr(41))}, line_no) - 1 AS rank FROM v_match")
+on("o12_top_copies", "v_match", lambda d: anchors.top_copies(d, 2).select("gene", "query_chr", "line_no"),
    "SELECT gene, query_chr, line_no FROM (SELECT *, row_number() OVER (PARTITION BY gene, query_chr ORDER BY score DESC, line_no) AS k FROM v_match) WHERE k <= 2")
 
 # ---------------------------------------------------------------- graph and ancestry
@@ -335,7 +472,63 @@ on("g11_sankoff", "v_site", lambda d: _calls(d).select("site_id", F.array_min("c
    _CALLS + f" SELECT site_id, CAST(low AS DOUBLE) AS best, CAST({_MASK} AS INT) AS mask, CAST(list_sort([k0, k1, k2, k3])[2] - low AS DOUBLE) AS margin FROM t")
 on("g13_decision", "v_site", lambda d: _calls(d).select("site_id", graph.decide(F.when(F.col("c").isNull(), "AMBIGUOUS").otherwise("PRESENT"), F.col("site_id") % 11 != 0, graph.best_states(F.col("costs"))).alias("decision")),
    _CALLS + f" SELECT site_id, CASE WHEN site_id % 11 = 0 THEN 'COPY_UNRESOLVED' WHEN c IS NULL THEN 'PRESENCE_AMBIGUOUS' WHEN ({_MASK}) NOT IN (1, 2, 4, 8) THEN 'BASE_AMBIGUOUS' ELSE 'EMITTED' END AS decision FROM t")
-on("g12_leaf_presence", "v_site", lambda d: d.select("site_id", F.greatest(F.when(F.col("a") == "N", 0).otherwise(2), F.when(F.col("c").isNull(), 0).otherwise(1)).alias("presence")), "SELECT site_id, greatest(CASE WHEN a = 'N' THEN 0 ELSE 2 END, CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS presence FROM v_site")
+
+
+@query("SELECT site_id, taxon, CAST(max(p) AS INT) AS presence FROM (SELECT site_id, taxon, 2 AS p FROM v_graph UNION ALL SELECT site_id, taxon, 1 FROM v_absent) GROUP BY ALL")
+def g12_leaf_presence(spark, sf_dir):
+    return ancestry.leaf_presence(view(spark, sf_dir, "v_graph"), view(spark, sf_dir, "v_absent"))
+
+
+def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = view(spark, sf_dir, "v_graph")
+    return ancestry.calls(g, view(spark, sf_dir, "v_absent"), _sites(g), newick.parse("((x0,x1)anc,x2)root;"), "anc", emit_ambiguous=True)
+
+
+@query(f"""WITH s AS ({_SITES}), p AS (SELECT site_id, taxon, max(p) AS p FROM (SELECT site_id, taxon, 2 AS p FROM v_graph UNION ALL SELECT site_id, taxon, 1 FROM v_absent) GROUP BY ALL),
+n AS (SELECT site_id, count(*) FILTER (WHERE p = 2) AS yes, count(*) FILTER (WHERE p = 1) AS no FROM p GROUP BY 1), b AS (SELECT site_id, base, count(*) AS k FROM v_graph GROUP BY ALL), m AS (SELECT site_id, max(k) AS top FROM b GROUP BY 1),
+w AS (SELECT site_id, CAST(sum(1 << (strpos('ACGT', base) - 1)) AS INT) AS mask FROM b JOIN m USING (site_id) WHERE k = top GROUP BY 1)
+SELECT s.site_id, CASE WHEN NOT copy_resolved THEN 'COPY_UNRESOLVED' WHEN yes = no THEN 'PRESENCE_AMBIGUOUS_EMITTED' WHEN no > yes THEN 'ANCESTRAL_ABSENT' WHEN mask NOT IN (1, 2, 4, 8) THEN 'BASE_AMBIGUOUS' ELSE 'EMITTED' END AS decision,
+ CASE WHEN copy_resolved AND no <= yes THEN substr('-ACMGRSVTWYHKDBN', mask + 1, 1) END AS base FROM s JOIN n USING (site_id) JOIN w USING (site_id)""")
+def g13_site_calls(spark, sf_dir):
+    return _called(spark, sf_dir).select("site_id", "decision", "base")
+
+
+@query()
+def g7_site_orders(spark, sf_dir):
+    return ancestry.orders(view(spark, sf_dir, "v_graph"))
+
+
+@query()
+def g14_ancestral_blocks(spark, sf_dir):
+    return ancestry.block_sequences(ancestry.blocks(_called(spark, sf_dir), ancestry.orders(view(spark, sf_dir, "v_graph"))))
+
+
+@query()
+def g15_child_projection(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph")
+    return ancestry.children(ancestry.blocks(_called(spark, sf_dir), ancestry.orders(g)), g, view(spark, sf_dir, "v_absent"), ["x0", "x1"])
+
+
+@query()
+def w11_maf_projection(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph")
+    return ancestry.projections(g, view(spark, sf_dir, "v_absent"), ancestry.orders(g))[0]
+
+
+on("g6_core_hash", "v_graph", ancestry.core_hash, None)
+on("g6_invariants", "v_graph", lambda d: ancestry.violations(d.unionByName(d.where("site_id % 40 = 0").withColumn("pos0", F.col("pos0") + 595)).unionByName(d.where("site_id % 41 = 0").withColumn("site_id", F.col("site_id") + 1))),
+   """WITH r AS (SELECT site_id, path, pos0, source_size FROM v_graph UNION ALL SELECT site_id, path, pos0 + 595, source_size FROM v_graph WHERE site_id % 40 = 0 UNION ALL SELECT site_id + 1, path, pos0, source_size FROM v_graph WHERE site_id % 41 = 0)
+SELECT 'residue in several sites' AS what, path || ':' || CAST(pos0 AS VARCHAR) AS id, count(DISTINCT site_id) AS n FROM r GROUP BY ALL HAVING count(DISTINCT site_id) > 1
+UNION ALL SELECT 'two residues of a path in a site', CAST(site_id AS VARCHAR) || ':' || path, count(DISTINCT pos0) FROM r GROUP BY ALL HAVING count(DISTINCT pos0) > 1 UNION ALL SELECT 'residue outside its source', path || ':' || CAST(pos0 AS VARCHAR), 1 FROM r WHERE pos0 >= source_size""")
+
+
+@query()
+def g2_copy_resolution(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph").withColumn("node", F.col("site_id") * 10 + F.substring("taxon", 2, 1).cast("long"))
+    nodes = g.select("node", "path", F.when(F.col("node") % 7 == 0, F.concat(F.lit("grp"), (F.col("site_id") % 5).cast("string"))).alias("grp"), (F.col("node") % 14 == 0).alias("hard"), F.lit(0.9).alias("confidence"), F.when(F.col("node") % 11 == 0, F.array(F.lit("grp1"))).alias("excluded"))
+    near = g.select((F.col("site_id") + F.when(F.col("site_id") % 23 == 0, 1).otherwise(0)).alias("s"), F.col("node").alias("b"), F.col("taxon").alias("t"))
+    edges = g.join(near, (F.col("site_id") == F.col("s")) & (F.col("taxon") < F.col("t"))).select(F.xxhash64("node", "b").alias("edge_id"), F.col("node").alias("a"), "b", (F.col("node") % 3).cast("double").alias("score"))
+    return copies.resolve(nodes, edges)[0]
 
 
 @query()
@@ -387,19 +580,52 @@ def l1_align_pairs(spark, sf_dir):
     return affine.align_pairs(s.select(F.col("seq_id").alias("id"), F.col("seq").alias("a")).join(other, "id"))
 
 
-@query("""WITH t AS (SELECT transcript, any_value(gene) AS gene, string_agg(CASE WHEN strand = '-' THEN translate(reverse(p), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') ELSE p END, '' ORDER BY CASE WHEN strand = '-' THEN -start1 ELSE start1 END) AS seq
- FROM (SELECT f.*, substr(translate(upper(seq), 'RYSWKMBDHVU', 'NNNNNNNNNNT'), CAST(start1 % 60 + 1 AS INT), 30) AS p FROM v_feature f JOIN (SELECT 'c' || CAST(seq_id AS VARCHAR) AS seqid, seq FROM v_seq) USING (seqid)) GROUP BY 1),
+_CHROMS = "SELECT 'c' || CAST(g AS VARCHAR) AS name, string_agg(seq, '' ORDER BY seq_id) AS seq FROM (SELECT seq_id % 7 AS g, * FROM v_seq) GROUP BY 1"
+
+
+def _chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some texts in a row make a chromosome; its chunks are short, so that exons cross their edges."""
+    s = view(spark, sf_dir, "v_seq").withColumn("name", F.concat(F.lit("c"), (F.col("seq_id") % 7).cast("string")))
+    whole = s.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return sequences.chunked(whole)
+
+
+def _exons(d: DataFrame) -> DataFrame:
+    """Exons brought into the length of those chromosomes."""
+    return d.withColumn("end1", F.col("start1") % 2000 + 1 + F.col("end1") - F.col("start1")).withColumn("start1", F.col("start1") % 2000 + 1)
+
+
+@query(f"""WITH c AS ({_CHROMS}), e AS (SELECT transcript, gene, seqid, strand, line_no, start1 % 2000 + 1 AS start1, start1 % 2000 + 1 + end1 - start1 AS end1 FROM v_feature),
+p AS (SELECT e.*, substr(translate(upper(seq), 'RYSWKMBDHVU', 'NNNNNNNNNNT'), CAST(least(greatest(start1, 1), length(seq)) AS INT), CAST(least(greatest(end1, 1), length(seq)) - least(greatest(start1, 1), length(seq)) + 1 AS INT)) AS p FROM e JOIN c ON seqid = name),
+t AS (SELECT transcript, any_value(gene) AS gene, string_agg(CASE WHEN strand = '-' THEN translate(reverse(p), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') ELSE p END, '' ORDER BY CASE WHEN strand = '-' THEN -start1 ELSE start1 END, CASE WHEN strand = '-' THEN NULL ELSE p END, CASE WHEN strand = '-' THEN p END DESC) AS seq FROM p GROUP BY 1),
 d AS (SELECT gene FROM t WHERE seq IN (SELECT seq FROM t GROUP BY 1 HAVING count(*) > 1))
 SELECT gene, transcript, seq FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY length(seq) DESC, seq DESC, transcript DESC) AS k FROM t WHERE gene NOT IN (SELECT gene FROM d)) WHERE k = 1""")
 def w1_gff2seq(spark, sf_dir):
     f = view(spark, sf_dir, "v_feature")
-    seqs = view(spark, sf_dir, "v_seq").select(F.concat(F.lit("c"), F.col("seq_id").cast("string")).alias("name"), "seq")
-    real = f.withColumn("at", F.col("start1") % 60 + 1)
-    placed = real.select("seqid", "transcript", "strand", "line_no", "start1", "at")
-    s = seqs.select(F.col("name").alias("seqid"), exprs.normalise_bases(F.col("seq")).alias("chrom"))
-    cut = placed.join(s, "seqid").select("transcript", "strand", "start1", "line_no", F.substring("chrom", F.col("at").cast("int"), F.lit(30)).alias("piece"))
-    tx = commands.joined(cut).join(f.select("transcript", "gene").distinct(), "transcript")
-    return commands.longest_unique(tx)
+    return commands.gff2seq(_chromosomes(spark, sf_dir), _exons(f), f.select("transcript", "gene").distinct())
+
+
+@query()
+def l18_chromosome_alignment(spark, sf_dir):
+    chain, ref, query_ = _genomes(spark, sf_dir)
+    return commands.chromosome_alignment(chain, ref, query_)
+
+
+@query()
+def l17_block_alignment(spark, sf_dir):
+    chain, ref, query_ = _genomes(spark, sf_dir)
+    return commands.block_alignment(chain.withColumn("block", F.concat_ws("_", "ref_chr", "strand")), ref, query_)
+
+
+def _genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts as chromosomes, those of two genomes alike but for a piece that is missing in one of them; two anchors each."""
+    s = view(spark, sf_dir, "v_seq").where(F.char_length("seq") >= 120).withColumn("name", F.concat(F.lit("s"), F.col("seq_id").cast("string")))
+    ref = s.select("name", "seq")
+    query_ = s.select("name", F.concat(F.substring("seq", 1, 50), F.lit("ACGT"), F.expr("substring(seq, 71)")).alias("seq"))
+    at = [(0, 11, 40, 11, 40), (1, 81, 110, 65, 94)]
+    rows = F.explode(F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(("pos", "ref_start", "ref_end", "query_start", "query_end"), a)]) for a in at]))
+    chain = s.select(F.col("name").alias("ref_chr"), F.col("name").alias("query_chr"), F.lit("+").alias("strand"), rows.alias("r")).select("ref_chr", "query_chr", "strand", "r.*")
+    return chain, sequences.chunked(ref), sequences.chunked(query_)
 
 
 # ---------------------------------------------------------------- alignment evidence and adjacencies
@@ -411,20 +637,17 @@ p AS (SELECT block, row, col, ch <> '-' AS present, CAST(CASE WHEN ch <> '-' THE
 on("g1_residues", "v_rows", lambda d: evidence.alignment_columns(d).where("present").select("block", "row", "col", "pos0", "base"), _CELLS + " SELECT block, row, col, pos0, base FROM p WHERE present")
 on("g1_homologies", "v_rows", lambda d: evidence.homologies(evidence.alignment_columns(d)),
    _CELLS + " SELECT a.block, a.col, a.pos0 AS left_pos0, b.pos0 AS right_pos0, a.base = b.base AS same FROM p a JOIN p b ON a.block = b.block AND a.col = b.col AND a.row = 0 AND b.row = 1 AND a.present AND b.present")
+on("g1_base_conflicts", "v_rows", lambda d: evidence.base_conflicts(evidence.alignment_columns(d)).select("source", "pos0", F.array_join("bases", "").alias("bases")),
+   _CELLS + ", s AS (SELECT source, pos0, base FROM p JOIN (SELECT DISTINCT block, row, source FROM v_rows) USING (block, row) WHERE present AND base <> 'N') SELECT source, pos0, string_agg(DISTINCT base, '' ORDER BY base) AS bases FROM s GROUP BY ALL HAVING count(DISTINCT base) > 1")
 on("g4_absences", "v_rows", lambda d: evidence.absences(evidence.alignment_columns(d)),
    _CELLS + """, f AS (SELECT *, last_value(pos0 IGNORE NULLS) OVER (PARTITION BY block, row ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_flank0,
  first_value(pos0 IGNORE NULLS) OVER (PARTITION BY block, row ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS right_flank0 FROM p)
 SELECT block, row, col, left_flank0, right_flank0 FROM f WHERE NOT present AND left_flank0 IS NOT NULL AND right_flank0 IS NOT NULL""")
 on("h3_swap_rows", "v_rows", lambda d: evidence.swap_rows(d, 1).select("block", "row", "source", "strand", "text"),
    "SELECT block, CASE WHEN row = 1 THEN 0 ELSE 1 END AS row, source, CASE WHEN strand = '-' THEN '+' ELSE '-' END AS strand, translate(reverse(text), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') AS text FROM v_rows")
-_NEAR = """WITH n AS (SELECT taxon, block_id, lead(block_id) OVER (PARTITION BY taxon, path ORDER BY start0, block_id) AS nx FROM v_block),
-s AS (SELECT DISTINCT taxon, least(block_id, nx) AS x, greatest(block_id, nx) AS y FROM n WHERE nx IS NOT NULL)"""
-on("g17_adjacency_states", "v_block", evidence.adjacency_states,
-   _NEAR + """, e AS (SELECT DISTINCT x, y FROM s), t AS (SELECT DISTINCT taxon FROM v_block)
-SELECT e.x || '--' || e.y AS adjacency, t.taxon, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.taxon = t.taxon AND s.x = e.x AND s.y = e.y) THEN 'PRESENT'
- WHEN EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.x) AND EXISTS (SELECT 1 FROM v_block b WHERE b.taxon = t.taxon AND b.block_id = e.y) THEN 'ABSENT' ELSE 'MISSING' END AS state FROM e, t""")
+
 def _placed(d: DataFrame) -> DataFrame:
-    pairs = anchors.next_on_path(d.where("taxon = 'x0'"), ["path"], ["pos0", "site_id"], "site_id").where("site_id % 10 = 0").select("site_id", "next").distinct()
+    pairs = anchors.next_on_path(d, ["path"], ["pos0", "site_id"], "site_id").select("site_id", "next").distinct()
     name = F.concat_ws("-", "site_id", "next").alias("block_id")
     blocks = pairs.select(name, F.lit(0).alias("idx"), "site_id").union(pairs.select(name, F.lit(1), F.col("next")))
     return evidence.place_blocks(blocks, d.select("path", F.col("pos0").alias("pos"), "site_id"))
@@ -432,29 +655,45 @@ def _placed(d: DataFrame) -> DataFrame:
 
 on("g16_block_projection", "v_residue", _placed,
    """WITH p AS (SELECT taxon, path, site_id, lead(site_id) OVER (PARTITION BY path ORDER BY pos0, site_id) AS nx, row_number() OVER (PARTITION BY path ORDER BY pos0, site_id) - 1 AS first FROM v_residue),
-b AS (SELECT DISTINCT site_id AS x, nx AS y FROM p WHERE taxon = 'x0' AND site_id % 10 = 0 AND nx IS NOT NULL)
+b AS (SELECT DISTINCT site_id AS x, nx AS y FROM p WHERE nx IS NOT NULL)
 SELECT b.x || '-' || b.y AS block_id, p.path, p.first, CAST(2 AS BIGINT) AS n, CASE WHEN x = y THEN '?' WHEN p.site_id = x THEN '+' ELSE '-' END AS orientation
 FROM b JOIN p ON (p.site_id = x AND p.nx = y) OR (p.site_id = y AND p.nx = x)""")
-on("a17_conflict_flags", "v_block", lambda d: evidence.conflicting(evidence.adjacency_states(d).where("state = 'PRESENT'")),
-   _NEAR + " SELECT block_id, count(*) AS n FROM (SELECT DISTINCT x AS block_id, x || '--' || y AS a FROM s UNION SELECT DISTINCT y, x || '--' || y FROM s) GROUP BY 1 HAVING count(*) > 2")
-on("a12_best_group", "v_match", lambda d: evidence.best_group(d.select(F.col("gene").alias("item"), (F.col("line_no") % 3).alias("grp"), F.floor(F.col("score") * 100).alias("score")), 50),
-   """WITH t AS (SELECT gene AS item, line_no % 3 AS grp, CAST(sum(CAST(floor(score * 100) AS BIGINT)) AS BIGINT) AS s FROM v_match GROUP BY ALL),
-m AS (SELECT *, max(s) OVER (PARTITION BY item) AS best FROM t)
-SELECT item, min(CASE WHEN s = best THEN grp END) AS grp, count(*) - 1 AS alternatives FROM m WHERE s >= best - 50 GROUP BY 1""")
-on("g7_components", "v_residue", lambda d: components(d.select(F.col("pos0").alias("src"), (F.col("pos0") % 97).alias("dst"))), "SELECT pos0 AS node, pos0 % 97 AS label FROM v_residue")
-on("j10_path_neighbour", "v_residue", lambda d: d.select("site_id", "path", "pos0").join(d.select("site_id", "path", F.col("pos0").alias("other")), ["site_id", "path"]).where("pos0 < other").groupBy("path").agg(F.count(F.lit(1)).alias("n")),
-   "SELECT a.path, count(*) AS n FROM v_residue a JOIN v_residue b ON a.site_id = b.site_id AND a.path = b.path AND a.pos0 < b.pos0 GROUP BY 1")
+
+
+@query("""WITH t AS (SELECT gene AS item, 'grp' || CAST(line_no % 3 AS VARCHAR) AS grp, line_no % 50 = 0 AS hard, CAST(sum(CAST(floor(score * 100) AS BIGINT)) AS DOUBLE) AS s FROM v_match GROUP BY ALL), h AS (SELECT *, bool_or(hard) OVER (PARTITION BY item) AS any_hard FROM t),
+k AS (SELECT *, row_number() OVER w AS k, lead(s) OVER w AS nx FROM h WHERE hard = any_hard WINDOW w AS (PARTITION BY item ORDER BY s DESC, grp)), f AS (SELECT *, nx IS NOT NULL AND (hard OR s - nx <= 50 + 1e-12) AS tie FROM k WHERE k = 1)
+SELECT item, CASE WHEN NOT tie THEN grp END AS grp, hard, CASE WHEN NOT tie THEN s END AS confidence, CASE WHEN tie AND hard THEN 'INCOMPATIBLE' WHEN tie THEN 'ALTERNATIVES' WHEN hard THEN 'HARD' ELSE 'SOFT' END AS status FROM f""")
+def a12_copy_groups(spark, sf_dir):
+    m = view(spark, sf_dir, "v_match")
+    return copies.choose(m.select(F.col("gene").alias("item"), F.concat(F.lit("grp"), (F.col("line_no") % 3).cast("string")).alias("grp"), F.when(F.col("line_no") % 50 == 0, "hard").otherwise("soft").alias("constraint"), F.floor(F.col("score") * 100).cast("double").alias("confidence")), 50)
+
+
+on("g7_components", "v_graph", lambda d: components(anchors.next_on_path(d, ["path"], ["pos0"], "site_id"), "site_id", "next"),
+   """WITH e AS (SELECT DISTINCT site_id AS a, nx AS b FROM (SELECT site_id, lead(site_id) OVER (PARTITION BY path ORDER BY pos0) AS nx FROM v_graph) WHERE nx IS NOT NULL), n AS (SELECT a AS node, b AS other FROM e UNION SELECT b, a FROM e),
+s AS (SELECT DISTINCT node, node // 500 AS c FROM n) SELECT node, min(node) OVER (PARTITION BY c) AS label FROM s""")
+on("j10_path_neighbour", "v_graph", evidence.path_observations,
+   "SELECT path, site_id, pos0, base, lead(site_id) OVER w AS next_site, lead(base) OVER w AS next_base FROM v_graph WINDOW w AS (PARTITION BY path ORDER BY pos0)")
 on("u4_set_union", "v_residue", lambda d: d.groupBy("site_id").agg(F.size(F.array_union(F.collect_set(F.when(F.col("base") == "A", F.col("taxon"))), F.collect_set(F.when(F.col("base") == "C", F.col("taxon"))))).cast("long").alias("n")),
    "SELECT site_id, count(DISTINCT taxon) FILTER (WHERE base IN ('A', 'C')) AS n FROM v_residue GROUP BY 1")
-on("p3_mapped_records", "v_sam", lambda d: d.where("rname <> '*'").join(d.select(F.col("rname").alias("known")).where("known < 'c5'").distinct(), F.col("rname") == F.col("known"), "left_semi").select("line_no"), "SELECT line_no FROM v_sam WHERE rname <> '*' AND rname < 'c5'")
-on("p12_boundary_predicate", "v_residue", lambda d: d.groupBy("site_id").agg((F.countDistinct("taxon") >= 3).alias("boundary")), "SELECT site_id, count(DISTINCT taxon) >= 3 AS boundary FROM v_residue GROUP BY 1")
 
 
-@query("""SELECT r.taxon, r.pos0, CASE WHEN r.taxon = 'x4' THEN 'MISSING_TAXON_FASTA' WHEN substr(s.seq, CAST(r.pos0 + 1 AS INT), 1) = '' THEN 'FASTA_SOURCE_SIZE_MISMATCH'
- WHEN substr(s.seq, CAST(r.pos0 + 1 AS INT), 1) NOT IN (r.base, 'N') THEN 'FASTA_EVIDENCE_BASE_MISMATCH' ELSE 'OK' END AS code FROM v_residue r LEFT JOIN v_seq s ON 'x' || CAST(s.seq_id AS VARCHAR) = r.taxon AND s.seq_id < 4""")
+@query("""WITH r AS (SELECT 'x' || CAST(c_custkey % 5 AS VARCHAR) AS taxon, CASE WHEN c_custkey % 19 = 0 THEN '' ELSE 's' || CAST(c_custkey % 50 AS VARCHAR) END AS seq, c_custkey % 130 AS pos0, substr('ACGTRYNX', CAST(c_custkey % 8 AS INT) + 1, 1) AS base, CASE WHEN c_custkey % 50 = 3 THEN c_custkey % 7 ELSE CASE WHEN c_custkey % 23 = 0 THEN 0 ELSE -1 END END AS odd FROM customer),
+c AS (SELECT 'x' || CAST(seq_id % 4 AS VARCHAR) AS taxon, 's' || CAST(seq_id AS VARCHAR) AS seq, seq AS bases, length(seq) AS n FROM v_seq WHERE length(seq) > 0),
+z AS (SELECT r.*, c.bases, c.n, CASE WHEN odd >= 0 THEN odd ELSE coalesce(c.n, 100) END AS source_size FROM r LEFT JOIN c USING (taxon, seq)), d AS (SELECT taxon, seq, min(source_size) <> max(source_size) AS differ FROM z GROUP BY ALL),
+k AS (SELECT z.*, d.differ, greatest(strpos('-ACMGRSVTWYHKDBN', base) - 1, 0) AS mb, substr(bases, CAST(pos0 + 1 AS INT), 1) AS there FROM z JOIN d USING (taxon, seq))
+SELECT taxon, seq, pos0, base, CASE WHEN seq = '' THEN 'EVIDENCE_EMPTY_SOURCE_ID' WHEN source_size <= 0 THEN 'EVIDENCE_INVALID_SOURCE_SIZE' WHEN differ THEN 'EVIDENCE_SOURCE_SIZE_CONFLICT' WHEN pos0 >= source_size THEN 'EVIDENCE_POSITION_OUT_OF_RANGE' WHEN mb = 0 THEN 'EVIDENCE_INVALID_BASE'
+ WHEN taxon NOT IN (SELECT taxon FROM c) THEN 'MISSING_TAXON_FASTA' WHEN n IS NULL THEN 'FASTA_MISSING_SEQUENCE_ID' WHEN n <> source_size THEN 'FASTA_SOURCE_SIZE_MISMATCH' WHEN greatest(strpos('-ACMGRSVTWYHKDBN', there) - 1, 0) = 0 THEN 'FASTA_INVALID_BASE' WHEN mb & (strpos('-ACMGRSVTWYHKDBN', there) - 1) = 0 THEN 'FASTA_EVIDENCE_BASE_MISMATCH' ELSE 'OK' END AS code FROM k""")
 def j11_base_check(spark, sf_dir):
-    s = view(spark, sf_dir, "v_seq").where("seq_id < 4").select(F.concat(F.lit("x"), F.col("seq_id").cast("string")).alias("taxon"), "seq")
-    return evidence.check_bases(view(spark, sf_dir, "v_residue").select("taxon", "pos0", "base"), s)
+    s = view(spark, sf_dir, "v_seq").where("seq <> ''").select(F.concat(F.lit("x"), (F.col("seq_id") % 4).cast("string")).alias("taxon"), F.concat(F.lit("s"), F.col("seq_id").cast("string")).alias("name"), "seq")
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("x"), (k % 5).cast("string")).alias("taxon"), F.when(k % 19 == 0, "").otherwise(F.concat(F.lit("s"), (k % 50).cast("string"))).alias("seq"), (k % 130).alias("pos0"), F.substring(F.lit("ACGTRYNX"), (k % 8 + 1).cast("int"), F.lit(1)).alias("base"),
+        F.when(k % 50 == 3, k % 7).when(k % 23 == 0, 0).alias("odd"),
+    )
+    sizes = s.select("taxon", F.col("name").alias("seq"), F.char_length("seq").alias("n"))
+    residues = r.join(sizes, ["taxon", "seq"], "left").select("taxon", "seq", "pos0", "base", F.coalesce("odd", "n", F.lit(100)).cast("long").alias("source_size"))
+    chunks = sequences.chunked(s.select(F.concat_ws("/", "taxon", "name").alias("name"), "seq")).select(F.split_part("name", F.lit("/"), F.lit(1)).alias("taxon"), F.split_part("name", F.lit("/"), F.lit(2)).alias("name"), "chunk", "bases")
+    return evidence.check_bases(residues, chunks)
 
 
 @query("SELECT b.block_id, b.path, r.pos0 FROM v_block b JOIN (SELECT DISTINCT 'x' || CAST(site_id % 4 AS VARCHAR) AS taxon, pos0 * 10 AS pos0 FROM v_residue) r ON b.taxon = r.taxon AND r.pos0 >= b.start0 AND r.pos0 < b.end0")

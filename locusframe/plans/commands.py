@@ -7,16 +7,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.functions.exprs import normalise_bases, reverse_complement
-from locusframe.operators import affine, anchors, chains, mapping, quota
+from locusframe.operators import affine, anchors, assembly, chains, mapping, quota
+from locusframe.operators.sequences import fetch, lengths, oriented
 from locusframe.plans.runtime import cut, ship
 
 
-def spliced(features: DataFrame, sequence: DataFrame) -> DataFrame:
-    """A3: (transcript, seq): exons joined, ascending on plus, each turned around and descending on minus."""
-    s = sequence.select(F.col("name").alias("seqid"), normalise_bases(F.col("seq")).alias("chrom"))
-    piece = F.substring("chrom", F.col("start1"), F.col("end1") - F.col("start1") + 1)
-    cut = features.join(s, "seqid").select("transcript", "strand", "start1", "line_no", piece.alias("piece"))
-    return joined(cut)
+def spliced(features: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A3: (transcript, seq): exons joined, ascending on plus, each turned around and descending on minus. chunks: (name, chunk, bases)."""
+    rows = features.select("seqid", "transcript", "strand", "start1", "end1", "line_no")
+    numbered = cut(rows.withColumn("id", F.monotonically_increasing_id()), "exons")
+    pieces = fetch(numbered.select("id", F.col("seqid").alias("name"), "start1", "end1"), chunks)
+    return joined(numbered.join(pieces, "id").select("transcript", "strand", "start1", "line_no", F.col("bases").alias("piece")))
 
 
 def joined(pieces: DataFrame) -> DataFrame:
@@ -33,9 +34,9 @@ def longest_unique(tx: DataFrame) -> DataFrame:
     return kept.groupBy("gene").agg(best.alias("m")).select("gene", "m.transcript", "m.seq")
 
 
-def gff2seq(sequence: DataFrame, features: DataFrame, genes: DataFrame) -> DataFrame:
+def gff2seq(chunks: DataFrame, features: DataFrame, genes: DataFrame) -> DataFrame:
     """(gene, transcript, seq): the longest transcript of each gene; genes with a sequence that two transcripts have are left out."""
-    return longest_unique(spliced(features, sequence).join(genes, "transcript"))
+    return longest_unique(spliced(features, chunks).join(genes, "transcript"))
 
 
 def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: quota.Synteny = quota.Synteny(), run: str | None = None) -> DataFrame:
@@ -61,47 +62,54 @@ def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) ->
     return chains.chain_global(anchors.admitted(match), least, penalty)
 
 
-def align_gaps(gaps: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(), cells: int = 4_000_000) -> DataFrame:
-    """Gaps (id, ref_chr, query_chr, strand, gap_...) with their bases fetched and aligned. Dealt by area, largest first, so that none waits behind many."""
-    r = ref.select(F.col("name").alias("ref_chr"), F.col("seq").alias("rs"))
-    q = query.select(F.col("name").alias("query_chr"), F.col("seq").alias("qs"))
-    a = F.substring("rs", F.col("gap_ref_start").cast("int"), (F.col("gap_ref_end") - F.col("gap_ref_start") + 1).cast("int"))
-    b = F.substring("qs", F.col("gap_query_start").cast("int"), (F.col("gap_query_end") - F.col("gap_query_start") + 1).cast("int"))
-    b = F.when(F.col("strand") == "-", reverse_complement(normalise_bases(b))).otherwise(normalise_bases(b))
-    pairs = gaps.join(r, "ref_chr").join(q, "query_chr").select("id", normalise_bases(a).alias("a"), b.alias("b"))
-    return affine.align_pairs(pairs, scores, cells)
+def block_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(0, -4, -4, -2, -80, -1), cells: int = 4_000_000) -> DataFrame:
+    """``proali`` from its anchors (``block``, ``pos``) on: the aligned fragments of each block (L17). ref, query: (name, chunk, bases)."""
+    return assembly.aligned(assembly.fragments(chain), ref, query, scores, cells)
+
+
+def chromosome_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(), cells: int = 4_000_000) -> DataFrame:
+    """``genoAli`` from its anchors (``ref_chr``, ``pos``) on: the aligned fragments of each chromosome, from end to end."""
+    frags = assembly.fragments(chain.withColumn("block", F.col("ref_chr")), lengths(ref), lengths(query))
+    return assembly.aligned(frags, ref, query, scores, cells)
+
+
+def align_sequences(ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(), cells: int = 4_000_000) -> DataFrame:
+    """``ali``: the one sequence of ``ref`` against that of ``query``, as (name, row, score, method) with a row for each."""
+    pair = ref.select(F.lit(0).cast("long").alias("id"), normalise_bases(F.col("seq")).alias("a"), F.col("name").alias("an"))
+    other = query.select(F.lit(0).cast("long").alias("id"), normalise_bases(F.col("seq")).alias("b"), F.col("name").alias("bn"))
+    both = pair.join(other, "id")
+    got = affine.align_pairs(both, scores, cells).join(both.select("id", "an", "bn"), "id")
+    return got.select(F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.col("an").alias("name"), F.col("row_a").alias("row")), F.struct(F.lit(1).alias("ord"), F.col("bn").alias("name"), F.col("row_b").alias("row")))).alias("r"), "score", "method").select("r.*", "score", "method")
 
 
 def novel_anchors(chain: DataFrame, ref: DataFrame, query: DataFrame, side: int = 50_000, k: int = 15, w: int = 9, similarity: float = 0.0) -> DataFrame:
     """Matches with column ``block``, and the local matches found in their large gaps, in those that are left then, and so on.
 
-    ref, query: (name, seq). Each round maps all gaps beyond ``side`` squared that were not tried; a gap is tried once,
+    ref, query: (name, chunk, bases). Each round maps all gaps beyond ``side`` squared that were not tried; a gap is tried once,
     by its block and start, and what a find leaves is smaller, so the rounds end. Only whether any is left comes to the driver.
     """
     cols = [*chains.COLUMNS, "block"]
     now, tried = cut(chain.select(*cols), "anchors"), None
-    r = ref.select(F.col("name").alias("ref_chr"), F.col("seq").alias("rs"))
-    q = query.select(F.col("name").alias("query_chr"), F.col("seq").alias("qs"))
-    size = lambda a, b: (F.col(b) - F.col(a) + 1).cast("int")
     while True:
         gaps = anchors.novel_anchor_gaps(anchors.inter_anchor_gaps(now, ["block", "ref_chr", "query_chr"], ["ref_start", "query_start"]).drop("ref_start", "query_start"), side)
         gaps = gaps.where((F.col("gap_ref_end") - F.col("gap_ref_start") >= k) & (F.col("gap_query_end") - F.col("gap_query_start") >= k))
         if tried is not None:
             gaps = gaps.join(tried, ["block", "gap_ref_start"], "left_anti")
         todo = cut(gaps.withColumn("id", F.xxhash64("block", "gap_ref_start")), "gaps")
-        if not todo.limit(1).count():
+        if todo.isEmpty():
             return now
-        a = normalise_bases(F.substring("rs", F.col("gap_ref_start").cast("int"), size("gap_ref_start", "gap_ref_end")))
-        b = normalise_bases(F.substring("qs", F.col("gap_query_start").cast("int"), size("gap_query_start", "gap_query_end")))
-        pairs = todo.join(r, "ref_chr").join(q, "query_chr").select("id", a.alias("ref"), F.when(F.col("strand") == "-", reverse_complement(b)).otherwise(b).alias("query"))
+        part = lambda s: todo.select("id", F.col(f"{s}_chr").alias("name"), F.col(f"gap_{s}_start").alias("start1"), F.col(f"gap_{s}_end").alias("end1"))
+        a, b = fetch(part("ref"), ref).withColumnRenamed("bases", "ref"), fetch(part("query"), query)
+        pairs = todo.select("id", "strand").join(a, "id").join(b, "id").select("id", "ref", oriented(F.col("bases"), F.col("strand")).alias("query"))
         found = mapping.local_map(pairs, k, w).withColumnsRenamed({"ref_start": "r0", "ref_end": "r1", "query_start": "q0", "query_end": "q1"}).join(todo, "id")
         share = F.col("score") / (F.col("r1") - F.col("r0") + 1)
         plus = F.col("strand") == "+"
+        r0, r1 = F.col("gap_ref_start") + F.col("r0") - 1, F.col("gap_ref_start") + F.col("r1") - 1
         new = found.where(share > similarity).select(
-            "ref_chr", "query_chr", (F.col("gap_ref_start") + F.col("r0") - 1).alias("ref_start"), (F.col("gap_ref_start") + F.col("r1") - 1).alias("ref_end"),
+            "ref_chr", "query_chr", r0.alias("ref_start"), r1.alias("ref_end"),
             F.when(plus, F.col("gap_query_start") + F.col("q0") - 1).otherwise(F.col("gap_query_end") - F.col("q1") + 1).alias("query_start"),
             F.when(plus, F.col("gap_query_start") + F.col("q1") - 1).otherwise(F.col("gap_query_end") - F.col("q0") + 1).alias("query_end"),
-            "strand", share.alias("score"), F.concat_ws("_", F.lit("local"), "ref_chr", "gap_ref_start").alias("gene"), F.col("id").alias("line_no"), "block",
+            "strand", share.alias("score"), F.concat_ws("_", F.lit(quota.LOCAL), "ref_chr", r0.cast("string"), r1.cast("string")).alias("gene"), F.col("id").alias("line_no"), "block",
         )
         done = todo.select("block", "gap_ref_start")
         tried = cut(done if tried is None else tried.union(done), "tried")

@@ -15,6 +15,15 @@ VIEWS: dict[str, str] = {
  l_partkey * 50 + l_linenumber AS query_start, l_partkey * 50 + l_linenumber + CAST(floor(l_quantity) AS BIGINT) AS query_end,
  CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, 1 - l_discount AS score,
  'g' || CAST(l_partkey AS VARCHAR(19)) AS gene, l_orderkey * 10 + l_linenumber AS line_no FROM lineitem""",
+    # T6 with the ids that an input would bring
+    "v_ranked": """SELECT *, CAST(dense_rank() OVER (PARTITION BY ref_chr ORDER BY ref_start) AS INT) AS ref_id, CAST(dense_rank() OVER (PARTITION BY query_chr ORDER BY query_start) AS INT) AS query_id FROM v_match""",
+    # T6 of fewer copies: some genes have one copy a chromosome, some two that score alike, some two that don't
+    "v_copies": """SELECT 'Q' || CAST(o_custkey % 3 AS VARCHAR(9)) AS query_chr, 'R' || CAST(o_orderkey % 5 AS VARCHAR(9)) AS ref_chr, o_orderkey * 100 AS ref_start, o_orderkey * 100 + 60 AS ref_end,
+ o_custkey * 900 + o_orderkey % 7 AS query_start, o_custkey * 900 + o_orderkey % 7 + 40 AS query_end, o_orderkey * 100 AS p_start, o_orderkey * 100 + 30 + (o_orderkey % 5) * 900 AS p_end, '+' AS strand,
+ CASE WHEN o_orderkey % 4 = 0 THEN 0.99E0 ELSE 1 - (o_custkey % 30) / 40.0E0 END AS score, 'g' || CAST(CAST(floor(o_orderkey / 3) AS BIGINT) AS VARCHAR(19)) AS gene, o_orderkey AS line_no FROM orders""",
+    # Transcripts with the content of their spliced sequence, which some share
+    "v_tx": """SELECT 't' || CAST(c_custkey AS VARCHAR(19)) AS transcript, 'g' || CAST(CAST(floor(c_custkey / 3) AS BIGINT) AS VARCHAR(19)) AS gene,
+ 's' || CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 35 ELSE c_custkey + 1000 END AS VARCHAR(19)) AS seq FROM customer""",
     # T6 again: anchors of two genomes that are collinear but for inverted stretches and scattered genes
     "v_anchor": """SELECT 'R' || CAST(CAST(floor(o_orderkey / 2000) AS BIGINT) % 5 AS VARCHAR(9)) AS ref_chr,
  'R' || CAST(CAST(floor((CASE WHEN o_custkey % 7 = 0 THEN o_custkey * 13 ELSE o_orderkey END) / 2000) AS BIGINT) % 5 AS VARCHAR(9)) AS query_chr,
@@ -43,9 +52,15 @@ VIEWS: dict[str, str] = {
  'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAN') AS seq FROM benchmark""",
     # Two rows of an alignment, the second on the minus strand
     "v_rows": """SELECT item_id AS block, 0 AS row, 'r' AS source, CAST(item_id * 10 AS BIGINT) AS start0, '+' AS strand, CAST(5000 AS BIGINT) AS source_size,
- replace(translate(upper(substr(regexp_replace(text, '[^A-Za-z]', ''{g}), 1, 80)), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'AC', '--') AS text FROM benchmark
+ replace(translate(upper(regexp_replace(text, '[^A-Za-z]', ''{g})), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'AC', '--') AS text FROM benchmark
  UNION ALL SELECT item_id, 1, 'q', CAST(item_id * 7 AS BIGINT), '-', CAST(9000 AS BIGINT),
- replace(translate(upper(substr(regexp_replace(text, '[^A-Za-z]', ''{g}), 1, 80)), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'GT', '--') FROM benchmark""",
+ replace(translate(upper(regexp_replace(text, '[^A-Za-z]', ''{g})), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC'), 'GT', '--') FROM benchmark""",
+    # projections of structural blocks: three taxa, the same order of blocks but for stretches turned around, left out or doubled
+    "v_projection": """SELECT 'j' || CAST(k AS VARCHAR(9)) || '_' || CAST(c_custkey AS VARCHAR(19)) AS projection_id, 'x' || CAST(k AS VARCHAR(9)) AS taxon, 'p' || CAST(CAST(floor(c_custkey / 100) AS BIGINT) AS VARCHAR(9)) AS path,
+ 'b' || CAST(CASE WHEN c_custkey % 37 = 5 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR(19)) AS block_id, CASE WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 5 = k THEN c_custkey - c_custkey % 10 + 9 - c_custkey % 10 ELSE c_custkey END * 100 AS start0,
+ CASE WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 5 = k THEN c_custkey - c_custkey % 10 + 9 - c_custkey % 10 ELSE c_custkey END * 100 + CASE WHEN c_custkey % 53 = 7 THEN 130 ELSE 80 END AS end0,
+ CASE WHEN c_custkey % 29 = 3 THEN '?' WHEN CAST(floor(c_custkey / 10) AS BIGINT) % 5 = k THEN '-' ELSE '+' END AS orientation
+ FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks WHERE c_custkey % 13 <> k""",
     # variants
     "v_variant": """SELECT o_orderkey AS pos, substr('ACGTTGCA', CAST(o_orderkey % 5 AS INT) + 1, CAST(o_custkey % 3 AS INT) + 1) AS ref,
  substr('ACGTTGCA', CAST(o_orderkey % 5 AS INT) + 1, 1) || substr('GATTACA', CAST(o_custkey % 4 AS INT) + 1, CAST(o_orderkey % 3 AS INT)) AS alt,
@@ -56,9 +71,15 @@ VIEWS: dict[str, str] = {
     # Residues of taxa on paths
     "v_residue": """SELECT 'x' || CAST(n_regionkey AS VARCHAR(9)) AS taxon, n_name AS path, c_custkey AS pos0, c_custkey % 97 AS site_id,
  substr('ACGT', CAST(c_custkey % 4 AS INT) + 1, 1) AS base FROM customer JOIN nation ON c_nationkey = n_nationkey""",
-    # placed blocks
+    # the sites of a graph: three taxa with two paths each, most on one diagonal; and the paths that alignments show to lack a site
+    "v_graph": """SELECT c_custkey AS site_id, 'x' || CAST(k AS VARCHAR(9)) AS taxon, 'x' || CAST(k AS VARCHAR(9)) || '|c' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS VARCHAR(9)) AS path, 'c' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS VARCHAR(9)) AS sequence,
+ c_custkey % 500 + k AS pos0, CAST(600 AS BIGINT) AS source_size, substr('ACGT', CAST((c_custkey + CASE WHEN c_custkey % 17 = k THEN 1 ELSE 0 END) % 4 AS INT) + 1, 1) AS base
+ FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) AS ks WHERE c_custkey % 11 <> k + 3""",
+    "v_absent": """SELECT c_custkey AS site_id, 'x' || CAST(k AS VARCHAR(9)) AS taxon, 'x' || CAST(k AS VARCHAR(9)) || '|c' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS VARCHAR(9)) AS path
+ FROM customer CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) AS ks WHERE c_custkey % 11 = k + 3 AND c_custkey % 2 = 0""",
+    # placed blocks, each with an id of its own
     "v_block": """SELECT 'x' || CAST(c_nationkey % 4 AS VARCHAR(9)) AS taxon, 'p' || CAST(c_nationkey % 3 AS VARCHAR(9)) AS path, 'b' || CAST(c_custkey % 60 AS VARCHAR(9)) AS block_id,
- c_custkey * 10 AS start0, c_custkey * 10 + 5 + c_custkey % 9 AS end0, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS orientation FROM customer""",
+ c_custkey * 10 AS start0, c_custkey * 10 + 5 + c_custkey % 9 AS end0, CASE WHEN c_custkey % 2 = 0 THEN '+' ELSE '-' END AS orientation, 'j' || CAST(c_custkey AS VARCHAR(19)) AS projection_id FROM customer""",
 }
 
 

@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import affine, anchors, chains, graph
+from locusframe.operators import affine, ancestry, anchors, assembly, chains, copies, graph, profiles, sequences
 from locusframe.operators.components import components
+from locusframe.operators.orders import dealt, ranked
 from locusframe.operators.quota import PAIR, Chaining, Synteny, chain_quota, quota_blocks, synteny
 from locusframe.plans import commands
 from locusframe.sinks import text as sinks
@@ -337,11 +338,11 @@ def test_newick():
 
 
 def test_gff2seq(spark, tmp_path):
-    (tmp_path / "g.fa").write_bytes(gzip.compress(b">x\nAA\n")[:0] + b">c1 first\nACGTACGT\nAACCGGTT\n>c2\nAC\n>c1 again\nACGTACGTAACCGGTT\n")
+    (tmp_path / "g.fa").write_bytes(b">c1 first\nACGTACGT\nAACCGGTT\n>c2\nAC\n>c1 again\nACGTACGTAACCGGTT\n")
     cds = ["c1\t.\tCDS\t1\t4\t.\t+\t0\tParent=t1", "c1\t.\tCDS\t7\t8\t.\t+\t0\tParent=t1", "c1\t.\tCDS\t9\t12\t.\t-\t0\tParent=t2"]
     genes = ["c1\t.\tmRNA\t1\t8\t.\t+\t.\tID=t1;Parent=g1", "c1\t.\tmRNA\t9\t12\t.\t-\t.\tID=t2;Parent=g2"]
     (tmp_path / "g.gff").write_bytes(gzip.compress("\n".join(["#", *cds, *genes]).encode()))  # no suffix tells of the compression
-    run = lambda: {r.gene: (r.transcript, r.seq) for r in commands.gff2seq(sources.read_fasta(spark, f"{tmp_path}/g.fa"), sources.read_gff(spark, f"{tmp_path}/g.gff"), sources.read_gene_map(spark, f"{tmp_path}/g.gff")).collect()}
+    run = lambda: {r.gene: (r.transcript, r.seq) for r in commands.gff2seq(sources.read_sequences(spark, f"{tmp_path}/g.fa"), sources.read_gff(spark, f"{tmp_path}/g.gff"), sources.read_gene_map(spark, f"{tmp_path}/g.gff")).collect()}
     assert run() == {"g1": ("t1", "ACGTGT"), "g2": ("t2", "GGTT")}
     more = [x.replace("t1", "t3") for x in cds[:2]] + [genes[0].replace("t1", "t3")]
     (tmp_path / "g.gff").write_bytes("\n".join(cds + genes + more).encode())
@@ -376,19 +377,245 @@ def test_sam_maf_pairs_and_manifests(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     chain = spark.createDataFrame(match((10, 20, 5, 15, "+"), (31, 40, 26, 30, "+")), MATCH).withColumn("block", F.lit(0))
     gaps = anchors.inter_anchor_gaps(chain, ["block", "ref_chr", "query_chr"], ["ref_start"])
-    sinks.write_lines(sinks.anchor_lines(chain, gaps), f"{tmp_path}/anchors", ["block", "at"])
-    lines = [r.value for r in spark.read.text(f"{tmp_path}/anchors").collect()]
-    assert lines[0] == "#block begin" and lines[-1] == "#block end" and "\tinteranchor\t" in lines[2] and len(lines) == 5
-    back = sources.read_anchors(spark, f"{tmp_path}/anchors/part-*")
-    assert back.count() == 2
-    sites = spark.createDataFrame([(1, "A"), (2, "C")], "site_id long, base string")
-    paths = spark.createDataFrame([("p", 0, 1), ("p", 1, 2)], "path string, pos long, site_id long")
-    assert sorted(r.line for r in sinks.gfa_lines(sites, paths).collect()) == ["L\t1\t+\t2\t+\t0M", "P\tp\t1+,2+\t*", "S\t1\tA", "S\t2\tC"]
-    maf = spark.createDataFrame([(0, "r.c", 0, 4, 100, "ACGT", "q.c", 10, 3, 50, "AC-T", "-", -10)], "block long, ref_name string, ref_start0 long, ref_len long, ref_size long, ref_row string, query_name string, query_start0 long, query_len long, query_size long, query_row string, strand string, score long")
-    assert sinks.maf_lines(maf).first().line.split("\n")[2] == "s q.c 37 3 - 50 AC-T"
+    head = ["#tool -x 1", sinks.ANCHOR_HEAD]
+    sinks.write_lines(sinks.anchor_lines(chain, gaps), f"{tmp_path}/anchors", ["block", "at"], head)
+    lines = [x for f in sorted((tmp_path / "anchors").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[:3] == [*head, "#block begin"] and lines[-1] == "#block end" and "\tinteranchor\t" in lines[4] and len(lines) == 7
+    whole = tmp_path / "anchors.tsv"
+    whole.write_text("\n".join(lines) + "\n")
+    assert sources.read_anchors(spark, f"{whole}").count() == 2
+    assert sources.resumed_anchors(spark, f"{whole}", "tool -x 1").count() == 2 and sources.resumed_anchors(spark, f"{whole}", "tool -x 2") is None and sources.resumed_anchors(spark, f"{tmp_path}/none", "x") is None
+    whole.write_text("\n".join(lines[:-1]) + "\n")
+    assert sources.resumed_anchors(spark, f"{whole}", "tool -x 1") is None
+    size = lambda n: spark.createDataFrame([("R", n), ("Q", n)], "name string, length long")
+    tail = [r.line for r in sinks.anchor_lines(chain, gaps, size(100), size(90)).orderBy("block", "at").collect()][-2]
+    assert tail.split("\t")[:8] == ["R", "41", "100", "Q", "31", "90", "+", "interanchor"]
+    rows = [(f"a{k}", "R", k, 100 * k, 100 * k + 9, f"b{k}", "Q", 20 - k, 100 * (20 - k), 100 * (20 - k) + 9, "-", 1.0, k) for k in range(6)]
+    got = [r.line for r in sinks.synteny_lines(synteny(spark.createDataFrame(rows, PAIR))).orderBy("block", "pos").collect()]
+    assert got[0].split("\t")[:3] == ["##Alignment", "1", "N=6"] and got[0].endswith("R&Q\tNEGATIVE") and len(got) == 7 and got[1].startswith("a0\tR\t0\t0\t9\tb0\tQ\t20\t")
+    frag = spark.createDataFrame([(0, "r", "q", "-", 1, 4, 11, 13, "ACGT", "AC-T", -10.0, 100, 50, "BANDED_MINIMAP2")], "block long, ref_chr string, query_chr string, strand string, ref_start long, ref_end long, query_start long, query_end long, ref_row string, query_row string, score double, ref_size long, query_size long, method string")
+    maf = sinks.maf_lines(frag, ["block"], 3).first().line.split("\n")
+    assert maf[0] == "a\tscore=-10" and maf[2] == "s\tq  \t       37\t        3\t-\t50\tAC-T" and maf[1].split("\t")[2:4] == ["        0", "        4"]
+    assert sinks.bed_lines(frag).first().line == "r\t0\t4\tBANDED_KSW2\t-10\t-\tq\t10\t13"
+    with pytest.raises(ValueError, match="no genes"):
+        sinks.at_least_one(frag.limit(0), "genes")
 
 
 def test_catalog_names():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+# ---------------------------------------------------------------- files in many tasks, sequences in chunks
+
+
+def test_lines_and_sequences_in_many_splits(spark, tmp_path):
+    rng = random.Random(3)
+    base = lambda n: "".join(rng.choices("ACGTN", k=n))
+    seqs = {"a": base(1000), "b": "", "c": base(7), "d": base(333)}
+    wrapped = lambda s, w: "".join(f"{s[k : k + w]}\r\n" for k in range(0, len(s), w))
+    text = "".join(f">{n} told \tmore\n{wrapped(s, 31)}" for n, s in seqs.items()) + "\n>a again\nAC\n\nGT\n"
+    seqs["a"] = "ACGT"
+    (tmp_path / "plain.fa").write_text(text)
+    (tmp_path / "named.fa.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "told.fa").write_bytes(gzip.compress(text.encode()))
+    odd = "one\r\ntwo\x0b\x0c\x1c\x85three\u2028four\n\nlast"
+    (tmp_path / "odd.txt").write_text(odd, newline="")
+    conf = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "100")
+    try:
+        assert spark.read.text(f"{tmp_path}/plain.fa").rdd.getNumPartitions() > 5
+        for name in ("plain.fa", "named.fa.gz", "told.fa"):
+            for size in (16, 1 << 16):
+                chunks = sources.read_sequences(spark, f"{tmp_path}/{name}", size).collect()
+                assert all(len(r.bases) <= size for r in chunks)
+                got = {n: "".join(r.bases for r in sorted(chunks, key=lambda r: r.chunk) if r.name == n) for n in {r.name for r in chunks}}
+                assert got == seqs, name
+            lines = sources.read_lines(spark, f"{tmp_path}/{name}").orderBy("line_no").collect()
+            assert [(r.line_no, r.value) for r in lines] == list(enumerate(x.rstrip("\r") for x in text[:-1].split("\n")))
+        assert [r.value for r in sources.read_lines(spark, f"{tmp_path}/odd.txt").orderBy("line_no").collect()] == ["one", "two\x0b\x0c\x1c\x85three\u2028four", "", "last"]
+    finally:
+        spark.conf.set(conf, before)
+    assert {r.name: (r.length, r.seq) for r in sources.read_fasta(spark, f"{tmp_path}/told.fa").collect()} == {n: (len(s), s) for n, s in seqs.items()}
+
+
+def test_intervals_of_chunked_sequences(spark):
+    rng = random.Random(4)
+    seqs = {n: "".join(rng.choices("ACGTRYU", k=k)) for n, k in (("a", 100), ("b", 16), ("c", 1))}
+    chunks = sequences.chunked(spark.createDataFrame(list(seqs.items()), "name string, seq string"), 16)
+    assert {r.name: r.length for r in sequences.lengths(chunks, 16).collect()} == {n: len(s) for n, s in seqs.items()}
+    want, rows = {}, []
+    for k in range(60):
+        n, a, b = rng.choice(list(seqs)), rng.randint(-5, 110), rng.randint(-5, 110)
+        rows.append((k, n, a, b))
+        lo, hi = (min(max(x, 1), len(seqs[n])) for x in sorted((a, b)))
+        want[k] = seqs[n][lo - 1 : hi].translate(str.maketrans("RYU", "NNT"))
+    got = sequences.fetch(spark.createDataFrame([*rows, (99, "unknown", 1, 2)], "id long, name string, start1 long, end1 long"), chunks, 16)
+    assert {r.id: r.bases for r in got.collect()} == want
+
+
+# ---------------------------------------------------------------- from anchors to alignments
+
+
+def test_chromosome_and_block_alignment(spark):
+    rng = random.Random(6)
+    base = lambda n: "".join(rng.choices("ACGT", k=n))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    ref = base(200)
+    query = "GG" + ref[:60] + base(5) + turn(ref[60:120]) + ref[125:200] + "TTT"
+    # the middle is turned around: its first anchor on the reference is its last on the query
+    at = {"m1": (1, 50, 3, 52, "+"), "m2": (61, 80, 108, 127, "-"), "m3": (91, 120, 68, 97, "-"), "m4": (131, 200, 133, 202, "+")}
+    assert all(ref[a - 1 : b] == (query[c - 1 : d] if s == "+" else turn(query[c - 1 : d])) for a, b, c, d, s in at.values())
+    rows = [("R", "Q", a, b, c, d, s, 1.0, g, k, k) for k, (g, (a, b, c, d, s)) in enumerate(at.items())]
+    chain = spark.createDataFrame(rows, MATCH + ", pos long")
+    whole = lambda n, s: sequences.chunked(spark.createDataFrame([(n, s)], "name string, seq string"))
+    r, q = whole("R", ref), whole("Q", query)
+    for kept in (chain, chain.where("gene in ('m1', 'm4')")):
+        frags = commands.chromosome_alignment(kept, r, q)
+        got = frags.orderBy("ord").collect()
+        assert assembly.check_rows(frags, r, q).count() == 0
+        assert got[0].kind == "GAP" and got[0].method == "FILLING" and got[0].query_row == "GG" and got[0].ref_row == "--"
+        blocks = {b.sub: b for b in assembly.blocks(frags).collect()}
+        if kept is chain:
+            assert [f.kind for f in got] == ["GAP", "ANCHOR", "ANCHOR", "GAP", "ANCHOR", "ANCHOR"] and set(blocks) == {0, 1, 2}
+            assert blocks[1].strand == "-" and blocks[1].ref_row == ref[60:120] == blocks[1].query_row and blocks[1].score == 0 and (blocks[1].query_start, blocks[1].query_end) == (68, 127)
+        else:  # without an inversion the chromosomes are aligned from end to end
+            (b,) = blocks.values()
+            assert got[-1].kind == "TAIL" and b.ref_row.replace("-", "") == ref and b.query_row.replace("-", "") == query and b.score == sum(f.score for f in got)
+            assert (b.ref_start, b.ref_end, b.query_start, b.query_end) == (1, 200, 1, len(query))
+    minus = chain.where("strand = '-'").withColumn("block", F.lit(7)).withColumn("pos", F.col("pos") - 1)
+    frags = commands.block_alignment(minus, r, q)
+    assert [f.kind for f in frags.orderBy("ord").collect()] == ["ANCHOR", "GAP", "ANCHOR"] and assembly.blocks(frags).first().query_row == ref[60:120]
+
+
+def test_two_sequences(spark):
+    one_ = lambda n, s: spark.createDataFrame([(n, s)], "name string, seq string")
+    got = commands.align_sequences(one_("r", "ACGTACGT"), one_("q", "ACGACGT")).orderBy("ord").collect()
+    assert [(x.name, x.row.replace("-", "")) for x in got] == [("r", "ACGTACGT"), ("q", "ACGACGT")] and got[0].score == -10
+    assert sinks.record_lines(commands.align_sequences(one_("r", "AC"), one_("q", "AC"))).orderBy("ord").collect()[1].line == ">q\nAC"
+
+
+# ---------------------------------------------------------------- orders, matches, profiles
+
+
+def test_ranks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(50), k) for k in range(400)]
+    d = spark.createDataFrame(rows, "g string, x long, id long").repartition(7)
+    got = {r.id: r.k for r in ranked(d, ["x", "id"], "k").collect()}
+    assert got == {r[2]: k for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    within = {r.id: r.k for r in ranked(d, [F.desc("x"), "id"], "k", ["g"]).collect()}
+    for g in ("a", "b", None):
+        assert [within[r[2]] for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))] == list(range(sum(r[0] == g for r in rows)))
+    parts = dealt(d, "x", 4).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(parts) == 4 and max(r.s for r in parts) - min(r.s for r in parts) <= 100 and {r.n for r in parts} == {100}
+    assert ranked(d.limit(0), ["x"], "k").count() == 0
+
+
+def test_lifted_alignments(spark):
+    exons = [("plus", "c", "+", 11, 20, 1), ("plus", "c", "+", 31, 40, 2), ("minus", "c", "-", 11, 20, 3), ("minus", "c", "-", 31, 40, 4)]
+    f = spark.createDataFrame(exons, "transcript string, seqid string, strand string, start1 long, end1 long, line_no long")
+    hits = [(1, "plus", False, 2, 3, 20), (2, "plus", True, 2, 3, 20), (3, "minus", False, 2, 3, 20), (4, "minus", True, 2, 3, 20), (5, "plus", False, 25, 0, 20)]
+    h = spark.createDataFrame(hits, "line_no long, transcript string, reverse boolean, head long, tail long, cds_len long")
+    got = {r.line_no: (r.ref_start, r.ref_end) for r in anchors.lifted(h, anchors.cds_segments(f)).collect()}
+    assert got == {1: (13, 37), 2: (14, 38), 3: (14, 38), 4: (13, 37)}
+
+
+def test_matches_from_records(spark):
+    exons = [(t, "c1", s, a, a + 99, k) for k, (t, s, a) in enumerate([("t1", "+", 1001), ("t2", "-", 2001), ("t3", "+", 3001)])]
+    f = spark.createDataFrame(exons, "transcript string, seqid string, strand string, start1 long, end1 long, line_no long")
+    genes = spark.createDataFrame([("t1", "g1"), ("t2", "g2"), ("t3", "g3")], "transcript string, gene string")
+    sam = [(0, "t1", 0, "d", 501, False, 0, 0, 100, 100), (1, "t2", 0, "d", 901, False, 0, 0, 90, 100), (2, "t3", 0, "d", 5000, False, 0, 0, 95, 100), (3, "t3", 16, "d", 5050, True, 0, 0, 95, 100), (4, "t9", 0, "d", 1, False, 0, 0, 9, 9), (5, "t1", 0, "*", 1, False, 0, 0, 9, 9)]
+    s = spark.createDataFrame(sam, "line_no long, qname string, flag int, rname string, pos1 long, reverse boolean, head long, tail long, aligned long, span long")
+    got = {r.gene: r for r in anchors.matches(s, f, genes).collect()}
+    # t3 maps twice, near its own last place
+    assert set(got) == {"g1", "g2"} and got["g1"].strand == "+" and got["g2"].strand == "-" and got["g2"].score == 0.9
+    assert (got["g1"].ref_start, got["g1"].ref_end, got["g1"].query_start, got["g1"].query_end) == (1001, 1100, 501, 600)
+
+
+def test_union_length_over_the_edges_of_bins(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), s, s + rng.randint(0, 60)) for s in (rng.randrange(600) for _ in range(80))]
+    d = spark.createDataFrame(rows, "k string, s long, e long")
+    got = {r.k: (r.covered, r.n, r.islands) for r in anchors.merged_length(d, ["k"], "s", "e", 16).collect()}
+    for k in "ab":
+        mine = sorted(r[1:] for r in rows if r[0] == k)
+        islands, high = 0, None
+        for s, e in mine:
+            islands += high is None or s > high
+            high = e if high is None else max(high, e)
+        assert got[k] == (len({x for s, e in mine for x in range(s, e + 1)}), len(mine), islands)
+
+
+def test_kmer_sketches(spark):
+    rng = random.Random(10)
+    seqs = {k: "".join(rng.choices("ACGTN", [5, 5, 5, 5, 1], k=rng.randint(0, 300))) for k in range(6)} | {7: "ACACACACACACACACACAC", 8: None}
+    got = {}
+    for r in profiles.sketch(spark.createDataFrame(list(seqs.items()), "id long, seq string"), 5, most=2).collect():
+        got.setdefault(r.id, []).append((r.hash, r.pos))
+    for k, s in seqs.items():
+        places = {}
+        for i in range(len(s or "") - 4):
+            if "N" not in s[i : i + 5]:
+                places.setdefault(s[i : i + 5], []).append(i)
+        assert sorted(p for _, p in got.get(k, [])) == sorted(p for ps in places.values() for p in ps[:2])
+        assert len({h for h, _ in got.get(k, [])}) == len(places)
+
+
+# ---------------------------------------------------------------- graph
+
+
+def test_copy_resolution(spark):
+    nodes = [(1, "x|c", None, False, None, None), (2, "y|c", "A", True, 0.9, None), (3, "z|c", None, False, None, ["A"]), (4, "y|d", "B", False, 0.4, None), (5, "x|d", None, False, None, None), (6, "w|c", None, False, None, None)]
+    edges = [(10, 1, 2, 5.0), (11, 1, 3, 9.0), (12, 2, 3, 1.0), (13, 2, 4, 3.0), (14, 1, 5, 8.0), (15, 5, 4, 8.0)]
+    assigned, audit = copies.resolve(spark.createDataFrame(nodes, "node long, path string, grp string, hard boolean, confidence double, excluded array<string>"), spark.createDataFrame(edges, "edge_id long, a long, b long, score double"))
+    # explicit ends first: 13 (two, rejected), 15, 10, 12 (excluded) by score, then 11 and 14
+    log = {r.edge_id: (r.selected, r.reason) for r in audit.collect()}
+    assert [k for k, v in log.items() if v[0]] and {k: v[0] for k, v in log.items()} == {10: True, 11: False, 12: False, 13: False, 14: False, 15: True}
+    assert log[13][1] == "different explicit groups" and log[12][1] == "an excluded group" and log[11][1] == "an excluded group" and log[14][1] == "different explicit groups"
+    got = {r.node: (r.copy_group, r.hard, r.confidence) for r in assigned.collect()}
+    assert got[1] == got[2] == ("A", True, 0.9) and got[4] == got[5] == ("B", False, 0.4) and got[3] == ("inferred_3", False, 0.5) and got[6] == ("inferred_6", False, 0.5)
+
+
+def test_children_and_projections(spark):
+    # sites 1 to 5 in a row; path p lacks site 3 (an aligned absence), path q jumps at site 5
+    rows = [(s, "x", "x|p", "p", s + 9 - (s > 3), 50, "ACGTA"[s - 1]) for s in (1, 2, 4, 5)] + [(s, "y", "y|q", "q", s + (20 if s == 5 else 0), 50, "ACGTA"[s - 1]) for s in range(1, 6)]
+    g = spark.createDataFrame(rows, "site_id long, taxon string, path string, sequence string, pos0 long, source_size long, base string")
+    absent = spark.createDataFrame([(3, "x", "x|p")], "site_id long, taxon string, path string")
+    order = {r.site_id: (r.comp, r.place) for r in ancestry.orders(g).collect()}
+    assert order == {s: (1, s - 1) for s in range(1, 6)}
+    called = g.select("site_id").distinct().withColumn("emitted", F.lit(True)).withColumn("base", F.substring(F.lit("ACGTA"), F.col("site_id").cast("int"), F.lit(1)))
+    sites = ancestry.blocks(called, ancestry.orders(g))
+    assert [(r.length, r.sequence) for r in ancestry.block_sequences(sites).collect()] == [(5, "ACGTA")]
+    kids = ancestry.children(sites, g, absent, ["x", "y"]).collect()
+    assert [(k.path, k.child_text, k.child_start0, k.child_size, k.start0, k.size) for k in kids] == [("x|p", "AC-TA", 10, 4, 0, 5)]
+    assert sinks.child_lines(spark.createDataFrame(kids)).first().line.split("\n")[2].split("\t") == ["s", "p", "10", "4", "+", "50", "AC-TA"]
+    good, out = ancestry.projections(g, absent, ancestry.orders(g))
+    assert good.count() == 0 and [(r.reason, r.sites) for r in out.collect()] == [("path_coordinates_are_not_contiguous", 5)]
+    straight = g.withColumn("pos0", F.when(F.col("path") == "y|q", F.col("site_id")).otherwise(F.col("pos0")))
+    good, out = ancestry.projections(straight, absent, ancestry.orders(straight))
+    assert {(r.path, r.text, r.start0, r.size) for r in good.collect()} == {("x|p", "AC-TA", 10, 4), ("y|q", "ACGTA", 1, 5)} and out.count() == 0
+    # two sites that no path puts in order: no order, a block each
+    loose = g.where("site_id in (1, 2) and path = 'x|p'").unionByName(g.where("site_id in (1, 3)  and path = 'y|q'"))
+    assert {r.site_id: r.place for r in ancestry.orders(loose).collect()} == {1: None, 2: None, 3: None}
+    assert sorted(r.block for r in ancestry.blocks(called, ancestry.orders(loose)).collect()) == ["site:1", "site:2", "site:3"]
+    ancestry.check_tree(newick.parse("((x,y)anc,z)root;"), ["x", "y", "z"], "anc")
+    for taxa, target in ((["x", "y"], "anc"), (["x", "y", "z"], "x"), (["x", "y", "z"], "none")):
+        with pytest.raises(ValueError):
+            ancestry.check_tree(newick.parse("((x,y)anc,z)root;"), taxa, target)
+    a, b = (ancestry.core_hash(d).first().core_hash for d in (g, g.orderBy(F.desc("pos0")).repartition(3)))
+    assert a == b != ancestry.core_hash(straight).first().core_hash
+
+
+def test_graph_lines(spark):
+    rows = [(s, "x", "x|p", "p", s, 50, "AC"[s % 2]) for s in (1, 2, 4)]
+    g = spark.createDataFrame(rows, "site_id long, taxon string, path string, sequence string, pos0 long, source_size long, base string")
+    sites = spark.createDataFrame([(1, "CONSISTENT", "f a"), (2, "MISSING_EVIDENCE", None), (4, "CONSISTENT", None)], "site_id long, consistency string, copy_group string")
+    lines = [r.line for r in sinks.gfa_lines(g, sites, "core_x").orderBy("part", "key").collect()]
+    assert lines[0] == "H\tVN:Z:1.1\tCH:Z:core_x" and "S\t1_C\tC\tSI:Z:1\tCL:Z:CONSISTENT\tCG:Z:f a" in lines and "P\tx|p:1\t1_C+,2_A+\t*\tTX:Z:x\tSN:Z:p\tSO:i:1\tEO:i:3" in lines
+    assert [x for x in lines if x.startswith("L")] == ["L\t1_C\t+\t2_A\t+\t0M"] and sum(x.startswith("P") for x in lines) == 2
+    absent = spark.createDataFrame([(2, "y", "y|q")], "site_id long, taxon string, path string")
+    meta = sorted(r.line for r in sinks.metadata_lines(g, absent, sites).collect())
+    assert len(meta) == 4 and "2\t.\t.\ty|q\t.\t.\t.\tALIGNED_ABSENCE\t-\t.\tMISSING_EVIDENCE" in meta

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from locusframe.operators import evidence, mapping
+from locusframe.operators import evidence, mapping, sequences
 
 
 def rows(spark, a, b, strand="+"):
@@ -62,11 +62,17 @@ def test_local_map_finds_the_place(spark):
     assert r.id == 1 and r.ref_start - r.query_start == 150 and 195 < r.ref_start < 230 and 390 < r.ref_end <= 420
 
 
-def test_base_check(spark):
-    res = spark.createDataFrame([("t", 0, "A"), ("t", 1, "A"), ("t", 2, "A"), ("t", 9, "A"), ("u", 0, "A")], "taxon string, pos0 long, base string")
-    seq = spark.createDataFrame([("t", "ACN")], "taxon string, seq string")
-    got = {(r.taxon, r.pos0): r.code for r in evidence.check_bases(res, seq).collect()}
-    assert list(got.values()).count("OK") == 2 and got["t", 1] == "FASTA_EVIDENCE_BASE_MISMATCH" and got["t", 9] == "FASTA_SOURCE_SIZE_MISMATCH" and got["u", 0] == "MISSING_TAXON_FASTA"
+def test_stable_ids_are_fnv1a():
+    rng = random.Random(1)
+    items = [bytes(rng.choices(range(256), k=rng.randint(0, 40))) for _ in range(300)] + [b"", b"a", b"foobar"]
+
+    def slow(x):
+        h = 0xCBF29CE484222325
+        for b in x:
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    assert evidence.fnv1a(items) == list(map(slow, items)) and evidence.fnv1a([b"foobar"]) == [0x85944171F73967E8] and evidence.fnv1a([]) == []
 
 
 def test_novel_anchors_fill_gaps_of_both_strands(spark):
@@ -78,14 +84,15 @@ def test_novel_anchors_fill_gaps_of_both_strands(spark):
     ref = base(1200)
     query = ref[:150] + base(60) + ref[200:420] + base(80) + ref[520:800] + base(40) + ref[900:]
     seqs = spark.createDataFrame([("c", ref, query)], "name string, r string, q string")
+    whole = lambda c: sequences.chunked(seqs.select("name", F.col(c).alias("seq")))
     chain = spark.createDataFrame([("c", "c", 1, 100, 1, 100, "+", 1.0, "a", 1, 0), ("c", "c", 1101, 1200, len(query) - 99, len(query), "+", 1.0, "b", 2, 0)], commands.chains.MATCH + ", block long")
-    got = commands.novel_anchors(chain, seqs.select("name", F.col("r").alias("seq")), seqs.select("name", F.col("q").alias("seq")), side=40).orderBy("ref_start").collect()
+    got = commands.novel_anchors(chain, whole("r"), whole("q"), side=40).orderBy("ref_start").collect()
     new = [r for r in got if r.gene.startswith("local")]
     assert len(got) > 2 and new and all(100 < r.ref_start < r.ref_end < 1101 and r.query_start > 100 for r in new)
-    turned = seqs.select("name", reverse_complement(F.col("q")).alias("seq"))
+    turned = sequences.chunked(seqs.select("name", reverse_complement(F.col("q")).alias("seq")))
     n = len(query)
     flipped = chain.selectExpr("ref_chr", "query_chr", "ref_start", "ref_end", f"{n} + 1 - query_end AS query_start", f"{n} + 1 - query_start AS query_end", "'-' AS strand", "score", "gene", "line_no", "block")
-    back = commands.novel_anchors(flipped, seqs.select("name", F.col("r").alias("seq")), turned, side=40).orderBy("ref_start").collect()
+    back = commands.novel_anchors(flipped, whole("r"), turned, side=40).orderBy("ref_start").collect()
     assert [(r.ref_start, r.ref_end, n + 1 - r.query_end, n + 1 - r.query_start) for r in back] == [(r.ref_start, r.ref_end, r.query_start, r.query_end) for r in got]
 
 

@@ -35,18 +35,19 @@ def _role_in(role: Column) -> Column:
 
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """``(conv_id, formatted, loss_spans, n_messages)``, one row per conversation.
+    """``(conv_id, formatted, loss_mask, loss_spans, n_messages)``, one row per conversation.
 
     turns: conv_id, turn, role, text; other columns are ignored. Turns are ordered by
     (turn, role, text), so ties and repeated rows have a defined place; all rows stay.
     Null text and null role count as empty; a null turn comes first; rows of null
     conv_id form one conversation. An empty table gives an empty result.
-    loss_spans: array of (start, length), 0-based code points in ``formatted``, one span
-    for each turn of ``loss_role``, of its escaped text.
+    loss_mask: for each turn in order, whether the loss is taken on its text. loss_spans: the
+    same as places, an array of (start, length), 0-based code points in ``formatted``, of the
+    escaped texts.
 
     A conversation is one output string, so its turns meet in one row by definition;
-    everything inside a row is linear in its turns but the list of spans, whose
-    entries are 8 bytes.
+    everything inside a row is linear in its turns but the list of spans, which is computed
+    only if it is selected.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -90,7 +91,8 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         return F.struct((done["at"] - len(TURN) + len(END) + 1).alias("at"), done["spans"].alias("spans"))
 
     spans = F.aggregate("ms", step, message)["spans"]
-    return convs.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"), F.size("ms").cast("long").alias("n_messages"))
+    mask = F.flatten(F.transform("ms", lambda m: F.transform(m["bodies"], lambda _: m["role"] == loss_role)))
+    return convs.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"), spans.alias("loss_spans"), F.size("ms").cast("long").alias("n_messages"))
 
 
 def read_chat(formatted: Column) -> Column:
@@ -107,9 +109,10 @@ def read_chat(formatted: Column) -> Column:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What a reader finds in the output of :func:`format_chat`, by hashes."""
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
-    return formatted.select("conv_id", "formatted", "n_messages", read_chat(F.col("formatted")).alias("ts"), loss.alias("loss")).select(
+    """What a reader finds in the output of :func:`format_chat`, by hashes: the turns, and the texts under the loss mask."""
+    read = formatted.select("conv_id", "formatted", "n_messages", "loss_mask", read_chat(F.col("formatted")).alias("ts"))
+    under = F.zip_with("ts", "loss_mask", lambda t, on: F.when(on, t["text"]).otherwise(F.lit("")))
+    return read.withColumn("loss", F.array_join(under, "")).select(
         "conv_id",
         F.size("ts").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("ts", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -17,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     return chat.digest(chat.format_chat(rows.unionByName(extra)))
 
 
@@ -48,7 +48,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = exact.exact_classes(table(spark, sf_dir, "documents"))
-    rows = classes.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    # a row that occurs n times comes out n times, from lists of bounded length
+    part = F.lit(1024).cast("long")
+    parts = classes.withColumn("_from", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"), part)))
+    rows = parts.withColumn("nth", F.explode(F.sequence("_from", F.least(F.col("_from") + part - 1, F.col("n_rows")))))
     return rows.select("doc_id", "keep_id", "group_size", (F.col("kept") & (F.col("nth") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 

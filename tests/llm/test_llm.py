@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from locusframe.llm import chat, decontaminate, exact, lm, packing, pii, simhash, substring, tokens, toxicity
+from locusframe.llm import chat, decontaminate, exact, lm, packing, pii, queries, simhash, substring, tokens, toxicity
 from locusframe.plans.runtime import table
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,10 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(loss)) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
         assert r.n_messages == sum(k == 0 or turns[k - 1][0] != t[0] for k, t in enumerate(turns))
     assert chat.digest(chat.format_chat(d.limit(0))).count() == 0
+    for r in got.collect():  # the spans are the texts under the mask, where they stand
+        turns = [x[2:] for x in sorted(want[r.conv_id])]
+        assert r.loss_mask == [role == "assistant" for role, _ in turns]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", r.formatted[s.start : s.start + s.length]) for s in r.loss_spans] == [x for role, x in turns if role == "assistant"]
 
 
 # ------------------------------------------------------------ 2
@@ -696,6 +700,13 @@ def test_exact_classes(spark, odd, docs, block, hashed):
         assert {tuple(r)[:3] + (bytes(r.sha), r.n_rows, r.kept) for r in exact.exact_classes(d, block, hashed).collect()} == want
 
 
+def test_rows_that_repeat_come_out_as_often(spark, tmp_path):
+    rows = [(1, "a  b")] * 2500 + [(1, "c"), (2, "a b"), (None, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in queries.op8_exact_dedup(spark, f"{tmp_path}").collect())
+    assert got == {(1, 1, 2501, True): 1, (1, 1, 2501, False): 2499, (2, 1, 2501, False): 1, (1, 1, 2, True): 1, (None, 1, 2, False): 1}
+
+
 def test_exact_dedup(spark, odd, docs):
     for d in (odd, docs):
         rows = Counter(norm(t) for _, t in texts_of(exact.exact_dedup(d)))

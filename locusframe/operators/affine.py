@@ -107,21 +107,32 @@ def chunked(a: str, b: str, s: Scores, cells: int) -> tuple[str, str, float]:
     return *rows, score_rows(*rows, s)
 
 
-def score_rows(a: str, b: str, s: Scores = Scores()) -> float:
-    """L2/L3: the score of two rows; columns of two gaps are passed over."""
-    total, run, side = 0.0, 0, 0
-    for p, q in zip(a, b, strict=True):
-        if p == q == "-":
-            continue
-        now = 1 if p == "-" else 2 if q == "-" else 0
-        if now != side:
-            total += s.gap(run)
-            run, side = 0, now
-        if now:
-            run += 1
-        else:
-            total += s.match if p == q else s.mismatch
-    return total + s.gap(run)
+def score_rows(a: str, b: str, s: Scores = Scores(), strict: bool = False) -> float:
+    """L2: the score of two rows; columns of two gaps are passed over, or with ``strict`` (L3) an error."""
+    if len(a) != len(b):
+        raise ValueError("rows of unequal length")
+    x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
+    side = np.where(x == 45, 1, np.where(y == 45, 2, 0))
+    both = (x == 45) & (y == 45)
+    if both.any():
+        if strict:
+            raise ValueError("a column of two gaps")
+        x, y, side = x[~both], y[~both], side[~both]
+    pairs = side == 0
+    total = s.match * int((pairs & (x == y)).sum()) + s.mismatch * int((pairs & (x != y)).sum())
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], side, [0]])))
+    return float(total + sum(s.gap(int(n)) for at, n in zip(edges, np.diff(edges)) if side[at]))
+
+
+def score_pairs(pairs: DataFrame, scores: Scores = Scores(), strict: bool = False) -> DataFrame:
+    """L2/L3 over rows (id, a, b) of alignments: (id, score)."""
+    ship(pairs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf.id, "score": [score_rows(a, b, scores, strict) for a, b in zip(pdf.a, pdf.b, strict=True)]})
+
+    return pairs.select("id", "a", "b").mapInPandas(run, "id long, score double")
 
 
 def align_pairs(pairs: DataFrame, scores: Scores = Scores(), cells: int = 4_000_000) -> DataFrame:

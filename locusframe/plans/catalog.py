@@ -6,18 +6,20 @@ genomic view of the driver's tables (see :mod:`locusframe.plans.views`) or to a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import adjacency, affine, ancestry, anchors, copies, evidence, graph, mapping, profiles, quota, sequences
+from locusframe.operators import adjacency, affine, ancestry, anchors, chains, copies, evidence, graph, mapping, profiles, quota, sequences
 from locusframe.operators.components import components
 from locusframe.operators.orders import ranked
 from locusframe.plans import commands
-from locusframe.plans.runtime import table
+from locusframe.plans.runtime import shared_folder, table
 from locusframe.plans.views import duck, view
+from locusframe.sinks import text as sinks
 from locusframe.sources import newick
 from locusframe.sources import text as sources
 
@@ -373,7 +375,11 @@ j AS (SELECT ids.id, coalesce(shared, 0) AS shared, coalesce(shared, 0) / (coale
 SELECT id, shared, round(j, 9) AS jaccard, round(CASE WHEN j <= 0 THEN 1.0 ELSE 1 - pow(2 * j / (1 + j), 1.0::DOUBLE / 9) END, 9) AS mismatch FROM j""")
 
 
-@query()
+@query("""WITH k AS (SELECT seq_id AS id, unnest([seq[i:i + 14] for i in range(1, length(seq) - 13)]) AS kmer, unnest(range(greatest(length(seq) - 14, 0))) AS pos FROM v_seq),
+c AS (SELECT id, pos, list_reduce([CAST(strpos('ACGT', x) - 1 AS HUGEINT) for x in string_split(kmer, '')], lambda a, b: a * 4 + b) AS code FROM k WHERE regexp_full_match(kmer, '[ACGT]{15}')),
+m AS (SELECT id, pos, CAST((code * 11507291218515648293) % 18446744073709551616 AS UBIGINT) AS m FROM c), h AS (SELECT id, pos, xor(m, m >> 28) AS h FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, h ORDER BY pos) AS k FROM h WHERE h % 4 = 0)
+SELECT id, CAST(CASE WHEN h >= 9223372036854775808 THEN CAST(h AS HUGEINT) - 18446744073709551616 ELSE h END AS BIGINT) AS hash, pos FROM r WHERE k <= 4""")
 def j8_kmer_sketch(spark, sf_dir):
     return profiles.sketch(view(spark, sf_dir, "v_seq").select(F.col("seq_id").alias("id"), "seq"), 15, 4)
 
@@ -443,6 +449,109 @@ SELECT chrom, pos, CAST(diff AS INT) AS diff, CASE WHEN r = '' THEN '-' ELSE r E
 on("h4_variant_to_sdi", "v_variant", lambda d: anchors.variant_to_sdi(d.withColumn("chrom", F.concat(F.lit("chr"), "chrom"))), "WITH v AS (SELECT * FROM v_variant), " + _SDI)
 on("h5_gvcf_to_sdi", "v_variant", lambda d: anchors.gvcf_to_sdi(d.withColumn("alt", F.when(F.col("pos") % 3 == 0, "<NON_REF>").otherwise(F.concat("alt", F.lit(",<NON_REF>"))))), "WITH v AS (SELECT * FROM v_variant WHERE pos % 3 <> 0), " + _SDI)
 
+# ---------------------------------------------------------------- files: written by a sink or by Spark, read by a source
+
+
+def _written(lines: DataFrame, label: str, hide_gzip: bool = False) -> str:
+    """The folder that ``lines`` (one column) were written to; with ``hide_gzip`` as gzip files whose names don't tell."""
+    spark = lines.sparkSession
+    path = f"{shared_folder(spark)}/locusframe-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    lines.write.option("compression", "gzip" if hide_gzip else "none").text(path)
+    if hide_gzip:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(where):
+            name = status.getPath().getName()
+            if name.endswith(".gz"):
+                fs.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(where, name[:-3]))
+    return path
+
+
+def _wrapped(c: str, width: int) -> Column:
+    return F.array_join(F.regexp_extract_all(c, F.lit(f".{{1,{width}}}"), F.lit(0)), "\n")
+
+
+@query("SELECT 's' || CAST(seq_id AS VARCHAR) AS name, length(seq) AS length, seq FROM v_seq")
+def s1_fasta(spark, sf_dir):
+    lines = view(spark, sf_dir, "v_seq").select(F.concat(F.lit(">s"), F.col("seq_id").cast("string"), F.lit(" of the benchmark\n"), _wrapped("seq", 37)))
+    return sources.read_fasta(spark, _written(lines, "fasta", True))
+
+
+@query("SELECT value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS value FROM benchmark) GROUP BY 1")
+def s2_gzip_by_magic(spark, sf_dir):
+    lines = table(spark, sf_dir, "benchmark").select("text")
+    return sources.read_lines(spark, _written(lines, "lines", True)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT seqid, start1, end1, strand, transcript, count(*) AS n FROM v_feature WHERE end1 - start1 + 1 >= 10 GROUP BY ALL")
+def s5_gff(spark, sf_dir):
+    f = view(spark, sf_dir, "v_feature")
+    row = lambda kind: F.concat_ws("\t", "seqid", F.lit("."), F.lit(kind), F.col("end1").cast("string"), F.col("start1").cast("string"), F.lit("."), "strand", F.lit("0"), F.concat(F.lit("ID=x;Parent="), "transcript", F.lit(",other")))
+    path = _written(f.select(F.explode(F.array(row("CDS"), row("exon"), F.lit("# a remark"))).alias("line")), "gff")
+    return sources.read_gff(spark, path, least=10).groupBy("seqid", F.col("start1").cast("long").alias("start1"), F.col("end1").cast("long").alias("end1"), "strand", "transcript").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT transcript, CASE substr(transcript, length(transcript)) WHEN '0' THEN 'p' WHEN '1' THEN 'i' ELSE 'g' END || transcript AS gene FROM v_feature")
+def s7_gene_map_by_precedence(spark, sf_dir):
+    t, last = F.col("transcript"), F.right("transcript", F.lit(1))
+    attrs = F.when(last == "0", F.concat(F.lit("ID="), t, F.lit(";Parent=p"), t, F.lit(";geneID=i"), t)).when(last == "1", F.concat(F.lit("ID="), t, F.lit(";geneID=i"), t, F.lit(";gene_id g"), t)).otherwise(F.concat(F.lit('gene_id "g'), t, F.lit('"; transcript_id "'), t, F.lit('"')))
+    lines = view(spark, sf_dir, "v_feature").select("transcript").distinct().select(F.concat_ws("\t", F.lit("c"), F.lit("."), F.lit("mRNA"), F.lit("1"), F.lit("2"), F.lit("."), F.lit("+"), F.lit("."), attrs))
+    return sources.read_gene_map(spark, _written(lines, "genes"))
+
+
+@query("""WITH o AS (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]') AS p FROM v_sam WHERE line_no % 6 <> 5)
+SELECT qname, CAST(flag AS INT) AS flag, rname, CAST(pos1 AS INT) AS pos1, flag % 32 <> 0 AS reverse, CASE WHEN p[1][-1:] IN ('S', 'H') THEN CAST(p[1][:-2] AS BIGINT) ELSE 0 END AS head, CASE WHEN p[-1][-1:] IN ('S', 'H') AND len(p) > 1 THEN CAST(p[-1][:-2] AS BIGINT) ELSE 0 END AS tail,
+ CAST(list_sum([CASE WHEN x[-1:] IN ('M', '=', 'X') THEN CAST(x[:-2] AS BIGINT) ELSE 0 END for x in p]) AS BIGINT) AS aligned, CAST(list_sum([CASE WHEN x[-1:] IN ('M', '=', 'X', 'D', 'N') THEN CAST(x[:-2] AS BIGINT) ELSE 0 END for x in p]) AS BIGINT) AS span FROM o""")
+def s9_sam(spark, sf_dir):
+    broken = F.when(F.col("line_no") % 12 == 5, "*").otherwise("7Q")
+    row = F.concat_ws("\t", "qname", F.col("flag").cast("string"), "rname", F.col("pos1").cast("string"), F.lit("60"), F.when(F.col("line_no") % 6 == 5, broken).otherwise(F.col("cigar")), F.lit("rest"))
+    lines = view(spark, sf_dir, "v_sam").select(row.alias("line")).union(spark.range(1).select(F.lit("@PG\tID:minimap2\tCL:minimap2 -k 12 -A 3")))
+    return sources.read_sam(spark, _written(lines, "sam")).select("qname", "flag", "rname", "pos1", "reverse", "head", "tail", "aligned", "span")
+
+
+@query("""SELECT ref_gene, ref_chr, ref_id, ref_start, ref_end, query_gene, query_chr, query_id, query_start, query_end, strand, round(round(score * 100) / 100, 9) AS score FROM v_pairs""")
+def s11_pairs(spark, sf_dir):
+    p = view(spark, sf_dir, "v_pairs")
+    own = "ref_gene ref_chr ref_id ref_start ref_end + query_gene query_chr query_id query_start query_end".split()
+    cells = [F.lit("+") if c == "+" else F.col(c).cast("string") for c in own]
+    lines = p.select(F.concat_ws("\t", *cells, "strand", F.round(F.col("score") * 100).cast("string")))
+    got = sources.read_pairs(spark, _written(lines, "pairs"))
+    return got.select(*[c for c in own if c != "+"], "strand", F.round("score", 9).alias("score"))
+
+
+@query("SELECT source, start0, length(replace(text, '-', '')) AS size, strand, source_size, text FROM v_rows")
+def s13_maf(spark, sf_dir):
+    n = F.char_length(F.replace(F.col("text"), F.lit("-"), F.lit(""))).cast("string")
+    row = F.concat_ws(" ", F.lit("s"), "source", F.col("start0").cast("string"), n, "strand", F.col("source_size").cast("string"), "text")
+    blocks = view(spark, sf_dir, "v_rows").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("row", row.alias("l")))).alias("ls"))
+    lines = blocks.select(F.concat(F.lit("##maf version=1\na score=1\n"), F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n")))
+    return sources.read_maf(spark, _written(lines, "maf")).select("source", "start0", "size", "strand", "source_size", "text")
+
+
+_GFA_SITES = "SELECT site_id, CASE WHEN count(DISTINCT taxon) = 3 THEN 'CONSISTENT' ELSE 'MISSING_EVIDENCE' END AS consistency, CASE WHEN site_id % 9 <> 0 THEN 'k' || CAST(site_id % 4 AS VARCHAR) END AS copy_group FROM v_graph GROUP BY site_id"
+
+
+def _gfa_sites(g: DataFrame) -> DataFrame:
+    return _sites(g).select("site_id", "consistency", F.when(F.col("copy_resolved"), F.concat(F.lit("k"), (F.col("site_id") % 4).cast("string"))).alias("copy_group"))
+
+
+@query(f"""WITH s AS ({_GFA_SITES}), n AS (SELECT *, CAST(site_id AS VARCHAR) || '_' || base AS node FROM v_graph), l AS (SELECT DISTINCT a.node AS x, b.node AS y FROM n a JOIN n b ON a.path = b.path AND b.pos0 = a.pos0 + 1),
+r AS (SELECT *, pos0 - row_number() OVER (PARTITION BY path ORDER BY pos0) AS run FROM n)
+SELECT DISTINCT 'S' || chr(9) || node || chr(9) || base || chr(9) || 'SI:Z:' || CAST(n.site_id AS VARCHAR) || chr(9) || 'CL:Z:' || consistency || coalesce(chr(9) || 'CG:Z:' || copy_group, '') AS line FROM n JOIN s USING (site_id)
+UNION ALL SELECT 'L' || chr(9) || x || chr(9) || '+' || chr(9) || y || chr(9) || '+' || chr(9) || '0M' FROM l
+UNION ALL SELECT 'P' || chr(9) || path || ':' || CAST(min(pos0) AS VARCHAR) || chr(9) || string_agg(node || '+', ',' ORDER BY pos0) || chr(9) || '*' || chr(9) || 'TX:Z:' || any_value(taxon) || chr(9) || 'SN:Z:' || any_value(sequence) || chr(9) || 'SO:i:' || CAST(min(pos0) AS VARCHAR) || chr(9) || 'EO:i:' || CAST(max(pos0) + 1 AS VARCHAR) FROM r GROUP BY path, run""")
+def w9_gfa(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph")
+    return sinks.gfa_lines(g, _gfa_sites(g), "core").where("part > 0").select("line")
+
+
+@query(f"""WITH s AS ({_GFA_SITES}) SELECT concat_ws(chr(9), CAST(site_id AS VARCHAR), CAST(site_id AS VARCHAR) || '_' || base, taxon, path, sequence, CAST(pos0 AS VARCHAR), CAST(source_size AS VARCHAR), 'OBSERVED_BASE', base, coalesce(copy_group, '.'), consistency) AS line FROM v_graph JOIN s USING (site_id)
+UNION ALL SELECT concat_ws(chr(9), CAST(site_id AS VARCHAR), '.', '.', path, '.', '.', '.', 'ALIGNED_ABSENCE', '-', coalesce(copy_group, '.'), consistency) FROM v_absent JOIN s USING (site_id)""")
+def w10_graph_metadata(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph")
+    return sinks.metadata_lines(g, view(spark, sf_dir, "v_absent"), _gfa_sites(g)).select("line")
+
+
 # ---------------------------------------------------------------- orders
 
 for _id, _key in {
@@ -484,21 +593,27 @@ def _called(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.calls(g, view(spark, sf_dir, "v_absent"), _sites(g), newick.parse("((x0,x1)anc,x2)root;"), "anc", emit_ambiguous=True)
 
 
-@query(f"""WITH s AS ({_SITES}), p AS (SELECT site_id, taxon, max(p) AS p FROM (SELECT site_id, taxon, 2 AS p FROM v_graph UNION ALL SELECT site_id, taxon, 1 FROM v_absent) GROUP BY ALL),
+_CALLED = f"""s AS ({_SITES}), p AS (SELECT site_id, taxon, max(p) AS p FROM (SELECT site_id, taxon, 2 AS p FROM v_graph UNION ALL SELECT site_id, taxon, 1 FROM v_absent) GROUP BY ALL),
 n AS (SELECT site_id, count(*) FILTER (WHERE p = 2) AS yes, count(*) FILTER (WHERE p = 1) AS no FROM p GROUP BY 1), b AS (SELECT site_id, base, count(*) AS k FROM v_graph GROUP BY ALL), m AS (SELECT site_id, max(k) AS top FROM b GROUP BY 1),
-w AS (SELECT site_id, CAST(sum(1 << (strpos('ACGT', base) - 1)) AS INT) AS mask FROM b JOIN m USING (site_id) WHERE k = top GROUP BY 1)
-SELECT s.site_id, CASE WHEN NOT copy_resolved THEN 'COPY_UNRESOLVED' WHEN yes = no THEN 'PRESENCE_AMBIGUOUS_EMITTED' WHEN no > yes THEN 'ANCESTRAL_ABSENT' WHEN mask NOT IN (1, 2, 4, 8) THEN 'BASE_AMBIGUOUS' ELSE 'EMITTED' END AS decision,
- CASE WHEN copy_resolved AND no <= yes THEN substr('-ACMGRSVTWYHKDBN', mask + 1, 1) END AS base FROM s JOIN n USING (site_id) JOIN w USING (site_id)""")
+w AS (SELECT site_id, CAST(sum(1 << (strpos('ACGT', base) - 1)) AS INT) AS mask FROM b JOIN m USING (site_id) WHERE k = top GROUP BY 1),
+calls AS (SELECT s.site_id, CASE WHEN NOT copy_resolved THEN 'COPY_UNRESOLVED' WHEN yes = no THEN 'PRESENCE_AMBIGUOUS_EMITTED' WHEN no > yes THEN 'ANCESTRAL_ABSENT' WHEN mask NOT IN (1, 2, 4, 8) THEN 'BASE_AMBIGUOUS' ELSE 'EMITTED' END AS decision,
+ CASE WHEN copy_resolved AND no <= yes THEN substr('-ACMGRSVTWYHKDBN', mask + 1, 1) END AS base FROM s JOIN n USING (site_id) JOIN w USING (site_id))"""
+
+
+@query(f"WITH {_CALLED} SELECT * FROM calls")
 def g13_site_calls(spark, sf_dir):
     return _called(spark, sf_dir).select("site_id", "decision", "base")
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT site_id AS a, nx AS b FROM (SELECT site_id, lead(site_id) OVER (PARTITION BY path ORDER BY pos0) AS nx FROM v_graph) WHERE nx IS NOT NULL),
+s AS (SELECT *, lead(site_id) OVER (PARTITION BY c ORDER BY site_id) AS nx FROM (SELECT DISTINCT site_id, site_id // 500 AS c FROM v_graph)), u AS (SELECT s.*, nx IS NULL OR EXISTS (SELECT 1 FROM e WHERE a = site_id AND b = nx) AS linked FROM s)
+SELECT site_id, min(site_id) OVER w AS comp, CASE WHEN bool_and(linked) OVER w THEN row_number() OVER (PARTITION BY c ORDER BY site_id) - 1 END AS place FROM u WINDOW w AS (PARTITION BY c)""")
 def g7_site_orders(spark, sf_dir):
     return ancestry.orders(view(spark, sf_dir, "v_graph"))
 
 
-@query()
+@query(f"""WITH {_CALLED}, o AS (SELECT site_id, base, site_id // 500 AS c, site_id - min(site_id) OVER (PARTITION BY site_id // 500) AS place, min(site_id) OVER (PARTITION BY site_id // 500) AS comp FROM calls), r AS (SELECT *, place - row_number() OVER (PARTITION BY c ORDER BY place) AS run FROM o WHERE base IS NOT NULL)
+SELECT CAST(comp AS VARCHAR) || ':' || CAST(min(place) AS VARCHAR) AS block, count(*) AS length, string_agg(base, '' ORDER BY place) AS sequence FROM r GROUP BY comp, run""")
 def g14_ancestral_blocks(spark, sf_dir):
     return ancestry.block_sequences(ancestry.blocks(_called(spark, sf_dir), ancestry.orders(view(spark, sf_dir, "v_graph"))))
 
@@ -605,16 +720,59 @@ def w1_gff2seq(spark, sf_dir):
     return commands.gff2seq(_chromosomes(spark, sf_dir), _exons(f), f.select("transcript", "gene").distinct())
 
 
-@query()
+def _told(frags: DataFrame) -> DataFrame:
+    """Where fragments lie, what they spell without gaps, and of those without an alignment the score."""
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    return frags.select("block", "kind", "ref_start", "ref_end", "query_start", "query_end", bare("ref_row").alias("ref"), bare("query_row").alias("query"), (F.char_length("ref_row") == F.char_length("query_row")).alias("even"), F.when((F.col("method") == "FILLING") | (F.col("kind") == "ANCHOR"), F.col("score")).alias("score"))
+
+
+_FRAGMENTS = """WITH g AS (SELECT 's' || CAST(seq_id AS VARCHAR) AS block, seq AS r, substr(seq, 1, 50) || 'ACGT' || substr(seq, 71) AS q FROM v_seq WHERE length(seq) >= 120),
+f AS (SELECT block, r, q, unnest(['GAP', 'ANCHOR', 'GAP', 'ANCHOR', 'TAIL']) AS kind, unnest([1, 11, 41, 81, 111]) AS ref_start, unnest([10, 40, 80, 110, length(r)]) AS ref_end, unnest([1, 11, 41, 65, 95]) AS query_start, unnest([10, 40, 64, 94, length(q)]) AS query_end, unnest([1, 2, 3, 4, 5]) AS k FROM g)
+SELECT {0} AS block, kind, CAST(ref_start AS BIGINT) AS ref_start, CAST(ref_end AS BIGINT) AS ref_end, CAST(query_start AS BIGINT) AS query_start, CAST(query_end AS BIGINT) AS query_end, substr(r, CAST(ref_start AS INT), CAST(ref_end - ref_start + 1 AS INT)) AS ref, substr(q, CAST(query_start AS INT), CAST(query_end - query_start + 1 AS INT)) AS query, true AS even, CASE WHEN kind = 'ANCHOR' THEN 0.0::DOUBLE END AS score FROM f WHERE {1}"""
+
+
+@query(_FRAGMENTS.format("block", "true"))
 def l18_chromosome_alignment(spark, sf_dir):
     chain, ref, query_ = _genomes(spark, sf_dir)
-    return commands.chromosome_alignment(chain, ref, query_)
+    return _told(commands.chromosome_alignment(chain, ref, query_))
 
 
-@query()
+@query(_FRAGMENTS.format("block || '_+'", "k BETWEEN 2 AND 4"))
 def l17_block_alignment(spark, sf_dir):
     chain, ref, query_ = _genomes(spark, sf_dir)
-    return commands.block_alignment(chain.withColumn("block", F.concat_ws("_", "ref_chr", "strand")), ref, query_)
+    return _told(commands.block_alignment(chain.withColumn("block", F.concat_ws("_", "ref_chr", "strand")), ref, query_))
+
+
+@query("""WITH c AS (SELECT block, unnest(string_split(max(CASE WHEN row = 0 THEN text END), '')) AS x, unnest(string_split(max(CASE WHEN row = 1 THEN text END), '')) AS y, unnest(range(length(max(text)))) AS col FROM v_rows GROUP BY block),
+k AS (SELECT *, CASE WHEN x = '-' THEN 1 WHEN y = '-' THEN 2 ELSE 0 END AS side FROM c WHERE NOT (x = '-' AND y = '-')), r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY col) - row_number() OVER (PARTITION BY block, side ORDER BY col) AS run FROM k),
+g AS (SELECT block, side, run, count(*) AS n, sum(CASE WHEN side = 0 AND x <> y THEN -6 ELSE 0 END) AS pairs FROM r GROUP BY ALL)
+SELECT block AS id, CAST(sum(CASE WHEN side = 0 THEN pairs ELSE greatest(-8 - 2 * n, -75 - n) END) AS DOUBLE) AS score FROM g GROUP BY 1""")
+def l2_score_of_rows(spark, sf_dir):
+    v = view(spark, sf_dir, "v_rows")
+    of = lambda k, c: v.where(F.col("row") == k).select(F.col("block").alias("id"), F.col("text").alias(c))
+    return affine.score_pairs(of(0, "a").join(of(1, "b"), "id"))
+
+
+_TOP = """WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {order}) AS k FROM ({rows})),
+f AS (SELECT g, 0 AS k, []::STRUCT(a BIGINT, b BIGINT, c BIGINT, d BIGINT, f DOUBLE)[] AS l FROM (SELECT DISTINCT g FROM m)
+ UNION ALL SELECT f.g, m.k, list_append(f.l, {{'a': m.a, 'b': m.b, 'c': m.c, 'd': m.d, 'f': m.score + greatest(0.0::DOUBLE, coalesce(list_max([{gain} for j in f.l if {before}]), 0.0::DOUBLE))}}) FROM f JOIN m ON m.g = f.g AND m.k = f.k + 1)
+SELECT g AS name, round(max(list_max([x.f for x in l])), 6) AS score FROM f GROUP BY 1"""
+
+
+@query(_TOP.format(rows="SELECT 'w' || CAST(line_no // 60 AS VARCHAR) AS g, ref_start AS a, ref_end AS b, query_start AS c, query_end AS d, score, line_no FROM v_anchor WHERE strand = '+'", order="a, b, c, d, line_no", gain="j.f", before="j.b < m.a AND j.d < m.c"))
+def c1_best_scores(spark, sf_dir):
+    m = view(spark, sf_dir, "v_anchor").where("strand = '+'").withColumn("ref_chr", F.concat(F.lit("w"), F.floor(F.col("line_no") / 60).cast("string")))
+    return chains.chain_global(m, 0.0).groupBy(F.col("ref_chr").alias("name")).agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+_PLUS = "SELECT 'w' || CAST(line_no // 40 AS VARCHAR) AS g, ref_id AS a, query_id AS b, 0 AS c, 0 AS d, score, ref_start, ref_end, query_start, query_end, line_no FROM v_pairs WHERE strand = '+'"
+_STEP = "j.f + CASE WHEN m.a - j.a + m.b - j.b > 2 THEN -0.02 - 0.005 * ((m.a - j.a - 1 + m.b - j.b - 1) / 2) ELSE 0 END"
+
+
+@query(_TOP.format(rows=_PLUS, order="ref_start, ref_end DESC, query_start, query_end DESC, line_no", gain=_STEP, before="j.a < m.a AND j.b < m.b AND m.a - j.a - 1 <= 25 AND m.b - j.b - 1 <= 25") + " HAVING max(list_max([x.f for x in l])) > 3")
+def c4_best_scores(spark, sf_dir):
+    p = view(spark, sf_dir, "v_pairs").where("strand = '+'").withColumns({"ref_chr": F.concat(F.lit("w"), F.floor(F.col("line_no") / 40).cast("string")), "query_chr": F.lit("q")})
+    return quota.synteny(p, quota.Synteny(all_pairs=True)).where("block = 0").groupBy(F.col("ref_chr").alias("name")).agg(F.round(F.max("block_score"), 6).alias("score"))
 
 
 def _genomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -702,7 +860,9 @@ def j9_interval_residues(spark, sf_dir):
     return evidence.in_intervals(r, view(spark, sf_dir, "v_block").select("taxon", "path", "block_id", "start0", "end0"), ["taxon"]).select("block_id", "path", "pos0")
 
 
-@query()
+@query("""WITH t AS (SELECT pos0, 'locusframe-v1|' || length(taxon) || ':' || taxon || '|' || length(path) || ':' || path || '|' || length(CAST(pos0 AS VARCHAR)) || ':' || CAST(pos0 AS VARCHAR) AS x FROM v_residue),
+h AS (SELECT pos0, list_reduce(list_prepend(14695981039346656037::HUGEINT, [CAST(ord(c) AS HUGEINT) for c in string_split(x, '')]), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616) AS h FROM t)
+SELECT pos0, 'site_' || lpad(lower(printf('%x', CAST(h AS UBIGINT))), 16, '0') AS id FROM h""")
 def f7_stable_id(spark, sf_dir):
     return view(spark, sf_dir, "v_residue").select("pos0", evidence.stable_id("site", F.col("taxon"), F.col("path"), F.col("pos0")).alias("id"))
 

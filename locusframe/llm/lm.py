@@ -10,7 +10,9 @@ a vocabulary of its own, and is one row of a written table. A chunk asks for the
 its distinct n-grams, by 64-bit hashes, sorted, a blob for each range of hashes; each
 range adds up what all chunks sent and answers each with counts in the same order. So a
 word or pair that is everywhere costs one entry per chunk, and no row per token is ever
-shuffled. Unequal n-grams are taken for one if their 64-bit hashes agree.
+shuffled. Where ranges are so many that a chunk would have few n-grams for each, n-grams are dealt
+in two steps: chunks ask super-ranges, slice by slice of chunks each merges what it was asked,
+asks the ranges within it, and gives the answers back; so no blob is ever small. Unequal n-grams are taken for one if their 64-bit hashes agree.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod_py, id_text, spread, squeeze, texts
+from locusframe.llm.common import crc_mod_py, id_text, out, spread, squeeze, texts
 from locusframe.plans.runtime import cut, ship
 
 #: UTF-8 bytes of text in a chunk (a longer document is a chunk by itself), and n-grams in a range of hashes, about.
 CHUNK_BYTES, RANGE_NGRAMS = 12 << 20, 1 << 20
+#: Ranges that a chunk deals its n-grams to, at most, as a power of two, and chunks whose questions a slice of a super-range merges, about.
+DEAL_BITS, SLICE_CHUNKS = 12, 4096
 #: Context-frequency buckets (powers of two), and cells of a logarithmic ratio in the table that EM runs on.
 BUCKETS, CELLS, CELL = 16, 48, 0.5
 EM_ROUNDS, FLOOR = 60, 1e-4
@@ -111,7 +115,17 @@ class _Chunk:
         )
 
 
-_ASK = "kind int, part int, chunk long, hashes binary, counts binary"
+_ASK = "kind int, part long, chunk long, hashes binary, counts binary"
+_ASKED = pa.schema([("kind", pa.int32()), ("part", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _dealt(kind: int, asker: int, h: np.ndarray, n: np.ndarray, bits: int) -> list[tuple]:
+    """Sorted hashes with their counts as rows of _ASK, one for each range of ``bits`` leading bits that has some."""
+    if not len(h):
+        return []
+    part = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return [(kind, int(part[a]), asker, h[a:b].tobytes(), squeeze(n[a:b])) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)])]
 
 
 def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -120,30 +134,47 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
             c = _Chunk(*blobs)
             for kind, (h, n) in enumerate(zip(c.hashes, c.counts(), strict=True)):
                 order = np.argsort(h, kind="stable")
-                h, n = h[order], n[order]
-                ends = np.searchsorted(h >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64), side="right") if bits else np.array([len(h)])
-                at, rows = 0, []
-                for part, end in enumerate(ends.tolist()):
-                    if end > at:
-                        rows.append((kind, part, chunk, h[at:end].tobytes(), squeeze(n[at:end])))
-                    at = end
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "chunk", "hashes", "counts"])
+                yield from out(_ASKED, _dealt(kind, chunk, h[order], n[order], bits))
+
+
+def _merged(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice's questions: the distinct hashes, sorted, their counts added up, where each question's are among them, and where each question ends."""
+    hashes = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
+    counts = np.concatenate([spread(x, np.uint32) for x in asked["counts"].to_pylist()])
+    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    return distinct, np.bincount(inverse, counts, len(distinct)), inverse, np.cumsum([len(h) for h in hashes])[:-1]
 
 
-_ANSWER = "kind int, part int, chunk long, totals binary, n_distinct long"
+def _ask_on(asked: pa.Table, bits: int) -> pa.Table:
+    """A slice of a super-range asks the ranges within it what its chunks have asked; it is named by its first chunk."""
+    asked = asked.sort_by("chunk")
+    h, n, _, _ = _merged(asked)
+    return pa.Table.from_batches(list(out(_ASKED, _dealt(asked["kind"][0].as_py(), asked["slice"][0].as_py(), h, n.astype(np.uint64), bits))), _ASKED)
 
 
-def _answer(asked: pa.Table) -> pa.Table:
+def _give_back(asked: pa.Table, answers: pa.Table) -> pa.Table:
+    """The answers to a slice, for each of its chunks in its own order."""
+    asked = asked.sort_by("chunk")
+    _, _, inverse, cuts = _merged(asked)
+    totals = np.concatenate([spread(t, np.int64) for _, t in sorted(zip(answers["part"].to_pylist(), answers["totals"].to_pylist()))])
+    mine = np.split(totals[inverse], cuts)
+    return pa.table([asked["kind"], asked["part"], asked["chunk"], pa.array([squeeze(m) for m in mine], pa.binary()), pa.array(np.zeros(len(mine), np.int64))], ["kind", "part", "chunk", "totals", "n_distinct"])
+
+
+_ANSWER = "kind int, part long, chunk long, totals binary, n_distinct long"
+
+
+def _answer(asked: pa.Table, kind: type = np.uint32) -> pa.Table:
     """Of one range of hashes: the totals over all chunks, for each chunk in its order; and how many n-grams have any."""
     hashes = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
-    counts = np.concatenate([spread(x, np.uint32) for x in asked["counts"].to_pylist()])
+    counts = np.concatenate([spread(x, kind) for x in asked["counts"].to_pylist()])
     distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     totals = np.bincount(inverse, counts, len(distinct))
     mine = np.split(totals[inverse].astype(np.int64), np.cumsum([len(h) for h in hashes])[:-1])
     n = len(mine)
     return pa.table(
         [
-            pa.chunked_array([pa.array([asked["kind"][0].as_py()] * n, pa.int32())]), pa.array([asked["part"][0].as_py()] * n, pa.int32()), asked["chunk"].combine_chunks(),
+            pa.chunked_array([pa.array([asked["kind"][0].as_py()] * n, pa.int32())]), pa.array([asked["part"][0].as_py()] * n, pa.int64()), asked["chunk"].combine_chunks(),
             pa.array([squeeze(m) for m in mine], pa.binary()), pa.array([int((totals > 0).sum())] + [0] * (n - 1), pa.int64()),
         ],
         ["kind", "part", "chunk", "totals", "n_distinct"],
@@ -224,7 +255,22 @@ def _scored(c: _Chunk, ids: list, words: np.ndarray, pairs: np.ndarray, n: int,
     )
 
 
-def lm_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), chunk_bytes: int = CHUNK_BYTES, range_ngrams: int = RANGE_NGRAMS) -> DataFrame:
+def counts_of(asking: DataFrame, bits: int, deal_bits: int = DEAL_BITS, slice_chunks: int = SLICE_CHUNKS) -> DataFrame:
+    """Answers (_ANSWER) to what chunks ask (chunk, lens, train, tokens, words), over 2^bits ranges of hashes: for each chunk its totals by kind and part."""
+    asked = asking.mapInArrow(lambda it: _ask(it, min(bits, deal_bits)), _ASK)
+    if bits <= deal_bits:
+        return cut(asked.groupBy("kind", "part").applyInArrow(lambda t: _answer(t), _ANSWER), "lm-counts")
+    n = asking.count()
+    slices = F.pmod(F.xxhash64("chunk"), F.lit(max(1, -(-n // slice_chunks))))
+    asked = cut(asked.withColumn("slice", slices), "lm-asked")
+    on = asked.groupBy("kind", "part", "slice").applyInArrow(lambda t: _ask_on(t, bits), _ASK)
+    found = cut(on.groupBy("kind", "part").applyInArrow(lambda t: _answer(t, np.uint64), _ANSWER), "lm-range-counts")
+    back = found.select("kind", F.shiftright("part", bits - deal_bits).alias("super"), F.col("chunk").alias("of_slice"), "part", "totals")
+    given = asked.groupBy("kind", "part", "slice").cogroup(back.groupBy("kind", "super", "of_slice")).applyInArrow(_give_back, _ANSWER)
+    return cut(given.union(found.where("n_distinct > 0").select("kind", "part", F.lit(-1).cast("long"), F.lit(None).cast("binary"), "n_distinct")), "lm-counts")
+
+
+def lm_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), chunk_bytes: int = CHUNK_BYTES, range_ngrams: int = RANGE_NGRAMS, deal_bits: int = DEAL_BITS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, a row per row of docs.
 
     Rows with crc32(doc_id as text) mod held_out[0] = held_out[1] are only scored; rows of
@@ -237,10 +283,9 @@ def lm_scores(docs: DataFrame, held_out: tuple[int, int] = (5, 1), chunk_bytes:
     size = F.length("tokens") + F.length("words")
     n, d, entries = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("d_train"), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
     bits = max(0, int(np.ceil(np.log2(max(1, entries / 3 / range_ngrams)))))  # about 3 bytes for each distinct pair of a chunk
-    asked = table.select("chunk", "lens", "train", "tokens", "words").mapInArrow(lambda it: _ask(it, bits), _ASK)
-    answers = cut(asked.groupBy("kind", "part").applyInArrow(_answer, _ANSWER), "lm-counts")
+    answers = counts_of(table.select("chunk", "lens", "train", "tokens", "words"), bits, deal_bits)
     v = answers.where("kind = 0").agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
-    both = table.select("chunk", "ids", "lens", "train", "tokens", "words").groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "totals").groupBy("chunk"))
+    both = table.select("chunk", "ids", "lens", "train", "tokens", "words").groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "kind", "part", "totals").groupBy("chunk"))
 
     def deleted(left: pa.Table, right: pa.Table) -> pa.Table:
         return _deleted(*_known(left, right), n, v, d)

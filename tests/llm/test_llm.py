@@ -742,14 +742,15 @@ def slow_mixture(train, one, two, heads):
     return weights
 
 
-@pytest.mark.parametrize("size,ngrams", [(1 << 24, 1 << 20), (3000, 500)])
-def test_lm(spark, odd, docs, size, ngrams):
+@pytest.mark.parametrize("size,ngrams,deal", [(1 << 24, 1 << 20, 12), (3000, 500, 12), (3000, 200, 3)])
+def test_lm(spark, odd, docs, size, ngrams, deal, monkeypatch):
+    monkeypatch.setattr(lm.counts_of, "__defaults__", (deal, 5))  # slices of few chunks
     for d in (odd, docs):
         rows = [(k, t.encode().lower().split() + [b" "]) for k, t in texts_of(d)]
         train = [w for k, w in rows if k is None or zlib.crc32(str(k).encode()) % 5 != 1]
         one, two = Counter(w for ws in train for w in ws), Counter(p for ws in train for p in zip([None, *ws], ws))
         n, v = sum(one.values()), len(one)
-        got = sorted(lm.lm_scores(d, chunk_bytes=size, range_ngrams=ngrams).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score))
+        got = sorted(lm.lm_scores(d, chunk_bytes=size, range_ngrams=ngrams, deal_bits=deal).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.base_score))
         want = sorted(((k is None, k or 0, len(ws), sum(math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), sum(one[w] > 0 for w in ws)) for k, ws in rows))
         for r, w in zip(got, want, strict=True):
             assert (r.n_tokens, r.n_known, r.train_tokens) == (w[2], w[4], n) and r.base_score == pytest.approx(w[3])

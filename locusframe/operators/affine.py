@@ -88,6 +88,79 @@ def align(a: str, b: str, s: Scores = Scores(), free_end: bool = False) -> tuple
     return "".join(reversed(out_a)), "".join(reversed(out_b)), float(h[end])
 
 
+def banded(a: str, b: str, band: int, s: Scores = Scores()) -> tuple[str, str, float] | None:
+    """The best global alignment that keeps within ``band`` columns of the straight line between the corners; None if no way does.
+
+    Memory is len(a) x (2 band + 1). Rows without gaps are their sources by construction of the way back.
+    """
+    n, m = len(a), len(b)
+    x, y = np.frombuffer(a.encode("latin-1"), np.uint8), np.frombuffer(b.encode("latin-1"), np.uint8)
+    centre = np.rint(np.arange(n + 1) * (m / n if n else 0)).astype(int)
+    lo, hi = np.maximum(centre - band, 0), np.minimum(centre + band, m)
+    if n == 0 or hi[0] < 0 or (lo[1:] > hi[:-1] + 1).any() or hi[-1] < m:
+        return None
+    low, pieces = -1e18, ((s.open1, s.extend1), (s.open2, s.extend2))
+    h: list[np.ndarray] = []
+    f: list[list[np.ndarray]] = [[], []]
+
+    def above(row: np.ndarray, i: int, shift: int) -> np.ndarray:
+        """``row``, of i - 1, at the columns of i moved by ``shift``."""
+        out = np.full(hi[i] - lo[i] + 1, low)
+        p, q = max(lo[i] - shift, lo[i - 1]), min(hi[i] - shift, hi[i - 1])
+        if p <= q:
+            out[p + shift - lo[i] : q + shift - lo[i] + 1] = row[p - lo[i - 1] : q - lo[i - 1] + 1]
+        return out
+
+    for i in range(n + 1):
+        j = np.arange(lo[i], hi[i] + 1)
+        if i == 0:
+            base = np.where(j == 0, 0.0, low)
+            for k in (0, 1):
+                f[k].append(np.full(len(j), low))
+        else:
+            pair = np.where(y[np.maximum(j - 1, 0)] == x[i - 1], s.match, s.mismatch) if m else np.full(len(j), low)
+            base = np.where(j > 0, above(h[-1], i, 1) + pair, low)
+            for k, (o, ext) in enumerate(pieces):
+                f[k].append(np.maximum(above(h[-1], i, 0) + o + ext, above(f[k][-1], i, 0) + ext))
+                base = np.maximum(base, f[k][-1])
+        row = base
+        for o, ext in pieces:
+            reach = np.maximum.accumulate(base - ext * j)
+            gap = np.full(len(j), low)
+            gap[1:] = reach[:-1] + o + ext * j[1:]
+            row = np.maximum(row, gap)
+        h.append(row)
+    if h[n][m - lo[n]] < low / 2:
+        return None
+    get = lambda t, i, j: t[i][j - lo[i]] if lo[i] <= j <= hi[i] else low
+    near = lambda p, q: q > low / 2 and abs(p - q) <= 1e-9 * max(1, abs(p))
+    i, j, out_a, out_b = n, m, [], []
+    while i or j:
+        now = get(h, i, j)
+        if i and j and near(now, get(h, i - 1, j - 1) + (s.match if a[i - 1] == b[j - 1] else s.mismatch)):
+            i, j = i - 1, j - 1
+            out_a.append(a[i])
+            out_b.append(b[j])
+            continue
+        for k, (o, ext) in enumerate(pieces):
+            if i and near(now, get(f[k], i, j)):
+                opened = False
+                while not opened:
+                    opened = near(get(f[k], i, j), get(h, i - 1, j) + o + ext)
+                    i -= 1
+                    out_a.append(a[i])
+                    out_b.append("-")
+                break
+            t = next((t for t in range(1, j - lo[i] + 1) if near(now, get(h, i, j - t) + o + ext * t)), 0)
+            if t:
+                for _ in range(t):
+                    j -= 1
+                    out_a.append("-")
+                    out_b.append(b[j])
+                break
+    return "".join(reversed(out_a)), "".join(reversed(out_b)), float(h[n][m - lo[n]])
+
+
 def chunked(a: str, b: str, s: Scores, cells: int) -> tuple[str, str, float]:
     """Beyond ``cells``, windows of equal size are aligned with a free end, each from where the last one ended; what fits is aligned to the end."""
     w = max(1, int(cells**0.5) - 1)
@@ -138,7 +211,8 @@ def score_pairs(pairs: DataFrame, scores: Scores = Scores(), strict: bool = Fals
 def align_pairs(pairs: DataFrame, scores: Scores = Scores(), cells: int = 4_000_000) -> DataFrame:
     """L11-L13 over rows (id, a, b): ``(id, row_a, row_b, score, method)``.
 
-    All N or empty: filled with gaps, no alignment; at most ``cells`` cells: exact; else by chunks.
+    All N or empty: filled with gaps, no alignment; at most ``cells`` cells: exact. Beyond that the widest band of so many
+    cells and sliding windows are both tried and the better is taken, of equals the band.
     """
     ship(pairs.sparkSession)
 
@@ -147,7 +221,11 @@ def align_pairs(pairs: DataFrame, scores: Scores = Scores(), cells: int = 4_000_
             n = max(len(a), len(b))
             score = 0.0 if a and b else scores.gap(n)
             return a.ljust(n, "-"), b.ljust(n, "-"), score, "FILLING"
-        return *chunked(a, b, scores, cells), "EXACT" if (len(a) + 1) * (len(b) + 1) <= cells else "SLIDING_WINDOW"
+        if (len(a) + 1) * (len(b) + 1) <= cells:
+            return *align(a, b, scores), "EXACT"
+        slid = chunked(a, b, scores, cells)
+        near = banded(a, b, max(1, (cells // (len(a) + 1) - 1) // 2), scores)
+        return (*near, "BANDED_MINIMAP2") if near and near[2] >= slid[2] else (*slid, "SLIDING_WINDOW")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import adjacency, affine, ancestry, anchors, chains, copies, evidence, graph, mapping, profiles, quota, sequences
+from locusframe.operators import adjacency, affine, ancestry, anchors, chains, copies, evidence, graph, mapping, profiles, quota, repair, sequences
 from locusframe.operators.components import components
 from locusframe.operators.orders import ranked
 from locusframe.plans import commands
@@ -630,6 +630,14 @@ def w11_maf_projection(spark, sf_dir):
     return ancestry.projections(g, view(spark, sf_dir, "v_absent"), ancestry.orders(g))[0]
 
 
+@query()
+def g10_local_repair(spark, sf_dir):
+    g = view(spark, sf_dir, "v_graph").withColumn("site_id", F.when((F.col("taxon") == "x1") & (F.col("site_id") % 50).between(20, 22), F.col("site_id") + 1_000_000).otherwise(F.col("site_id"))).select("site_id", "path", "pos0", "base")
+    seeds = g.where("site_id % 50 = 21 and path not like 'x2%'").select(F.concat(F.lit("c"), (F.col("site_id") % 1_000_000).cast("string")).alias("conflict_id"), "path", "pos0")
+    sites = g.groupBy("site_id").agg((F.count(F.lit(1)) == 3).alias("boundary"))
+    return repair.repair(seeds, g, view(spark, sf_dir, "v_absent").select("site_id", "path"), sites)[2]
+
+
 on("g6_core_hash", "v_graph", ancestry.core_hash, None)
 on("g6_invariants", "v_graph", lambda d: ancestry.violations(d.unionByName(d.where("site_id % 40 = 0").withColumn("pos0", F.col("pos0") + 595)).unionByName(d.where("site_id % 41 = 0").withColumn("site_id", F.col("site_id") + 1))),
    """WITH r AS (SELECT site_id, path, pos0, source_size FROM v_graph UNION ALL SELECT site_id, path, pos0 + 595, source_size FROM v_graph WHERE site_id % 40 = 0 UNION ALL SELECT site_id + 1, path, pos0, source_size FROM v_graph WHERE site_id % 41 = 0)

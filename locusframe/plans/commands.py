@@ -45,16 +45,23 @@ def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: quota.S
     return quota.synteny(anchors.collapse_near_pairs(rows, width) if width else rows, p, run)
 
 
-def quota_chain(match: DataFrame, p: quota.Chaining = quota.Chaining(), run: str | None = None) -> DataFrame:
-    """``proali`` up to its anchors: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
-    ship(match.sparkSession)
-    chained = quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run)
-    schema = chained.schema
+def _risen(chained: DataFrame, order: list[str]) -> DataFrame:
+    """C8 for each block: matches that come strictly after the last kept one, with their place ``pos``."""
+    ship(chained.sparkSession)
+    columns = [c for c in chained.columns if c != "pos"]
+    rows = chained.select(*columns, *([] if "pos" not in chained.columns else ["pos"]))
+    schema = ", ".join(f"{c} {t}" for c, t in rows.select(*columns).dtypes) + ", pos long"
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(chains.monotone(pdf.sort_values("pos").to_dict("records")), columns=pdf.columns)
+        got = pd.DataFrame(chains.monotone(pdf.sort_values(order).to_dict("records")), columns=pdf.columns)
+        return got[columns].assign(pos=range(len(got)))
+
+    return rows.groupBy(*[c for c in ("run", "block") if c in columns]).applyInPandas(clean, schema)
 
-    return chained.groupBy("run", "block").applyInPandas(clean, schema)
+
+def quota_chain(match: DataFrame, p: quota.Chaining = quota.Chaining(), run: str | None = None) -> DataFrame:
+    """``proali`` up to its anchors: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
+    return _risen(quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run), ["pos"])
 
 
 def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) -> DataFrame:
@@ -62,6 +69,20 @@ def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) ->
     return chains.chain_global(anchors.admitted(match), least, penalty)
 
 
+def genome_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, inversions: bool = True, least: float = 2.0, penalty: float = 1.0, side: int = 50_000) -> DataFrame:
+    """``genoAli``'s anchors: matches within chromosomes of one name chained end to end, new ones found in their large gaps (C9), and all
+    chained again. ref, query: (name, chunk, bases)."""
+    first = genome_chain(anchors.same_chromosome(match, inversions), least, penalty)
+    more = novel_anchors(first.withColumn("block", F.col("ref_chr")), ref, query, side)
+    return chains.chain_global(more, least, penalty)
+
+
+def quota_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, p: quota.Chaining = quota.Chaining(), side: int = 50_000) -> DataFrame:
+    """``proali``'s anchors: blocks under the quotas, new anchors found in their large gaps (C9), and each block cleaned up to rise again."""
+    more = novel_anchors(quota_chain(match, p), ref, query, side)
+    return _risen(more, ["ref_start", "ref_end", "query_start", "line_no"])
+
+
 def block_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(0, -4, -4, -2, -80, -1), cells: int = 4_000_000) -> DataFrame:
     """``proali`` from its anchors (``block``, ``pos``) on: the aligned fragments of each block (L17). ref, query: (name, chunk, bases)."""
     return assembly.aligned(assembly.fragments(chain), ref, query, scores, cells)

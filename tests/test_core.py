@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import exprs
-from locusframe.operators import affine, ancestry, anchors, assembly, chains, copies, graph, profiles, sequences
+from locusframe.operators import affine, ancestry, anchors, assembly, chains, copies, graph, profiles, repair, sequences
 from locusframe.operators.components import components
 from locusframe.operators.orders import dealt, ranked
 from locusframe.operators.quota import PAIR, Chaining, Synteny, chain_quota, quota_blocks, synteny
@@ -278,6 +278,26 @@ def test_windows_follow_an_insertion():
             assert (x.replace("-", ""), y.replace("-", "")) == (p, q) and v == affine.score_rows(x, y, s) == s.gap(30)
 
 
+def test_bands_and_the_choice_beyond_exact_cells(spark):
+    rng = random.Random(7)
+    for s in (affine.Scores(), affine.Scores(2, -4, -4, -2, -5, -1)):
+        for _ in range(40):
+            a, b = ("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 14))) for _ in range(2))
+            x, y, v = affine.banded(a, b, 20, s)
+            assert (x.replace("-", ""), y.replace("-", "")) == (a, b) and v == pytest.approx(affine.align(a, b, s)[2]) == affine.score_rows(x, y, s)
+            if got := affine.banded(a, b, 2, s):
+                assert (got[0].replace("-", ""), got[1].replace("-", "")) == (a, b) and got[2] <= v + 1e-9 and affine.score_rows(*got[:2], s) == pytest.approx(got[2])
+    assert affine.banded("ACGT", "", 2) is None or affine.banded("ACGT", "", 2)[1] == "----"
+    a = "".join(rng.choices("ACGT", k=300))
+    b = a[:100] + "T" + a[100:200] + a[203:]
+    d = spark.createDataFrame([(1, a, b), (2, a, a[:40] + "".join(rng.choices("ACGT", k=200)) + a[40:])], "id long, a string, b string")
+    got = {r.id: r for r in affine.align_pairs(d, cells=10_000).collect()}
+    assert got[1].score == affine.align(a, b)[2] and got[1].method == "BANDED_MINIMAP2"
+    assert all(r.row_a.replace("-", "") == a and affine.score_rows(r.row_a, r.row_b) == r.score for r in got.values())
+    with pytest.raises(ValueError, match="two gaps"):
+        affine.score_rows("A-", "A-", strict=True)
+
+
 def test_align_pairs(spark):
     d = spark.createDataFrame([(1, "NNN", "ACGTA"), (2, "ACGT", "ACGT"), (3, None, "AC")], "id long, a string, b string")
     got = {r.id: tuple(r)[1:] for r in affine.align_pairs(d).collect()}
@@ -619,3 +639,61 @@ def test_graph_lines(spark):
     absent = spark.createDataFrame([(2, "y", "y|q")], "site_id long, taxon string, path string")
     meta = sorted(r.line for r in sinks.metadata_lines(g, absent, sites).collect())
     assert len(meta) == 4 and "2\t.\t.\ty|q\t.\t.\t.\tALIGNED_ABSENCE\t-\t.\tMISSING_EVIDENCE" in meta
+
+
+def test_realignment_is_as_good_as_any_progressive_one():
+    names, rows, score = repair.realign({"b": "ACGT", "a": "AGT", "c": ""})
+    assert names == ["a", "b", "c"] and [r.replace("-", "") for r in rows] == ["AGT", "ACGT", ""] and score == repair.sum_of_pairs(rows) and len({len(r) for r in rows}) == 1
+    assert repair.realign({"x": "", "y": ""})[1] == ["", ""]
+    assert repair.baseline({"p": [(1, "A"), (2, "C")], "q": [(1, "A")]}, {(2, "q")}) == ["AC", "A-"] and repair.baseline({"p": [(1, "A"), (2, "C")], "q": [(1, "A")]}, set()) is None
+    assert repair.baseline({"p": [(1, "A"), (2, "C")], "q": [(2, "C"), (1, "A")]}, set()) is None
+
+
+def test_local_repair(spark):
+    # two paths agree on sites 0 to 2 and 7 to 9; between them one base was put beside itself: q's sites 13 to 16 are its own
+    p = [(k, "x|p", k, "ACGTACGTAC"[k]) for k in range(10)]
+    q = [(k if k < 3 or k > 6 else 10 + k, "y|q", k, "ACGTACGTAC"[k]) for k in range(10)]
+    far = [(50 + k, path, 100 + k, "A") for path in ("x|p", "y|q") for k in range(4)]
+    residues = spark.createDataFrame([*p, *q, *far], "site_id long, path string, pos0 long, base string")
+    absent = spark.createDataFrame([(s, "y|q") for s in range(3, 7)] + [(10 + s, "x|p") for s in range(3, 7)], "site_id long, path string")
+    sites = residues.select("site_id").distinct().withColumn("boundary", (F.col("site_id") < 3) | F.col("site_id").between(7, 9))
+    conflicts = spark.createDataFrame([("c1", "x|p", 4), ("c1", "y|q", 4), ("c2", "x|p", 5), ("c2", "y|q", 5), ("c3", "x|p", 102), ("c3", "y|q", 102), ("c4", "x|p", 1)], "conflict_id string, path string, pos0 long")
+    judged, core = repair.windows(conflicts, residues, sites)
+    assert {(r.conflict_id, r.left_site, r.right_site, r.failure) for r in judged.collect()} == {("c1", 2, 7, None), ("c2", 2, 7, None), ("c3", None, None, "no_shared_concordant_flanks"), ("c4", 0, 2, "fewer_than_two_conflict_paths")}
+    assert core.where("conflict_id = 'c1'").count() == 8
+    new, gaps, audit = repair.repair(conflicts, residues, absent, sites)
+    log = {r.conflict_id: r for r in audit.collect()}
+    assert {k: v.disposition for k, v in log.items()} == {"c1": "localized_poa_applied", "c2": "overlaps_previously_repaired_core", "c3": "no_shared_concordant_flanks", "c4": "fewer_than_two_conflict_paths"}
+    assert log["c1"].after == 8 and log["c1"].before is None  # p's and q's own sites have no order among each other
+    at = {(r.path, r.pos0): r.site_id for r in new.collect()}
+    assert all(at["x|p", k] == at["y|q", k] for k in range(10)) and all(at["x|p", k] == k for k in (0, 1, 2, 7, 8, 9)) and len(set(at.values())) == 14 and gaps.count() == 0
+    assert sorted(map(tuple, repair.paths_spelled(new).collect())) == sorted(map(tuple, repair.paths_spelled(residues).collect()))
+    kept, _, audit = repair.repair(conflicts.where("conflict_id = 'c1'"), new, gaps, sites.where("boundary").union(new.select("site_id", F.lit(False)).distinct()), least=1.0)
+    assert [(r.disposition, r.before, r.after) for r in audit.collect()] == [("candidate_patch_below_minimum_delta", 8.0, 8.0)] and {(r.path, r.pos0): r.site_id for r in kept.collect()} == at
+
+
+def test_commands_from_matches_to_alignments(spark):
+    """Both commands end to end: anchors, new anchors in the gap between them, aligned fragments that spell their sources."""
+    rng = random.Random(12)
+    base = lambda n: "".join(rng.choices("ACGT", k=n))
+    ref = base(900)
+    query = base(20) + ref[:350] + base(15) + ref[380:900]
+    one_ = lambda s: sequences.chunked(spark.createDataFrame([("c", s)], "name string, seq string"))
+    r, q = one_(ref), one_(query)
+    rows = [("c", "c", a, a + 29, b, b + 29, "+", 1.0, f"g{k}", k) for k, (a, b) in enumerate([(1, 21), (41, 61), (81, 101), (821, len(query) - 79), (861, len(query) - 39)])]
+    d = spark.createDataFrame(rows, MATCH)
+    whole = commands.genome_anchors(d, r, q, side=100)
+    got = whole.orderBy("pos").collect()
+    assert len(got) > 5 and [x.pos for x in got] == list(range(len(got))) and all(a.ref_end < b.ref_start and a.query_end < b.query_start for a, b in zip(got, got[1:]))
+    frags = commands.chromosome_alignment(whole, r, q)
+    assert assembly.check_rows(frags, r, q).count() == 0
+    (block,) = assembly.blocks(frags).collect()
+    assert block.ref_row.replace("-", "") == ref and block.query_row.replace("-", "") == query
+    mine = commands.quota_anchors(d, r, q, Chaining(least=1.0), side=100)
+    assert sum(x.gene.startswith("localAlignment_c_") for x in mine.collect()) > 0
+    frags = commands.block_alignment(mine, r, q)
+    assert assembly.check_rows(frags, r, q).count() == 0 and frags.where("kind = 'TAIL'").count() == 0
+    size = lambda c: sequences.lengths(c)
+    lines = sinks.maf_lines(sinks.block_sizes(assembly.blocks(frags), size(r), size(q)), ["block", "sub"]).collect()
+    assert len(lines) == 1 and lines[0].line.split("\n")[1].split("\t")[2:6] == ["        0", "      890", "+", "900"]
+    assert all(x.line.count("\t") == 17 for x in sinks.trace_lines(frags).collect())

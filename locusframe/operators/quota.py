@@ -105,9 +105,12 @@ class Pair:
         self.rising = bool((np.diff(self.ref_id) >= 0).all())
         # how far along each axis a match is, in what gaps are counted in
         self.ref_at, self.query_at = (axis.place(ids) if way is None else ids for axis, ids in ((ref, self.ref_id), (query, self.query_id)))
+        self.reach = (np.searchsorted(self.ref_at, self.ref_at + p.gap + 1, side="right") if self.rising else np.full(self.n, self.n)).tolist()
+        self.scores = self.score.astype(float).tolist()
         self.by_query = np.argsort(self.query_at, kind="stable")
         self.value, self.f, self.prev = np.full(self.n, -np.inf), [-np.inf] * self.n, [-1] * self.n
-        self.steps: list[list[tuple]] = [[] for _ in range(self.n)]
+        none: tuple[list, list, list] = ([], [], [])
+        self.steps = [none] * self.n  # of each match: those before it that it may follow, the nearest first, and two parts of the cost
         self.update(np.ones(self.n, bool))
 
     def _compare(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +137,6 @@ class Pair:
         return ahead, far, (r + q) / 2.0, (r > gap) & self.rising
 
     def _find_steps(self, rows: np.ndarray) -> None:
-        for i in rows.tolist():
-            self.steps[i] = []
         at, k = rows, 1
         found = []
         while len(at):
@@ -149,28 +150,32 @@ class Pair:
                 found.append((i, i - k, np.where((distance[good] > 0) & ~(self.local[i] | self.local[i - k]), self.p.open, 0.0), self.p.extend * distance[good]))
             at = at[~out & ~(ahead & far)]
             k += 1
-        for i, *step in zip(*(x.tolist() for x in (np.concatenate(c) for c in zip(*found)))) if found else ():
-            self.steps[i].append(step)
+        into, *parts = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        order = np.argsort(into, kind="stable")
+        ends = np.searchsorted(into[order], rows, side="right").tolist()
+        before, opening, extending = (x[order].tolist() for x in parts)
+        a = 0
+        for i, b in zip(rows.tolist(), ends):
+            self.steps[i] = before[a:b], opening[a:b], extending[a:b]
+            a = b
 
     def update(self, dirty: np.ndarray) -> None:
         """``dirty``: matches whose steps may have changed. Those that a changed score reaches follow."""
         rows = np.flatnonzero(dirty & self.alive)
         self._find_steps(rows)
-        f, prev, steps, score = self.f, self.prev, self.steps, self.score
-        todo = sorted(rows.tolist())
-        into = None
-        changed = set()
+        f, prev, steps, score, alive, reach = self.f, self.prev, self.steps, self.scores, self.alive, self.reach
+        todo = rows.tolist()
+        changed: set[int] = set()
         k = 0
         last = -1  # matches up to this one may step from a changed one
         i = todo[0] if todo else self.n
-        reach = np.searchsorted(self.ref_at, self.ref_at + self.p.gap + 1, side="right") if self.rising else np.full(self.n, self.n)
         while i < self.n:
             wanted = k < len(todo) and todo[k] == i
             k += wanted
-            if self.alive[i] and (wanted or any(j in changed for j, _, _ in steps[i])):
-                s = float(score[i])
+            if alive[i] and (wanted or not changed.isdisjoint(steps[i][0])):
+                s = score[i]
                 best, at = s, -1
-                for j, o, e in steps[i]:
+                for j, o, e in zip(*steps[i]):
                     cand = s + f[j]
                     if e:
                         cand = cand + o + e
@@ -180,7 +185,7 @@ class Pair:
                     f[i], prev[i] = best, at
                     self.value[i] = best
                     changed.add(i)
-                    last = max(last, int(reach[i]))
+                    last = max(last, reach[i])
             i += 1
             if i >= last:
                 if k >= len(todo):

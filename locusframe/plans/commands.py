@@ -40,7 +40,7 @@ def gff2seq(chunks: DataFrame, features: DataFrame, genes: DataFrame) -> DataFra
 
 
 def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: quota.Synteny = quota.Synteny(), run: str | None = None) -> DataFrame:
-    """``pro``: tandem filter, near pairs collapsed, blocks chained under the quotas (or, with ``p.all_pairs``, each pair of chromosomes for itself)."""
+    """Synteny blocks of homologous pairs: tandem filter, near pairs collapsed, blocks chained under the quotas (or, with ``p.all_pairs``, each pair of chromosomes for itself)."""
     rows = anchors.tandem_filter(pairs, tandem) if tandem else pairs
     return quota.synteny(anchors.collapse_near_pairs(rows, width) if width else rows, p, run)
 
@@ -60,17 +60,17 @@ def _risen(chained: DataFrame, order: list[str]) -> DataFrame:
 
 
 def quota_chain(match: DataFrame, p: quota.Chaining = quota.Chaining(), run: str | None = None) -> DataFrame:
-    """``proali`` up to its anchors: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
+    """Quota anchors of two genomes: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
     return _risen(quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run), ["pos"])
 
 
 def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) -> DataFrame:
-    """``genoAli`` up to its anchors: chromosome pairs of three matches and more, chained end to end."""
+    """The anchors of whole chromosomes: chromosome pairs of three matches and more, chained end to end."""
     return chains.chain_global(anchors.admitted(match), least, penalty)
 
 
 def genome_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, inversions: bool = True, least: float = 2.0, penalty: float = 1.0, side: int = 50_000) -> DataFrame:
-    """``genoAli``'s anchors: matches within chromosomes of one name chained end to end, new ones found in their large gaps (C9), and all
+    """The anchors of whole chromosomes, with new ones: matches within chromosomes of one name chained end to end, new ones found in their large gaps (C9), and all
     chained again. ref, query: (name, chunk, bases)."""
     first = genome_chain(anchors.same_chromosome(match, inversions), least, penalty)
     more = novel_anchors(first.withColumn("block", F.col("ref_chr")), ref, query, side)
@@ -78,24 +78,24 @@ def genome_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, inversion
 
 
 def quota_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, p: quota.Chaining = quota.Chaining(), side: int = 50_000) -> DataFrame:
-    """``proali``'s anchors: blocks under the quotas, new anchors found in their large gaps (C9), and each block cleaned up to rise again."""
+    """Quota anchors of two genomes, with new ones: blocks under the quotas, new anchors found in their large gaps (C9), and each block cleaned up to rise again."""
     more = novel_anchors(quota_chain(match, p), ref, query, side)
     return _risen(more, ["ref_start", "ref_end", "query_start", "line_no"])
 
 
 def block_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(0, -4, -4, -2, -80, -1), cells: int = 4_000_000) -> DataFrame:
-    """``proali`` from its anchors (``block``, ``pos``) on: the aligned fragments of each block (L17). ref, query: (name, chunk, bases)."""
+    """From anchors of blocks (``block``, ``pos``) on: the aligned fragments of each block (L17). ref, query: (name, chunk, bases)."""
     return assembly.aligned(assembly.fragments(chain), ref, query, scores, cells)
 
 
 def chromosome_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(), cells: int = 4_000_000) -> DataFrame:
-    """``genoAli`` from its anchors (``ref_chr``, ``pos``) on: the aligned fragments of each chromosome, from end to end."""
+    """From anchors of whole chromosomes (``ref_chr``, ``pos``) on: the aligned fragments of each chromosome, from end to end."""
     frags = assembly.fragments(chain.withColumn("block", F.col("ref_chr")), lengths(ref), lengths(query))
     return assembly.aligned(frags, ref, query, scores, cells)
 
 
 def align_sequences(ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(), cells: int = 4_000_000) -> DataFrame:
-    """``ali``: the one sequence of ``ref`` against that of ``query``, as (name, row, score, method) with a row for each."""
+    """The one sequence of ``ref`` against that of ``query``, as (name, row, score, method) with a row for each."""
     pair = ref.select(F.lit(0).cast("long").alias("id"), normalise_bases(F.col("seq")).alias("a"), F.col("name").alias("an"))
     other = query.select(F.lit(0).cast("long").alias("id"), normalise_bases(F.col("seq")).alias("b"), F.col("name").alias("bn"))
     both = pair.join(other, "id")

@@ -135,3 +135,14 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         out.append(pairs[at])
         at = back[at]
     return out[::-1]
+
+
+def longest_increasing(pairs: DataFrame) -> DataFrame:
+    """C10 for each id: (id, a, b, pos) of the longest chain of pairs (id, a, b) that rises strictly on both axes."""
+    ship(pairs.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = increasing(sorted(zip(pdf.a.tolist(), pdf.b.tolist())))
+        return pd.DataFrame({"id": pdf.id.iloc[0], "a": [x for x, _ in got], "b": [y for _, y in got], "pos": range(len(got))})
+
+    return pairs.select("id", "a", "b").groupBy("id").applyInPandas(run, f"id {pairs.schema['id'].dataType.simpleString()}, a long, b long, pos long")

@@ -30,6 +30,16 @@ def alignment_columns(rows: DataFrame) -> DataFrame:
     return seen.select("block", "row", "source", "col", F.when(present, pos).alias("pos0"), base.alias("base"), present.alias("present"))
 
 
+def malformed_rows(rows: DataFrame) -> DataFrame:
+    """(block, row, problem) of alignment rows that no format allows: letters, strand, an interval outside the source, or a size that the bases are not."""
+    bases = F.char_length(F.replace(F.col("text"), F.lit("-"), F.lit("")))
+    problem = (
+        F.when(~F.col("text").rlike("^[ACGTUNRYSWKMBDHVacgtunryswkmbdhv-]+$"), "alphabet").when(~F.col("strand").isin("+", "-"), "strand")
+        .when((F.col("start0") < 0) | (F.col("start0") + F.col("size") > F.col("source_size")), "interval").when(bases != F.col("size"), "size")
+    )
+    return rows.select("block", "row", problem.alias("problem")).where("problem is not null")
+
+
 def homologies(columns: DataFrame) -> DataFrame:
     """G1: columns in which both rows have a base: (block, col, left_pos0, right_pos0, same)."""
     a = columns.where("row = 0 and present").select("block", "col", F.col("pos0").alias("left_pos0"), F.col("base").alias("lb"))

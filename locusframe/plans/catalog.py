@@ -618,13 +618,24 @@ def g14_ancestral_blocks(spark, sf_dir):
     return ancestry.block_sequences(ancestry.blocks(_called(spark, sf_dir), ancestry.orders(view(spark, sf_dir, "v_graph"))))
 
 
-@query()
+_STRETCHES = """ob AS (SELECT site_id, path, pos0, base FROM v_graph WHERE taxon IN ({taxa})), kn AS (SELECT * FROM ob UNION ALL SELECT DISTINCT a.site_id, a.path, CAST(NULL AS BIGINT), '-' FROM v_absent a WHERE taxon IN ({taxa}) AND NOT EXISTS (SELECT 1 FROM ob WHERE ob.site_id = a.site_id AND ob.path = a.path)),
+sh AS (SELECT site_id, string_agg(path, ',' ORDER BY path) AS shape FROM kn GROUP BY 1), mk AS (SELECT bs.*, shape, CASE WHEN lag(idx) OVER w = idx - 1 AND lag(shape) OVER w IS NOT DISTINCT FROM shape THEN 0 ELSE 1 END AS new FROM bs LEFT JOIN sh USING (site_id) WINDOW w AS (PARTITION BY block ORDER BY idx)),
+rk AS (SELECT *, sum(new) OVER (PARTITION BY block ORDER BY idx) AS k FROM mk), rn AS (SELECT *, min(idx) OVER (PARTITION BY block, k) AS run FROM rk), me AS (SELECT path, any_value(taxon) AS taxon, any_value(sequence) AS sequence, any_value(source_size) AS source_size FROM v_graph GROUP BY 1),
+cl AS (SELECT block, run, kn.path, string_agg(kn.base, '' ORDER BY idx) AS row, min(pos0) AS lo, count(pos0) AS n, max(pos0) - min(pos0) + 1 = count(pos0) AS follows FROM rn JOIN kn USING (site_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {_CALLED}, " + """o AS (SELECT site_id, base, site_id // 500 AS c, site_id - min(site_id) OVER (PARTITION BY site_id // 500) AS place, min(site_id) OVER (PARTITION BY site_id // 500) AS comp FROM calls), r AS (SELECT *, place - row_number() OVER (PARTITION BY c ORDER BY place) AS run FROM o WHERE base IS NOT NULL),
+bs AS (SELECT CAST(comp AS VARCHAR) || ':' || CAST(min(place) OVER w AS VARCHAR) AS block, place - min(place) OVER w AS idx, site_id, base FROM r WINDOW w AS (PARTITION BY comp, run)), """ + _STRETCHES.format(taxa="'x0', 'x1'") + """,
+an AS (SELECT block, run, count(*) AS size, string_agg(base, '' ORDER BY idx) AS text FROM rn GROUP BY ALL)
+SELECT block, run AS start0, size, text, path, taxon, sequence, source_size, coalesce(lo, 0) AS child_start0, n AS child_size, row AS child_text FROM cl JOIN an USING (block, run) JOIN me USING (path) WHERE n = 0 OR follows""")
 def g15_child_projection(spark, sf_dir):
     g = view(spark, sf_dir, "v_graph")
     return ancestry.children(ancestry.blocks(_called(spark, sf_dir), ancestry.orders(g)), g, view(spark, sf_dir, "v_absent"), ["x0", "x1"])
 
 
-@query()
+@query("""WITH bs AS (SELECT min(site_id) OVER (PARTITION BY site_id // 500) AS block, site_id - min(site_id) OVER (PARTITION BY site_id // 500) AS idx, site_id FROM (SELECT DISTINCT site_id FROM v_graph)), """ + _STRETCHES.format(taxa="'x0', 'x1', 'x2'") + """,
+ok AS (SELECT block, run FROM cl LEFT JOIN me USING (path) GROUP BY ALL HAVING count(*) >= 2 AND count(DISTINCT taxon) >= 2 AND bool_and(taxon IS NOT NULL AND n > 0 AND follows))
+SELECT block AS comp, run, path, taxon, sequence, source_size, lo AS start0, n AS size, row AS text FROM cl JOIN ok USING (block, run) JOIN me USING (path)""")
 def w11_maf_projection(spark, sf_dir):
     g = view(spark, sf_dir, "v_graph")
     return ancestry.projections(g, view(spark, sf_dir, "v_absent"), ancestry.orders(g))[0]
@@ -696,6 +707,24 @@ def c7_synteny_nonstrand_quota(spark, sf_dir):
     return commands.synteny_blocks(view(spark, sf_dir, "v_pairs"), p=quota.Synteny(strict=False, count_members=False, remove_overlap=True))
 
 
+_NAMES = "SELECT n_nationkey AS k, translate(upper(replace(n_name, ' ', '')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'ACGTACGTACGTACGTACGTAC') AS s FROM nation"
+
+
+@query(f"""WITH RECURSIVE nm AS ({_NAMES}), pr AS (SELECT DISTINCT c_nationkey AS x, c_custkey % 25 AS y FROM customer),
+r AS (SELECT x * 100 + y AS id, a.s AS a, b.s AS b, 0 AS i, [CASE WHEN j = 0 THEN 0.0::DOUBLE ELSE greatest(-8 - 2 * j, -75 - j) END for j in range(0, length(b.s) + 1)] AS h, [-1e9::DOUBLE for j in range(0, length(b.s) + 1)] AS f1, [-1e9::DOUBLE for j in range(0, length(b.s) + 1)] AS f2
+ FROM pr JOIN nm a ON a.k = x JOIN nm b ON b.k = y
+ UNION ALL SELECT id, a, b, i + 1, [greatest(base[j], coalesce(list_max([base[k] + greatest(-8 - 2 * (j - k), -75 - (j - k)) for k in range(1, j)]), -1e9)) for j in range(1, length(b) + 2)], g1, g2 FROM (
+  SELECT *, [greatest(CASE WHEN j > 1 THEN h[j - 1] + CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j - 1 AS INT), 1) THEN 0 ELSE -6 END ELSE -1e9 END, g1[j], g2[j]) for j in range(1, length(b) + 2)] AS base FROM (
+   SELECT *, [greatest(h[j] - 10, f1[j] - 2) for j in range(1, length(b) + 2)] AS g1, [greatest(h[j] - 76, f2[j] - 1) for j in range(1, length(b) + 2)] AS g2 FROM r WHERE i < length(a))))
+SELECT id, h[len(h)] AS score, true AS intact FROM r WHERE i = length(a)""")
+def l1_alignment_scores(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.translate(F.upper(F.replace(F.col("n_name"), F.lit(" "), F.lit(""))), "BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC").alias("s"))
+    p = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("x"), (F.col("c_custkey") % 25).alias("y")).distinct()
+    pairs = p.join(n.toDF("x", "a"), "x").join(n.toDF("y", "b"), "y").select((F.col("x") * 100 + F.col("y")).alias("id"), "a", "b")
+    got = affine.align_pairs(pairs).join(pairs, "id")
+    return got.select("id", "score", (affine.intact(F.col("row_a"), F.col("a")) & affine.intact(F.col("row_b"), F.col("b"))).alias("intact"))
+
+
 @query()
 def l1_align_pairs(spark, sf_dir):
     s = view(spark, sf_dir, "v_seq")
@@ -773,6 +802,31 @@ def c1_best_scores(spark, sf_dir):
     return chains.chain_global(m, 0.0).groupBy(F.col("ref_chr").alias("name")).agg(F.round(F.sum("score"), 6).alias("score"))
 
 
+@query("""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ref_start, ref_end, query_start, line_no) AS k FROM (SELECT line_no // 60 AS g, * FROM v_anchor)),
+f AS (SELECT g, k, line_no, true AS kept, ref_end AS r, query_start AS a, query_end AS b FROM m WHERE k = 1 UNION ALL
+ SELECT g, k, line_no, kept, CASE WHEN kept THEN ref_end ELSE r END, CASE WHEN kept THEN query_start ELSE a END, CASE WHEN kept THEN query_end ELSE b END FROM (
+  SELECT m.g, m.k, m.line_no, m.ref_start > f.r AND CASE WHEN m.strand = '+' THEN m.query_start > f.b ELSE m.query_end < f.a END AS kept, m.ref_end, m.query_start, m.query_end, f.r, f.a, f.b FROM f JOIN m ON m.g = f.g AND m.k = f.k + 1))
+SELECT line_no FROM f WHERE kept""")
+def c8_rising_blocks(spark, sf_dir):
+    m = view(spark, sf_dir, "v_anchor").withColumn("block", F.floor(F.col("line_no") / 60))
+    return commands.rising_blocks(m, ["ref_start", "ref_end", "query_start", "line_no"]).select("line_no")
+
+
+@query(_TOP.format(rows="SELECT line_no // 60 AS g, ref_start AS a, 0 AS b, query_start AS c, 0 AS d, 1.0 AS score, line_no FROM v_anchor", order="a, c, line_no", gain="j.f", before="j.a < m.a AND j.c < m.c"))
+def c10_longest_increasing(spark, sf_dir):
+    m = view(spark, sf_dir, "v_anchor").select(F.floor(F.col("line_no") / 60).alias("id"), F.col("ref_start").alias("a"), F.col("query_start").alias("b"))
+    return chains.longest_increasing(m).groupBy(F.col("id").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("score"))
+
+
+@query("""WITH p AS (SELECT a.seq_id AS id, length(a.seq) AS n, length(b.seq) AS m FROM v_seq a JOIN v_seq b ON b.seq_id = a.seq_id + 1 WHERE length(a.seq) > 0 AND length(b.seq) > 0)
+SELECT id, CASE WHEN (n + 1) * (m + 1) <= 30000 THEN 'EXACT' ELSE 'BEYOND' END AS tier, true AS intact FROM p""")
+def l13_two_tiers(spark, sf_dir):
+    s = view(spark, sf_dir, "v_seq").where("seq <> ''")
+    pairs = s.select(F.col("seq_id").alias("id"), F.col("seq").alias("a")).join(s.select((F.col("seq_id") - 1).alias("id"), F.col("seq").alias("b")), "id")
+    got = affine.align_pairs(pairs, cells=30_000).join(pairs, "id")
+    return got.select("id", F.when(F.col("method").isin("EXACT", "FILLING"), "EXACT").otherwise("BEYOND").alias("tier"), (affine.intact(F.col("row_a"), F.col("a")) & affine.intact(F.col("row_b"), F.col("b"))).alias("intact"))
+
+
 _PLUS = "SELECT 'w' || CAST(line_no // 40 AS VARCHAR) AS g, ref_id AS a, query_id AS b, 0 AS c, 0 AS d, score, ref_start, ref_end, query_start, query_end, line_no FROM v_pairs WHERE strand = '+'"
 _STEP = "j.f + CASE WHEN m.a - j.a + m.b - j.b > 2 THEN -0.02 - 0.005 * ((m.a - j.a - 1 + m.b - j.b - 1) / 2) ELSE 0 END"
 
@@ -800,6 +854,13 @@ _CELLS = """WITH c AS (SELECT block, row, strand, start0, source_size, unnest(st
 n AS (SELECT *, sum(CASE WHEN ch <> '-' THEN 1 ELSE 0 END) OVER (PARTITION BY block, row ORDER BY col) - 1 AS nth FROM c),
 p AS (SELECT block, row, col, ch <> '-' AS present, CAST(CASE WHEN ch <> '-' THEN CASE WHEN strand = '-' THEN source_size - 1 - (start0 + nth) ELSE start0 + nth END END AS BIGINT) AS pos0,
  CASE WHEN ch <> '-' THEN CASE WHEN strand = '-' THEN translate(upper(ch), 'ATUCGRYKMBVDH', 'TAAGCYRMKVBHD') ELSE upper(ch) END END AS base FROM n)"""
+_SIZED = "length(replace(text, '-', '')) + CASE WHEN block % 7 = 0 THEN 1 ELSE 0 END"
+on("p11_malformed_rows", "v_rows", lambda d: evidence.malformed_rows(d.withColumns({
+    "size": F.char_length(F.replace(F.col("text"), F.lit("-"), F.lit(""))) + (F.col("block") % 7 == 0).cast("int"), "strand": F.when(F.col("block") % 5 == 0, "*").otherwise(F.col("strand")),
+    "source_size": F.when(F.col("block") % 3 == 0, F.col("start0")).otherwise(F.col("source_size")), "text": F.when(F.col("block") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")),
+})),
+   f"""SELECT block, row, problem FROM (SELECT block, row, CASE WHEN block % 11 = 0 THEN 'alphabet' WHEN block % 5 = 0 THEN 'strand' WHEN start0 + {_SIZED} > CASE WHEN block % 3 = 0 THEN start0 ELSE source_size END THEN 'interval' WHEN block % 7 = 0 THEN 'size' END AS problem FROM v_rows) WHERE problem IS NOT NULL""")
+on("v10_ungapped_coordinate", "v_rows", lambda d: evidence.alignment_columns(d).where("present").groupBy("block", "row").agg(F.sum(F.col("pos0") * (F.col("col") + 1)).alias("check"), F.count(F.lit(1)).alias("n")), _CELLS + ' SELECT block, row, CAST(sum(pos0 * (col + 1)) AS BIGINT) AS "check", count(*) AS n FROM p WHERE present GROUP BY ALL')
 on("g1_residues", "v_rows", lambda d: evidence.alignment_columns(d).where("present").select("block", "row", "col", "pos0", "base"), _CELLS + " SELECT block, row, col, pos0, base FROM p WHERE present")
 on("g1_homologies", "v_rows", lambda d: evidence.homologies(evidence.alignment_columns(d)),
    _CELLS + " SELECT a.block, a.col, a.pos0 AS left_pos0, b.pos0 AS right_pos0, a.base = b.base AS same FROM p a JOIN p b ON a.block = b.block AND a.col = b.col AND a.row = 0 AND b.row = 1 AND a.present AND b.present")

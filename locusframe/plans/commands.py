@@ -45,7 +45,7 @@ def synteny_blocks(pairs: DataFrame, tandem: int = 0, width: int = 1, p: quota.S
     return quota.synteny(anchors.collapse_near_pairs(rows, width) if width else rows, p, run)
 
 
-def _risen(chained: DataFrame, order: list[str]) -> DataFrame:
+def rising_blocks(chained: DataFrame, order: list[str]) -> DataFrame:
     """C8 for each block: matches that come strictly after the last kept one, with their place ``pos``."""
     ship(chained.sparkSession)
     columns = [c for c in chained.columns if c != "pos"]
@@ -61,7 +61,7 @@ def _risen(chained: DataFrame, order: list[str]) -> DataFrame:
 
 def quota_chain(match: DataFrame, p: quota.Chaining = quota.Chaining(), run: str | None = None) -> DataFrame:
     """Quota anchors of two genomes: admitted pairs of chromosomes, ids on both sides, chains under the quotas, each cleaned up to rise."""
-    return _risen(quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run), ["pos"])
+    return rising_blocks(quota.chain_quota(anchors.row_ids(anchors.admitted(match)), p, run), ["pos"])
 
 
 def genome_chain(match: DataFrame, least: float = 2.0, penalty: float = 1.0) -> DataFrame:
@@ -80,7 +80,7 @@ def genome_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, inversion
 def quota_anchors(match: DataFrame, ref: DataFrame, query: DataFrame, p: quota.Chaining = quota.Chaining(), side: int = 50_000) -> DataFrame:
     """Quota anchors of two genomes, with new ones: blocks under the quotas, new anchors found in their large gaps (C9), and each block cleaned up to rise again."""
     more = novel_anchors(quota_chain(match, p), ref, query, side)
-    return _risen(more, ["ref_start", "ref_end", "query_start", "line_no"])
+    return rising_blocks(more, ["ref_start", "ref_end", "query_start", "line_no"])
 
 
 def block_alignment(chain: DataFrame, ref: DataFrame, query: DataFrame, scores: affine.Scores = affine.Scores(0, -4, -4, -2, -80, -1), cells: int = 4_000_000) -> DataFrame:

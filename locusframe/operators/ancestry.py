@@ -87,7 +87,7 @@ def orders(residues: DataFrame) -> DataFrame:
     ship(residues.sparkSession)
     edges = cut(next_on_path(residues, ["path"], ["pos0"], "site_id").select(F.col("site_id").alias("a"), F.col("next").alias("b")).distinct(), "site-edges")
     labels = components(edges, "a", "b")
-    nodes = residues.select("site_id").distinct().join(labels, F.col("site_id") == F.col("node"), "left").select("site_id", F.coalesce("label", "site_id").alias("comp"))
+    nodes = cut(residues.select("site_id").distinct(), "sites").join(labels, F.col("site_id") == F.col("node"), "left").select("site_id", F.coalesce("label", "site_id").alias("comp"))
     of = edges.join(labels, F.col("a") == F.col("node")).select("a", "b", F.col("label").alias("comp"))
 
     def run(ns: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
@@ -129,7 +129,7 @@ def blocks(called: DataFrame, order: DataFrame, groups: DataFrame | None = None)
     block: ``comp:place`` of its first site, or ``site:`` and the site. copy_group: of the block, null if its sites have several.
     """
     rows = called.where("emitted").join(order, "site_id")
-    rows = rows.join(groups.select("site_id", "copy_group"), "site_id", "left") if groups is not None else rows.withColumn("copy_group", F.lit(None).cast("string"))
+    rows = cut(rows.join(groups.select("site_id", "copy_group"), "site_id", "left") if groups is not None else rows.withColumn("copy_group", F.lit(None).cast("string")), "emitted-sites")
     runs = ranked(rows.where("place is not null"), ["place"], "_k", ["comp"]).withColumn("_run", F.col("place") - F.col("_k"))
     first = runs.groupBy(F.col("comp").alias("_c"), F.col("_run").alias("_r")).agg(F.min("place").alias("_first"), F.when(F.countDistinct("copy_group") == 1, F.max("copy_group")).alias("_g"))
     long = runs.join(first, (F.col("comp") == F.col("_c")) & (F.col("_run") == F.col("_r"))).select(

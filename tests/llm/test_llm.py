@@ -186,6 +186,19 @@ def test_windows_against_brute_force(docs):
                 assert len(hashes) == len(keys)
 
 
+def test_decontamination_of_odd_and_long_texts(spark, odd):
+    """Extra columns, odd characters, shared and null ids, empty tables, and an item deep inside a very long text."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    item = "In the old town of Lund 25 small boats left the harbour early in the grey morning."
+    long = " ".join(word() for _ in range(150_000)) + " so it was. " + item.replace("25", "31") + " " + " ".join(word() for _ in range(50_000))
+    d = odd.unionByName(spark.createDataFrame([(50, long), (51, "q " * 100_000), (3, item)], "doc_id long, text string"), allowMissingColumns=True)
+    b = spark.createDataFrame([(1, item, 5), (1, item, 6), (2, None, 7), (3, "x " * 3000, 8)], "item_id long, text string, h int")
+    assert {(r.doc_id, r.item_id): r.reworded for r in decontaminate.contaminated(d, b).collect()} == {(50, 1): True, (3, 1): False}
+    kept = decontaminate.decontaminate(d, b)
+    assert kept.count() == d.count() - 2 and kept.columns == d.columns and kept.where("doc_id = 3").count() == d.where("doc_id = 3").count() - 1
+
+
 # ------------------------------------------------------------ rows whatever their ids
 
 
@@ -861,3 +874,29 @@ def test_pipeline(spark, tmp_path):
     assert Counter({k: sum(r.length for r in got if r.doc_id == k) for k in left}) == Counter(total)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and shared ids, copies, a benchmark item and extra columns, from end to end: what is left is what brute force leaves."""
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    long = [" ".join(word() for _ in range(90)) for _ in range(5)]
+    near = long[0].capitalize()  # another text of the same fingerprint
+    item = "In the old town of Lund 25 small boats left the harbour early in the grey morning."
+    rows = [(4, long[0]), (2, near), (2, long[1]), (None, long[2]), (None, long[2] + "  "), (None, long[3]), (7, long[4]), (7, long[4]), (9, None), (None, ""), (10, f"{word()} {item.replace('25', '31')} {word()}"), (None, item)]
+    for name, frame in {
+        "documents": spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_row", "_drop", "lang", "score", "h")}),
+        "labels": spark.createDataFrame([(None, 1, 1), (99, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string"),
+    }.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}").collect()
+    enc = packing.encoder(WORDS).model
+    left = [(2, near), (2, long[1]), (None, long[2]), (None, long[3]), (7, long[4]), (9, None)]
+    assert Counter((r.doc_id, r.doc_tokens) for r in got if r.start == 0) == Counter((k, len(enc.encode(t or "", add_special_tokens=False).ids) + 1) for k, t in left)
+    for stage, (_, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = table(spark, f"{tmp_path}", "documents")
+        assert f(spark, docs, f"{tmp_path}").columns == docs.columns, stage
+        assert f(spark, docs.limit(0), f"{tmp_path}").count() == 0, stage

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,21 +47,35 @@ def sketch(seqs: DataFrame, k: int = 15, w: int = 9) -> DataFrame:
     return seqs.select("id", "seq").mapInPandas(run, "id long, hash long, pos long")
 
 
-def chain_seeds(pairs: list[tuple[int, int]], k: int, band: int = 500, reach: int = 5000) -> tuple[float, list[tuple[int, int]]]:
-    """C11: the best chain of forward seeds (ref, query): bases that match, less a logarithmic cost of leaving the diagonal."""
+def chain_seeds(pairs: list[tuple[int, int]], k: int, band: int = 500, reach: int = 5000, look: int = 5000, misses: int = 25) -> tuple[float, list[tuple[int, int]]]:
+    """C11: the best chain of forward seeds (ref, query): bases that match, less a cost of leaving the diagonal by ``off`` bases: a hundredth of
+    ``k`` for each and half a bit for their logarithm.
+
+    A seed looks back at ``look`` others at most and gives up after ``misses`` that already lead, through others, to one it has seen, so the
+    work is linear in the seeds but for repeats.
+    """
     pairs = sorted(pairs)
-    f, prev = [float(k)] * len(pairs), [-1] * len(pairs)
+    f, prev, seen = [float(k)] * len(pairs), [-1] * len(pairs), [-1] * len(pairs)
+    first = 0
     for i, (r, q) in enumerate(pairs):
-        for j in range(i - 1, -1, -1):
+        while pairs[first][0] < r - reach:
+            first += 1
+        missed = 0
+        for j in range(i - 1, max(first, i - look) - 1, -1):
             dr, dq = r - pairs[j][0], q - pairs[j][1]
-            if dr > reach:
-                break
-            if dr <= 0 or dq <= 0 or dq > reach or abs(dr - dq) > band:
-                continue
             off = abs(dr - dq)
-            cand = f[j] + min(dr, dq, k) - (0.01 * k * off + 0.5 * np.log2(off + 1) if off else 0.0)
+            if dr <= 0 or dq <= 0 or dq > reach or off > band:
+                continue
+            cand = f[j] + min(dr, dq, k) - (0.01 * k * off + 0.5 * math.log2(off) if off else 0.0)
             if cand > f[i]:
                 f[i], prev[i] = cand, j
+                missed = max(missed - 1, 0)
+            elif seen[j] == i:
+                missed += 1
+                if missed > misses:
+                    break
+            if prev[j] >= 0:
+                seen[prev[j]] = i
     if not pairs:
         return 0.0, []
     at = int(np.argmax(f))

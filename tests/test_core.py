@@ -73,6 +73,31 @@ def test_best_chain_is_best_of_all():
         assert sum(m["score"] for m in chains.best_chain(rows, 0.0)) == pytest.approx(best)
 
 
+def test_best_chain_against_the_recurrence():
+    """With inversions, word for word: which earlier match may come before a match, the nearest of equals first."""
+    rng = random.Random(13)
+    for _ in range(200):
+        rows = [dict(ref_start=(r := rng.randrange(60)), ref_end=r + 4, query_start=(q := rng.randrange(60)), query_end=q + 4, strand=rng.choice("+-"), score=rng.choice([1.0, 0.5, 2.0]), gene=str(k), line_no=k) for k in range(rng.randint(1, 14))]
+        rows = chains.reorder_inversions(sorted(rows, key=lambda m: (m["ref_start"], m["query_start"])), 1.0)
+        least = rng.choice([0.0, 1.0, 2.5])
+        f, prev = [m["score"] for m in rows], [None] * len(rows)
+        for i, b in enumerate(rows):
+            for j in range(i - 1, -1, -1):
+                a = rows[j]
+                if not (f[j] + b["score"] > f[i] and a["query_end"] < b["query_start"]):
+                    continue
+                before, turned = a["ref_end"] < b["ref_start"], a["ref_start"] > b["ref_end"]
+                both = a["strand"] == b["strand"] == "-"
+                if (both and (turned or (before and f[j] > least))) or (not both and before):
+                    f[i], prev[i] = f[j] + b["score"], j
+        k, chain = f.index(max(f)), []
+        while k is not None:
+            chain.insert(0, rows[k])
+            k = prev[k]
+        keep = chains._kept(chain, least)
+        assert chains.best_chain(rows, least) == [m for m, x in zip(chain, keep) if x]
+
+
 def quota(spark, rows, p):
     return chain_quota(anchors.row_ids(spark.createDataFrame(rows, MATCH)), p).collect()
 
@@ -569,6 +594,18 @@ def test_union_length_over_the_edges_of_bins(spark):
         assert got[k] == (len({x for s, e in mine for x in range(s, e + 1)}), len(mine), islands)
 
 
+def test_seed_chains_look_back_far_enough():
+    from locusframe.operators import mapping
+
+    rng = random.Random(15)
+    for _ in range(60):
+        pairs = sorted({(rng.randrange(400), rng.randrange(400)) for _ in range(25)} | {(10 * k, 10 * k + rng.choice([0, 0, 3])) for k in range(20)})
+        every = mapping.chain_seeds(pairs, 15, misses=10**9)
+        few = mapping.chain_seeds(pairs, 15)
+        assert few[0] <= every[0] and few[0] >= 0.95 * every[0] and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(few[1], few[1][1:]))
+    assert mapping.chain_seeds([], 15) == (0.0, [])
+
+
 def test_kmer_sketches(spark):
     rng = random.Random(10)
     seqs = {k: "".join(rng.choices("ACGTN", [5, 5, 5, 5, 1], k=rng.randint(0, 300))) for k in range(6)} | {7: "ACACACACACACACACACAC", 8: None}

@@ -30,7 +30,7 @@ from locusframe.llm.common import crc_mod_py, id_text, out, spread, squeeze, tex
 from locusframe.plans.runtime import cut, ship
 
 #: UTF-8 bytes of text in a chunk (a longer document is a chunk by itself), and n-grams in a range of hashes, about.
-CHUNK_BYTES, RANGE_NGRAMS = 12 << 20, 1 << 20
+CHUNK_BYTES, RANGE_NGRAMS = 8 << 20, 1 << 20
 #: Ranges that a chunk deals its n-grams to, at most, as a power of two, and chunks whose questions a slice of a super-range merges, about.
 DEAL_BITS, SLICE_CHUNKS = 12, 4096
 #: Context-frequency buckets (powers of two), and cells of a logarithmic ratio in the table that EM runs on.

@@ -75,9 +75,10 @@ class Encoder(dict):
         return self.marks[marks]
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        m = _PLAIN.fullmatch(text)
-        if m:
+        if word.isalpha():  # letters of ASCII alone are one part
+            four = self.four
+            ids = b"".join([four[t.id] for t in self.bpe(word.lower().decode())])
+        elif m := _PLAIN.fullmatch(text := word.decode()):
             ids = self.mark(m[1]) + self.part(m[2].lower()) + self.mark(m[3])
         else:
             ids = b"".join([self.four[i] for i in self.model.encode(text, add_special_tokens=False).ids])

@@ -29,54 +29,76 @@ from locusframe.plans.runtime import cut, ship
 
 #: Words in a window, share of an item's windows that must be found, and ordinary words that a window needs.
 WINDOW, SHARE, LITERALS = 5, 0.8, 2
-#: Window hashes of the benchmark that are sent to the tasks, at most (16 MB); beyond that both sides are shuffled.
+#: Window hashes, and word hashes, of the benchmark that are sent to the tasks, at most (16 MB each); beyond that both sides are shuffled, or all windows made.
 FILTER_HASHES = 2_000_000
 # Units of measurement and currency.
 UNITS = frozenset("km m cm mm mi mile miles ft foot feet inch inches kg g mg lb lbs pound pounds oz ounce ounces t ton tons l ml litre litres liter liters gallon gallons h hr hour hours min minute minutes s sec second seconds day days week weeks month months year years usd eur dollar dollars euro euros cent cents percent mph kmh".split())
+_UNITS = frozenset(u.encode() for u in UNITS)
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(s)) for s in (b"<num>", b"<name>", b"<unit>"))
 #: What a hash is of: a template window, a window word for word, a whole sentence of fewer words.
 _TEMPLATE, _LITERAL, _SENTENCE = range(3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-#: Windows in an output batch.
-BATCH_ROWS = 60_000
+#: Windows in an output batch, and bytes of the texts that are looked at together.
+BATCH_ROWS, PART_BYTES = 60_000, 1 << 19
 _ORDINARY, _CAPITAL, _NUMBER, _MEASURE = range(4)
 _SCHEMA = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("h", pa.int64()), ("slots", pa.list_(pa.string())), ("either", pa.int64())])
 
 
 class Words(dict):
-    """Raw word -> its number; per number the kind, whether it ends a sentence, and the 64-bit hash of the lower-case core.
+    """Raw word -> its number; per number the kind, whether it ends a sentence, the 64-bit hash of the lower-case core, and whether
+    a window of the benchmark may hold it: all but ordinary words that are not among ``vocabulary`` (sorted hashes; None: all words).
 
-    Remembers up to 300,000 words of 32 MB between texts (:meth:`tidy`).
+    Remembers up to 300,000 words of 32 MB between texts (:meth:`tidy`). New words are kept in lists until :meth:`tables`.
     """
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: np.ndarray | None = None) -> None:
         super().__init__()
-        self.held = 0
-        self.kind, self.ends, self.h = np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, np.uint64)
+        self.vocabulary = vocabulary
+        self.tidy(True)
 
-    def tidy(self) -> None:
-        if len(self) > 300_000 or self.held > 32 << 20:
+    def tidy(self, now: bool = False) -> None:
+        if now or len(self) > 300_000 or self.held > 32 << 20:
             self.clear()
             self.held = 0
+            self._all = np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, np.uint64), np.ones(1024, bool)
+            self._new: list[tuple[int, bool, int]] = []
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """kind, ends, h and known by number."""
+        n = len(self)
+        while n > len(self._all[0]):
+            self._all = tuple(np.concatenate([a, np.zeros_like(a)]) for a in self._all)
+        if self._new:
+            kinds, ends, hashes = zip(*self._new)
+            kind, h, known = np.array(kinds, np.int8), np.array(hashes, np.uint64), np.ones(len(kinds), bool)
+            if self.vocabulary is not None:
+                k = np.searchsorted(self.vocabulary, h)
+                known = (kind != _ORDINARY) | (np.append(self.vocabulary, np.uint64(0))[k] == h) & (k < len(self.vocabulary))
+            for a, new in zip(self._all, (kind, ends, h, known), strict=True):
+                a[n - len(kind) : n] = new
+            self._new.clear()
+        return self._all
 
     def __missing__(self, raw: bytes) -> int:
         n = len(self)
         self.held += len(raw)
-        if n == len(self.h):
-            self.kind, self.ends, self.h = (np.concatenate([a, np.zeros_like(a)]) for a in (self.kind, self.ends, self.h))
-        core = raw.strip(PUNCT)
-        text = core.decode()
-        low = text.lower()
-        if core and core[:1].isdigit() and not any(c.isalpha() for c in text):
-            self.kind[n] = _NUMBER
-        elif low in UNITS and len(low) > 1:
-            self.kind[n] = _MEASURE
+        if raw.isalpha():  # ASCII letters alone
+            low = raw.lower()
+            kind = _MEASURE if len(low) > 1 and low in _UNITS else _CAPITAL if raw[:1].isupper() and not raw.isupper() else _ORDINARY
+            self._new.append((kind, False, xxhash.xxh64_intdigest(low)))
         else:
-            self.kind[n] = _CAPITAL if text[:1].isupper() and not text.isupper() else _ORDINARY
-        self.ends[n] = raw.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":"))
-        self.h[n] = xxhash.xxh64_intdigest(low.encode())
+            core = raw.strip(PUNCT)
+            text = core.decode()
+            low = text.lower()
+            if core and core[:1].isdigit() and not any(c.isalpha() for c in text):
+                kind = _NUMBER
+            elif low in UNITS and len(low) > 1:
+                kind = _MEASURE
+            else:
+                kind = _CAPITAL if text[:1].isupper() and not text.isupper() else _ORDINARY
+            self._new.append((kind, raw.rstrip(b"\"')]").endswith((b".", b"!", b"?", b":")), xxhash.xxh64_intdigest(low.encode())))
         self[raw] = n
         return n
 
@@ -101,8 +123,9 @@ def _mixed(h: np.ndarray, at: np.ndarray, window: int, either: np.ndarray | None
 
 
 class Windows(NamedTuple):
-    """Of a text: hashes in all readings, where they begin, which words that begin a sentence are read as names (bits),
-    what each hash is of, which words are slots at any rate, where sentences begin and end, and the words."""
+    """Of some texts, one behind the other: hashes in all readings, where they begin, which words that begin a sentence are read as
+    names (bits), what each hash is of, which words are slots at any rate, where sentences begin and end, the words, and
+    where each text begins."""
 
     h: np.ndarray
     at: np.ndarray
@@ -111,13 +134,14 @@ class Windows(NamedTuple):
     slot: np.ndarray
     bounds: np.ndarray
     raw: list[bytes]
+    first: np.ndarray
 
     def size(self, i: int, window: int) -> int:
         """Words of the ``i``-th hash."""
         return window if self.kind[i] != _SENTENCE else int(self.bounds[np.searchsorted(self.bounds, self.at[i]) + 1] - self.at[i])
 
     def of_item(self, window: int) -> np.ndarray:
-        """Which hashes stand for a benchmark item: its templates if they are half of its windows or more, else all windows; its sentences if it has fewer words."""
+        """Of one text, which hashes stand for it as a benchmark item: its templates if they are half of its windows or more, else all windows; its sentences if it has fewer words."""
         if len(self.raw) < window:
             return np.flatnonzero(self.kind == _SENTENCE)
         template = self.kind == _TEMPLATE
@@ -125,18 +149,20 @@ class Windows(NamedTuple):
         return np.flatnonzero(template if enough else self.kind != _SENTENCE)
 
 
-def windows(text: bytes, words: Words, window: int) -> Windows:
-    """The windows of a text. White space that holds a line feed begins a sentence, as the text's start does."""
-    lines = text.split(b"\n")
+def windows(items: list[bytes], words: Words, window: int) -> Windows:
+    """The windows of some texts, none across two of them; templates only of words that ``words`` knows the benchmark to have.
+    White space that holds a line feed begins a sentence, as a text's start does."""
     raw: list[bytes] = []
-    starts = []
-    for line in lines:
-        starts.append(len(raw))
-        raw += line.split()
+    starts, first = [], []
+    for text in items:
+        first.append(len(raw))
+        for line in text.split(b"\n"):
+            starts.append(len(raw))
+            raw += line.split()
     n = len(raw)
     words.tidy()
     number = np.fromiter(map(words.__getitem__, raw), np.int64, n)
-    kind, ends, h = words.kind[number], words.ends[number], words.h[number]
+    kind, ends, h, known = (t[number] for t in words.tables())
     begins = np.zeros(n + 1, bool)
     begins[1:] = ends
     begins[[s for s in starts if s < n]] = True
@@ -150,15 +176,23 @@ def windows(text: bytes, words: Words, window: int) -> Windows:
             parts.append((_mixed(h, at, size, kind=_SENTENCE), at, np.zeros(len(at), np.int64), _SENTENCE))
     name = (kind == _CAPITAL) & ~begins[:n]
     slot = name | (kind == _NUMBER) | (kind == _MEASURE)
+    first = np.array([*first, n])
     if n >= window:
         plain = np.concatenate([[0], np.cumsum(~slot)])
         plain = plain[window:] - plain[:-window]
         least = min(LITERALS, window)
-        at = np.flatnonzero(plain < least)
+        inside = np.ones(len(plain), bool)
+        for k in range(1, window):  # a window in which another text begins is none
+            edge = first[1:-1] - k
+            inside[edge[(edge >= 0) & (edge < len(inside))]] = False
+        at = np.flatnonzero((plain < least) & inside)
         if len(at):
             parts.append((_mixed(h, at, window, kind=_LITERAL), at, np.zeros(len(at), np.int64), _LITERAL))
         h[name], h[kind == _NUMBER], h[kind == _MEASURE] = _NAME, _NUM, _UNIT
-        at = np.flatnonzero(plain >= least)
+        if words.vocabulary is not None:
+            strange = np.concatenate([[0], np.cumsum(~known)])
+            inside &= strange[window:] == strange[:-window]
+        at = np.flatnonzero((plain >= least) & inside)
         parts.append((_mixed(h, at, window), at, np.zeros(len(at), np.int64), _TEMPLATE))
         open_ = (kind == _CAPITAL) & begins[:n]
         bits = np.zeros(n - window + 1, np.int64)
@@ -167,22 +201,51 @@ def windows(text: bytes, words: Words, window: int) -> Windows:
                 bits |= open_[k : k + len(bits)].astype(np.int64) << k
         some = at[bits[at] > 0]
         if len(some):
-            count, first, subsets = _readings(window)
+            count, begin, subsets = _readings(window)
             c = count[bits[some]]
             more = np.repeat(some, c)
-            chosen = subsets[np.arange(len(more)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[bits[some]], c)]
+            chosen = subsets[np.arange(len(more)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[bits[some]], c)]
             enough = plain[more] - np.bitwise_count(chosen) >= least
             more, chosen = more[enough], chosen[enough]
             parts.append((_mixed(h, more, window, chosen), more, chosen, _TEMPLATE))
     if not parts:
         parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), _TEMPLATE)]
     kinds = np.repeat(np.array([p[3] for p in parts], np.int8), [len(p[0]) for p in parts])
-    return Windows(*(np.concatenate([p[k] for p in parts]) for k in range(3)), kinds, slot, bounds, raw)
+    return Windows(*(np.concatenate([p[k] for p in parts]) for k in range(3)), kinds, slot, bounds, raw, first[:-1])
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """(h) of the distinct words of (id, text) rows."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for text in texts(batch):
+                words.tidy()
+                number = [words[w] for w in text.split()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.tables()[2][number]).view(np.int64))], ["h"])
+
+    return rows.mapInArrow(run, "h long").distinct()
+
 
+def _parts(items: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items of about ``size`` bytes together, at least one item each."""
+    a = held = 0
+    for k, item in enumerate(items):
+        if k > a and held + len(item) > size:
+            yield a, k
+            a, held = k, 0
+        held += len(item)
+    if a < len(items):
+        yield a, len(items)
 
-def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None, items: bool = False) -> DataFrame:
+
+def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray | None = None, items: bool = False, among: np.ndarray | None = None) -> DataFrame:
     """``(id, row, pos, h, slots, either)`` for the windows of (id, text) rows; only those whose hash is in ``wanted``, if given, or that stand for an item, with ``items``.
 
+    among: sorted hashes of the words that windows in ``wanted`` may hold, so that others need not be made.
+
     row: a hash of the text, which tells apart rows that share an id. slots: for each word of the window, what stands in the placeholder, lower-case; null for an ordinary word.
     either: the places of words that begin a sentence and are read as names here, as bits.
     """
@@ -194,11 +257,13 @@ def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray |
         table[(wanted >> np.uint64(42)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(among)
         for batch in batches:
+            keys, all_texts = batch.column(0).to_pylist(), texts(batch)
             found: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                w = windows(text, words, window)
+            for a, b in [(k, k + 1) for k in range(len(keys))] if items else _parts(all_texts, PART_BYTES):
+                part = all_texts[a:b]
+                w = windows(part, words, window)
                 h = w.h
                 if items:
                     at = w.of_item(window)
@@ -209,16 +274,17 @@ def template_windows(rows: DataFrame, window: int = WINDOW, wanted: np.ndarray |
                     if len(at):
                         k = np.searchsorted(wanted, h[at])
                         at = at[(k < len(wanted)) & (wanted[np.minimum(k, len(wanted) - 1)] == h[at])]
-                row = signed(xxhash.xxh64_intdigest(text)) if len(at) else 0
-                for i, p, e, kind in zip(at.tolist(), w.at[at].tolist(), w.either[at].tolist(), w.kind[at].tolist()):
+                owner = np.searchsorted(w.first, w.at[at], side="right") - 1
+                row = {k: signed(xxhash.xxh64_intdigest(part[k])) for k in np.unique(owner).tolist()}
+                for i, k, p, e, kind in zip(at.tolist(), owner.tolist(), w.at[at].tolist(), w.either[at].tolist(), w.kind[at].tolist()):
                     if kind == _TEMPLATE:
                         slots = [w.raw[p + q].strip(PUNCT).decode().lower() if w.slot[p + q] or e >> q & 1 else None for q in range(window)]
                     else:
                         slots = [None] * w.size(i, window)
-                    found.append((key, row, p, int(h[i].view(np.int64)), slots, e))
-                if len(found) >= BATCH_ROWS:
-                    yield _batch(found)
-                    found = []
+                    found.append((keys[a + k], row[k], p - int(w.first[k]), int(h[i].view(np.int64)), slots, e))
+                    if len(found) >= BATCH_ROWS:
+                        yield _batch(found)
+                        found = []
             if found:
                 yield _batch(found)
 
@@ -319,18 +385,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     share a doc_id count as one document. Repeated items and rows change nothing.
 
     Documents emit only windows that the benchmark has: its hashes go to every task if
-    they are at most ``FILTER_HASHES``, else both sides are shuffled by hash.
+    they are at most ``FILTER_HASHES``, else both sides are shuffled by hash. Windows that hold an
+    ordinary word which no item has are not made at all.
     """
+    bench = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     item = cut(
-        template_windows(benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), window, items=True)
+        template_windows(bench, window, items=True)
         .where("id is not null").groupBy("id", F.col("pos").alias("wpos"), "h").agg(F.first("slots").alias("islots"), F.first("either").alias("ieither")),
         "benchmark-windows",
     )
     distinct = item.select("h").distinct()
     n = distinct.count()
-    wanted = distinct.toArrow().column(0).to_numpy().view(np.uint64) if n <= FILTER_HASHES else None
+    wanted = among = None
+    if n <= FILTER_HASHES:
+        wanted = distinct.toArrow().column(0).to_numpy().view(np.uint64)
+        known = cut(vocabulary(bench), "benchmark-words")
+        if known.count() <= FILTER_HASHES:
+            among = np.sort(known.toArrow().column(0).to_numpy().view(np.uint64))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    hits = template_windows(rows, window, wanted).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots", "either")
+    hits = template_windows(rows, window, wanted, among=among).where("id is not null").select(F.col("id").alias("doc_id"), "row", "pos", "h", "slots", "either")
     hits = cut(hits, "benchmark-hits") if wanted is not None else hits
     met = hits.join(item.withColumnRenamed("id", "item_id"), "h")
     size = item.groupBy(F.col("id").alias("sid")).agg(F.countDistinct("wpos").alias("windows"))

@@ -170,7 +170,7 @@ def test_windows_against_brute_force(docs):
     words = decontaminate.Words()
     for text in some:
         for item in (False, True):
-            w = decontaminate.windows(text.encode(), words, 5)
+            w = decontaminate.windows([text.encode()], words, 5)
             at = w.of_item(5) if item else range(len(w.h))
             want = slow_windows(text, item)
             assert sorted(w.at[list(at)].tolist()) == sorted(x[1] for x in want), text
@@ -199,6 +199,24 @@ def test_decontamination_of_odd_and_long_texts(spark, odd):
     assert kept.count() == d.count() - 2 and kept.columns == d.columns and kept.where("doc_id = 3").count() == d.where("doc_id = 3").count() - 1
 
 
+def test_windows_of_texts_together_are_those_of_each(docs):
+    rng = random.Random(16)
+    some = [t.encode() for _, t in texts_of(docs)] + [b"", b"One.", b"a b c d", b"\n\n"] * 5
+    rng.shuffle(some)
+    known = decontaminate.Words()
+    number = [known[w] for t in some[::9] for w in t.split()]
+    among = np.unique(known.tables()[2][number])
+    for words in (decontaminate.Words(), decontaminate.Words(among)):
+        whole = decontaminate.windows(some, words, 5)
+        owner = np.searchsorted(whole.first, whole.at, side="right") - 1
+        got = Counter(zip(owner.tolist(), (whole.at - whole.first[owner]).tolist(), whole.h.tolist(), whole.either.tolist(), whole.kind.tolist()))
+        want: Counter = Counter()
+        for k, t in enumerate(some):
+            w = decontaminate.windows([t], words, 5)
+            want.update(zip([k] * len(w.h), w.at.tolist(), w.h.tolist(), w.either.tolist(), w.kind.tolist()))
+        assert got == want
+
+
 # ------------------------------------------------------------ rows whatever their ids
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import graph
 from locusframe.operators.affine import Scores, align, score_rows
-from locusframe.plans.runtime import cut, ship
+from locusframe.plans.runtime import cut_shuffled as cut, ship
 
 #: Scores of local realignment, and sites of a core, at most.
 POA, MOST = Scores(2, -4, -4, -2, -80, -1), 200

@@ -2,7 +2,8 @@
 
 import pytest
 
-from locusframe.operators import repair
+from locusframe.operators import orders, repair
+from locusframe.plans.views import view
 
 
 def plans(spark, run) -> list[str]:
@@ -26,3 +27,30 @@ def test_rounds_of_repair_broadcast_nothing(spark):
     found = plans(spark, lambda: got.extend(repair.repair(conflicts, residues, absent, sites)[2].collect()))
     assert [r.disposition for r in got] == ["localized_poa_applied"]
     assert len(found) > 5 and not [p for p in found if "BroadcastExchange" in p]
+
+
+def test_ids_are_found_without_a_window_over_a_chromosome(spark):
+    for name in ("v_ranked", "v_pairs"):
+        d = view(spark, "/root/testdata/sf0.001", name)
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "dense_rank" not in plan and d.where("ref_id < 1 or query_id < 1 or ref_id is null").isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_places_within_keys_meet_by_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(orders, "FEW", few)
+    rows = spark.createDataFrame([(k % 3 if k % 10 else None, k * 7919 % 1000) for k in range(1000)], "k long, v long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = orders.ranked(rows, ["v"], "at", ["k"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r.k is not None, r.k, r.at, r.v) for r in got.where("k is not null").collect())
+        none = sorted((r.at, r.v) for r in got.where("k is null").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for k in range(3):
+        mine = [(at, v) for _, x, at, v in found if x == k]
+        assert [at for at, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for _, v in mine)
+    assert [at for at, _ in none] == list(range(100))
+    assert not few or "hashpartitioning(" not in plan.split("BroadcastExchange")[0]
+    assert few or "_part" in plan

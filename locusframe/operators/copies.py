@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.operators.components import components
-from locusframe.plans.runtime import cut, ship
+from locusframe.plans.runtime import cut_shuffled as cut, ship
+
+#: Residues that a kernel call gets, about; more if a component has more.
+BATCH = 20_000
 
 
 def over_capacity(members: DataFrame, capacities: DataFrame, default: int = 1) -> DataFrame:
@@ -82,7 +85,7 @@ def resolve(residues: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
 
     residues: node (long), path, grp (explicit group or null), hard, confidence, excluded (array of groups); edges: edge_id, a, b,
     score. O10: edges with more explicit ends come first, then those of higher score, then by id. What the order decides lies within
-    a component of all edges, so each is one kernel call. A set without an explicit group is named by its smallest residue;
+    a component of all edges, so each is seen whole by a kernel call, with others. A set without an explicit group is named by its smallest residue;
     its confidence is 1 from three residues on, else 0.5.
     """
     ship(residues.sparkSession)
@@ -98,7 +101,10 @@ def resolve(residues: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
         rows = [(e, r is None, r, None, None) for e, r in log] + [(None, None, None, n, r) for n, r in root.items()]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in audit_schema.split(", ")]).astype({"edge_id": "Int64", "node": "Int64", "root": "Int64", "selected": "boolean"})
 
-    both = cut(nodes.groupBy("comp").cogroup(of.groupBy("edge_comp")).applyInPandas(run, audit_schema), "copy-sets")
+    # most components have a few residues: many go through one call, which the order of edges within each allows
+    deal = F.lit(max(1, nodes.count() // BATCH))
+    batch = lambda c: F.pmod(F.xxhash64(c), deal).alias("batch")
+    both = cut(nodes.groupBy(batch("comp")).cogroup(of.groupBy(batch("edge_comp"))).applyInPandas(run, audit_schema), "copy-sets")
     rooted = both.where("node is not null").select("node", "root").join(nodes.drop("comp"), "node")
     sets = rooted.groupBy("root").agg(F.max("grp").alias("g"), F.max("hard").alias("h"), F.max("confidence").alias("c"), F.count(F.lit(1)).alias("n"))
     name = F.coalesce("g", F.concat(F.lit("inferred_"), F.col("root").cast("string")))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from locusframe.operators import orders, repair
+from locusframe.operators import copies, orders, repair
 from locusframe.plans.views import view
 
 
@@ -54,3 +54,23 @@ def test_places_within_keys_meet_by_ranges(spark, monkeypatch, few):
     assert [at for at, _ in none] == list(range(100))
     assert not few or "hashpartitioning(" not in plan.split("BroadcastExchange")[0]
     assert few or "_part" in plan
+
+
+def test_small_components_share_kernel_calls(spark, monkeypatch):
+    monkeypatch.setattr(copies, "BATCH", 50)
+    n = 200
+    nodes = spark.createDataFrame([(k, f"p{k % 2}", None, False, 0.9, None) for k in range(2 * n)], "node long, path string, grp string, hard boolean, confidence double, excluded array<string>")
+    edges = spark.createDataFrame([(k, 2 * k, 2 * k + 1, 1.0) for k in range(n)], "edge_id long, a long, b long, score double")
+    counted = []
+    real = copies.cut
+
+    def cut(df, label):
+        out = real(df, label)
+        if label == "copy-sets":
+            counted.append(df._jdf.queryExecution().logical().toString())
+        return out
+
+    monkeypatch.setattr(copies, "cut", cut)
+    assigned, audit = copies.resolve(nodes, edges)
+    assert {(r.node, r.copy_group) for r in assigned.collect()} == {(k, f"inferred_{k - k % 2}") for k in range(2 * n)} and audit.where("selected").count() == n
+    assert "batch" in counted[0]

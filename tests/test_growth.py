@@ -1,8 +1,11 @@
 """What a query takes must not grow faster than its input: broadcasts, single tasks, all pairs."""
 
+import random
+
+import pandas as pd
 import pytest
 
-from locusframe.operators import copies, orders, repair
+from locusframe.operators import copies, orders, quota, repair
 from locusframe.plans.views import view
 
 
@@ -74,3 +77,16 @@ def test_small_components_share_kernel_calls(spark, monkeypatch):
     assigned, audit = copies.resolve(nodes, edges)
     assert {(r.node, r.copy_group) for r in assigned.collect()} == {(k, f"inferred_{k - k % 2}") for k in range(2 * n)} and audit.where("selected").count() == n
     assert "batch" in counted[0]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_chains_without_quotas_by_the_lean_kernel(seed):
+    r = random.Random(seed)
+    n = r.choice([1, 5, 40, 150])
+    at = sorted(r.randrange(n) for _ in range(n))
+    q = [max(1, x + r.randrange(-3, 4)) if r.random() < 0.7 else r.randrange(1, n + 2) for x in at]
+    g = pd.DataFrame({"ref_id": at, "query_id": q, "score": [r.choice([0.5, 1.0, 1.0, 0.7]) for _ in at], "strand": [r.choice("++-") for _ in at]})
+    for strict in (True, False):
+        p = quota.Synteny(all_pairs=True, strict=strict, gap=r.choice([0, 3, 25]), least=r.choice([1.0, 3.0]))
+        got = quota.free_blocks(at, q, [s == "-" for s in g.strand], g.score.tolist(), p)
+        assert got == quota.quota_blocks(g.assign(ref_chr="", query_chr="", ref_gene="", query_gene="", ref_start=0, ref_end=0, query_start=0, query_end=0), p)

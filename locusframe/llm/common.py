@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +59,18 @@ def spread(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+def trim() -> None:
+    """Gives the system back what this process has freed, and lets arrays of a megabyte go at once from now on.
+
+    Python workers are kept between tasks, sometimes more of them than there are cores; else each would hold its largest task's memory.
+    """
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+        libc.malloc_trim(0)
+
+
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` and the name of a column, without nulls or repeats, that tells its rows apart.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import crc_mod_py, id_text, out, spread, squeeze, texts
+from locusframe.llm.common import crc_mod_py, id_text, out, spread, squeeze, texts, trim
 from locusframe.plans.runtime import cut, ship
 
 #: UTF-8 bytes of text in a chunk (a longer document is a chunk by itself), and n-grams in a range of hashes, about.
@@ -83,8 +83,24 @@ def _chunks(batches: Iterator[pa.RecordBatch], size: int, held_out: tuple[int, i
                 number += 1
                 ids, lens, train, parts, held = [], [], [], [], 0
                 index.clear()
+                trim()
     if ids:
         yield emit()
+    ids, lens, train, parts = [], [], [], []
+    index.clear()
+    trim()
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and each key's place among them, as np.unique gives them in twice the memory."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    keys = keys[new]
+    place = np.empty(len(order), np.int32 if len(keys) < 1 << 31 else np.int64)
+    place[order] = np.cumsum(new, dtype=place.dtype) - place.dtype.type(1)
+    return keys, place
 
 
 class _Chunk:
@@ -100,7 +116,7 @@ class _Chunk:
         self.before[1:] = self.tokens[:-1]
         self.before[self.starts] = 1  # the start sign
         self.in_train = np.repeat(self.train, self.lens)
-        pairs, self.pair = np.unique(self.before.astype(np.int64) * len(self.words) + self.tokens, return_inverse=True)
+        pairs, self.pair = _distinct(self.before.astype(np.int64) * len(self.words) + self.tokens)
         a, b = self.words[pairs // len(self.words)], self.words[pairs % len(self.words)]
         h = (a ^ (a >> np.uint64(31))) * _MIX + b
         h ^= h >> np.uint64(28)
@@ -132,9 +148,13 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatc
     for batch in batches:
         for chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "lens", "train", "tokens", "words")), strict=True):
             c = _Chunk(*blobs)
-            for kind, (h, n) in enumerate(zip(c.hashes, c.counts(), strict=True)):
+            both = list(zip(c.hashes, c.counts(), strict=True))
+            del c, blobs
+            for kind, (h, n) in enumerate(both):
                 order = np.argsort(h, kind="stable")
                 yield from out(_ASKED, _dealt(kind, chunk, h[order], n[order], bits))
+            del both, h, n, order
+            trim()
 
 
 def _merged(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,6 +186,7 @@ _ANSWER = "kind int, part long, chunk long, totals binary, n_distinct long"
 
 def _answer(asked: pa.Table, kind: type = np.uint32) -> pa.Table:
     """Of one range of hashes: the totals over all chunks, for each chunk in its order; and how many n-grams have any."""
+    trim()
     hashes = [np.frombuffer(x, np.uint64) for x in asked["hashes"].to_pylist()]
     counts = np.concatenate([spread(x, kind) for x in asked["counts"].to_pylist()])
     distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -183,6 +204,7 @@ def _answer(asked: pa.Table, kind: type = np.uint32) -> pa.Table:
 
 def _known(left: pa.Table, right: pa.Table) -> tuple[_Chunk, np.ndarray, np.ndarray]:
     """A chunk and the corpus counts of its words and pairs, in its own order."""
+    trim()
     row = left.to_pylist()[0]
     c = _Chunk(row["lens"], row["train"], row["tokens"], row["words"])
     got = sorted(zip(*(right[x].to_pylist() for x in ("kind", "part", "totals")), strict=True))
@@ -243,8 +265,8 @@ def mixture(table: np.ndarray) -> np.ndarray:
 def _scored(c: _Chunk, ids: list, words: np.ndarray, pairs: np.ndarray, n: int, v: int, d: int, weights: np.ndarray) -> pa.Table:
     w = words[c.tokens]
     context = np.where(c.before == 1, d, words[c.before])
-    mix = weights[_bucket(context)]
-    p = mix[:, 0] * pairs[c.pair] / np.maximum(context, 1) + mix[:, 1] * w / max(1, n) + mix[:, 2] / (v + 1)
+    b = _bucket(context)
+    p = weights[b, 0] * pairs[c.pair] / np.maximum(context, 1) + weights[b, 1] * w / max(1, n) + weights[b, 2] / (v + 1)
     add = lambda x: pa.array(np.add.reduceat(x, c.starts))
     return pa.table(
         [

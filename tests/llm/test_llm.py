@@ -918,3 +918,25 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         docs = table(spark, f"{tmp_path}", "documents")
         assert f(spark, docs, f"{tmp_path}").columns == docs.columns, stage
         assert f(spark, docs.limit(0), f"{tmp_path}").count() == 0, stage
+
+
+def test_lm_chunk_takes_little_memory():
+    import tracemalloc
+
+    from locusframe.llm.common import squeeze
+    from locusframe.llm.lm import _Chunk, _distinct
+
+    r = np.random.default_rng(3)
+    for keys in (r.integers(0, 50, 400), np.zeros(0, np.int64), np.array([7])):
+        pairs, place = _distinct(keys)
+        want = np.unique(keys, return_inverse=True)
+        assert pairs.tolist() == want[0].tolist() and place.tolist() == want[1].tolist()
+    n = 1 << 20
+    blobs = squeeze(np.array([n], np.int32)), squeeze(np.ones(1, bool)), squeeze((r.zipf(1.3, n) % 20_000).astype(np.int32)), r.integers(0, 1 << 63, 20_000, np.uint64).tobytes()
+    tracemalloc.start()
+    try:
+        c = _Chunk(*blobs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(c.pair) == n and peak < 42 * n, peak / n

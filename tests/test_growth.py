@@ -3,6 +3,7 @@
 import random
 import time
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -100,3 +101,34 @@ def test_global_chain_of_many_matches_takes_less_than_all_pairs():
     got = chains.best_chain(rows, 2.0)
     assert time.process_time() - began < 6  # comparing with all before takes longer
     assert len(got) >= 135_000 * 0.99 and all(a["query_end"] < b["query_start"] for a, b in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_chains_under_quotas_of_one_by_the_lean_kernel(seed):
+    r = random.Random(seed)
+    n, gap, least = r.choice([1, 30, 120, 300]), r.choice([0, 2, 5, 25]), r.choice([0.5, 2.0, 3.0])
+    rows = []
+    for k in range(n):
+        ref, chrom = r.choice("112"), r.choice("AAB")
+        at = r.randrange(n)
+        q = (at if chrom == "A" else n - at) + r.randrange(-1, 2) if r.random() < 0.7 else r.randrange(n)
+        wide = r.choice([6, 6, 6, 25, 60])
+        rows.append(dict(ref_chr="R" + ref, query_chr="Q" + chrom, ref_id=at, query_id=q, ref_start=10 * at, ref_end=10 * at + wide, query_start=10 * q, query_end=10 * q + 6, strand=r.choice("++-" if chrom == "A" else "--+"), score=r.choice([1.0, 0.9, 0.5]), ref_gene=f"g{at // r.choice([1, 1, 2])}{ref}", query_gene=f"h{q}{chrom if r.random() < 0.9 else ''}", line_no=k))
+    for p in (quota.Chaining(gap=gap, least=least), quota.Synteny(gap=gap, least=least), quota.Synteny(gap=gap, least=least, strict=False, count_members=False, remove_overlap=True), quota.Synteny(gap=gap, least=least, count_members=False)):
+        genes = isinstance(p, quota.Synteny)
+        mine = [dict(m) for m in rows]
+        if not genes:
+            for c, key in (("ref", "ref_start ref_end query_start query_end line_no"), ("query", "query_start query_end ref_start ref_end line_no")):
+                seen = {}
+                for m in sorted(mine, key=lambda m: [m[x] for x in key.split()]):
+                    m[f"{c}_id"] = seen[m[f"{c}_chr"]] = seen.get(m[f"{c}_chr"], -1) + 1
+            for m in mine:
+                m["ref_gene"] = m["query_gene"] = (quota.LOCAL if m["line_no"] % 9 == 0 else "") + m["ref_gene"]
+        g = pd.DataFrame(mine).sort_values(["ref_chr", "query_chr", "ref_start", "ref_end", "query_start", "query_end", "line_no"]).reset_index(drop=True)
+        names = sorted(set(zip(g.ref_chr, g.query_chr)))
+        m = {c: g[c].to_numpy().copy() for c in ("ref_id", "query_id", "ref_start", "ref_end", "query_start", "query_end", "score")}
+        m |= {"pair": np.array([names.index(x) for x in zip(g.ref_chr, g.query_chr)], np.int32), "minus": (g.strand == "-").to_numpy(), "local": g.ref_gene.str.contains(quota.LOCAL).to_numpy()}
+        for c, x in (("ref_chr", g.ref_chr), ("query_chr", g.query_chr), ("ref_code", g.ref_gene), ("query_code", g.query_gene if genes else g.query_chr + "\t" + g.query_id.astype(str))):
+            m[c] = pd.factorize(x)[0].astype(np.int32)
+        got = quota.lean_blocks(m, np.arange(len(names)), p)
+        assert got == quota.quota_blocks(g, p), p

@@ -1,13 +1,14 @@
 """What a query takes must not grow faster than its input: broadcasts, single tasks, all pairs."""
 
 import random
+import re
 import time
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from locusframe.operators import chains, copies, orders, quota, repair
+from locusframe.operators import chains, copies, evidence, orders, quota, repair
 from locusframe.plans.views import view
 
 
@@ -132,3 +133,23 @@ def test_chains_under_quotas_of_one_by_the_lean_kernel(seed):
             m[c] = pd.factorize(x)[0].astype(np.int32)
         got = quota.lean_blocks(m, np.arange(len(names)), p)
         assert got == quota.quota_blocks(g, p), p
+
+
+def test_blocks_meet_paths_by_two_sites(spark):
+    r = random.Random(2)
+    paths = [(p, k, r.randrange(4)) for p in "pqr" for k in range(60)]
+    blocks = {f"b{k}": [r.randrange(4) for _ in range(r.choice([1, 2, 2, 3, 4]))] for k in range(12)}
+    b = spark.createDataFrame([(name, k, x) for name, sites in blocks.items() for k, x in enumerate(sites)], "block_id string, idx int, site_id long")
+    p = spark.createDataFrame(paths, "path string, pos long, site_id long")
+    want = set()
+    for path in "pqr":
+        on = [x for q, _, x in paths if q == path]
+        for name, sites in blocks.items():
+            for k in range(len(on) - len(sites) + 1):
+                ways = [o for o, s in (("+", sites), ("-", sites[::-1])) if on[k : k + len(sites)] == s]
+                if ways:
+                    want.add((name, path, k, len(sites), "?" if len(ways) == 2 else ways[0]))
+    got = evidence.place_blocks(b, p)
+    assert {tuple(x) for x in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Join \[_a#\d+L?, _b#\d+L?\]", plan)

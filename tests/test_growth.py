@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from locusframe.operators import chains, copies, evidence, orders, quota, repair
+from locusframe.operators import anchors, chains, copies, evidence, orders, quota, repair
 from locusframe.plans.views import view
 
 
@@ -135,6 +135,23 @@ def test_chains_under_quotas_of_one_by_the_lean_kernel(seed):
         assert got == quota.quota_blocks(g, p), p
 
 
+def test_merged_intervals_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "MERGED", 20, raising=False)
+    r = random.Random(5)
+    rows = [(c, a := r.randrange(2000), a + r.choice([0, 1, 3, 40, 150])) for c in "xy" for _ in range(200)]
+    d = spark.createDataFrame(rows, "c string, s long, e long")
+    got = anchors.merged_length(d, ["c"], "s", "e", 64)
+    want = {}
+    for c in "xy":
+        high, covered, islands = -1, 0, 0
+        for a, b in sorted((a, b) for k, a, b in rows if k == c):
+            covered, islands, high = covered + max(0, b - max(a, high + 1) + 1), islands + (a > high), max(high, b)
+        want[c] = (covered, 200, islands)
+    assert {x.c: (x.covered, x.n, x.islands) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_island" not in plan and int(re.search(r"hashpartitioning\(c#\d+, _bin#\d+L?, (\d+)\)", plan)[1]) > 20
+
+
 def test_blocks_meet_paths_by_two_sites(spark):
     r = random.Random(2)
     paths = [(p, k, r.randrange(4)) for p in "pqr" for k in range(60)]
